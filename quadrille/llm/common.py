@@ -69,3 +69,71 @@ def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Col
     if right.limit(bound + 1).count() <= bound:
         return left.join(F.broadcast(right), keys, how)
     return skew_join(left, right, keys, spread, rows, how)
+
+
+FILTER_BLOCK = 32768  # bits; what bitmap_construct_agg makes
+FILTER_BLOCKS = 8192  # 32 MB at most are broadcast
+
+
+def id_filter(ids: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Bitmap blocks (__block, __bits) of a one-column table of keys, and the number of blocks.
+
+    16 bits a key up to FILTER_BLOCKS blocks; past that it fills up and lets more rows through.
+    """
+    blocks = 1
+    while blocks * FILTER_BLOCK < 16 * rows and blocks < FILTER_BLOCKS:
+        blocks *= 2
+    h = F.xxhash64(ids.columns[0])
+    slots = ids.select(F.pmod(h, F.lit(blocks)).cast("int").alias("__block"), F.pmod(F.shiftright(h, 20), F.lit(FILTER_BLOCK)).cast("int").alias("p"))
+    return materialize(slots.groupBy("__block").agg(F.bitmap_construct_agg(F.col("p")).alias("__bits"))), blocks
+
+
+def flag_ids(df: DataFrame, id_col: str, filter_: tuple[DataFrame, int], name: str = "__hit") -> DataFrame:
+    """``df`` with a boolean column: false only where the id is not among the filter's keys."""
+    bitmaps, blocks = filter_
+    h = F.xxhash64(id_col)
+    tested = df.withColumns({"__block": F.pmod(h, F.lit(blocks)).cast("int"), "__p": F.pmod(F.shiftright(h, 20), F.lit(FILTER_BLOCK)).cast("int")})
+    bit = F.expr("getbit(cast(conv(hex(substring(__bits, __p div 8 + 1, 1)), 16, 10) as int), __p % 8) = 1")
+    return tested.join(F.broadcast(bitmaps), "__block", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("__block", "__bits", "__p")
+
+
+def keep_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is in the one-column table ``ids``; others don't shuffle (but for the filter's errors)."""
+    hits = flag_ids(df, id_col, id_filter(ids, ids.count())).where("__hit").drop("__hit")
+    return hits.join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_semi")
+
+
+def drop_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is not in ``ids`` (null ids stay); the others pass straight through."""
+    flagged = flag_ids(df, id_col, id_filter(ids, ids.count()))
+    passed = flagged.where(~F.col("__hit")).drop("__hit")
+    tested = flagged.where("__hit").drop("__hit").join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_anti")
+    return passed.unionByName(tested.select(*passed.columns))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node of ``edges`` (a, b), by alternating star steps.
+
+    Each step takes the smallest neighbour of a node by a map-side aggregate and joins it
+    back with salts, so that a hub of any degree is spread; rounds grow with the logarithm of the longest path.
+    """
+    e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while True:
+        rows = e.count()
+        if not rows:
+            break
+        # Large star: every larger neighbour of a node moves to the node's smallest neighbour.
+        both = e.select("a", "b").union(e.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        big = skew_join(both, least, ["a"], F.xxhash64("b"), 2 * rows, "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        big = materialize(big.where("a <> b").distinct())
+        # Small star: a node and its smaller neighbours move to the smallest of these.
+        low = big.groupBy("a").agg(F.min("b").alias("m"))
+        small = big.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("s")).select("s.*").where("a <> b").distinct()
+        new = materialize(small)
+        same = new.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == e.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        e = new
+        if same:
+            break
+    labels = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return labels.union(e.select(F.col("b"), F.col("b"))).groupBy("node").agg(F.min("component").alias("component"))

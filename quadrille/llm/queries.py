@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .ngram_join import similar_components
+from .packing import packed_documents
+from .quality import judge
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; the folder is a parameter of the environment."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
