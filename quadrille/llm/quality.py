@@ -25,7 +25,7 @@ MIN_GROUP = 20
 #: Median of the chi-squared distribution with four degrees of freedom.
 CHI2_MEDIAN = 3.356694
 #: Squared distance beyond which a document is rejected; far in the tail, as clean text is not Gaussian.
-CUTOFF = 150.0
+CUTOFF = 220.0
 #: Least standard deviation of each feature: most documents have no symbol and no repeated line,
 #: and the estimate must not become singular there.
 FLOORS = (0.02, 0.03, 0.05, 0.05)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .line_dedup import clean_lines
 from .ngram_join import similar_components
 from .packing import packed_documents
 from .quality import judge
+from .suffix_dedup import repeated_passages
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +28,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clean_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.length(text).cast("long").alias("left_chars"), F.sha2(text, 256).alias("left_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -36,12 +49,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op7_line_dedup": """
+        WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+             gone AS (SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 8),
+             kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g.line IS NOT NULL) AS n_removed,
+                             coalesce(string_agg(l.line, chr(10) ORDER BY place) FILTER (WHERE g.line IS NULL), '') AS t
+                      FROM l LEFT JOIN gone g ON l.line = g.line GROUP BY doc_id)
+        SELECT doc_id, n_lines, n_removed, length(t) AS left_chars, sha256(t) AS left_sha256 FROM kept""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
