@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import digests, format_conversations, text_part
 from .exact_dedup import exact_groups
+from .licenses import scan_licenses
 from .line_dedup import clean_lines
 from .ngram_join import similar_components
 from .packing import packed_documents
@@ -20,6 +22,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
+    return digests(format_conversations(turns.unionByName(more).withColumn("parts", text_part(F.col("text")))))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("detections")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -48,6 +60,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_license_scan": op3_license_scan,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_line_dedup": op7_line_dedup,
@@ -57,6 +71,17 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_chat_formatting": """
+        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+                   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+             c AS (SELECT conv_id, count(*) AS n_turns,
+                          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+                          coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+                          sum(12 + length(role) + 1 + length(text) + length(text) - length(replace(text, '\\', ''))
+                              + (length(text) - length(replace(text, '<|', ''))) // 2 + 11)::BIGINT AS formatted_chars
+                   FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c""",
     "op7_line_dedup": """
         WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
