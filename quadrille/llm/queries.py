@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import digests, format_conversations, text_part
 from .exact_dedup import exact_groups
+from .hmm import score_documents
 from .licenses import scan_licenses
 from .line_dedup import clean_lines
 from .ngram_join import similar_components
@@ -22,6 +23,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
@@ -60,6 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hmm_scoring": op1_hmm_scoring,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_license_scan": op3_license_scan,
     "op5_ngram_jaccard": op5_ngram_jaccard,
