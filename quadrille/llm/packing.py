@@ -8,6 +8,7 @@ fullest closes. What a task leaves underfull is packed again, as whole bins, by
 from __future__ import annotations
 
 import os
+import unicodedata
 
 from collections.abc import Iterator
 
@@ -28,41 +29,88 @@ FULL_SHARE = 0.97
 #: Items a task packs in the rounds after the first.
 ROUND_ITEMS = 100_000
 #: Words a worker remembers; past that it forgets all and starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Letter words encoded in one call.
+JOINED = 256
+_TAIL = b".,;:!?"
 
-_loaded: dict[str, tuple] = {}
 
+class _Encoder:
+    """Ids of words of one tokenizer, each distinct word encoded once for a worker process."""
 
-def _encoder(path: str):
-    """(tokenizer, cache of word bytes -> packed ids) of this worker process."""
-    if path not in _loaded:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    return _loaded[path]
-
-
-def _words(text: str | None) -> list[bytes]:
-    # bytes.split() cuts at ASCII white space only, where no token, no composition and no case rule reaches across.
-    return (text or "").encode("utf-8", "replace").split()
+        self.tok = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+
+    def _alone(self, cores: list[bytes]) -> None:
+        for w, e in zip(cores, self.tok.encode_batch_fast([w.decode("utf-8") for w in cores], add_special_tokens=False), strict=True):
+            self.cores[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def _encode(self, cores: list[bytes]) -> None:
+        """Words of letters only are one pre-token each, ended by an end-of-word id: many go in one call."""
+        letters, other = [], []
+        for w in cores:
+            t = w.decode("utf-8")
+            (letters if t.isascii() and t.isalpha() or unicodedata.normalize("NFC", t).lower().isalpha() else other).append(w)
+        runs = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+        for run, e in zip(runs, self.tok.encode_batch_fast([b" ".join(r).decode("utf-8") for r in runs], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(run):
+                other += run
+                continue
+            packed = ids.tobytes()
+            for w, lo, hi in zip(run, [0, *cuts[:-1]], cuts, strict=True):
+                self.cores[w] = packed[lo:hi]
+        if other:
+            self._alone(other)
+
+    def learn(self, new: set[bytes]) -> None:
+        """Fill the cache for ``new`` words: a word ending in an ASCII letter or digit and then stops is its core and its stops."""
+        split = []
+        for w in new:
+            low = w.lower()
+            core = low.rstrip(_TAIL)
+            if core and core[-1] < 128 and core[-1:].isalnum():
+                split.append((w, core, low[len(core) :]))
+            else:
+                split.append((w, low, b""))
+        if len(self.cores) > CACHE_WORDS:
+            self.cores.clear()
+        self._encode(list({x for _, core, tail in split for x in (core, tail) if x and x not in self.cores}))
+        for w, core, tail in split:
+            self.words[w] = self.cores[core] + (self.cores[tail] if tail else b"")
+
+
+_loaded: dict[str, _Encoder] = {}
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """For each text its ids (little-endian unsigned 32-bit) followed by END_ID.
 
-    The ids of a text are those of its words one after the other, and each distinct word is encoded once.
+    The ids of a text are those of its words one after the other: bytes.split() cuts at ASCII white space
+    only, where no token, no composition of characters and no case rule reaches across.
     """
-    tok, cache = _encoder(path)
-    parts = [_words(t) for t in texts]
-    new = list(set().union(*parts) - cache.keys()) if parts else []
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = list(set().union(*parts))
-    for w, e in zip(new, tok.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-        cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+    if path not in _loaded:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _loaded[path] = _Encoder(path)
+    known = _loaded[path]
+    parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
+    every = set().union(*parts)
+    new = every - known.words.keys()
+    if len(known.words) + len(new) > CACHE_WORDS:
+        known.words.clear()
+        new = every
+    if new:
+        known.learn(new)
     end = np.asarray([END_ID], dtype="<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, p)) + end for p in parts]
+    return [b"".join(map(known.words.__getitem__, p)) + end for p in parts]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, text_col: str = "text") -> DataFrame:
