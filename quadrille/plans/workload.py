@@ -41,8 +41,8 @@ QUERIES: dict[str, tuple[str, str]] = {
     "minus_shared": ("SELECT (COUNT(*) AS ?n) WHERE { ?c a :Customer . MINUS { ?o :customer ?c . } }", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "minus_disjoint": ("SELECT (COUNT(*) AS ?n) WHERE { ?c a :Region . MINUS { ?o a :Nation . } }", "SELECT count(*) AS n FROM region"),
     "optional_left_join": (
-        "SELECT ?chars ?quality WHERE { ?d a :Document ; :chars ?chars . OPTIONAL { ?l :document ?d ; :quality ?quality . } }",
-        "SELECT n_chars AS chars, CAST(quality AS BIGINT) AS quality FROM documents LEFT JOIN labels USING (doc_id)",
+        "SELECT ?chars (COALESCE(?q, -1) AS ?quality) WHERE { ?d a :Document ; :chars ?chars . OPTIONAL { ?l :document ?d ; :quality ?q . } }",
+        "SELECT n_chars AS chars, coalesce(CAST(quality AS BIGINT), -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)",
     ),
     "optional_inner_filter": (
         "SELECT ?total ?q WHERE { ?o a :Order ; :total ?total . OPTIONAL { ?l :order ?o ; :extended ?e ; :quantity ?q . FILTER (?e * 4 > ?total) } }",
