@@ -13,7 +13,7 @@ from .constraints import REGISTERS, SPLITS
 
 def load_requirements(spark: SparkSession, path: str, families: dict) -> dict:
     """The four fields, strictly: all registers, and numeric cases that set every slot of their family."""
-    value = json.loads("".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()))
+    value = json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
     wanted = {"priority_domains", "numeric_cases", "rejection_classes", "required_registers"}
     if not isinstance(value, dict) or value.keys() != wanted:
         raise CoverageError("coverage requirements must have exactly " + ", ".join(sorted(wanted)))

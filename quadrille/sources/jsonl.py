@@ -19,7 +19,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Files of questions are read as one split each, which gives the line numbers that messages name.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "value"))
     return lines.select((F.col("i") + 1).cast("long").alias("_pos"), "value").where(F.trim(F.regexp_replace("value", "\\s+", " ")) != "")
 
@@ -88,7 +88,7 @@ def load_staging(spark: SparkSession, folder: str, shards: tuple[str, ...]) -> D
 
 def load_checklist(spark: SparkSession, path: str) -> DataFrame:
     """(class, ids) from a JSON object of lists."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pairs = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("class", "ids"))
     return pairs
 

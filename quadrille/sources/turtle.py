@@ -98,7 +98,7 @@ def parse_turtle(text: str) -> list[tuple]:
 
 def load_graph(spark: SparkSession, path: str | Path) -> TripleStore:
     """A Turtle file as a graph. The file is read through Spark, so it may lie in any store."""
-    text = "".join(r[0] for r in spark.read.option("wholetext", True).text(str(path)).collect())
+    text = "".join(r[0] for r in spark.read.text(str(path), wholetext=True).collect())
     return graph_of(spark, text)
 
 
