@@ -13,50 +13,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import flag_ids, id_filter, keep_ids, materialize, skew_join
+from .wordhash import rolled, word_hashes
 
 MIN_WORDS, GRAM = 50, 10
 LEFT, RIGHT = MIN_WORDS - GRAM, MIN_WORDS
 BLOCK, BLOCKS = 32768, 8192
-CACHE_WORDS = 400_000
-
-_cache: dict[bytes, int] = {}
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_SPAN = "doc_id long, start_word long, end_word long"
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def _hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "replace").split()
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
-    for w in set(words) - _cache.keys():
-        _cache[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
-
-
-def _rolled(w: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of ``width`` words."""
-    h = np.zeros(max(len(w) - width + 1, 0), dtype=np.uint64)
-    for i in range(width):
-        h = h * _MULT + w[i : i + len(h)]
-    return _mix(h)
-
+TEXTS = 128
 
 def minimisers(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the minimisers, and their gram hashes; the leftmost of equal ones counts."""
     if len(w) < MIN_WORDS:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    g = _rolled(w, GRAM)
+    g = rolled(w, GRAM)
     span = MIN_WORDS - GRAM + 1
     at = np.unique(np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1))
     return at, g[at]
@@ -65,8 +37,9 @@ def minimisers(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [minimisers(_hashes(t.as_py()))[1] for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["gram"])
+            for low in range(0, b.num_rows, TEXTS):
+                found = [minimisers(w)[1] for w in word_hashes(b.column("text").slice(low, TEXTS).to_pylist(), False)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["gram"])
 
     return docs.select("text").mapInArrow(run, "gram long")
 
@@ -79,11 +52,10 @@ def _suffixes(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         bits = held.value
         blocks = np.uint64(len(bits) // (BLOCK // 8))
         for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                b = whole.slice(low, 500)
+            for low in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(low, TEXTS)
                 grams, ahead, behind, row, place = [], [], [], [], []
-                for i, t in enumerate(b.column("text")):
-                    w = _hashes(t.as_py())
+                for i, w in enumerate(word_hashes(b.column("text").to_pylist(), False)):
                     at, g = minimisers(w)
                     p = (g >> np.uint64(20)) % np.uint64(BLOCK)
                     hit = (bits[((g % blocks) * np.uint64(BLOCK // 8) + p // np.uint64(8)).astype(np.int64)] >> (p % np.uint64(8)).astype(np.uint8)) & 1 == 1
@@ -196,8 +168,8 @@ def _windows(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes, row, start = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i, (t, spans) in enumerate(zip(b.column("text"), b.column("spans"), strict=True)):
-                h = _rolled(_hashes(t.as_py()), MIN_WORDS)
+            for i, (w, spans) in enumerate(zip(word_hashes(b.column("text").to_pylist(), False), b.column("spans"), strict=True)):
+                h = rolled(w, MIN_WORDS)
                 for s in spans.as_py():
                     at = np.arange(s["start_word"], s["end_word"] - MIN_WORDS + 1)
                     hashes.append(h[at]), row.append(np.full(len(at), i)), start.append(at)
