@@ -13,6 +13,7 @@ from .line_dedup import clean_lines
 from .ngram_join import similar_components
 from .packing import packed_documents
 from .quality import judge
+from .sentencepiece_ops import Model, document_digests
 from .suffix_dedup import repeated_passages
 
 
@@ -37,6 +38,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("detections")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), Model(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_hmm_scoring": op1_hmm_scoring,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_license_scan": op3_license_scan,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_line_dedup": op7_line_dedup,
