@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..errors import SparqlError
 from ..scratch import materialize
 from . import ast as A
-from .expressions import DEC, INT, STR, Scope, Value, number, sort_keys, unify
+from .expressions import DEC, INT, STR, Scope, Value, number, sort_keys
 from .solution import Binding, Solution, column, join, left_join, matching, minus, semi_join, union
-from .terms import DECIMAL, IRI, TERM_REP, Rep, constant, lexical, term, to_term
+from .terms import DECIMAL, TERM_REP, Rep, constant, lexical, to_term
 
 
 @dataclass
@@ -382,5 +382,3 @@ class Compiler:
         names = {ends[i].name: c for i, c in ((0, "x"), (1, "y")) if isinstance(ends[i], A.Var)}
         return Solution(seen.select(*[F.col(c).alias(column(n)) for n, c in names.items()]), {n: Binding(rep) for n in names})
 
-
-__all__ = ["Answer", "Compiler", "IRI", "term"]

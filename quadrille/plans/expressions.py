@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SparqlError
 from . import ast as A
-from .terms import BNODE, DECIMAL, DOUBLES, INTEGERS, IRI, LITERAL, NUMERIC, STRING, TERM_REP, XSD, Rep, constant, decimal_text, lexical, term, to_term
+from .terms import BNODE, DECIMAL, IRI, LITERAL, NUMERIC, STRING, TERM_REP, XSD, Rep, constant, lexical, term, to_term
 
 Value = tuple[Column, Rep]
 _NUMBERS = ("int", "dec", "dbl")
@@ -300,5 +300,3 @@ def sort_keys(v: Value) -> list[Column]:
         return [F.when(c["k"] == BNODE, 0).when(c["k"] == IRI, 1).when(c["k"] == LITERAL, 2), number(v), F.when(c["dt"] == XSD + "boolean", c["lex"].isin("true", "1").cast("int")), c["lex"], c["lang"]]
     return [c]
 
-
-__all__ = ["DOUBLES", "INTEGERS", "Scope", "Value", "cast", "compare", "decimal_text", "number", "sort_keys", "truth", "unify"]

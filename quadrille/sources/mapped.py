@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SparqlError
 from ..plans import ast as A
 from ..plans.expressions import compare
 from ..plans.parser import NAMESPACE, PREFIXES
@@ -232,5 +231,3 @@ class MappedGraph:
     def nodes(self) -> DataFrame:
         return self.triples().nodes()
 
-
-__all__ = ["LABEL", "TABLES", "Field", "MappedGraph", "SparqlError", "Table"]

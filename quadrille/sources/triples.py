@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import ast as A
-from ..plans.expressions import Value
 from ..plans.solution import Binding, Solution, column, join
-from ..plans.terms import TERM, TERM_REP, constant, term, to_term
+from ..plans.terms import TERM, TERM_REP, term
 
 SCHEMA = f"s {TERM}, p string, o {TERM}"
 
@@ -17,7 +16,7 @@ def scan(triples: DataFrame, t: A.Triple) -> Solution:
     """The solutions of one pattern. A constant predicate is a filter on the partition column."""
     df, seen, out = triples, {}, []
     for part, x in (("p", t.p), ("s", t.s), ("o", t.o)):
-        c = F.col(part) if part != "p" else F.col("p")
+        c = F.col(part)
         if isinstance(x, A.Iri) and part == "p":
             df = df.where(c == x.value)
         elif isinstance(x, A.Iri | A.Lit):
@@ -72,7 +71,7 @@ class TripleStore:
         return self.triples.select(F.col("s").alias("t")).union(self.triples.select(F.col("o").alias("t"))).distinct()
 
     # Access primitives.
-    def objects(self, s: Value | A.Iri, p: str) -> DataFrame:
+    def objects(self, s: A.Iri, p: str) -> DataFrame:
         return self._where(s, p, None).select("o")
 
     def subjects(self, p: str, o: A.Iri | A.Lit) -> DataFrame:
@@ -102,5 +101,3 @@ class TripleStore:
                 df = df.where(F.col(part) == _stored(x)[2])
         return df
 
-
-__all__ = ["SCHEMA", "TripleStore", "constant", "scan", "to_term"]

@@ -18,7 +18,7 @@ from .operators import coverage as cov
 from .operators import curation as cur
 from .operators import entailment, evaluation, features, inventory, neardup, sets, summary
 from .plans.workload import QUERIES as SPARQL
-from .sources.mapped import LABEL, TABLES, MappedGraph
+from .sources.mapped import TABLES, MappedGraph
 from .sources.turtle import graph_of
 
 LANGS = ("de", "en", "es", "fr")
@@ -579,5 +579,3 @@ def project_primitives_guard(spark, sf_dir):
         said = str(e)
     return spark.range(1).select(F.lit(said).alias("error"))
 
-
-__all__ = ["LABEL", "ORACLE_SQL", "QUERIES"]
