@@ -7,8 +7,8 @@
    all tokens in one fixed order (frequent ones last, then by hash), a set of m tokens can only be similar to
    a member of a group if one of its first m - ceil(0.8 m) + 1 tokens is in that group's union:
    without one the overlap is bounded below 0.8 m. Only groups passing that bound are opened.
-4. Opening starts with a few witnesses per token and group; what links merges groups, and pairs inside a group
-   need no more checks. The last round opens all that is left, so no link between groups is lost.
+4. Opening starts with one hub for each node; what links merges groups, and pairs inside a group need no more
+   checks. The last round opens all that is left (see _open_pairs), so no link between groups is lost.
 
 Tokens are 64-bit hashes of the words. Which tokens count as frequent decides speed only.
 """
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_ids, flag_ids, id_filter, materialize, skew_join
+from .common import components, drop_ids, flag_ids, hot_keys, id_filter, materialize, skew_join
+from .wordhash import mix, rolled, word_hashes
 
 WORDS = 5
 #: Similarity as a fraction, so that ties are decided in integers.
@@ -31,46 +32,24 @@ NUM, DEN = 80, 100
 BANDS, ROWS = 4, 2
 #: Tokens in more prefixes than this come last in the order, but no more than MOST_FREQUENT of them (8 MB).
 FREQUENT, MOST_FREQUENT = 24, 1 << 20
-WITNESS_ROUNDS = 2
-CACHE_WORDS = 400_000
-
-_cache: dict[bytes, int] = {}
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Posting lists up to this long give all their pairs.
+SHORT = 64
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"band", seed=i) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
+#: Texts hashed at a time, and bytes of a token kept where sets are compared (40 bits: two sets of a thousand
+#: tokens agree on a false token once in a million pairs).
+BATCH, KEPT = 256, 5
+
 
+def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its k-word shingles, A-Z in lower case; with fewer words the
+    whole sequence as one, without words none."""
+    return [np.unique(rolled(w, min(k, len(w)))) if len(w) else w for w in word_hashes(texts, True)]
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A fixed bijection of 64 bits without visible order."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words of ``text``, A-Z in lower case, cut at ASCII white space."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
-    try:
-        return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in set(words):
-            if w not in _cache:
-                _cache[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; with fewer words the whole sequence as one."""
-    w = word_hashes(text)
-    n = len(w)
-    if n == 0:
-        return w
-    width = min(k, n)
-    h = np.full(n - width + 1, width, dtype=np.uint64)
-    for i in range(width):
-        h = h * _MULT + w[i : n - width + 1 + i]
-    return np.unique(_mix(h))
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for at in range(0, batch.num_rows, BATCH):
+        part = batch.slice(at, BATCH)
+        yield part, shingle_sets(part.column("text").to_pylist())
 
 
 def prefix_length(m: int) -> int:
@@ -78,50 +57,49 @@ def prefix_length(m: int) -> int:
 
 
 def _bands(s: np.ndarray) -> list[int]:
-    low = np.array([_mix(s * seed).min() for seed in _SEEDS]).reshape(BANDS, ROWS)
+    low = np.array([mix(s * seed).min() for seed in _SEEDS]).reshape(BANDS, ROWS)
     return [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in low]
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m, key, bands = [], [], []
-            for t in b.column("text"):
-                s = shingle_set(t.as_py())
-                m.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bands.append(_bands(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(m, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "m", "key", "bands"])
+        for whole in batches:
+            for b, sets in _each(whole):
+                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([_bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "m", "key", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, m long, key binary, bands array<long>")
 
 
 def _prefix_rows(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """(token, doc_id) for the prefix tokens of each document, in the order with ``frequent`` ones last."""
-    late = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
+    """(token, doc_id, pos, late): the prefix tokens of each document, in the order with ``frequent`` ones last.
+
+    ``pos`` is the place in that order. ``late`` marks tokens that are in the prefix only because frequent ones made way.
+    """
+    held = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = late.value if late is not None else np.empty(0, np.uint64)
+        last = held.value if held is not None else np.empty(0, np.uint64)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                found, row = [], []
-                for i, t in enumerate(b.column("text")):
-                    s = shingle_set(t.as_py())
+            for b, sets in _each(whole):
+                found, row, pos, late = [], [], [], []
+                for i, s in enumerate(sets):
                     if not len(s):
                         continue
                     p = prefix_length(len(s))
+                    at = np.arange(p)
                     if len(last):
-                        where = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        common = last[where] == s
+                        common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                         if common[:p].any():
-                            s = np.concatenate([s[~common], s[common]])
-                    found.append(s[:p])
+                            at = np.concatenate([np.flatnonzero(~common), np.flatnonzero(common)])[:p]
+                    found.append(s[at])
                     row.append(np.full(p, i))
+                    pos.append(np.arange(p, dtype=np.int32))
+                    late.append(at >= p)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), b.column("doc_id").take(pa.array(np.concatenate(row)))], ["token", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), b.column("doc_id").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(pos)), pa.array(np.concatenate(late))], ["token", "doc_id", "pos", "late"])
 
-    return docs.mapInArrow(run, "token long, doc_id long")
+    return docs.mapInArrow(run, "token long, doc_id long, pos int, late boolean")
 
 
 def _frequent_tokens(counts: DataFrame) -> np.ndarray:
@@ -141,42 +119,111 @@ def _frequent_tokens(counts: DataFrame) -> np.ndarray:
 
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], ["doc_id", "tokens"])
+        for whole in batches:
+            for b, sets in _each(whole):
+                packed = [s.byteswap().view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "tokens"])
 
     return docs.mapInArrow(run, "doc_id long, tokens binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection of their sets."""
+def _unpacked(tokens: bytes) -> np.ndarray:
+    x = np.frombuffer(tokens, np.uint8).reshape(-1, KEPT)
+    wide = np.zeros((len(x), 8), np.uint8)
+    wide[:, 8 - KEPT :] = x
+    return wide.view(">u8").ravel()
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """The pairs (a, b) that link, by intersection of their whole sets.
+
+    Only texts of documents in a pair are shingled; the sets of b go to the pairs, and the pairs to the sets of a.
+    """
     rows = pairs.count()
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    both = skew_join(pairs.select("a", "b"), right, ["b"], F.xxhash64("a"), rows, "inner")
-    both = skew_join(both, left, ["a"], F.xxhash64("b"), rows, "inner", hot=_hot(pairs, "a", rows))
+    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"))
+    wanted = flag_ids(docs, "doc_id", id_filter(ids, ids.count())).where("__hit").drop("__hit")
+    sets = materialize(_sets(wanted).dropDuplicates(["doc_id"]) if repeats else _sets(wanted))
+    hit = lambda side: flag_ids(sets, "doc_id", id_filter(pairs.select(side), rows)).where("__hit").select(F.col("doc_id").alias(side), F.col("tokens").alias(f"t{side}"))
+    both = skew_join(pairs.select("a", "b"), hit("b"), ["b"], F.xxhash64("a"), rows, "inner")
+    both = skew_join(both, hit("a"), ["a"], F.xxhash64("b"), rows, "inner", hot=materialize(hot_keys(pairs, ["a"], rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keep = []
             for ta, tb in zip(x.column("ta"), x.column("tb"), strict=True):
-                s, t = np.frombuffer(ta.as_py(), np.uint64), np.frombuffer(tb.as_py(), np.uint64)
-                both = np.concatenate([s, t])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
+                s, t = _unpacked(ta.as_py()), _unpacked(tb.as_py())
+                every = np.concatenate([s, t])
+                every.sort()
+                inter = int((every[1:] == every[:-1]).sum())
                 keep.append(DEN * inter >= NUM * (len(s) + len(t) - inter))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _hot(pairs: DataFrame, key: str, rows: int) -> DataFrame:
-    from .common import hot_keys
+def _sizes_fit(x: str, y: str):
+    return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
-    return materialize(hot_keys(pairs, [key], rows))
 
+def _needed(x: str, y: str) -> Column:
+    """The least overlap of sets of these sizes that link."""
+    return F.ceil(F.lit(NUM) * (F.col(x) + F.col(y)) / (NUM + DEN))
+
+
+def _behind(m: str) -> Column:
+    """Tokens after the prefix. What two sets share is in both prefixes, or behind the prefix that ends first."""
+    return F.ceil(F.lit(NUM) * F.col(m) / DEN) - 1
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    """(node, component) of linked nodes."""
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")) if links.isEmpty() else materialize(components(links))
+
+
+def _hub_pairs(grouped: DataFrame) -> DataFrame:
+    """Each node with one hub, if they are likely to link: the hub of a token is the node that has it earliest, so
+    the one with the fewest tokens of its own. One pair a node, whatever the length of a posting list."""
+    rows = grouped.count()
+    lead = grouped.groupBy("token").agg(F.min(F.struct("pos", "node", "m")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    near = skew_join(grouped, lead, ["token"], F.xxhash64("node"), rows, "inner").where((F.col("node") != F.col("l.node")) & _sizes_fit("m", "l.m"))
+    near = near.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"))
+    best = near.where(F.col("c") * 20 >= F.col("m")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
+    return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-def _sizes_fit(x: str, y: str):
-    return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
+
+def _partner_most(m: str, pos: str) -> Column:
+    """The largest partner for which a token at ``pos`` can be the first one shared: what is shared lies from there on."""
+    return F.least(F.floor(F.lit(NUM + DEN) * (F.col(m) - F.col(pos)) / NUM) - F.col(m), F.floor(F.lit(DEN) * F.col(m) / NUM))
+
+
+def _open_pairs(grouped: DataFrame) -> DataFrame:
+    """Every pair of nodes in different groups that the token-group matrix cannot rule out.
+
+    Short posting lists give all their pairs across groups, and count how many tokens each pair shares. In long ones
+    a row meets only rows outside of the list's largest group or, being outside itself, rows of the sizes with
+    which this token can be the first shared one. A pair is opened when the tokens counted, and as many of long
+    lists as both have, can make the overlap of a link.
+    """
+    rows = grouped.count()
+    size = lambda c: F.floor(F.log(c) / float(np.log(1.05))).cast("int")
+    per = grouped.groupBy("token", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.max(F.struct("k", "g")).alias("t"), F.count(F.lit(1)).alias("groups"))
+    per = per.where("groups > 1").select("token", "n", F.col("t.g").alias("top"))
+    w = materialize(skew_join(grouped, per, ["token"], F.xxhash64("node"), rows, "inner"))
+    short, long = w.where(F.col("n") <= SHORT), w.where(F.col("n") > SHORT)
+    u = short.select("token", F.col("g").alias("h"), F.col("node").alias("b"), F.col("m").alias("mb"))
+    light = short.join(u, "token").where((F.col("g") != F.col("h")) & (F.col("node") > F.col("b")) & _sizes_fit("m", "mb"))
+    light = light.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.first("mb").alias("mb"))
+    most, least = _partner_most("m", "pos"), F.ceil(F.lit(NUM) * F.col("m") / DEN)
+    left = long.where("g <> top").withColumns({"most": most, "least": least}).where("most >= least").withColumn("s", F.explode(F.sequence(size(F.col("least")), size(F.col("most")))))
+    right = long.withColumn("most_b", most).where("most_b >= 1").select("token", size(F.col("m")).alias("s"), F.col("g").alias("h"), F.col("node").alias("b"), F.col("m").alias("mb"), "most_b")
+    heavy = left.join(right, ["token", "s"]).where((F.col("g") != F.col("h")) & F.col("mb").between(F.col("least"), F.col("most")) & (F.col("m") <= F.col("most_b")))
+    turn = F.col("node") > F.col("b")
+    heavy = heavy.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), F.lit(0).cast("long").alias("c"), F.when(turn, F.col("m")).otherwise(F.col("mb")).alias("m"), F.when(turn, F.col("mb")).otherwise(F.col("m")).alias("mb")).distinct()
+    pairs = light.unionByName(heavy).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("m").alias("m"), F.first("mb").alias("mb"))
+    more = long.groupBy("node").agg(F.count(F.lit(1)).alias("x"))
+    pairs = pairs.join(more.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a", "left").join(more.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b", "left")
+    reach = F.col("c") + F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0))) + F.greatest(_behind("m"), _behind("mb"))
+    return pairs.where(reach >= _needed("m", "mb")).select("a", "b")
 
 
 def similar_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -189,6 +236,8 @@ def similar_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     full = docs.where(F.col("doc_id").isNotNull())
     sign = materialize(_signatures(docs))
+    # Rows of one id cannot be told apart: where there are such, one set stands for all.
+    repeats = not sign.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     # 1. Nodes.
     known = sign.where("m > 0 AND doc_id IS NOT NULL")
     nodes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("m").alias("m"), F.first("bands").alias("bands")))
@@ -198,43 +247,29 @@ def similar_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     bands = materialize(nodes.select("node", "m", F.posexplode("bands").alias("i", "band")))
     lead = bands.groupBy("i", "band").agg(F.min(F.struct("node", "m")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = skew_join(bands, lead, ["i", "band"], F.xxhash64("node"), 4 * n, "inner").where((F.col("node") != F.col("l.node")) & _sizes_fit("m", "l.m"))
-    near = materialize(near.select(F.col("node").alias("a"), F.col("l.node").alias("b")).distinct())
+    # One leader for each node, the one that most bands name: what it misses the matrix finds.
+    near = near.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = materialize(near.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b")))
     # 3. Prefix tokens that occur in two documents or more.
     counts = materialize(_prefix_rows(full, None).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    rows = _prefix_rows(full, _frequent_tokens(counts))
-    shared = rows.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("token")
-    shared = materialize(shared)
-    posted = materialize(flag_ids(rows, "token", id_filter(shared, shared.count())).where("__hit").drop("__hit"))
+    frequent = _frequent_tokens(counts)
+    # A token in one prefix only opens nothing, unless another document has it there late.
+    late = _prefix_rows(full, frequent).where("late").select("token") if len(frequent) else None
+    shared = counts.select("token") if late is None else materialize(counts.select("token").union(late))
+    posted = flag_ids(_prefix_rows(full, frequent), "token", id_filter(shared, shared.count())).where("__hit").select("token", "doc_id", "pos")
     # doc_id of copies give way to their node; the matrix is a relation of tokens and nodes.
-    matrix = posted.join(member, "doc_id").groupBy("token", "node").agg(F.first("m").alias("m"))
+    matrix = posted.join(member, "doc_id").groupBy("token", "node").agg(F.first("m").alias("m"), F.min("pos").alias("pos"))
     matrix = materialize(matrix)
-    needed = near.select("a").union(near.select("b")).union(matrix.select("node")).distinct()
-    needed = materialize(needed.toDF("doc_id"))
-    sets = materialize(_sets(flag_ids(full, "doc_id", id_filter(needed, needed.count())).where("__hit").drop("__hit")).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = materialize(_verify(near, sets))
-    # 4. Open groups that pass the bound.
+    links = materialize(_verify(near, full, repeats))
+    # 4. Open groups that pass the bound: likely links first, then all that is left.
     done = near
-    for turn in range(WITNESS_ROUNDS + 1):
-        group = materialize(components(links)) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        grouped = materialize(matrix.join(group, "node", "left").select("token", "node", "m", F.coalesce("component", "node").alias("g")))
-        if turn < WITNESS_ROUNDS:
-            w = grouped.groupBy("token", "g").agg(F.min(F.struct("node", "m")).alias("x"), F.max(F.struct("node", "m")).alias("y"), F.min(F.struct("m", "node")).alias("z"))
-            w = w.select("token", "g", F.explode(F.array_distinct(F.array("x", "y", F.struct("z.node", "z.m")))).alias("x")).select("token", "g", "x.node", "x.m")
-        else:
-            w = grouped
-        # Only tokens in two groups or more can open anything.
-        spread = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-        w = materialize(w.join(spread, "token", "left_semi"))
-        u = w.select("token", F.col("g").alias("h"), F.col("node").alias("b"), F.col("m").alias("mb"))
-        pairs = w.join(u, "token").where((F.col("g") != F.col("h")) & (F.col("node") > F.col("b")) & _sizes_fit("m", "mb")).select(F.col("node").alias("a"), "b").distinct()
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn < WITNESS_ROUNDS:
-                continue
-            break
-        done = materialize(done.union(pairs))
-        links = materialize(links.union(_verify(pairs, sets)))
-    group = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for find in (_hub_pairs, _open_pairs):
+        grouped = materialize(matrix.join(_groups(links), "node", "left").select("token", "node", "m", "pos", F.coalesce("component", "node").alias("g")))
+        pairs = materialize(find(grouped).join(done, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            done = materialize(done.union(pairs))
+            links = materialize(links.union(_verify(pairs, full, repeats)))
+    group = _groups(links)
     label = materialize(member.join(group, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")).distinct())
     return sign.join(label, "doc_id", "left").select("doc_id", F.col("m").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
