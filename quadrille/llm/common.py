@@ -1,42 +1,18 @@
-"""What the operators of this subpackage share: scratch tables, salted joins, let-bindings."""
+"""What the operators of this subpackage share: salted joins, key filters, components, let-bindings."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 #: A key is hot when it holds more than one row in HOT_SHARE; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1024
 #: ASCII white space, as in the word classes `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint directory.
-
-    Where the session names none (tests, a laptop) a local temporary folder is set once.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
-
-    Cuts lineage: a lost executor costs no recomputation of what lies before, and a
-    plan that uses the result twice runs what made it once.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
