@@ -17,7 +17,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+    """``df`` written to the shared folder and read back.
+
+    A lost executor costs no recomputation of what lies before, and a plan that uses the result twice runs
+    what made it once. The folder is the session's; its files go with it.
+    """
     path = f"{scratch_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
