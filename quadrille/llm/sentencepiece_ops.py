@@ -4,8 +4,10 @@ Texts are cut into units that no piece reaches across; each distinct unit is enc
 bounded length are exploded and equi-joined to the piece table (broadcast: as large as the vocabulary file), the
 edges are grouped by unit, and a fold with Spark's ``aggregate`` finds the segmentation: for a unigram model the best
 path (Viterbi), for a BPE model the merges in order of their rank, as its segmentation is not a best path.
-
 The join to the pieces keeps the partitioning by unit, so the edges are grouped where they are made.
+
+The fold of merges looks at every pair in every step; it costs too much on a corpus. Unless asked
+otherwise (``relational``), units of BPE models are merged by a heap in an Arrow batch.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SPACE = "▁"
-#: Longer units are folded by a heap in Python: the relational fold is quadratic in the length of a unit.
-LONG = 32
+#: Units up to this many characters take the relational fold.
+RELATIONAL = {"bpe": 0, "unigram": 1 << 30}
 FLUSH = 300_000
 FREQUENT_UNITS = 1 << 18  # at most so many units are broadcast
 NONE = 1 << 30
@@ -98,10 +100,13 @@ def _viterbi_cuts(edges: Column, n: Column) -> Column:
     return F.transform(F.array(best), back)[0]
 
 
-def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
-    """``distinct`` (unit, c; partitioned by unit) as (unit, c, ids, pieces)."""
+def encode_units(distinct: DataFrame, model: Model, relational: int | None = None) -> DataFrame:
+    """``distinct`` (unit, c; partitioned by unit) as (unit, c, ids)."""
     spark = distinct.sparkSession
-    short = distinct.where(F.length("unit") <= LONG)
+    most = RELATIONAL[model.kind] if relational is None else relational
+    if model.kind == "bpe" and most < 1:
+        return _merged_units(distinct, model)
+    short = distinct.where(F.length("unit") <= most)
     n = F.length("unit")
     parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("unit"), s + 1, k).alias("piece")))))
     none = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit("").alias("piece")))
@@ -119,16 +124,34 @@ def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
         return F.when(F.size(known) > 0, F.array(F.get(known, F.lit(0))["id"])).otherwise(_byte_ids(F.substring(F.col("unit"), s + 1, e - s), model.byte0, model.unknown))
 
     found = lattice.select("unit", "c", F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), ids)).alias("ids"))
-    table = {p: (i, r) for p, i, r, _ in model.rows}
-    held = spark.sparkContext.broadcast((table, model.byte0, model.unknown))
+    if model.kind != "bpe":
+        return found
+    return found.unionByName(_merged_units(distinct.where(F.length("unit") > most), model))
+
+
+def _merged_units(distinct: DataFrame, model: Model) -> DataFrame:
+    """(unit, c, ids) of BPE units by :func:`merge_long`."""
+    held = distinct.sparkSession.sparkContext.broadcast(({p: (i, r) for p, i, r, _ in model.rows}, model.byte0, model.unknown))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("c"), pa.array([merge_long(u, *held.value) for u in b.column("unit").to_pylist()], pa.list_(pa.int32()))], ["unit", "c", "ids"])
 
-    if model.kind != "bpe":
-        return found
-    return found.unionByName(distinct.where(F.length("unit") > LONG).mapInArrow(run, "unit string, c long, ids array<int>"))
+    return distinct.mapInArrow(run, "unit string, c long, ids array<int>")
+
+
+def _self_decoding(encoded: DataFrame, model: Model) -> DataFrame:
+    """``encoded`` with same: whether the bytes of the ids are those of the unit."""
+    raw = {i: p.encode("utf-8") for i, p, _ in model.pieces} | ({model.byte0 + b: bytes([b]) for b in range(256)} if model.byte0 >= 0 else {})
+    held = encoded.sparkSession.sparkContext.broadcast(raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = held.value
+        for b in batches:
+            same = [b"".join([raw.get(i, b"") for i in ids]) == u.encode("utf-8") for u, ids in zip(b.column("unit").to_pylist(), b.column("ids").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same, pa.bool_())], [*b.schema.names, "same"])
+
+    return encoded.select("unit", "c", "ids").mapInArrow(run, "unit string, c long, ids array<int>, same boolean")
 
 
 def merge_long(unit: str, table: dict, byte0: int, unknown: int) -> list[int]:
@@ -225,8 +248,7 @@ def document_digests(docs: DataFrame, model: Model, text_col: str = "text", id_c
     by a shuffle and their share is summed per document. Null and empty texts count 0. Repeated rows stay.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = materialize(encode_units(distinct_units(docs), model))
-    back = materialize(encoded.join(decode(encoded, model), "unit", "left").select("unit", "c", "ids", F.coalesce(F.col("decoded") == F.col("unit"), F.lit(False)).alias("same")))
+    back = materialize(_self_decoding(encode_units(distinct_units(docs), model), model))
     frequent, total, least = [], 0, None
     level = F.floor(F.log2("c") * 16)
     for r in back.groupBy(level.alias("s")).count().orderBy(F.desc("s")).collect():

@@ -273,6 +273,9 @@ def test_sentencepiece(docs):
     assert {r["doc_id"]: r["ids"] for r in encoded.collect()} == expected
     back = {r["doc_id"]: r["decoded"] for r in ops.decode(encoded, model, "doc_id").collect()}
     assert all(back[i].replace(ops.SPACE, " ")[1:] == t for i, t, *_ in rows() if t)
+    known = ops.distinct_units(docs)
+    folds = [{r["unit"]: r["ids"] for r in ops.encode_units(known, model, n).collect()} for n in (0, 24)]
+    assert folds[0] == folds[1] and len(folds[0]) > 100
     d = {r["doc_id"]: r for r in ops.document_digests(docs, model).collect()}
     assert all(d[i]["n_tokens"] == len(x) and d[i]["exact"] for i, x in expected.items())
 
