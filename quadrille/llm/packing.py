@@ -29,7 +29,7 @@ FULL_SHARE = 0.97
 #: Items a task packs in the rounds after the first.
 ROUND_ITEMS = 100_000
 #: Words a worker remembers; past that it forgets all and starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Letter words encoded in one call.
 JOINED = 256
 _TAIL = b".,;:!?"
