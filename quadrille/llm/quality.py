@@ -3,8 +3,12 @@
 For each language and source the minimum-covariance-determinant (MCD) estimate of
 location and scatter of a transformed statistic vector is found by concentration steps over all
 documents that have a word: a row counts in the next step when its distance is among the smallest
-H_SHARE of its group. A document is rejected when its Mahalanobis distance under that estimate
-passes the cutoff.
+H_SHARE of its group. A document is rejected when its squared Mahalanobis distance passes the
+0.999 quantile of chi-squared with four degrees of freedom.
+
+Shares over few trials vary more than shares over many, so a document's distance is taken under the
+group's scatter plus the sampling variance of its own statistics, which falls with its length. The
+scatter of the nearest H_SHARE is blown up by the factor that makes it consistent for Gaussian rows.
 
 A step is two aggregations with map-side partial sums and one small table per group, so no group,
 however large, meets in one task. The distance quantile is read from a histogram of
@@ -13,6 +17,8 @@ log-distances, which keeps the choice of rows the same in every run.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +28,18 @@ H_SHARE = 0.75
 STEPS = 3
 #: Groups with fewer documents than this many give no estimate; their documents pass.
 MIN_GROUP = 20
-#: Median of the chi-squared distribution with four degrees of freedom.
-CHI2_MEDIAN = 3.356694
-#: Squared distance beyond which a document is rejected; far in the tail, as clean text is not Gaussian.
-CUTOFF = 220.0
+#: 0.75 quantile (the H_SHARE) of the chi-squared distribution with four degrees of freedom.
+CHI2_SHARE = 5.385269
+#: H_SHARE over the chi-squared distribution with six degrees of freedom at CHI2_SHARE.
+CONSISTENCY = H_SHARE / (1 - math.exp(-CHI2_SHARE / 2) * (1 + CHI2_SHARE / 2 + CHI2_SHARE**2 / 8))
+#: Squared distance beyond which a document is rejected: the 0.999 quantile with four degrees of freedom.
+CUTOFF = 18.466827
 #: Least standard deviation of each feature: most documents have no symbol and no repeated line,
 #: and the estimate must not become singular there.
 FLOORS = (0.02, 0.03, 0.05, 0.05)
 FEATURES = ("x0", "x1", "x2", "x3")
+#: Sampling variance of each feature in its document.
+NOISE = ("__v0", "__v1", "__v2", "__v3")
 BINS_PER_UNIT = 64
 _SPLIT = "[\\x20\\x09-\\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -92,34 +102,40 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "x1": F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         "x2": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("__lines"), F.lit(1))),
         "x3": F.sqrt(F.col("n_repeat_words") / words),
+        # A word's length has a deviation of about half its mean; the root of a share of n trials has variance 1 / 4n;
+        # words repeat six at a time at least (two windows of three).
+        "__v0": 0.25 / words,
+        "__v1": 0.25 / F.greatest(F.col("word_chars"), F.lit(1)),
+        "__v2": 0.25 / F.greatest(F.col("__lines"), F.lit(1)),
+        "__v3": 1.5 / words,
     })
 
 
-def _distance(params: str) -> Column:
-    """Squared Mahalanobis distance by the Cholesky factor (l00, l10, l11, ...) in struct ``params``."""
-    y: list[Column] = []
-    for i, x in enumerate(FEATURES):
-        d = F.col(x) - F.col(f"{params}.m{i}")
-        for j in range(i):
-            d = d - F.col(f"{params}.l{i}{j}") * y[j]
-        y.append(d / F.col(f"{params}.l{i}{i}"))
-    total = y[0] * y[0]
-    for v in y[1:]:
-        total = total + v * v
-    return total
-
-
-def _cholesky(groups: DataFrame) -> DataFrame:
-    """(group, p: means and Cholesky factor) from columns m<i> and c<ij>; variances are floored first."""
+def _with_distance(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their squared Mahalanobis distance under the means and covariances in struct __p and their own noise; __p goes."""
     size = range(len(FEATURES))
-    df = groups.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(FLOORS[i] ** 2) for i in size})
+    df = rows
     for i in size:
         for j in range(i + 1):
-            value = F.col(f"c{i}{j}")
+            value = F.col(f"__p.c{i}{j}")
+            if i == j:
+                value = value + F.lit(FLOORS[i] ** 2) + F.col(NOISE[i])
             for k in range(j):
-                value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOORS[i] ** 2 / 100))) if i == j else value / F.col(f"l{j}{j}"))
-    return df.select(*_GROUP, F.struct(*[f"m{i}" for i in size], *[f"l{i}{j}" for i in size for j in range(i + 1)]).alias("p"))
+                value = value - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
+            df = df.withColumn(f"__l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOORS[i] ** 2 / 100))) if i == j else value / F.col(f"__l{j}{j}"))
+        y = F.col(FEATURES[i]) - F.col(f"__p.m{i}")
+        for j in range(i):
+            y = y - F.col(f"__l{i}{j}") * F.col(f"__y{j}")
+        df = df.withColumn(f"__y{i}", y / F.col(f"__l{i}{i}"))
+    total = sum((F.col(f"__y{i}") * F.col(f"__y{i}") for i in size[1:]), F.col("__y0") * F.col("__y0"))
+    return df.withColumn(name, total).drop("__p", *[f"__y{i}" for i in size], *[f"__l{i}{j}" for i in size for j in range(i + 1)])
+
+
+def _params(groups: DataFrame, factor: float, correlated: bool = True) -> DataFrame:
+    """(group, __p: means and covariances times ``factor``) from columns m<i> and c<ij>."""
+    size = range(len(FEATURES))
+    c = lambda i, j: F.col(f"c{i}{j}") * factor if i == j or correlated else F.lit(0.0)
+    return groups.select(*_GROUP, F.struct(*[f"m{i}" for i in size], *[c(i, j).alias(f"c{i}{j}") for i in size for j in range(i + 1)]).alias("__p"))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -145,22 +161,17 @@ def _quantile_bins(rows: DataFrame, share: float) -> DataFrame:
 
 
 def mcd_estimates(stats: DataFrame, rows: int, steps: int = STEPS) -> DataFrame:
-    """(__lang, __source, p, scale): one row per group of MIN_GROUP documents or more."""
+    """(__lang, __source, __p): one row per group of MIN_GROUP documents or more."""
     spread = F.xxhash64(*FEATURES)
-    with_words = stats.where("n_words > 0").select(*_GROUP, *FEATURES)
+    with_words = stats.where("n_words > 0").select(*_GROUP, *FEATURES, *NOISE)
     # Start: means and variances without correlation, so that no single outlier can turn the axes.
-    first = _moments(with_words).where(F.col("__n") >= MIN_GROUP)
-    first = first.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(len(FEATURES)) for j in range(i)})
-    params = materialize(_cholesky(first))
+    params = materialize(_params(_moments(with_words).where(F.col("__n") >= MIN_GROUP), 1.0, correlated=False))
     for _ in range(steps):
-        far = bounded_join(with_words, params, _GROUP, spread, rows, how="inner").withColumn("__bin", _bin(_distance("p"))).drop("p")
+        far = _with_distance(bounded_join(with_words, params, _GROUP, spread, rows, how="inner"), "__d").withColumn("__bin", _bin(F.col("__d")))
         cuts = materialize(_quantile_bins(far, H_SHARE))
         near = bounded_join(far, cuts, _GROUP, spread, rows, how="inner").where(F.col("__bin") <= F.col("__cut"))
-        params = materialize(_cholesky(_moments(near)))
-    far = bounded_join(with_words, params, _GROUP, spread, rows, how="inner").withColumn("__bin", _bin(_distance("p"))).drop("p")
-    # Consistency: the median distance of a group stands for the median of chi-squared.
-    scale = _quantile_bins(far, 0.5).select(*_GROUP, F.greatest(F.expm1((F.col("__cut") + 1) / BINS_PER_UNIT) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return materialize(params.join(scale, _GROUP))
+        params = materialize(_params(_moments(near), CONSISTENCY))
+    return params
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -175,8 +186,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     stats = materialize(with_statistics(docs, text_col))
     rows = stats.count()
     found = bounded_join(stats, mcd_estimates(stats, rows), _GROUP, F.xxhash64(*FEATURES, *[c for c in ("doc_id",) if c in stats.columns]), rows)
-    distance = F.round(_distance("p") / F.col("scale"), 6)
-    return found.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).drop("p", "scale", "__lines", *FEATURES, *_GROUP)
+    found = _with_distance(found, "__d").withColumn("distance", F.round("__d", 6))
+    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).drop("__d", "__lines", *FEATURES, *NOISE, *_GROUP)
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -188,5 +199,5 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     stats = materialize(with_statistics(keyed.drop("__row"), "__text"))
     estimates = mcd_estimates(stats, stats.count())
     again = bounded_join(with_statistics(keyed, "__text"), estimates, _GROUP, F.xxhash64(*FEATURES), stats.count())
-    kept = ~F.col("base_failed") & F.coalesce(F.round(_distance("p") / F.col("scale"), 6) <= cutoff, F.lit(True))
-    return again.where(kept).select("__row.*")
+    kept = ~F.col("base_failed") & F.coalesce(F.round("__d", 6) <= cutoff, F.lit(True))
+    return _with_distance(again, "__d").where(kept).select("__row.*")

@@ -161,6 +161,20 @@ def test_quality_rejects_outliers_only(spark):
     assert {r["doc_id"] for r in quality.quality_filter(df).collect()} == set(range(60))
 
 
+def test_quality_rejects_half_junk(spark):
+    """Texts of which a half or a sixth of the words are symbols go; clean texts of 60 to 400 words, some with a repeat, stay."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(120):
+        w = prose(2000 + i, int(rng.integers(60, 400))).split()
+        texts.append(" ".join(w + (w[:4] if i % 6 == 0 else [])))
+    for i in range(12):
+        w = prose(3000 + i, 60 + 20 * i).split()
+        texts.append(" ".join(x if k % (2, 6)[i % 2] else f"{('***', '&&&', '$$$')[k % 3]} {x}" for k, x in enumerate(w)))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"] for r in quality.quality_filter(df).collect()} == set(range(120))
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
