@@ -1,10 +1,8 @@
-"""Dedup of repeated passages by sparse suffix arrays.
+"""Dedup of repeated passages by content-selected windows, exact for every run of MIN_WORDS words.
 
-Suffixes are kept only at content-selected minimiser positions: in every run of MIN_WORDS words the
-smallest GRAM-word hash, so equal passages keep suffixes at equal places. Suffixes whose gram
-occurs again are sorted as a whole (by what follows, then what precedes), each is compared with its
-neighbours, and a match is extended to the right and left of the minimiser. A match of MIN_WORDS
-words or more is a repeated passage.
+Every run of MIN_WORDS words has a minimiser: its smallest GRAM-word hash. Equal runs have equal minimisers, so only runs
+whose minimiser gram occurs again are looked at. Their 64-bit hashes are dealt by value in packed form: a chunk of documents
+sends each distinct hash once, hears which of them another chunk has too, and marks its runs. A run that occurs again is a repeated passage.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +19,24 @@ from .common import flag_ids, id_filter, keep_ids, materialize, skew_join
 from .wordhash import rolled, word_hashes
 
 MIN_WORDS, GRAM = 50, 10
-LEFT, RIGHT = MIN_WORDS - GRAM, MIN_WORDS
 BLOCK, BLOCKS = 32768, 8192
+BUCKETS = 256  # parts the hashes are dealt into, at least
+CHUNK = 1 << 20  # runs of a chunk, but for its last document's
 TEXTS = 128
 
+
+def _places(g: np.ndarray) -> np.ndarray:
+    """For each run of MIN_WORDS words the place of its minimiser among the gram hashes ``g``; the leftmost of equal ones counts."""
+    span = MIN_WORDS - GRAM + 1
+    return np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1)
+
+
 def minimisers(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the minimisers, and their gram hashes; the leftmost of equal ones counts."""
+    """Positions of the minimisers, and their gram hashes."""
     if len(w) < MIN_WORDS:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     g = rolled(w, GRAM)
-    span = MIN_WORDS - GRAM + 1
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1))
+    at = np.unique(_places(g))
     return at, g[at]
 
 
@@ -44,39 +50,6 @@ def _grams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long")
 
 
-def _suffixes(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(gram, ahead, behind, doc_id, place): hashes of the words from a minimiser on, and of those before it, nearest first."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-        blocks = np.uint64(len(bits) // (BLOCK // 8))
-        for whole in batches:
-            for low in range(0, whole.num_rows, TEXTS):
-                b = whole.slice(low, TEXTS)
-                grams, ahead, behind, row, place = [], [], [], [], []
-                for i, w in enumerate(word_hashes(b.column("text").to_pylist(), False)):
-                    at, g = minimisers(w)
-                    p = (g >> np.uint64(20)) % np.uint64(BLOCK)
-                    hit = (bits[((g % blocks) * np.uint64(BLOCK // 8) + p // np.uint64(8)).astype(np.int64)] >> (p % np.uint64(8)).astype(np.uint8)) & 1 == 1
-                    at, g = at[hit], g[hit]
-                    if not len(at):
-                        continue
-                    small = np.zeros(LEFT + len(w) + RIGHT, dtype=">u4")
-                    small[LEFT : LEFT + len(w)] = (w >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                    view = np.lib.stride_tricks.sliding_window_view(small, LEFT + RIGHT)[at]
-                    ahead += [x.tobytes() for x in view[:, LEFT:]]
-                    behind += [x.tobytes() for x in view[:, LEFT - 1 :: -1]]
-                    grams.append(g), place.append(at), row.append(np.full(len(at), i))
-                if grams:
-                    ids = b.column("doc_id").take(pa.array(np.concatenate(row)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(grams).view(np.int64)), pa.array(ahead, pa.binary()), pa.array(behind, pa.binary()), ids, pa.array(np.concatenate(place))], ["gram", "ahead", "behind", "doc_id", "place"]
-                    )
-
-    return docs.mapInArrow(run, "gram long, ahead binary, behind binary, doc_id long, place long")
-
-
 def _filter_bits(grams: DataFrame) -> np.ndarray:
     """A bitmap of the grams that occur again; at most BLOCKS blocks of 4 KB whatever the input."""
     again = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
@@ -91,44 +64,94 @@ def _filter_bits(grams: DataFrame) -> np.ndarray:
     return bits
 
 
-_EDGE = "gram long, ahead binary, behind binary, doc_id long, place long, start_word long, end_word long"
-
-
-def _neighbours(suffixes: DataFrame) -> DataFrame:
-    """Spans of matches between neighbours of each sorted partition, and its first and last suffix (no span)."""
+_CHUNKS = "chunk long, bucket int, hashes binary, docs binary, starts binary, lengths binary, which binary, twice binary"
 
-    def spans(b: pa.RecordBatch) -> pa.RecordBatch:
-        g = b.column("gram").to_numpy()
-        a = np.frombuffer(b"".join(b.column("ahead").to_pylist()), ">u4").reshape(-1, RIGHT)
-        c = np.frombuffer(b"".join(b.column("behind").to_pylist()), ">u4").reshape(-1, LEFT)
-        same = lambda x: np.cumprod((x[1:] == x[:-1]) & (x[1:] != 0), axis=1, dtype=np.int64).sum(axis=1)
-        right, left = same(a), same(c)
-        hit = np.flatnonzero((g[1:] == g[:-1]) & (right + left >= MIN_WORDS))
-        doc, place = b.column("doc_id"), b.column("place").to_numpy()
-        at = np.concatenate([hit, hit + 1])
-        lo, hi = np.tile(left[hit], 2), np.tile(right[hit], 2)
-        none = lambda kind: pa.nulls(len(at), kind)
-        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.binary()), none(pa.binary()), doc.take(pa.array(at)), none(pa.int64()), pa.array(place[at] - lo), pa.array(place[at] + hi)], ["gram", "ahead", "behind", "doc_id", "place", "start_word", "end_word"])
 
-    def edge(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int64())], [*b.schema.names, "start_word", "end_word"])
+def _chunks(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Chunks of runs whose minimiser gram occurs again. For each chunk one row a bucket with its distinct hashes, in order, and
+    one row of bucket -1: stretches of runs (document, start, length), which distinct hash each run has, and which occur twice here."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+    buckets = max(BUCKETS, len(bits) // (BLOCK // 8))
+    shift = np.uint64(64 - buckets.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if last is None:
-                yield edge(b.slice(0, 1))
-            else:
-                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
-            if b.num_rows > 1:
-                yield spans(b)
-            last = b.slice(b.num_rows - 1, 1)
-        if last is not None:
-            yield edge(last)
-
-    return suffixes.mapInArrow(run, _EDGE)
+        bits = held.value
+        blocks = np.uint64(len(bits) // (BLOCK // 8))
+        number = TaskContext.get().partitionId() << 33
+        hashes: list[np.ndarray] = []
+        stretches: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            distinct, which, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            part = (distinct >> shift).astype(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            n = len(first)
+            packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(first, len(distinct)) * 8), pa.py_buffer(distinct.tobytes())]).cast(pa.binary())
+            own = [np.concatenate([s[k] for s in stretches]).astype(np.int64 if k == 0 else np.int32).tobytes() for k in range(3)]
+            own += [which.astype(np.int32).tobytes(), np.packbits(times > 1).tobytes()]
+            columns = [pa.array([number] * (n + 1), pa.int64()), pa.array([*part[first].tolist(), -1], pa.int32()), pa.concat_arrays([packed, pa.nulls(1, pa.binary())])]
+            columns += [pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([x], pa.binary())]) for x in own]
+            hashes.clear(), stretches.clear()
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "hashes", "docs", "starts", "lengths", "which", "twice"])
+
+        waiting = 0
+        for whole in batches:
+            for low in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(low, TEXTS)
+                for doc, w in zip(b.column("doc_id").to_pylist(), word_hashes(b.column("text").to_pylist(), False), strict=True):
+                    if len(w) < MIN_WORDS:
+                        continue
+                    g = rolled(w, GRAM)
+                    p = (g >> np.uint64(20)) % np.uint64(BLOCK)
+                    again = (bits[((g % blocks) * np.uint64(BLOCK // 8) + p // np.uint64(8)).astype(np.int64)] >> (p % np.uint64(8)).astype(np.uint8)) & 1 == 1
+                    hit = again[_places(g)]
+                    edge = np.flatnonzero(np.diff(hit.view(np.int8), prepend=0, append=0))
+                    if not len(edge):
+                        continue
+                    hashes.append(rolled(w, MIN_WORDS)[hit])
+                    stretches.append((np.full(len(edge) // 2, doc), edge[::2], edge[1::2] - edge[::2]))
+                    waiting += len(hashes[-1])
+                    if waiting >= CHUNK:
+                        yield out()
+                        number, waiting = number + 1, 0
+        if waiting:
+            yield out()
+
+    return docs.mapInArrow(run, _CHUNKS)
+
+
+def _shared(bucket: pa.Table) -> pa.Table:
+    """(chunk, bucket, hashes) of one bucket with, in place of the hashes, a bit for each: whether another chunk has it too."""
+    rows = [np.frombuffer(x, np.uint64) for x in bucket.column("hashes").to_pylist()]
+    h = np.concatenate(rows)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    found = np.zeros(len(h), dtype=bool)
+    found[order[1:][same]] = True
+    found[order[:-1][same]] = True
+    at = np.cumsum([0, *map(len, rows)])
+    bits = [np.packbits(found[i:j]).tobytes() for i, j in zip(at, at[1:], strict=False)]
+    return pa.table({"chunk": bucket.column("chunk"), "bucket": bucket.column("bucket"), "size": pa.array(np.diff(at), pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+
+def _spans(chunk: pa.Table) -> pa.Table:
+    """(doc_id, start_word, end_word) of the marked runs of one chunk: its own row and the bits of its buckets."""
+    rows = sorted(chunk.to_pylist(), key=lambda r: r["bucket"])
+    own = rows[0]
+    read = lambda name, kind: np.frombuffer(own[name], kind)
+    marked = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["size"]) for r in rows[1:]])
+    marked = marked | np.unpackbits(read("twice", np.uint8), count=len(marked))
+    docs, starts, lengths = read("docs", np.int64), read("starts", np.int32).astype(np.int64), read("lengths", np.int32).astype(np.int64)
+    # One unmarked place between stretches, so that marks of two documents don't meet.
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    stretch = np.repeat(np.arange(len(lengths)), lengths)
+    line = np.zeros(int((lengths + 1).sum()), dtype=np.int8)
+    line[np.arange(len(stretch)) + stretch] = marked[read("which", np.int32)]
+    edge = np.flatnonzero(np.diff(line, prepend=0, append=0))
+    first, last = edge[::2], edge[1::2]
+    at = np.searchsorted(begin, first, side="right") - 1
+    start = starts[at] + first - begin[at]
+    return pa.table({"doc_id": pa.array(docs[at], pa.int64()), "start_word": pa.array(start, pa.int64()), "end_word": pa.array(start + (last - first) + MIN_WORDS - 1, pa.int64())})
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -146,20 +169,10 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "do
     texts below MIN_WORDS words have none; rows without an id are left out. An empty table gives none.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    kept = materialize(_suffixes(docs, _filter_bits(_grams(docs))))
-    # Once by what follows, once by what precedes: among variants of a passage the neighbour that
-    # agrees furthest to the right need not be the one that agrees furthest to the left.
-    ahead, behind = (_matches(kept, ["gram", *sides, "doc_id", "place"]) for sides in (("ahead", "behind"), ("behind", "ahead")))
-    return merge_spans(ahead.unionByName(behind))
-
-
-def _matches(kept: DataFrame, key: list[str]) -> DataFrame:
-    """Spans of neighbours in the order of ``key``."""
-    columns = ["gram", "ahead", "behind", "doc_id", "place"]
-    found = materialize(_neighbours(kept.select(*columns).repartitionByRange(*key).sortWithinPartitions(*key)))
-    # A partition's last suffix and the next one's first are neighbours too: two rows a partition.
-    across = _neighbours(found.where("gram IS NOT NULL").select(*columns).coalesce(1).sortWithinPartitions(*key)).where("gram IS NULL")
-    return found.where("gram IS NULL").unionByName(across).select("doc_id", "start_word", "end_word")
+    chunks = materialize(_chunks(docs, _filter_bits(_grams(docs))))
+    shared = chunks.where("bucket >= 0").select("chunk", "bucket", "hashes").groupBy("bucket").applyInArrow(_shared, "chunk long, bucket int, size int, bits binary")
+    own = chunks.where("bucket < 0").drop("hashes")
+    return merge_spans(own.unionByName(shared, allowMissingColumns=True).groupBy("chunk").applyInArrow(_spans, "doc_id long, start_word long, end_word long"))
 
 
 def _windows(marked: DataFrame) -> DataFrame:

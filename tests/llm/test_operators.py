@@ -115,6 +115,23 @@ def test_repeated_passages(docs):
     assert got == covered and {11, 12, 13} <= set(got) and 10 not in got
 
 
+def test_repeated_passages_among_edited_copies(spark):
+    """Hundreds of copies of a passage, each edited at random places: every equal run of 50 words is found."""
+    rng = np.random.default_rng(11)
+    base, where, expected, got = prose(50, 400).split(), defaultdict(list), defaultdict(set), defaultdict(set)
+    texts = [[f"x{rng.integers(1 << 40)}" if e else w for w, e in zip(base, rng.random(400) < 0.05, strict=True)] for _ in range(600)]
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].append((i, k))
+    for places in where.values():
+        for i, k in places if len(places) > 1 else ():
+            expected[i].update(range(k, k + 50))
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)], SCHEMA).repartition(3)
+    for r in suffix_dedup.repeated_passages(df).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert got == expected and len(expected) > 300
+
+
 def test_later_copies_are_cut(docs):
     gone = defaultdict(set)
     for places in _windows().values():
