@@ -311,12 +311,35 @@ class Compiler:
         simple, paths = [], []
         for t in triples:
             self._expand(t, simple, paths)
-        found = self.graph.bgp(simple, known) if simple else None
+        # Patterns that only a path connects are joined after it, not with each other.
+        groups = self._connected(simple) if paths else [simple] if simple else []
+        found = self.graph.bgp(groups.pop(0), known) if groups else None
         for t in paths:
             know = known | ({n: b.rep for n, b in found.vars.items()} if found else {})
             found = self._and(found, self.path(t, know))
+            for g in [g for g in groups if self._names(g) & set(found.vars)]:
+                groups.remove(g)
+                found = self._and(found, self.graph.bgp(g, known | {n: b.rep for n, b in found.vars.items()}))
+        for g in groups:
+            found = self._and(found, self.graph.bgp(g, known))
         return found
 
+    @staticmethod
+    def _names(triples: list[A.Triple]) -> set[str]:
+        return {x.name for t in triples for x in (t.s, t.p, t.o) if isinstance(x, A.Var)}
+
+    def _connected(self, triples: list[A.Triple]) -> list[list[A.Triple]]:
+        """Groups of triples that share variables, directly or by others, in the order of their first triples."""
+        groups: list[list[A.Triple]] = []
+        for t in triples:
+            near = [g for g in groups if self._names(g) & self._names([t])]
+            if near:
+                groups[groups.index(near[0])] = [x for g in near for x in g] + [t]
+                groups = [g for g in groups if not any(g is n for n in near[1:])]
+            else:
+                groups.append([t])
+        return groups
+
     def _expand(self, t: A.Triple, simple: list, paths: list) -> None:
         if isinstance(t.p, A.Sequence):
             at = t.s

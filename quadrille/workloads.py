@@ -336,11 +336,16 @@ def rdfs_closure(spark, sf_dir):
     return got.select(fn.local_name(F.col("s.lex")).alias("node"), fn.local_name(F.col("o.lex")).alias("type"))
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> MappedGraph:
+#: Turns of a conversation have keys of their own as long as a turn's number is below this.
+_TURNS = 1 << 31
+
+
+def _turns(spark: SparkSession, sf_dir: str, where: str = "true") -> MappedGraph:
     """Conversation turns with an edge to the next turn, as a mapped graph of their own."""
     from .sources.mapped import Field, Table
 
-    t = table(spark, sf_dir, "conversations").where("conv_id < 12").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("n"), "turn")
+    k = F.col("conv_id").cast("long") * _TURNS + F.col("turn")
+    t = table(spark, sf_dir, "conversations").where(where).select(k.alias("k"), (k + 1).alias("n"), "turn")
     t = t.join(t.select(F.col("k").alias("n"), F.lit(1).alias("found")), "n", "left").select("k", F.when(F.col("found").isNotNull(), F.col("n")).alias("n"), "turn")
     return MappedGraph(spark, sf_dir, [Table("steps", "Step", ("k",), {"urn:quadrille:next": Field("n", "Step"), "urn:quadrille:turn": Field("turn")})], {"steps": t})
 
@@ -350,12 +355,19 @@ _STEPS_SQL = "WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS k, turn FROM
 
 @query(f"{_STEPS_SQL} SELECT a.turn AS a, b.turn AS b FROM c JOIN t a ON a.k = x JOIN t b ON b.k = y")
 def path_closure_plus(spark, sf_dir):
+    """The twelve conversations that the SQL reads; path_closure_all reads every one."""
+    return engine.query_frame(_turns(spark, sf_dir, "conv_id < 12"), "SELECT ?a ?b WHERE { ?x :next+ ?y . ?x :turn ?a . ?y :turn ?b . }")
+
+
+@query("WITH RECURSIVE e AS (SELECT a.conv_id AS c, a.turn AS x, b.turn AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1), p(c, x, y) AS (SELECT c, x, y FROM e UNION SELECT p.c, p.x, e.y FROM p JOIN e ON p.c = e.c AND p.y = e.x) SELECT x AS a, y AS b FROM p")
+def path_closure_all(spark, sf_dir):
+    """:next+ over the whole table."""
     return engine.query_frame(_turns(spark, sf_dir), "SELECT ?a ?b WHERE { ?x :next+ ?y . ?x :turn ?a . ?y :turn ?b . }")
 
 
 @query(f"{_STEPS_SQL} SELECT turn AS b FROM t WHERE k = 3001 UNION ALL SELECT b.turn FROM c JOIN t b ON b.k = y WHERE x = 3001")
 def path_closure_star(spark, sf_dir):
-    return engine.query_frame(_turns(spark, sf_dir), "SELECT ?b WHERE { :Step3001 :next* ?y . ?y :turn ?b . }")
+    return engine.query_frame(_turns(spark, sf_dir), f"SELECT ?b WHERE {{ :Step{3 * _TURNS + 1} :next* ?y . ?y :turn ?b . }}")
 
 
 # Evaluation: for each order, lines with a quantity over 20 stand for the prediction, all lines for the reference.
