@@ -1,12 +1,15 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-Rules are regular expressions over the words of a text. A rule is tried only where its keyword occurs,
-and rules at all only where one of a few anchor words does. Of overlapping detections one that lies inside another of
+Rules are regular expressions over the words of a text. A rule is tried only where one of its keywords occurs,
+and rules at all only where a word begins like an anchor. Both are read off the patterns: every match holds them. Of overlapping detections one that lies inside another of
 higher or equal priority is suppressed. Every step is local to its row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re._constants as C
+import re._parser as P
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
 
 _V = "(?:version |v )?"
-#: label, priority, confidence, keyword, pattern over lower-case words with one space between them.
+#: label, priority, confidence, keyword (for readers; filters are read off the pattern), pattern over lower-case words with one space between them.
 HAND = [
     ("apache-2.0", 90, 1.0, "apache", f"licensed under the apache license {_V}2(?: 0)?"),
     ("apache-2.0", 80, 0.9, "apache", f"apache (?:software )?license {_V}2(?: 0)?"),
@@ -128,11 +131,89 @@ def _rules() -> list[tuple[str, int, float, str, str]]:
 
 
 RULES = _rules()
-ANCHORS = "licen[cs]e[ds]?|licensing|copyright|rights|permission|redistribution|warrant(?:y|ies)|cc|cc0|creative|gpl|gplv2|gplv3|lgpl|agpl|bsd|0bsd|mit|apache|mozilla|eclipse|public|domain|unlicense|wtfpl|cddl|zlib|proprietary|confidential|unauthorized|redistribute|terms|spdx|patent|advertising|endorse|training|unencumbered|merchantability|altered"
+MOST = 12  # literals of a rule at most
+
+
+def _ends_with_space(parsed) -> bool:
+    op, arg = parsed[-1]
+    if op is C.LITERAL:
+        return chr(arg) == " "
+    if op is C.BRANCH:
+        return all(len(x) and _ends_with_space(x) for x in arg[1])
+    return op is C.SUBPATTERN and _ends_with_space(arg[3])
+
+
+def _all_texts(op, arg) -> list[str] | None:
+    """All texts that a piece of a pattern matches, where they are few."""
+    if op is C.LITERAL:
+        return [chr(arg)]
+    if op is C.IN and all(k is C.LITERAL for k, _ in arg):
+        return [chr(c) for _, c in arg]
+    if op is C.SUBPATTERN or op is C.BRANCH:
+        found: list[str] = []
+        for branch in [arg[3]] if op is C.SUBPATTERN else arg[1]:
+            texts = [""]
+            for piece in branch:
+                more = _all_texts(*piece)
+                if more is None or len(texts) * len(more) > MOST:
+                    return None
+                texts = [x + y for x in texts for y in more]
+            found += texts
+        return found if len(found) <= MOST else None
+    return None
+
+
+def required(pattern: str) -> list[tuple[list[str], bool]]:
+    """Sets of literals of which every match of ``pattern`` holds one, and whether they begin at a word's start."""
+    runs, texts, start, here = [], [""], True, True
+
+    def close() -> None:
+        if all(texts):
+            runs.append((list(texts), start))
+
+    for op, arg in P.parse(pattern):
+        more = _all_texts(op, arg)
+        if more is not None and len(texts) * len(more) <= MOST:
+            texts = [x + y for x in texts for y in more]
+            here = all(x.endswith(" ") for x in texts)
+            continue
+        close()
+        optional = op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] == 0
+        body = arg[2] if op in (C.MAX_REPEAT, C.MIN_REPEAT) else [(op, arg)]
+        here = _ends_with_space(body) and (here or not optional)
+        texts, start = [""], here
+        if more is not None:
+            texts = more
+            here = all(x.endswith(" ") for x in texts)
+    close()
+    return runs
+
+
+def _keywords(pattern: str) -> list[str]:
+    """The literals of :func:`required` that tell most: long without the word license, and few."""
+
+    def worth(r: tuple[list[str], bool]) -> tuple[int, int, int]:
+        least = min(len(x.replace("license", "")) for x in r[0])
+        return min(8, least), -len(r[0]), least
+
+    texts, start = max(required(pattern), key=worth)
+    return [f" {x}" if start else x for x in texts]
+
+
+def _anchor(keyword: str) -> str:
+    """A space and the longest word that follows a space in the literal; all of a literal without one."""
+    return " " + max(keyword.split(" ")[1:], key=len) if " " in keyword.rstrip() else keyword
+
+
+KEYWORDS = [_keywords(p) for *_, p in RULES]
+ANCHORS = "|".join(sorted({_anchor(k) for ks in KEYWORDS for k in ks}))
 
 
 def _rule_table() -> Column:
-    rows = [F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(b).alias("priority"), F.lit(c).alias("score"), F.lit(f" {k}" if k != "gpl" else "gpl").alias("keyword"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern")) for i, (a, b, c, k, p) in enumerate(RULES)]
+    rows = [
+        F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(b).alias("priority"), F.lit(c).alias("score"), F.array(*map(F.lit, KEYWORDS[i])).alias("keywords"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"))
+        for i, (a, b, c, _, p) in enumerate(RULES)
+    ]
     return F.array(*rows)
 
 
@@ -153,7 +234,7 @@ def _detections(joined: Column) -> Column:
 
         return let(F.split(joined, r["pattern"], F.lit(-1)), at)
 
-    tried = F.filter(_rule_table(), lambda r: F.contains(joined, r["keyword"]))
+    tried = F.filter(_rule_table(), lambda r: F.exists(r["keywords"], lambda k: F.contains(joined, k)))
     return F.flatten(F.transform(tried, places))
 
 
@@ -187,7 +268,7 @@ def scan(text: Column) -> Column:
                 every = F.flatten(F.transform(b, lambda x: x["at"]))
                 base = F.transform(F.filter(b, lambda x: F.size(x["at"]) > 0), lambda x: x["label"])
                 none = F.array().cast("array<struct<rule:int,label:string,priority:int,score:double,start:int,end:int>>")
-                found = F.when(F.rlike(joined, F.lit(f" (?:{ANCHORS}) ")), let(_detections(joined), _survivors)).otherwise(none)
+                found = F.when(F.rlike(joined, F.lit(ANCHORS)), let(_detections(joined), _survivors)).otherwise(none)
                 return let(found, lambda d: F.struct(
                     F.size(words).cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"),
                     F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),

@@ -292,6 +292,39 @@ def test_licenses(docs):
     assert len(licenses.RULES) > 200 and all(re.compile(p) for *_, p in licenses.RULES)
 
 
+def _examples(parsed, v):
+    """One text of a parsed pattern: alternative ``v`` of each choice, optional parts where ``v`` is odd."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = arg[v % len(arg)]
+            out += "x" if str(kind) == "NEGATE" else chr(value if str(kind) == "LITERAL" else value[v % 2])
+        elif name == "NOT_LITERAL":
+            out += "x"
+        elif name == "BRANCH":
+            out += _examples(arg[1][v // 2 % len(arg[1])], v)
+        elif name == "SUBPATTERN":
+            out += _examples(arg[3], v)
+        else:
+            out += _examples(arg[2], v) * max(arg[0], v % 2)
+    return out
+
+
+def test_license_filters_drop_no_match(spark, monkeypatch):
+    parser = pytest.importorskip("re._parser")
+    texts = sorted({_examples(parser.parse(p), v) for *_, p in licenses.RULES for v in range(10)} | {"provided as is without warranties of any kind", "an end user licence agreement", "you may not copy or reproduce it", "agpl3", "gpl2"})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    scan = lambda: {r["doc_id"]: (r["labels"], r["score"], r["detections"]) for r in licenses.scan_licenses(df).collect()}
+    filtered = scan()
+    assert all(filtered[i][2] for i, _ in enumerate(texts))
+    monkeypatch.setattr(licenses, "KEYWORDS", [[" "]] * len(licenses.RULES))
+    monkeypatch.setattr(licenses, "ANCHORS", " ")
+    assert filtered == scan()
+
+
 def test_sentencepiece(docs):
     import sentencepiece
 
