@@ -13,7 +13,7 @@ from .line_dedup import clean_lines
 from .ngram_join import similar_components
 from .packing import packed_documents
 from .quality import judge
-from .sentencepiece_ops import Model, document_digests
+from .sentencepiece_ops import Model, document_codes
 from .suffix_dedup import repeated_passages
 
 
@@ -39,7 +39,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), Model(tokenizer_file("piece_bpe_32k.model")))
+    return document_codes(spark.read.parquet(f"{sf_dir}/documents.parquet"), Model(tokenizer_file("piece_bpe_32k.model")))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,3 +303,20 @@ def document_digests(docs: DataFrame, model: Model, text_col: str = "text", id_c
     sums = rare.select("uid", "i", "ids", "same").mapInArrow(rest, "uid long, t long, r long, x long, k long").groupBy("uid").agg(*[F.sum(c).alias(c) for c in "trxk"])
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).cast("long")
     return coded.drop("rare").join(sums, "uid", "left").select("doc_id", "n_units", plus("tokens", "t").alias("n_tokens"), plus("raw", "r").alias("n_bytes"), plus("check", "k").alias("checksum"), (plus("bad", "x") == 0).alias("exact"))
+
+
+def document_codes(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Per document: doc_id, n_tokens, n_bytes (ids of byte pieces), ids_sha256 of the id sequence written with commas,
+    decoded_sha256 of the text decoded from it, exact: whether that is the text.
+
+    The ids are those of :func:`encode_documents`, the text is that of :func:`decode`. Null texts count as empty. Repeated rows stay.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("sha")).alias("doc_id"), text.alias("text"))
+    encoded = materialize(encode_documents(keyed, model).withColumn("__at", F.monotonically_increasing_id()))
+    decoded = decode(encoded.select("__at", "ids"), model, "__at")
+    back = F.sha2(F.substring(F.translate(F.coalesce("decoded", F.lit("")), SPACE, " "), 2, 1 << 30), 256)
+    is_byte = (lambda x: (x >= model.byte0) & (x < model.byte0 + 256)) if model.byte0 >= 0 else (lambda x: F.lit(False))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    got = encoded.join(decoded, "__at", "left").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", is_byte)).cast("long").alias("n_bytes"), ids.alias("ids_sha256"), back.alias("decoded_sha256"))
+    return got.select(F.col("doc_id.id").alias("doc_id"), "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("doc_id.sha")).alias("exact"))

@@ -344,6 +344,20 @@ def test_sentencepiece(docs):
     assert all(d[i]["n_tokens"] == len(x) and d[i]["exact"] for i, x in expected.items())
 
 
+def test_sentencepiece_query_encodes_and_decodes(spark, tmp_path):
+    """The registered query tells the whole id sequence and the decoded text of each document, of repeated rows too."""
+    import sentencepiece
+
+    from quadrille.llm.queries import op4_sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    table = [*rows(), rows()[0], rows()[11]]
+    spark.createDataFrame(table, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expected = sorted((i, len(sp.encode(t or "")), sha(",".join(map(str, sp.encode(t or "")))), sha(t or ""), True) for i, t, *_ in table)
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["exact"]) for r in op4_sentencepiece(spark, str(tmp_path)).collect()) == expected
+
+
 def test_viterbi_fold_is_the_best_path(spark):
     from quadrille.llm import sentencepiece_ops as ops
 
