@@ -26,7 +26,7 @@ from .common import SPACE, bounded_join, let, materialize
 
 H_SHARE = 0.75
 STEPS = 3
-#: Groups with fewer documents than this many give no estimate; their documents pass.
+#: Groups with fewer documents than this many take a wider estimate: of their language, or of the table.
 MIN_GROUP = 20
 #: 0.75 quantile (the H_SHARE) of the chi-squared distribution with four degrees of freedom.
 CHI2_SHARE = 5.385269
@@ -160,25 +160,44 @@ def _quantile_bins(rows: DataFrame, share: float) -> DataFrame:
     return run.where(F.col("__run") >= F.lit(share) * F.col("__all")).groupBy(*_GROUP).agg(F.min("__bin").alias("__cut"))
 
 
-def mcd_estimates(stats: DataFrame, rows: int, steps: int = STEPS) -> DataFrame:
-    """(__lang, __source, __p): one row per group of MIN_GROUP documents or more."""
+def _estimates(stats: DataFrame, rows: int, least: int, steps: int) -> DataFrame:
+    """(__lang, __source, __p): one row per group of ``least`` documents or more."""
     spread = F.xxhash64(*FEATURES)
-    with_words = stats.where("n_words > 0").select(*_GROUP, *FEATURES, *NOISE)
     # Start: means and variances without correlation, so that no single outlier can turn the axes.
-    params = materialize(_params(_moments(with_words).where(F.col("__n") >= MIN_GROUP), 1.0, correlated=False))
+    params = materialize(_params(_moments(stats).where(F.col("__n") >= least), 1.0, correlated=False))
     for _ in range(steps):
-        far = _with_distance(bounded_join(with_words, params, _GROUP, spread, rows, how="inner"), "__d").withColumn("__bin", _bin(F.col("__d")))
+        far = _with_distance(bounded_join(stats, params, _GROUP, spread, rows, how="inner"), "__d").withColumn("__bin", _bin(F.col("__d")))
         cuts = materialize(_quantile_bins(far, H_SHARE))
         near = bounded_join(far, cuts, _GROUP, spread, rows, how="inner").where(F.col("__bin") <= F.col("__cut"))
         params = materialize(_params(_moments(near), CONSISTENCY))
     return params
 
 
+def mcd_estimates(stats: DataFrame, rows: int, steps: int = STEPS) -> DataFrame:
+    """(__lang, __source, __p): one row per group that has a document with a word.
+
+    A group of fewer than MIN_GROUP documents takes the estimate of its language, of all sources together; in a
+    language of fewer, that of the whole table, however small.
+    """
+    with_words = stats.where("n_words > 0").select(*_GROUP, *FEATURES, *NOISE)
+    own = _estimates(with_words, rows, MIN_GROUP, steps)
+    small = materialize(with_words.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < MIN_GROUP).drop("__n"))
+    if small.isEmpty():
+        return own
+    every = F.lit("")
+    langs = _estimates(with_words.withColumn("__source", every), rows, MIN_GROUP, steps).drop("__source")
+    found = small.join(langs, "__lang", "left")
+    if not found.where("__p IS NULL").isEmpty():
+        table = _estimates(with_words.withColumns({"__lang": every, "__source": every}), rows, 1, steps).select(F.col("__p").alias("__q"))
+        found = found.crossJoin(F.broadcast(table)).withColumn("__p", F.coalesce("__p", "__q")).drop("__q")
+    return materialize(own.unionByName(found.select(*own.columns)))
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """Every row of ``docs`` (without the text) with its statistics, base_failed, distance and kept.
 
     Null text counts as empty (no words, base_failed); null language or source as ''. Groups too
-    small for an estimate reject nothing. An empty table gives an empty table. Repeated rows are judged
+    small for an estimate are judged by that of their language or of the table. An empty table gives an empty table. Repeated rows are judged
     alike. Columns named like the results are replaced.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", *FEATURES}

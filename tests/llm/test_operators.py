@@ -192,6 +192,18 @@ def test_quality_rejects_half_junk(spark):
     assert {r["doc_id"] for r in quality.quality_filter(df).collect()} == set(range(120))
 
 
+def test_quality_judges_small_groups(spark):
+    """Sources of two documents each: junk goes by the estimate of its language, and by the table's in a language of five."""
+    texts = [prose(4000 + i, 80 + 2 * i) for i in range(90)]
+    junk = {7, 30, 61, 88}
+    for i in junk:
+        texts[i] = " ".join(f"*** {w}" for w in texts[i].split())
+    lang = lambda i: "de" if i >= 85 else "en"
+    df = spark.createDataFrame([(i, t, lang(i), f"s{i // 2}", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"] for r in quality.quality_filter(df).collect()} == set(range(90)) - junk
+    assert {r["doc_id"] for r in quality.judge(df).where("distance IS NOT NULL AND NOT kept").collect()} == junk
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
