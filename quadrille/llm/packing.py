@@ -7,9 +7,8 @@ fullest closes. What a task leaves underfull is packed again, as whole bins, by
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
+from .wordhash import EXACT, joined, span_hashes, words_of
 
 MAX_LEN = 4096
 END_ID = 1
@@ -28,89 +28,206 @@ OPEN_BINS = 64
 FULL_SHARE = 0.97
 #: Items a task packs in the rounds after the first.
 ROUND_ITEMS = 100_000
-#: Words a worker remembers; past that it forgets all and starts anew.
-CACHE_WORDS = 300_000
-#: Letter words encoded in one call.
-JOINED = 256
-_TAIL = b".,;:!?"
+#: Characters encoded at a time, pieces merged in one call, and the longest of them in bytes.
+BATCH, ROWS, LONG = 1 << 22, 4096, 40
+#: Fixed value: the pattern of pieces of the tokenizers that are encoded here; any other is left to the library.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class _Merges:
+    """Byte pair merges of many short pieces at once: a row a piece, each step merging every row's best pair."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[list[str]], suffix: str):
+        seen, spare = {}, 256
+        for b in range(256):  # bytes that print stand for themselves, the others for what follows
+            if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b:
+                seen[b] = chr(b)
+            else:
+                seen[b], spare = chr(spare), spare + 1
+        first = np.array([vocab[seen[b]] for b in range(256)] + [vocab[seen[b] + suffix] for b in range(256)], dtype=np.int64)
+        keys = np.array([vocab[x] << 20 | vocab[y] for x, y in merges], dtype=np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.first, self.keys, self.rank = first.astype(np.int32), keys[order], order.astype(np.int32)
+        self.made = np.array([vocab[x + y] for x, y in merges], dtype=np.int32)
+        # Ranks of two bytes side by side, the second one within a piece or its last.
+        self.start = self._ranks(np.repeat(first[:256], 512), np.tile(first, 256))
+
+    def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        key = x.astype(np.int64) << 20 | y
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], np.int32(len(self.keys)))
+
+    def rows(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one piece after the other, number of ids of each) for pieces of ``size`` bytes, rows of the matrix ``raw``."""
+        (n, width), none = raw.shape, np.int32(len(self.keys))
+        cols = np.arange(width + 1)
+        at = raw.astype(np.int32)
+        at[np.arange(n), size - 1] += 256
+        ids = np.full((n, width + 1), -1, dtype=np.int32)
+        ids[:, :width] = self.first[at]
+        ids[cols >= size[:, None]] = -1
+        rank = np.full((n, width + 1), none, dtype=np.int32)
+        rank[:, : width - 1] = self.start[(at[:, :-1] & 255) * 512 + at[:, 1:]]
+        rank[cols >= size[:, None] - 1] = none
+        done, which = ids.copy(), np.arange(n)
+        while len(which):
+            row = np.arange(len(which))
+            at = rank.argmin(axis=1)
+            best = rank[row, at]
+            go = best < none
+            if not go.all():
+                done[which[~go]] = ids[~go]
+                ids, rank, which, at, best = ids[go], rank[go], which[go], at[go], best[go]
+                row = row[: len(which)]
+            tail = (cols > at[:, None])[:, :-1]
+            for x, end in ((ids, -1), (rank, none)):
+                x[:, :-1] = np.where(tail, x[:, 1:], x[:, :-1])
+                x[:, -1] = end
+            ids[row, at] = self.made[best]
+            rank[row, at] = self._ranks(ids[row, at], ids[row, np.minimum(at + 1, width)])
+            before = np.maximum(at - 1, 0)
+            rank[row, before] = np.where(at > 0, self._ranks(ids[row, before], ids[row, at]), rank[row, before])
+        kept = done >= 0
+        return done[kept], kept.sum(axis=1)
+
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
 class _Encoder:
-    """Ids of words of one tokenizer, each distinct word encoded once for a worker process."""
+    """Ids of words of one tokenizer, each distinct word of a batch encoded once.
+
+    Words of ASCII and Latin-1 letters, digits and ASCII marks are cut into pieces by byte classes as the tokenizer's
+    file says, and the distinct pieces merged by :class:`_Merges`. All other words, and long pieces, go to the library.
+    """
+
+    #: Byte classes: letter, digit, mark, first byte of a Latin-1 letter, its second byte, anything else.
+    _LETTER, _DIGIT, _MARK, _LEAD, _NEXT, _ODD = range(6)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
-        for token, i in self.tok.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    def _alone(self, cores: list[bytes]) -> None:
-        for w, e in zip(cores, self.tok.encode_batch_fast([w.decode("utf-8") for w in cores], add_special_tokens=False), strict=True):
-            self.cores[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def _encode(self, cores: list[bytes]) -> None:
-        """Words of letters only are one pre-token each, ended by an end-of-word id: many go in one call."""
-        letters, other = [], []
-        for w in cores:
-            t = w.decode("utf-8")
-            (letters if t.isascii() and t.isalpha() or unicodedata.normalize("NFC", t).lower().isalpha() else other).append(w)
-        runs = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
-        for run, e in zip(runs, self.tok.encode_batch_fast([b" ".join(r).decode("utf-8") for r in runs], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, dtype="<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) != len(run):
-                other += run
-                continue
-            packed = ids.tobytes()
-            for w, lo, hi in zip(run, [0, *cuts[:-1]], cuts, strict=True):
-                self.cores[w] = packed[lo:hi]
-        if other:
-            self._alone(other)
-
-    def learn(self, new: set[bytes]) -> None:
-        """Fill the cache for ``new`` words: a word ending in an ASCII letter or digit and then stops is its core and its stops."""
-        split = []
-        for w in new:
-            low = w.lower()
-            core = low.rstrip(_TAIL)
-            if core and core[-1] < 128 and core[-1:].isalnum():
-                split.append((w, core, low[len(core) :]))
-            else:
-                split.append((w, low, b""))
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
-        self._encode(list({x for _, core, tail in split for x in (core, tail) if x and x not in self.cores}))
-        for w, core, tail in split:
-            self.words[w] = self.cores[core] + (self.cores[tail] if tail else b"")
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        model, cut = form["model"], form["pre_tokenizer"]
+        known = [x["type"] for x in form["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut["pretokenizers"]] == ["Split", "ByteLevel"]
+        known = known and cut["pretokenizers"][0]["pattern"]["Regex"] == PIECES and model["type"] == "BPE" and not (model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"])
+        self.merges = _Merges(model["vocab"], model["merges"], model["end_of_word_suffix"]) if known else None
+        self.marked = any(x["content"][:2] != "<|" for x in form["added_tokens"])
+        kind = np.full(256, self._ODD, dtype=np.uint8)
+        kind[33:127] = self._MARK
+        kind[48:58], kind[97:123], kind[0xC3], kind[0x80:0xC0] = self._DIGIT, self._LETTER, self._LEAD, self._NEXT
+        kind[ord("'")] = self._ODD  # it may begin a piece with letters
+        self.kind = kind
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+
+    def _library(self, words: list[bytes]) -> list[np.ndarray]:
+        out = []
+        for i in range(0, len(words), ROWS):
+            out += [np.asarray(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast([w.decode("utf-8") for w in words[i : i + ROWS]], add_special_tokens=False)]
+        return out
+
+    def _words(self, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, how many) for words of ``buffer``."""
+        odd = np.ones(len(starts), dtype=bool)
+        ids, count, first = np.empty(0, np.int32), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        if self.merges is not None:
+            raw = self.lower[buffer[_ragged(starts, sizes)]]
+            word = np.repeat(np.arange(len(starts)), sizes)
+            begins = np.cumsum(sizes) - sizes
+            kind = self.kind[raw]
+            after = np.append(raw[1:], 0).astype(np.uint8)
+            lead = kind == self._LEAD
+            bad = (kind == self._ODD) | (lead & ((after == 0x97) | (after == 0xB7))) | ((kind == self._NEXT) & ~np.append(False, lead[:-1])) | ((raw == ord("<")) & (after == ord("|")))
+            second = np.append(False, lead[:-1])
+            raw[second & (raw >= 0x80) & (raw <= 0x9E)] += 0x20
+            kind[lead | second] = self._LETTER
+            # A piece begins with its word, at a change of class and at every digit.
+            cut = np.append(True, kind[1:] != kind[:-1]) | (kind == self._DIGIT)
+            cut[begins] = True
+            at = np.flatnonzero(cut)
+            size = np.diff(np.append(at, len(raw)))
+            bad[at[size > LONG]] = True
+            odd = np.bincount(word[bad], minlength=len(starts)) > 0
+            of = word[at]
+            at, size, of = at[~odd[of]], size[~odd[of]], of[~odd[of]]
+            _, some, which = np.unique(span_hashes(raw, at, at + size, EXACT), return_index=True, return_inverse=True)
+            if not self._same(raw, at, size, some, which):
+                some = which = np.arange(len(at))
+            order = np.argsort(size[some], kind="stable")
+            parts, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+            padded = np.append(raw, np.zeros(LONG, np.uint8))
+            for i in range(0, len(order), ROWS):
+                few = some[order[i : i + ROWS]]
+                found, n = self.merges.rows(padded[at[few][:, None] + np.arange(size[few[-1]])], size[few])
+                parts.append(found), counts.append(n)
+            n = np.concatenate(counts)
+            of_piece, begin = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
+            of_piece[order], begin[order] = n, np.cumsum(n) - n
+            ids = np.concatenate(parts)[_ragged(begin[which], of_piece[which])]
+            count = np.bincount(of, weights=of_piece[which], minlength=len(starts)).astype(np.int64)
+            first = np.cumsum(count) - count
+        left = np.flatnonzero(odd)
+        more = self._library([buffer[starts[i] : starts[i] + sizes[i]].tobytes() for i in left])
+        count[left] = [len(x) for x in more]
+        first[left] = len(ids) + np.cumsum(count[left]) - count[left]
+        return np.concatenate([ids, *more]), first, count
+
+    @staticmethod
+    def _same(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, some: np.ndarray, which: np.ndarray) -> bool:
+        """Whether stretches of one hash have one length and the same eight bytes at their begin."""
+        padded = np.append(raw, np.zeros(8, np.uint8))
+        head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[starts]).view("<u8").ravel()
+        spare = np.maximum(8 - sizes, 0).astype(np.uint64) * np.uint64(8)
+        head = (head << spare) >> spare
+        return bool((sizes == sizes[some][which]).all() and (head == head[some][which]).all())
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids (little-endian unsigned 32-bit) followed by END_ID.
+
+        The ids of a text are those of its words one after the other: words are cut at ASCII white space
+        only, where no token, no composition of characters and no case rule reaches across.
+        """
+        buffer, offsets = joined(texts)
+        exact = self.marked or b"<|" in buffer.tobytes()
+        starts, ends, hashes = words_of(buffer, not exact)
+        _, some, which = np.unique(hashes, return_index=True, return_inverse=True)
+        sizes = ends - starts
+        if not self._same(buffer if exact else self.lower[buffer], starts, sizes, some, which):
+            some = which = np.arange(len(starts))
+        ids, first, count = self._words(buffer, starts[some], sizes[some])
+        found = ids[_ragged(first[which], count[which])].astype("<u4").tobytes()
+        at = np.append(0, np.cumsum(count[which]))[np.searchsorted(starts, offsets)] * 4
+        end = np.asarray([END_ID], dtype="<u4").tobytes()
+        return [found[i:j] + end for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _loaded: dict[str, _Encoder] = {}
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """For each text its ids (little-endian unsigned 32-bit) followed by END_ID.
-
-    The ids of a text are those of its words one after the other: bytes.split() cuts at ASCII white space
-    only, where no token, no composition of characters and no case rule reaches across.
-    """
+    """For each text its ids (little-endian unsigned 32-bit) followed by END_ID."""
     if path not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _loaded[path] = _Encoder(path)
-    known = _loaded[path]
-    parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-    every = set().union(*parts)
-    new = every - known.words.keys()
-    if len(known.words) + len(new) > CACHE_WORDS:
-        known.words.clear()
-        new = every
-    if new:
-        known.learn(new)
-    end = np.asarray([END_ID], dtype="<u4").tobytes()
-    return [b"".join(map(known.words.__getitem__, p)) + end for p in parts]
+    return _loaded[path].encode(texts)
+
+
+def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about BATCH characters."""
+    low = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= BATCH:
+            yield low, i + 1
+            low, held = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, text_col: str = "text") -> DataFrame:
@@ -125,10 +242,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            texts = whole.column(text_col).to_pylist()
+            for low, high in _batches(texts):
+                b = whole.slice(low, high - low)
                 row, piece, start, length, ids = [], [], [], [], []
-                for i, packed in enumerate(encode_texts(b.column(text_col).to_pylist(), tokenizer_path)):
+                for i, packed in enumerate(encode_texts(texts[low:high], tokenizer_path)):
                     for k, lo in enumerate(range(0, len(packed), width)):
                         part = packed[lo : lo + width]
                         row.append(i), piece.append(k), start.append(lo // 4), length.append(len(part) // 4), ids.append(part)

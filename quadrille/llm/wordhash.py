@@ -12,9 +12,9 @@ CHUNK = 1 << 20  # bytes hashed at a time; a longer word enlarges its chunk
 
 _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240229)
-_EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _EXACT.copy()
-_LOWER[65:91] = _EXACT[97:123]
+EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = EXACT.copy()
+_LOWER[65:91] = EXACT[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
@@ -36,24 +36,32 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _hash_chunk(a: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the words of a byte array; it may begin and end inside white space, not in a word."""
-    word = ~_SPACE[a]
-    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
-    starts, ends = edge[::2], edge[1::2]
+def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of a byte array."""
     up, down = _power(len(a) + 1)
     run = np.zeros(len(a) + 1, dtype=np.uint64)
     np.cumsum(table[a] * up[: len(a)], out=run[1:])
-    return starts, mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: list[str | None], lower: bool) -> list[np.ndarray]:
-    """For each text the hashes of its words in order; with ``lower`` A-Z count as a-z. Null is empty."""
+def _hash_chunk(a: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of a byte array; it may begin and end inside white space, not in a word."""
+    word = ~_SPACE[a]
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
+    starts, ends = edge[::2], edge[1::2]
+    return starts, ends, span_hashes(a, starts, ends, table)
+
+
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in UTF-8 with a space behind each, and where each begins and the last ends. Null is empty."""
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    offsets = np.cumsum([0, *[len(r) + 1 for r in raw]])
-    buffer = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-    table = _LOWER if lower else _EXACT
-    starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    return np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8), np.cumsum([0, *[len(r) + 1 for r in raw]])
+
+
+def words_of(buffer: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of all words of a buffer that ends in white space; with ``lower`` A-Z count as a-z."""
+    table = _LOWER if lower else EXACT
+    starts, ends, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
     while at < len(buffer):
         end = min(at + CHUNK, len(buffer))
         if end < len(buffer):
@@ -63,12 +71,18 @@ def word_hashes(texts: list[str | None], lower: bool) -> list[np.ndarray]:
             else:  # one word fills the chunk: on to its end
                 while end < len(buffer) and not _SPACE[buffer[end]]:
                     end += 1
-        s, h = _hash_chunk(buffer[at:end], table)
-        starts.append(s + at), hashes.append(h)
+        s, e, h = _hash_chunk(buffer[at:end], table)
+        starts.append(s + at), ends.append(e + at), hashes.append(h)
         at = end
-    where = np.searchsorted(np.concatenate(starts), offsets)
-    every = np.concatenate(hashes)
-    return [every[where[i] : where[i + 1]] for i in range(len(raw))]
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+
+
+def word_hashes(texts: list[str | None], lower: bool) -> list[np.ndarray]:
+    """For each text the hashes of its words in order; with ``lower`` A-Z count as a-z. Null is empty."""
+    buffer, offsets = joined(texts)
+    starts, _, every = words_of(buffer, lower)
+    where = np.searchsorted(starts, offsets)
+    return [every[where[i] : where[i + 1]] for i in range(len(texts))]
 
 
 def rolled(w: np.ndarray, width: int) -> np.ndarray:
