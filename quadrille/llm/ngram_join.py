@@ -126,7 +126,9 @@ def _shares(nodes: DataFrame, buckets: int) -> DataFrame:
             cols = [pa.array([number] * len(at), pa.int64()), pa.array(parts.tolist(), pa.int32())]
             cols += [pa.array([low[DEALT_BYTES * i : DEALT_BYTES * j] for i, j in zip(ends, ends[1:], strict=False)], pa.binary())]
             cols += [pa.array([own[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())]
-            cols += [pa.array([x, *[None] * (len(at) - 1)], pa.binary()) for x in mine]
+            # The chunk's own lists go with one of its rows, another for each chunk.
+            lead = (number + (number >> 33)) % len(at)
+            cols += [pa.array([x if i == lead else None for i in range(len(at))], pa.binary()) for x in mine]
             ids.clear(), sets.clear(), sizes.clear()
             return pa.RecordBatch.from_arrays(cols, ["chunk", "bucket", "tokens", "owners", "nodes", "sizes", "here"])
 
