@@ -79,11 +79,22 @@ def keep_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return hits.join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_semi")
 
 
-def drop_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose id is not in ``ids`` (null ids stay); the others pass straight through."""
-    flagged = flag_ids(df, id_col, id_filter(ids, ids.count()))
-    passed = flagged.where(~F.col("__hit")).drop("__hit")
-    tested = flagged.where("__hit").drop("__hit").join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_anti")
+def drop_ids(df: DataFrame, id_col: str, ids: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows of ``df`` whose id is not in the one-column table ``ids`` (null ids stay).
+
+    A filter of ``ids`` lets most others pass straight through; those it flags falsely are found in ``known``, a narrow table
+    of the ids of ``df`` where one is at hand, and put in a second filter. Only rows flagged by both are joined.
+    """
+    n = ids.count()
+    if not n:
+        return df
+    name, gone = ids.columns[0], id_filter(ids, n)
+    ids = ids.select(F.col(name).alias(id_col))
+    keys = flag_ids((df if known is None else known).select(id_col), id_col, gone).where("__hit").select(id_col).distinct()
+    false = materialize(keys.join(ids, id_col, "left_anti"))
+    flagged = flag_ids(flag_ids(df, id_col, gone), id_col, id_filter(false, false.count()), "__false")
+    passed = flagged.where(~F.col("__hit")).drop("__hit", "__false")
+    tested = flagged.where("__hit AND __false").drop("__hit", "__false").join(ids, id_col, "left_anti")
     return passed.unionByName(tested.select(*passed.columns))
 
 

@@ -1,10 +1,11 @@
 """Quality rules: hard rules on word statistics, then robust multivariate outliers, in DataFrame functions only.
 
-For each language and source the minimum-covariance-determinant (MCD) estimate of
-location and scatter of a transformed statistic vector is found by concentration steps over all
-documents that have a word: a row counts in the next step when its distance is among the smallest
-H_SHARE of its group. A document is rejected when its squared Mahalanobis distance passes the
-0.999 quantile of chi-squared with four degrees of freedom.
+For each language and source the minimum-covariance-determinant (MCD) estimate of location and scatter of a
+transformed statistic vector is searched for as usual: STARTS draws of a few rows of a bounded sample, two
+concentration steps each on the sample, and the start of least determinant is concentrated further over all
+documents that have a word until the determinant falls no more, MAX_STEPS times at most. A concentration step takes the rows
+whose distance is among the smallest H_SHARE of their group. A document is rejected when its squared Mahalanobis
+distance passes the 0.999 quantile of chi-squared with four degrees of freedom.
 
 Shares over few trials vary more than shares over many, so a document's distance is taken under the
 group's scatter plus the sampling variance of its own statistics, which falls with its length. The
@@ -19,13 +20,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded_join, let, materialize
+from .common import SPACE, bounded_join, drop_ids, let, materialize, skew_join
 
 H_SHARE = 0.75
-STEPS = 3
+#: Starts of a group, the rows of each, the distinct rows they are drawn from, and their steps before the best is chosen.
+STARTS, DRAWN, SAMPLE, FIRST_STEPS = 8, 10, 256, 2
+#: Steps over all rows at most, and by how much the logarithm of the determinant falls at least while a group goes on.
+MAX_STEPS, STILL = 8, 1e-3
 #: Groups with fewer documents than this many take a wider estimate: of their language, or of the table.
 MIN_GROUP = 20
 #: 0.75 quantile (the H_SHARE) of the chi-squared distribution with four degrees of freedom.
@@ -41,6 +45,8 @@ FEATURES = ("x0", "x1", "x2", "x3")
 #: Sampling variance of each feature in its document.
 NOISE = ("__v0", "__v1", "__v2", "__v3")
 BINS_PER_UNIT = 64
+#: Estimates that are broadcast at most; of more, rows meet them by a salted shuffle.
+MANY_GROUPS = 50_000
 _SPLIT = "[\\x20\\x09-\\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 _GROUP = ["__lang", "__source"]
@@ -50,7 +56,7 @@ def _repeat_words(words: Column) -> Column:
     """Word places covered by 3-word windows that occur twice or more in ``words``."""
     join = lambda a, b: F.concat(a, F.lit(" "), b)
     n = F.size(words)
-    windows = F.slice(F.zip_with(F.zip_with(words, F.slice(words, 2, n), join), F.slice(words, 3, n), join), F.lit(1), F.greatest(n - 2, F.lit(0)))
+    triples = lambda f: F.slice(F.zip_with(F.zip_with(words, F.slice(words, 2, n), f), F.slice(words, 3, n), f), F.lit(1), F.greatest(n - 2, F.lit(0)))
 
     def covered(tri: Column) -> Column:
         # Windows sorted with their places behind: equal ones stand side by side.
@@ -64,9 +70,11 @@ def _repeat_words(words: Column) -> Column:
 
             return let(F.transform(k, lambda x: F.substring_index(x, "\n", 1)), again)
 
-        return F.when(F.size(tri) == F.size(F.array_distinct(tri)), 0).otherwise(let(keyed, places))
+        return let(keyed, places)
 
-    return F.when(n < 4, 0).otherwise(let(windows, covered))
+    # Hashes tell most texts to be without a repeat; the others are looked at word by word.
+    alone = let(triples(lambda a, b: F.xxhash64(a, b)), lambda h: F.size(h) == F.size(F.array_distinct(h)))
+    return F.when(n < 4, 0).otherwise(F.when(alone, 0).otherwise(let(triples(join), covered)))
 
 
 def text_statistics(text: Column) -> Column:
@@ -131,92 +139,133 @@ def _with_distance(rows: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, total).drop("__p", *[f"__y{i}" for i in size], *[f"__l{i}{j}" for i in size for j in range(i + 1)])
 
 
-def _params(groups: DataFrame, factor: float, correlated: bool = True) -> DataFrame:
-    """(group, __p: means and covariances times ``factor``) from columns m<i> and c<ij>."""
+def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """(keys, __n, __p): the number of rows, and their means and covariances times ``factor``."""
     size = range(len(FEATURES))
-    c = lambda i, j: F.col(f"c{i}{j}") * factor if i == j or correlated else F.lit(0.0)
-    return groups.select(*_GROUP, F.struct(*[f"m{i}" for i in size], *[c(i, j).alias(f"c{i}{j}") for i in size for j in range(i + 1)]).alias("__p"))
+    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)]
+    prods = [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in size for j in range(i + 1)]
+    cov = [((F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor).alias(f"c{i}{j}") for i in size for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *means, *prods).select(*keys, "__n", F.struct(*[f"m{i}" for i in size], *cov).alias("__p"))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _with_log_det(estimates: DataFrame) -> DataFrame:
+    """``estimates`` with ``__det``, the logarithm of the determinant of the scatter in __p with its floors."""
     size = range(len(FEATURES))
-    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)]
-    prods = [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in size for j in range(i + 1)]
-    g = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("__n"), *means, *prods)
-    return g.select(*_GROUP, "__n", *[f"m{i}" for i in size], *[(F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i in size for j in range(i + 1)])
+    df = estimates
+    for i in size:
+        for j in range(i + 1):
+            value = F.col(f"__p.c{i}{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
+            for k in range(j):
+                value = value - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
+            df = df.withColumn(f"__l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOORS[i] ** 2 / 100))) if i == j else value / F.col(f"__l{j}{j}"))
+    return df.withColumn("__det", 2 * sum((F.log(f"__l{i}{i}") for i in size[1:]), F.log("__l00"))).drop(*[f"__l{i}{j}" for i in size for j in range(i + 1)])
 
 
 def _bin(distance: Column) -> Column:
     return F.floor(F.log1p(distance) * BINS_PER_UNIT).cast("int")
 
 
-def _quantile_bins(rows: DataFrame, share: float) -> DataFrame:
+def _quantile_bins(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
     """For each group the first histogram bin at which ``share`` of its rows are reached."""
-    from pyspark.sql import Window
-
-    bins = rows.groupBy(*_GROUP, "__bin").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*_GROUP)
+    bins = rows.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*keys)
     run = bins.withColumns({"__run": F.sum("__c").over(w.orderBy("__bin")), "__all": F.sum("__c").over(w)})
-    return run.where(F.col("__run") >= F.lit(share) * F.col("__all")).groupBy(*_GROUP).agg(F.min("__bin").alias("__cut"))
+    return run.where(F.col("__run") >= F.lit(share) * F.col("__all")).groupBy(*keys).agg(F.min("__bin").alias("__cut"))
+
+
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str], n: int, many: bool) -> DataFrame:
+    """``rows`` with what ``groups`` has of their keys: by broadcast unless there are ``many`` groups."""
+    return skew_join(rows, groups, keys, F.xxhash64(*FEATURES), n, "inner") if many else rows.join(F.broadcast(groups), keys)
+
+
+def _concentrated(stats: DataFrame, estimates: DataFrame, keys: list[str], n: int, many: bool) -> DataFrame:
+    """(keys, __p, __det) of the rows nearest under ``estimates`` (keys, __p): one concentration step."""
+    far = _with_distance(_met(stats, estimates.select(*keys, "__p"), keys, n, many), "__d")
+    far = materialize(far.select(*keys, *FEATURES, _bin(F.col("__d")).alias("__bin")))
+    near = _met(far, _quantile_bins(far, keys, H_SHARE), keys, n, many).where(F.col("__bin") <= F.col("__cut"))
+    return _with_log_det(materialize(_moments(near, keys, CONSISTENCY).select(*keys, "__p")))
 
 
-def _estimates(stats: DataFrame, rows: int, least: int, steps: int) -> DataFrame:
+def _best_starts(stats: DataFrame, groups: DataFrame, n: int, many: bool) -> DataFrame:
+    """(group, __p, __det): of STARTS draws from a sample of SAMPLE distinct rows a group, the one of least determinant.
+
+    Rows are drawn by hashes of their statistics, so the draws are the same in every run, and copies count once.
+    """
+    vector = [*FEATURES, *NOISE]
+    some = _met(stats, groups, _GROUP, n, many).where(F.pmod(F.xxhash64(*vector, F.lit(-1)), F.lit(1 << 30)) * F.col("__n") < F.lit(SAMPLE << 30)).select(*_GROUP, *vector).distinct()
+    keys = [*_GROUP, "__start"]
+    each = materialize(some).withColumn("__start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*vector, "__start"), *vector))
+    found = materialize(_moments(each.withColumn("__i", order).where(F.col("__i") <= DRAWN), keys, 1.0))
+    for _ in range(FIRST_STEPS):
+        found = _concentrated(each, found, keys, STARTS * n, many)
+    return materialize(found.groupBy(*_GROUP).agg(F.min_by(F.struct("__p", "__det"), F.struct("__det", "__start")).alias("b")).select(*_GROUP, "b.__p", "b.__det"))
+
+
+def _estimates(stats: DataFrame, n: int, least: int) -> DataFrame:
     """(__lang, __source, __p): one row per group of ``least`` documents or more."""
-    spread = F.xxhash64(*FEATURES)
-    # Start: means and variances without correlation, so that no single outlier can turn the axes.
-    params = materialize(_params(_moments(stats).where(F.col("__n") >= least), 1.0, correlated=False))
-    for _ in range(steps):
-        far = _with_distance(bounded_join(stats, params, _GROUP, spread, rows, how="inner"), "__d").withColumn("__bin", _bin(F.col("__d")))
-        cuts = materialize(_quantile_bins(far, H_SHARE))
-        near = bounded_join(far, cuts, _GROUP, spread, rows, how="inner").where(F.col("__bin") <= F.col("__cut"))
-        params = materialize(_params(_moments(near), CONSISTENCY))
-    return params
-
-
-def mcd_estimates(stats: DataFrame, rows: int, steps: int = STEPS) -> DataFrame:
+    groups = materialize(stats.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least))
+    many = groups.count() * STARTS > MANY_GROUPS
+    found = _best_starts(stats, groups, n, many)
+    found = _concentrated(stats, found, _GROUP, n, many)
+    for _ in range(MAX_STEPS):
+        after = _concentrated(stats, found, _GROUP, n, many).select(*_GROUP, F.col("__p").alias("__q"), F.col("__det").alias("__now"))
+        less = F.col("__now") < F.col("__det") - STILL
+        better = materialize(found.join(after, _GROUP, "left").select(*_GROUP, F.when(less, F.col("__q")).otherwise(F.col("__p")).alias("__p"), F.when(less, F.col("__now")).otherwise(F.col("__det")).alias("__det"), F.coalesce(less, F.lit(False)).alias("__less")))
+        found = better.drop("__less")
+        if better.where("__less").isEmpty():
+            break
+    return found.select(*_GROUP, "__p")
+
+
+def mcd_estimates(stats: DataFrame, rows: int) -> DataFrame:
     """(__lang, __source, __p): one row per group that has a document with a word.
 
     A group of fewer than MIN_GROUP documents takes the estimate of its language, of all sources together; in a
     language of fewer, that of the whole table, however small.
     """
     with_words = stats.where("n_words > 0").select(*_GROUP, *FEATURES, *NOISE)
-    own = _estimates(with_words, rows, MIN_GROUP, steps)
+    own = _estimates(with_words, rows, MIN_GROUP)
     small = materialize(with_words.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < MIN_GROUP).drop("__n"))
     if small.isEmpty():
         return own
     every = F.lit("")
-    langs = _estimates(with_words.withColumn("__source", every), rows, MIN_GROUP, steps).drop("__source")
+    langs = _estimates(with_words.withColumn("__source", every), rows, MIN_GROUP).drop("__source")
     found = small.join(langs, "__lang", "left")
     if not found.where("__p IS NULL").isEmpty():
-        table = _estimates(with_words.withColumns({"__lang": every, "__source": every}), rows, 1, steps).select(F.col("__p").alias("__q"))
-        found = found.crossJoin(F.broadcast(table)).withColumn("__p", F.coalesce("__p", "__q")).drop("__q")
+        table = _estimates(with_words.withColumns({"__lang": every, "__source": every}), rows, 1).select(F.col("__p").alias("__q"))
+        found = found.join(F.broadcast(table), F.lit(True), "left").withColumn("__p", F.coalesce("__p", "__q")).drop("__q")  # one row
     return materialize(own.unionByName(found.select(*own.columns)))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """Every row of ``docs`` (without the text) with its statistics, base_failed, distance and kept.
 
-    Null text counts as empty (no words, base_failed); null language or source as ''. Groups too
-    small for an estimate are judged by that of their language or of the table. An empty table gives an empty table. Repeated rows are judged
-    alike. Columns named like the results are replaced.
+    Null text counts as empty (no words, base_failed); null language or source as ''. Groups too small for an
+    estimate are judged by that of their language or of the table. An empty table gives an empty table. Repeated rows are judged
+    alike. Texts are read whole, however long. Columns named like the results are replaced; names that begin with two underscores are reserved.
     """
+    found = _judged(docs, text_col, lang_col, source_col, cutoff)
+    return found.drop("__d", "__lines", *FEATURES, *NOISE, *_GROUP)
+
+
+def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, cutoff: float) -> DataFrame:
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", *FEATURES}
-    docs = docs.select(*[c for c in docs.columns if c not in made], F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), F.coalesce(F.col(source_col), F.lit("")).alias("__source"))
+    docs = docs.select(*[c for c in docs.columns if c not in made], F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"))
     stats = materialize(with_statistics(docs, text_col))
     rows = stats.count()
     found = bounded_join(stats, mcd_estimates(stats, rows), _GROUP, F.xxhash64(*FEATURES, *[c for c in ("doc_id",) if c in stats.columns]), rows)
     found = _with_distance(found, "__d").withColumn("distance", F.round("__d", 6))
-    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).drop("__d", "__lines", *FEATURES, *NOISE, *_GROUP)
+    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, columns unchanged.
 
-    The texts are read a second time and their statistics computed in place, so that no text is shuffled.
+    Rows are told apart by hashes of all their columns (96 bits). Statistics are computed once; texts aren't shuffled
+    but for the few that two filters of the rejected rows both flag.
     """
-    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"), F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), F.coalesce(F.col(source_col), F.lit("")).alias("__source"))
-    stats = materialize(with_statistics(keyed.drop("__row"), "__text"))
-    estimates = mcd_estimates(stats, stats.count())
-    again = bounded_join(with_statistics(keyed, "__text"), estimates, _GROUP, F.xxhash64(*FEATURES), stats.count())
-    kept = ~F.col("base_failed") & F.coalesce(F.round("__d", 6) <= cutoff, F.lit(True))
-    return _with_distance(again, "__d").where(kept).select("__row.*")
+    keyed = docs.withColumn("__key", F.struct(F.xxhash64(*docs.columns).alias("a"), F.hash(*docs.columns).alias("b")))
+    narrow = keyed.select("__key", F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    verdict = materialize(_judged(narrow, "text", "lang", "source", cutoff).select("__key", "kept"))
+    return drop_ids(keyed, "__key", verdict.where(~F.col("kept")).select("__key").distinct(), verdict.select("__key")).select(*docs.columns)
