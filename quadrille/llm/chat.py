@@ -7,7 +7,7 @@ strings; texts are escaped so that no text can hold one, and the escape can be u
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let
@@ -66,29 +66,31 @@ def visit(parts: Column) -> Column:
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", learn_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, mask, attachments, attachment_tokens.
 
-    ``mask`` lists (start, chars) of the contents of ``learn_role`` in ``formatted``, from 0, in code points.
-    Turns are ordered by turn, then role, then content (so ties have one order); a null role is
-    empty, a null turn comes first, and rows without a conversation id form one of their own. Repeated rows stay.
-    An empty table gives an empty table. Rows are formatted before they are shuffled.
+    ``mask`` lists the contents of ``learn_role`` in ``formatted``: (start, chars) from 0 in code points, and (byte, bytes)
+    of the same in UTF-8. Turns are ordered by turn, then role, then content (so ties have one order); a null role is
+    empty, a null turn comes first, and rows without a conversation id form one of their own. Repeated rows stay. Parts that
+    are null or empty are an empty content. An empty table gives an empty table. Other columns are not looked at.
+    Rows are formatted before they are shuffled; places are a running sum over the sorted rows of a
+    conversation, so the work is in proportion to its turns. The string of one conversation is made in one task.
     """
     role = F.coalesce(F.col(role_col), F.lit(""))
     seen = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), visit(F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>"))).alias("v"))
-    rows = seen.select("conv_id", F.struct("turn", "role", F.col("v.content").alias("content"), F.col("v.attachments").alias("attachments")).alias("t"))
-    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    head = lambda t: F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
-    heads = F.transform("turns", lambda t: F.struct(head(t).alias("head"), t["content"].alias("content"), (t["role"] == learn_role).alias("learn")))
-    conv = conv.select("conv_id", heads.alias("p"), F.flatten(F.transform("turns", lambda t: t["attachments"])).alias("attachments"))
-
-    def step(acc: Column, t: Column) -> Column:
-        at = acc["at"] + F.length(t["head"])
-        span = F.array(F.struct(at.alias("start"), F.length(t["content"]).alias("chars")))
-        return F.struct((at + F.length(t["content"]) + len(END)).alias("at"), F.when(t["learn"], F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,chars:int>>").alias("mask"))
+    head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
+    rows = seen.select("conv_id", "turn", "role", head.alias("head"), F.col("v.content").alias("content"), F.col("v.attachments").alias("attachments"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "content", "attachments").rowsBetween(Window.unboundedPreceding, -1)
+
+    def place(size) -> Column:
+        whole = size("head") + size("content") + len(END)
+        return F.coalesce(F.sum(whole).over(before), F.lit(0)) + size("head")
+
+    item = F.struct(place(F.length).alias("start"), place(F.octet_length).alias("byte"), "head", "content", (F.col("role") == learn_role).alias("learn"), "attachments")
+    conv = rows.select("conv_id", item.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("p"))  # by start
+    conv = conv.withColumn("attachments", F.flatten(F.transform("p", lambda t: t["attachments"])))
+    learnt = F.filter("p", lambda t: t["learn"])
     return conv.select(
         "conv_id",
         F.array_join(F.transform("p", lambda t: F.concat(t["head"], t["content"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("p", start, step)["mask"].alias("mask"),
+        F.transform(learnt, lambda t: F.struct(t["start"], F.length(t["content"]).alias("chars"), t["byte"], F.octet_length(t["content"]).alias("bytes"))).alias("mask"),
         "attachments",
         F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("attachment_tokens"),
     )
@@ -107,8 +109,12 @@ def parse(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, one after the other."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substr(formatted, m["start"] + 1, m["chars"]))), "")
+    """All text under the loss mask, unescaped, one after the other. Bytes are cut, as code points would be counted from the start each time."""
+
+    def cut(raw: Column) -> Column:
+        return F.array_join(F.transform(mask, lambda m: unescape(F.substring(raw, m["byte"].cast("int") + 1, m["bytes"]).cast("string"))), "")
+
+    return let(formatted.cast("binary"), cut)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
