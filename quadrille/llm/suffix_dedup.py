@@ -226,7 +226,18 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     spans = materialize(later_copies(docs, text_col, id_col).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")).withColumnRenamed("doc_id", "__id"))
     flagged = flag_ids(docs.withColumn("__id", F.col(id_col).cast("long")), "__id", id_filter(spans.select("__id"), spans.count()))
     same = flagged.where(~F.col("__hit")).select(*docs.columns)
-    cut_text = F.udf(lambda t, s: t if s is None or t is None else _without(t, s), "string", useArrow=True)
-    hit = flagged.where("__hit").join(spans, "__id", "left").withColumn("__new", cut_text(F.col(text_col), F.col("__spans")))
-    made = {text_col: F.col("__new")} | ({"n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return same.unionByName(hit.where((F.col("__new") != "") | F.col("__spans").isNull()).withColumns(made).select(*docs.columns))
+    hit = flagged.where("__hit").join(spans, "__id", "left").select(*docs.columns, "__spans")
+    at, size = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = b.columns[:-1]
+            found = [t if s is None or t is None else _without(t, s) for t, s in zip(columns[at].to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+            kept = pa.array([s is None or t != "" for t, s in zip(found, b.column("__spans").to_pylist(), strict=True)], pa.bool_())
+            if size is not None:
+                n = [c if s is None else len(t or "") for t, c, s in zip(found, columns[size].to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+                columns[size] = pa.array(n, columns[size].type)
+            columns[at] = pa.array(found, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(kept)
+
+    return same.unionByName(hit.mapInArrow(cut, docs.schema))

@@ -397,7 +397,7 @@ def test_empty_tables(empty):
 
 
 def test_extra_columns_survive(docs):
-    more = docs.select("*", F.lit(1).alias("n_words"), F.lit("x").alias("p"), F.lit(2).alias("s"), F.lit(3).alias("block"), F.lit(4).alias("length"))
+    more = docs.select("*", F.lit(1).alias("n_words"), F.lit("x").alias("p"), F.lit(0.5).alias("scale"), F.lit(7).alias("c00"), F.lit(8).alias("m0"), F.lit("n").alias("node"), F.lit(2).alias("s"), F.lit(3).alias("block"), F.lit(4).alias("length"))
     for stage in (exact_dedup.exact_dedup, ngram_join.drop_near_duplicates, suffix_dedup.drop_repeats, quality.quality_filter):
         out = stage(more)
         assert out.columns == more.columns and out.where("n_words <> 1 OR p <> 'x' OR s <> 2").count() == 0
