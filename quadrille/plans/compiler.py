@@ -217,7 +217,7 @@ class Compiler:
                 if item.name in found.vars:
                     raise SparqlError(f"invalid SPARQL: BIND to ?{item.name}, which is already in use")
                 c, rep = Scope(found.value).value(item.expr)
-                found = Solution(found.df.withColumn(column(item.name), c), found.vars | {item.name: Binding(rep, True)}, found.small)
+                found = Solution(found.df.withColumn(column(item.name), c), found.vars | {item.name: Binding(rep, not self._total(item.expr, found))}, found.small)
             elif isinstance(item, A.Values):
                 found = self._and(found, self.values(item))
         flush()
@@ -239,11 +239,26 @@ class Compiler:
         return found, late
 
     def _certain(self, q: A.Select, name: str) -> bool:
-        """Whether a sub-query surely binds ``name``: an aggregate COUNT or a variable of its triples."""
+        """Whether a sub-query surely binds ``name``: a variable of its triples, COUNT, or what a group that has rows makes of such a variable."""
         e = next(e for e, n in q.items if n == name)
+        sure = {x.name for t in q.where.items if isinstance(t, A.Triple) for x in (t.s, t.p, t.o) if isinstance(x, A.Var)}
         if isinstance(e, A.Aggregate):
-            return e.name == "COUNT"
-        return isinstance(e, A.Var) and any(isinstance(t, A.Triple) and e in (t.s, t.p, t.o) for t in q.where.items)
+            if e.name == "COUNT":
+                return True
+            return bool(q.group_by) and e.name in ("MIN", "MAX", "SAMPLE") and isinstance(e.arg, A.Var) and e.arg.name in sure
+        return isinstance(e, A.Var) and e.name in sure
+
+    def _total(self, e, found: Solution) -> bool:
+        """Whether an expression has a value in every row: constants, bound variables, their STR, and sums of native numbers."""
+        if isinstance(e, A.Var):
+            return e.name in found.vars and not found.vars[e.name].nullable
+        if isinstance(e, A.Lit | A.Iri):
+            return True
+        if isinstance(e, A.Call) and e.name == "STR":
+            return all(self._total(x, found) and not (isinstance(x, A.Var) and found.vars[x.name].rep.blank) for x in e.args)
+        if isinstance(e, A.Op) and e.name in ("+", "-", "*"):
+            return all(isinstance(x, A.Var) and self._total(x, found) and found.vars[x.name].rep.kind in ("int", "dbl") or isinstance(x, A.Lit) and Scope(found.value).value(x)[1].kind in ("int", "dbl") for x in e.args)
+        return False
 
     def optional(self, a: Solution, g: A.Group) -> Solution:
         inner, late = self.group(g, {n: b.rep for n, b in a.vars.items()})

@@ -234,7 +234,13 @@ class Scope:
             return {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOURS": F.hour, "MINUTES": F.minute, "SECONDS": F.second}[name](m).cast("long"), INT
         if name in ("TZ", "TIMEZONE"):
             zone = F.regexp_extract(lexical(*vs[0]), "(Z|[+-]\\d\\d:\\d\\d)$", 1)
-            return (zone if name == "TZ" else F.when(zone != "", zone)), STR
+            if name == "TZ":
+                return zone, STR
+            # A duration of days and times: PT0S, or a sign with hours and minutes that are not 0.
+            hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
+            part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+            length = F.when((zone == "Z") | (hours + minutes == 0), "PT0S").otherwise(F.concat(F.when(F.startswith(zone, F.lit("-")), "-").otherwise(""), F.lit("PT"), part(hours, "H"), part(minutes, "M")))
+            return term(LITERAL, F.when(zone != "", length), F.lit(XSD + "dayTimeDuration")), TERM_REP
         s = self._strings(e)
         if name == "STRLEN":
             return F.length(s[0]).cast("long"), INT

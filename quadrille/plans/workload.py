@@ -114,4 +114,17 @@ QUERIES: dict[str, tuple[str, str]] = {
         "SELECT ?name ?i ?s ?b WHERE { ?p a :Part ; rdfs:label ?name ; :size ?z . BIND (xsd:integer(STR(?z)) + 1 AS ?i) BIND (xsd:string(?z) AS ?s) BIND (xsd:boolean(?z - 1) AS ?b) }",
         "SELECT p_name AS name, CAST(p_size AS BIGINT) + 1 AS i, CAST(p_size AS VARCHAR) AS s, p_size <> 1 AS b FROM part",
     ),
+    # Rows of a table without a key are nodes too, the same ones in every scan.
+    "keyless_optional": ("SELECT (COUNT(?q) AS ?n) (SUM(?q) AS ?t) WHERE { ?l :lineNumber 3 . OPTIONAL { ?l :quantity ?q } }", "SELECT count(l_quantity) AS n, sum(l_quantity) AS t FROM lineitem WHERE l_linenumber = 3"),
+    "keyless_exists": ("SELECT (COUNT(*) AS ?n) (SUM(?q) AS ?t) WHERE { ?l :lineNumber 3 ; :quantity ?q . FILTER EXISTS { ?l :discount ?d . FILTER (?d > 0.05) } }", "SELECT count(*) AS n, sum(l_quantity) AS t FROM lineitem WHERE l_linenumber = 3 AND l_discount > 0.05"),
+    "keyless_not_exists": ("SELECT (COUNT(*) AS ?n) (SUM(?q) AS ?t) WHERE { ?l :lineNumber 3 ; :quantity ?q . FILTER NOT EXISTS { ?l :discount ?d . FILTER (?d > 0.05) } }", "SELECT count(*) AS n, sum(l_quantity) AS t FROM lineitem WHERE l_linenumber = 3 AND NOT l_discount > 0.05"),
+    "keyless_minus": ("SELECT (COUNT(*) AS ?n) (SUM(?q) AS ?t) WHERE { ?l :lineNumber 3 ; :quantity ?q . MINUS { ?l :returnFlag \"R\" . } }", "SELECT count(*) AS n, sum(l_quantity) AS t FROM lineitem WHERE l_linenumber = 3 AND l_returnflag <> 'R'"),
+    "keyless_subselect": ("SELECT (COUNT(?q) AS ?n) (SUM(?q) AS ?t) WHERE { ?l :lineNumber 3 . { SELECT ?l ?q WHERE { ?l :quantity ?q . FILTER (?q > 10) } } }", "SELECT count(*) AS n, sum(l_quantity) AS t FROM lineitem WHERE l_linenumber = 3 AND l_quantity > 10"),
+    # Joins on variables that may be unbound, or are computed.
+    "join_on_optional": (
+        "SELECT ?name ?chars WHERE { ?d a :Document ; :chars ?chars ; :source ?s . OPTIONAL { ?l :document ?d ; :quality ?q . } OPTIONAL { ?n a :Nation ; rdfs:label ?name . BIND (1 AS ?q) FILTER (?n = :Nation3) } }",
+        "SELECT CASE WHEN quality IS NULL OR quality = 1 THEN (SELECT n_name FROM nation WHERE n_nationkey = 3) END AS name, n_chars AS chars FROM documents LEFT JOIN labels USING (doc_id)",
+    ),
+    "join_on_bind": ("SELECT ?a ?b WHERE { ?p a :Part ; rdfs:label ?a ; :size ?z . BIND (?z + 1 AS ?k) { SELECT ?k (MIN(?m) AS ?b) WHERE { ?q a :Part ; rdfs:label ?m ; :size ?k . } GROUP BY ?k } }", "SELECT p_name AS a, b FROM part JOIN (SELECT p_size AS k, min(p_name) AS b FROM part GROUP BY 1) ON p_size + 1 = k"),
+    "join_on_max": ("SELECT ?name ?t WHERE { { SELECT ?c (MAX(?total) AS ?t) WHERE { ?o :customer ?c ; :total ?total . } GROUP BY ?c } ?o2 :total ?t ; :customer ?c . ?c rdfs:label ?name . }", "SELECT c_name AS name, t FROM (SELECT o_custkey AS c, max(o_totalprice) AS t FROM orders GROUP BY 1) m JOIN orders ON o_custkey = c AND o_totalprice = t JOIN customer ON c_custkey = c"),
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,11 @@ from ..plans.expressions import compare
 from ..plans.parser import NAMESPACE, PREFIXES
 from ..plans.solution import Binding, Solution, column, join, union
 from ..plans.terms import Rep, constant, term, to_term
+from ..scratch import materialize
 from .triples import TripleStore, scan
 
 LABEL = PREFIXES["rdfs"] + "label"
+_ROW = "__row"  # the name of a row of a table without a key
 _KINDS = {"string": "str", "double": "dbl", "float": "dbl", "boolean": "bool", "timestamp_ntz": "time", "timestamp": "time", "date": "time"}
 
 
@@ -33,7 +36,7 @@ class Field:
 
 @dataclass(frozen=True)
 class Table:
-    """``key``: columns that make the node's name; without one each row is a blank node of its own."""
+    """``key``: columns that make the node's name; without one each row is a blank node, told by its place in its file."""
 
     name: str
     cls: str
@@ -77,12 +80,23 @@ class MappedGraph:
     def frame(self, t: Table) -> DataFrame:
         if t.name not in self.frames:
             self.frames[t.name] = self.spark.read.parquet(f"{self.dir}/{t.name}.parquet")
+        if not t.key and _ROW not in self.frames[t.name].columns:
+            self.frames[t.name] = self._numbered(self.frames[t.name])
         return self.frames[t.name]
 
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        """``df`` with a name for each row that is the same in every scan, whatever it filters. Rows of Parquet
+        files are named by file and place; any other frame is written once with numbers."""
+        place = F.concat_ws("-", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+        try:
+            return df.select("*", place.alias(_ROW))
+        except AnalysisException:
+            return materialize(df.withColumn(_ROW, F.monotonically_increasing_id().cast("string")))
+
     # Values.
     def subject(self, t: Table) -> tuple[Column, Rep]:
         if not t.key:
-            return F.monotonically_increasing_id(), Rep("node", f"row-{t.cls}-", True)
+            return F.col(_ROW), Rep("node", f"row-{t.cls}-", True)
         if len(t.key) > 1:
             return F.concat_ws("x", *t.key), Rep("node", NAMESPACE + t.cls)
         return self._native(t, t.key[0]), Rep("node", NAMESPACE + t.cls)
@@ -215,9 +229,6 @@ class MappedGraph:
         out = None
         for t in self.tables if tables is None else tables:
             df, s = self.frame(t), to_term(*self.subject(t))
-            if not t.key:
-                df = df.withColumn("__s", s)
-                s = F.col("__s")
             branches = [df.select(s.alias("s"), F.lit(A.RDF_TYPE).alias("p"), term(0, F.lit(NAMESPACE + t.cls)).alias("o"))]
             for p, f in t.fields.items():
                 branches.append(df.where(F.col(f.col).isNotNull()).select(s.alias("s"), F.lit(p).alias("p"), to_term(*self._field(t, f)).alias("o")))
