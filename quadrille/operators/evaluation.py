@@ -6,15 +6,21 @@ joins and conditional aggregates.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import NO_INFORMATION_MARKER, execute_select
 from ..errors import SparqlError
 from ..functions.text import count_of, string_literals
+from ..plans.guard import validate_select
+from .constraints import id_differences
 from .features import feature_tags, query_features
 
 METRICS = ("parse", "execution", "answer_exact", "canonical_exact", "marker_exact", "false_acceptance", "safe_rejection", "system_answer_exact")
+#: Distinct query texts of one evaluation at most, and how many run at once.
+MOST_TEXTS, AT_ONCE = 20_000, 8
 RESULT = "query string, parse_ok boolean, execution_ok boolean, error string, rows array<array<string>>"
 
 
@@ -32,26 +38,28 @@ def _python_key(v: object) -> str:
     return "none:" if v is None else f"{type(v).__name__}:{v}"
 
 
-def run_queries(graph, queries: list[str], spark: SparkSession) -> DataFrame:
-    """(query, parse_ok, execution_ok, error, rows) of each distinct text; rows are sorted value keys.
+def run_queries(graph, texts: DataFrame, spark: SparkSession) -> DataFrame:
+    """(query, parse_ok, execution_ok, error, rows) of each distinct text of a one-column table; rows are sorted value keys.
 
-    A query text is a driver-sized thing and its answer is fenced at 100 rows.
+    A query text is compiled on the driver and its answer is fenced at 100 rows; AT_ONCE run side by side. More than
+    MOST_TEXTS distinct texts are an error: templates with slots have few, whatever the number of cases.
     """
-    from ..plans.guard import validate_select
+    found = [r[0] for r in texts.distinct().limit(MOST_TEXTS + 1).collect()]
+    if len(found) > MOST_TEXTS:
+        raise ValueError(f"more than {MOST_TEXTS} distinct query texts")
 
-    out = []
-    for q in dict.fromkeys(queries):
-        parse = execution = False
-        error, rows = None, None
+    def run(q: str) -> tuple:
         try:
             validate_select(q)
-            parse = True
-            rows = sorted(sorted(map(_python_key, r.values())) for r in execute_select(graph, q))
-            execution = True
         except SparqlError as e:
-            error = str(e)
-        out.append((q, parse, execution, error, rows))
-    return spark.createDataFrame(out, RESULT)
+            return q, False, False, str(e), None
+        try:
+            return q, True, True, None, sorted(sorted(map(_python_key, r.values())) for r in execute_select(graph, q))
+        except SparqlError as e:
+            return q, True, False, str(e), None
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return spark.createDataFrame(list(pool.map(run, sorted(found))), RESULT)
 
 
 def multiset_scores(predicted: DataFrame, reference: DataFrame, case: str = "case", row: str = "row") -> DataFrame:
@@ -108,8 +116,8 @@ def evaluate_cases(examples: DataFrame, predictions: DataFrame, graph, object_pr
     """
     spark = graph.spark
     cases = examples.join(predictions.select("id", "prediction"), "id", "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))
-    texts = cases.select(F.explode(F.array("target", "prediction")).alias("q")).where(F.trim(F.col("q")) != NO_INFORMATION_MARKER).distinct()
-    results = run_queries(graph, sorted(r["q"] for r in texts.collect()), spark)
+    texts = cases.select(F.explode(F.array("target", "prediction")).alias("q")).where(F.trim(F.col("q")) != NO_INFORMATION_MARKER)
+    results = run_queries(graph, texts, spark)
     mine = F.broadcast(results.select(F.col("query").alias("prediction"), F.col("parse_ok").alias("p_ok"), F.col("execution_ok").alias("x_ok"), "error", F.col("rows").alias("predicted_rows")))
     theirs = F.broadcast(results.select(F.col("query").alias("target"), F.col("rows").alias("reference_rows")))
     c = cases.join(mine, "prediction", "left").join(theirs, "target", "left")
@@ -168,6 +176,11 @@ def error_counts(cases: DataFrame) -> DataFrame:
     return cases.where("error_category IS NOT NULL").groupBy("error_category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def evaluate_benchmark(examples: DataFrame, predictions: DataFrame, graph, object_properties: list[str] = (), properties: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The cases of :func:`evaluate_cases`, and (id, problem) of predictions that are missing or belong to no example."""
+    return evaluate_cases(examples, predictions, graph, object_properties, properties), id_differences(examples, predictions)
+
+
 def reference_predictions(examples: DataFrame) -> DataFrame:
     """Predicting the reference itself, for a self-check: every rate is 1."""
     return examples.select("id", F.col("target").alias("prediction"))

@@ -117,6 +117,11 @@ def write_jsonl(df: DataFrame, path: str, order: list[Column] | None = None) ->
     rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A document of driver size as one file below ``path``."""
+    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     df.select("id", "prediction").write.mode("overwrite").json(path)
 

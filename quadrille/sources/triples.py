@@ -89,6 +89,10 @@ class TripleStore:
     def any_object(self, s: A.Iri, p: str):
         return self.objects(s, p).agg(F.min("o")).first()[0]
 
+    def with_outgoing(self, nodes: DataFrame, node: str = "t") -> DataFrame:
+        """The rows of ``nodes`` whose node is the subject of a triple."""
+        return nodes.join(self.triples.select(F.col("s").alias(node)).distinct(), node, "left_semi")
+
     def size(self) -> int:
         return self.triples.distinct().count()
 

@@ -17,8 +17,11 @@ from .operators import constraints as chk
 from .operators import coverage as cov
 from .operators import curation as cur
 from .operators import entailment, evaluation, features, inventory, neardup, sets, summary
+from .operators import release as rel
+from .plans import ast as A
+from .plans.parser import NAMESPACE
 from .plans.workload import QUERIES as SPARQL
-from .sources.mapped import TABLES, MappedGraph
+from .sources.mapped import LABEL, TABLES, MappedGraph
 from .sources.turtle import graph_of
 
 LANGS = ("de", "en", "es", "fr")
@@ -214,10 +217,11 @@ def unknown_family_antijoin(spark, sf_dir):
     return chk.unknown_family(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"))).select(F.col("record_id").cast("long").alias("id"))
 
 
-@query("SELECT doc_id AS id, 'missing' AS problem FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM labels WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id AS id, 'missing' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id + 1000000000, 'unexpected' FROM labels")
 def prediction_id_diff(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
-    return chk.id_differences(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    """Predictions are all labels, and each of them once more under an id that no document has."""
+    labels = table(spark, sf_dir, "labels").select(F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1000000000)).alias("id"))
+    return chk.id_differences(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), labels)
 
 
 @query("SELECT event_id, 'z' AS missing FROM events WHERE json_exists(props, '$.k')")
@@ -340,37 +344,26 @@ def rdfs_closure(spark, sf_dir):
 _TURNS = 1 << 31
 
 
-def _turns(spark: SparkSession, sf_dir: str, where: str = "true") -> MappedGraph:
+def _turns(spark: SparkSession, sf_dir: str) -> MappedGraph:
     """Conversation turns with an edge to the next turn, as a mapped graph of their own."""
     from .sources.mapped import Field, Table
 
     k = F.col("conv_id").cast("long") * _TURNS + F.col("turn")
-    t = table(spark, sf_dir, "conversations").where(where).select(k.alias("k"), (k + 1).alias("n"), "turn")
+    t = table(spark, sf_dir, "conversations").select(k.alias("k"), (k + 1).alias("n"), "turn")
     t = t.join(t.select(F.col("k").alias("n"), F.lit(1).alias("found")), "n", "left").select("k", F.when(F.col("found").isNotNull(), F.col("n")).alias("n"), "turn")
     return MappedGraph(spark, sf_dir, [Table("steps", "Step", ("k",), {"urn:quadrille:next": Field("n", "Step"), "urn:quadrille:turn": Field("turn")})], {"steps": t})
 
 
-_STEPS_SQL = "WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS k, turn FROM conversations WHERE conv_id < 12), e AS (SELECT a.k AS x, b.k AS y FROM t a JOIN t b ON b.k = a.k + 1), c(x, y) AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)"
-
-
-@query(f"{_STEPS_SQL} SELECT a.turn AS a, b.turn AS b FROM c JOIN t a ON a.k = x JOIN t b ON b.k = y")
-def path_closure_plus(spark, sf_dir):
-    """The twelve conversations that the SQL reads; path_closure_all reads every one."""
-    return engine.query_frame(_turns(spark, sf_dir, "conv_id < 12"), "SELECT ?a ?b WHERE { ?x :next+ ?y . ?x :turn ?a . ?y :turn ?b . }")
-
-
 @query("WITH RECURSIVE e AS (SELECT a.conv_id AS c, a.turn AS x, b.turn AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1), p(c, x, y) AS (SELECT c, x, y FROM e UNION SELECT p.c, p.x, e.y FROM p JOIN e ON p.c = e.c AND p.y = e.x) SELECT x AS a, y AS b FROM p")
-def path_closure_all(spark, sf_dir):
-    """:next+ over the whole table."""
+def path_closure_plus(spark, sf_dir):
     return engine.query_frame(_turns(spark, sf_dir), "SELECT ?a ?b WHERE { ?x :next+ ?y . ?x :turn ?a . ?y :turn ?b . }")
 
 
-@query(f"{_STEPS_SQL} SELECT turn AS b FROM t WHERE k = 3001 UNION ALL SELECT b.turn FROM c JOIN t b ON b.k = y WHERE x = 3001")
+@query("WITH RECURSIVE c(y) AS (SELECT turn FROM conversations WHERE conv_id = 3 AND turn = 1 UNION SELECT t.turn FROM c JOIN conversations t ON t.conv_id = 3 AND t.turn = c.y + 1) SELECT y AS b FROM c")
 def path_closure_star(spark, sf_dir):
     return engine.query_frame(_turns(spark, sf_dir), f"SELECT ?b WHERE {{ :Step{3 * _TURNS + 1} :next* ?y . ?y :turn ?b . }}")
 
 
-# Evaluation: for each order, lines with a quantity over 20 stand for the prediction, all lines for the reference.
 def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case"), evaluation.row_key(evaluation.value_key(F.col("l_returnflag"), "str"), evaluation.value_key(F.col("l_linestatus"), "str")).alias("row"), "l_quantity")
     return rows.where("l_quantity > 20").drop("l_quantity"), rows.drop("l_quantity")
@@ -427,44 +420,108 @@ def rates_by_group(spark, sf_dir):
     return r.select("value", "count", *[F.round(c, 6).alias(c) for c in _RATES])
 
 
+#: Predictions for the target of an order, by o_orderkey % 10, with the kind of failure each is.
 _TAXONOMY = [
-    ("a", ':X :p ?a . FILTER (?a = "x")', ':X :p ?a . FILTER (?a = "x")', True, True, True, "none"),
-    ("b", ":X :p ?a .", "không có thông tin", False, False, False, "false_rejection"),
-    ("c", ":X :p ?a .", "junk", False, False, False, "parse_error"),
-    ("d", ":X :p ?a .", ":X :p ?a .", True, False, False, "execution_error"),
-    ("e", ":X :p ?a . ?a :q ?b .", ":X :p ?a .", True, True, False, "missing_branch"),
-    ("f", ":X :p ?a .", ":X :p ?a . ?a :q ?b .", True, True, False, "extra_branch"),
-    ("g", ':X :p "m" .', ':X :p "n" .', True, True, False, "wrong_literal"),
-    ("h", ":X :p ?a .", ":X :q ?a .", True, True, False, "wrong_property"),
-    ("i", ":X :p ?a .", ":Y :p ?a .", True, True, False, "wrong_iri"),
-    ("j", ":X :p ?a .", "?a :p :X .", True, True, False, "semantic_mismatch"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{c}')" for i, *_, c in _TAXONOMY) + ") t(id, category)")
+    ("t", True, True, True, None), ("'không có thông tin'", False, False, False, "false_rejection"), ("'junk ' || o_orderkey", False, False, False, "parse_error"), ("t", True, False, False, "execution_error"),
+    ("replace(t, ' ?a :q ?b .', '')", True, True, False, "missing_branch"), ("t || ' ?b :q ?c .'", True, True, False, "extra_branch"), ("replace(t, o_orderstatus, 'Z')", True, True, False, "wrong_literal"),
+    ("replace(t, ':q', ':p')", True, True, False, "wrong_property"), ("replace(t, ':Order', ':Part')", True, True, False, "wrong_iri"), ("replace(t, '?a', '?z')", True, True, False, "semantic_mismatch"),
+]
+_BY_KEY = lambda column: "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {column(r)}" for i, r in enumerate(_TAXONOMY)) + " END"
+
+
+@query("SELECT o_orderkey, " + _BY_KEY(lambda r: "'none'" if r[4] is None else f"'{r[4]}'") + " AS category FROM orders")
 def error_taxonomy(spark, sf_dir):
-    df = spark.createDataFrame([r[:-1] for r in _TAXONOMY], "id string, target string, prediction string, parse boolean, execution boolean, exact boolean")
-    c = evaluation.error_category(F.col("target"), F.col("prediction"), F.col("parse"), F.col("execution"), F.col("exact"), ["p", "q"])
-    return df.select("id", F.coalesce(c, F.lit("none")).alias("category"))
+    t = F.expr("concat(':Order', o_orderkey, ' :p ?a . ?a :q ?b . FILTER (?b = \"', o_orderstatus, '\")')")
+    o = table(spark, sf_dir, "orders").withColumn("t", t).withColumns({name: F.expr(_BY_KEY(lambda r, i=i: r[i])) for i, name in enumerate(("prediction", "parse", "execution", "exact"))})
+    c = evaluation.error_category(F.col("t"), F.col("prediction"), F.col("parse"), F.col("execution"), F.col("exact"), ["p", "q"])
+    return o.select("o_orderkey", F.coalesce(c, F.lit("none")).alias("category"))
 
 
-_TEXTS = [
-    ("a", "SELECT ?a WHERE { :X :p ?a . }", "single_column,single_branch"),
-    ("b", "SELECT ?a (COUNT(DISTINCT ?b) AS ?n) WHERE { ?a :hop ?b ; :q ?c . } GROUP BY ?a ORDER BY ?a LIMIT 3", "multi_column,multi_branch,graph_hop,aggregate,group,order,limit"),
-    ("c", "SELECT (MAX(?v) AS ?m) WHERE { VALUES ?v { 1 2 } ?x :p ?v . FILTER (?v > 1) }", "single_column,single_branch,aggregate,filter,values"),
-]
+#: A query text for each part, put together by its keys, and its tags.
+_PART_TAGS = "CASE WHEN p_size % 2 = 0 THEN 'single_column' ELSE 'multi_column' END || CASE WHEN p_size % 3 = 0 THEN ',single_branch' ELSE ',multi_branch' END || CASE WHEN p_size % 3 <> 0 THEN ',graph_hop' ELSE '' END || CASE WHEN p_size % 2 <> 0 THEN ',aggregate' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ',filter' ELSE '' END || CASE WHEN p_size % 2 <> 0 THEN ',group' ELSE '' END || CASE WHEN p_size % 7 = 0 THEN ',order,limit' ELSE '' END || CASE WHEN p_size % 11 = 0 THEN ',values' ELSE '' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{t}')" for i, _, t in _TEXTS) + ") t(id, tags)")
+def _part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    when = lambda n, text, rest="": F.when(F.col("p_size") % n == 0, text).otherwise(rest)
+    text = F.concat(
+        F.lit("SELECT ?a"), when(2, "", " (MAX((?b) + (1)) AS ?m)"), F.lit(" WHERE { "), when(11, "VALUES ?a { 1 2 } "), F.lit(":Part"), F.col("p_partkey").cast("string"), F.lit(" :p ?a ."),
+        when(3, "", " ?a :hop ?b ."), when(5, " FILTER (?a > 1)"), F.lit(" }"), when(2, "", " GROUP BY ?a"), when(7, " ORDER BY ?a LIMIT 3"),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("target"))
+
+
+@query(f"SELECT p_partkey, {_PART_TAGS} AS tags FROM part")
 def query_features(spark, sf_dir):
-    df = spark.createDataFrame([r[:2] for r in _TEXTS], "id string, target string")
-    return df.select("id", F.array_join(features.feature_tags(features.query_features(F.col("target"), ["hop"])), ",").alias("tags"))
+    return _part_texts(spark, sf_dir).select("p_partkey", F.array_join(features.feature_tags(features.query_features(F.col("target"), ["hop"])), ",").alias("tags"))
 
 
-@query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(tags, ',')) AS tag FROM (VALUES " + ", ".join(f"('{i}', '{t}')" for i, _, t in _TEXTS) + ") t(id, tags)) GROUP BY tag")
+@query(f"SELECT tag, count(*) AS n FROM (SELECT unnest(string_split({_PART_TAGS}, ',')) AS tag FROM part) GROUP BY tag")
 def feature_tag_counts(spark, sf_dir):
-    df = spark.createDataFrame([r[:2] for r in _TEXTS], "id string, target string")
-    return features.tag_counts(df, object_properties=["hop"])
+    return features.tag_counts(_part_texts(spark, sf_dir), object_properties=["hop"])
+
+
+# Whole jobs over a release whose questions and targets are made of the nations.
+_NATION = cat.Family("nation_region", "nation", "SELECT ?a WHERE { :Nation${n} :region/rdfs:label ?a . }", {"n": cat.Slot("number")})
+_NATION_SQL = "WITH r AS (SELECT n_nationkey AS k, CASE n_nationkey % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, CASE n_nationkey % 4 WHEN 0 THEN 'formal' WHEN 1 THEN 'neutral' WHEN 2 THEN 'colloquial' ELSE 'noisy' END AS register FROM nation)"
+
+
+def _release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    split = F.when(k % 5 == 0, "test").when(k % 5 == 1, "val").otherwise("train")
+    register = F.element_at(F.array(*map(F.lit, chk.REGISTERS)), (k % 4 + 1).cast("int"))
+    n = table(spark, sf_dir, "nation")
+    return n.select(k.cast("string").alias("id"), F.lit("nation_region").alias("query_id"), register.alias("register"), F.concat_ws(" ", F.md5("n_name"), F.sha1("n_name")).alias("input"), F.concat(F.lit("SELECT ?a WHERE { :Nation"), k.cast("string"), F.lit(" :region/rdfs:label ?a . }")).alias("target"), split.alias("split"), k.cast("long").alias("_pos"))
+
+
+@query(_NATION_SQL + " SELECT split, 'records' AS name, '' AS key, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT split, 'queries', '', 1 FROM r GROUP BY 1 UNION ALL SELECT split, 'targets', '', count(*) FROM r GROUP BY 1 UNION ALL SELECT split, 'query', 'nation_region', count(*) FROM r GROUP BY 1 UNION ALL SELECT split, 'register', register, count(*) FROM r GROUP BY 1, 3 UNION ALL SELECT split, 'domain', 'nation', count(*) FROM r GROUP BY 1")
+def release_validation(spark, sf_dir):
+    return rel.validate_release(_release(spark, sf_dir), {"nation_region": _NATION}, MappedGraph(spark, sf_dir))
+
+
+@query(_NATION_SQL + ", t AS (SELECT * FROM r WHERE split = 'test') SELECT 'records' AS name, '' AS key, count(*) AS n FROM t UNION ALL SELECT 'queries', '', 1 UNION ALL SELECT 'targets', '', count(*) FROM t UNION ALL SELECT 'register', register, count(*) FROM t GROUP BY 2 UNION ALL SELECT 'domain', 'nation', count(*) FROM t UNION ALL SELECT 'queries_supported_by_train', '', 1")
+def benchmark_validation(spark, sf_dir):
+    rows = _release(spark, sf_dir)
+    return rel.validate_benchmark(rows.where("split = 'test'"), {"nation_region": _NATION}, MappedGraph(spark, sf_dir), rows.where("split <> 'test'"))
+
+
+@query("SELECT ':Nation' || (n_nationkey + 20) AS node, 'reference query returns no rows' AS problem FROM nation WHERE n_nationkey + 20 NOT IN (SELECT n_nationkey FROM nation)")
+def answerless_targets(spark, sf_dir):
+    rows = _release(spark, sf_dir).withColumn("domain", F.lit("nation")).withColumn("target", F.concat(F.lit("SELECT ?a WHERE { :Nation"), (F.col("id").cast("int") + 20).cast("string"), F.lit(" rdfs:label ?a . }")))
+    return rel.answerless(rows, MappedGraph(spark, sf_dir)).select(F.regexp_extract("target", "(:Nation[0-9]+)", 1).alias("node"), "problem")
+
+
+@query("SELECT doc_id AS id, lang AS prediction FROM documents")
+def positional_pairs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("_pos", F.col("doc_id"))
+    return rel.paired(d.select(F.col("doc_id").alias("id"), "_pos"), d.select("_pos", F.col("lang").alias("prediction"))).select("id", "prediction")
+
+
+@query("SELECT family, a AS of, b AS \"to\", round(a / b, 6) AS ratio FROM (SELECT source AS family, count(*) FILTER (WHERE lang = 'en') AS a, count(*) FILTER (WHERE lang = 'de') AS b FROM documents GROUP BY 1) WHERE b > 0 AND a / b < 1.2")
+def ratio_contract(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("family"), "lang").agg(F.count(F.lit(1)).alias("rows"))
+    return rel.least_ratio(counts, "lang", "en", "de", 1.2).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("SELECT r_name AS model FROM region WHERE (SELECT bool_and(r_regionkey >= 0) FROM region)")
+def model_report_eligibility(spark, sf_dir):
+    r = table(spark, sf_dir, "region").select(F.col("r_name").alias("model"), (F.col("r_regionkey") >= 0).alias("has_config"), F.lit(True).alias("merged"), F.lit("abc").alias("manifest_sha256"), F.lit(402).alias("validation_count"), F.lit(407).alias("benchmark_count"))
+    return rel.eligible_models(r, {"validation": 402, "benchmark": 407}, "abc").select("model")
+
+
+@query("SELECT 'Region' || r_regionkey AS node FROM region")
+def nodes_with_triples(spark, sf_dir):
+    """Of what nations point to, the nodes that have triples of their own."""
+    g = _small(spark, sf_dir, "nation", "region")
+    objects = g.triples.where(F.col("p").endswith("region")).select(F.col("o").alias("t")).distinct()
+    return g.with_outgoing(objects).select(fn.local_name(F.col("t.lex")).alias("node"))
+
+
+@query("SELECT c_name AS value FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'Customer' || c_custkey FROM customer WHERE c_nationkey = 3")
+def graph_access(spark, sf_dir):
+    """Objects of a subject, and subjects of an object, by the access primitives."""
+    g = _small(spark, sf_dir, "customer")
+    objects = g.objects(A.Iri(NAMESPACE + "Customer7"), LABEL).select(F.col("o.lex").alias("value"))
+    return objects.union(g.subjects(NAMESPACE + "nation", A.Iri(NAMESPACE + "Nation3")).select(fn.local_name(F.col("s.lex"))))
 
 
 # Aggregates, sets, selection.
