@@ -1,18 +1,49 @@
 """Near-duplicate questions across splits: Jaccard similarity of character trigrams within a family.
 
-A length filter and a prefix filter (grams ordered by their frequency in the family, rarest first) leave few
-candidates; those are checked exactly. Equal texts of a family and split are compared once.
+Trigrams are counted over all texts and each text's set is put in one order, rare trigrams first. A length filter, a prefix
+filter and what is left of both sets behind a shared trigram leave few candidates; those are checked exactly. Equal sets of a
+family and split are compared once. Trigrams are numbers made of their three code points, so sets are arrays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trigrams
+from ..functions.text import text_key
 from ..scratch import materialize
 
 THRESHOLD = 0.84
+#: Trigrams whose counts are broadcast at most (16 bytes each); of more, the most frequent. Others count as rarer.
+COUNTED = 1 << 18
+
+
+def gram_sets(texts: list[str]) -> list[np.ndarray]:
+    """For each folded text its sorted distinct trigrams with two spaces before and behind: 21 bits a character."""
+    out = []
+    for t in texts:
+        c = np.frombuffer(f"  {t}  ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        out.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+    return out
+
+
+def _counts(base: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The counted trigrams in order, and their counts; summed per task, then over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, n = np.unique(np.concatenate([np.empty(0, np.int64), *gram_sets(b.column("k").to_pylist())]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "n"])
+
+    found = base.select("k").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(COUNTED).toArrow()
+    g, n = found.column("g").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(g)
+    return g[order], n[order]
 
 
 def cross_split_near_duplicates(rows: DataFrame, family: str = "query_id", split: str = "split", key: str = "id", text: str = "input", threshold: float = THRESHOLD) -> DataFrame:
@@ -21,27 +52,48 @@ def cross_split_near_duplicates(rows: DataFrame, family: str = "query_id", split
     ``left_id`` is the row of the split that comes first in train, val, test (other splits by name).
     """
     rank = F.when(F.col(split) == "train", "0").when(F.col(split) == "val", "1").when(F.col(split) == "test", "2").otherwise(F.col(split))
-    base = rows.select(F.col(key).alias("id"), F.col(family).alias("f"), rank.alias("split"), trigrams(F.col(text)).alias("grams"))
-    # One representative for equal gram sets of a family and split; members are joined back at the end.
-    base = base.withColumn("h", F.xxhash64(F.array_sort("grams")))
+    base = rows.select(F.col(key).alias("id"), F.col(family).alias("f"), rank.alias("split"), F.coalesce(text_key(F.col(text)), F.lit("")).alias("k"))
+    # One representative for equal texts of a family and split; members are joined back at the end.
+    base = base.withColumn("h", F.xxhash64("k"))
     members = materialize(base.select("id", "f", "split", "h"))
-    sets = materialize(base.groupBy("f", "split", "h").agg(F.first("grams").alias("grams")).withColumn("m", F.size("grams")))
-    grams = sets.select("f", "split", "h", "m", F.explode("grams").alias("g"))
-    often = grams.groupBy("f", "g").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("f", "split", "h").orderBy("n", "g")
-    prefix = F.col("m") - F.ceil(F.lit(threshold) * F.col("m")) + 1
-    first = materialize(grams.join(often, ["f", "g"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= prefix).select("f", "split", "h", "m", "g", "r"))
+    base = materialize(base.groupBy("f", "split", "h").agg(F.first("k").alias("k")))
+    held = rows.sparkSession.sparkContext.broadcast(_counts(base))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = held.value
+        for b in batches:
+            first, sets = [], gram_sets(b.column("k").to_pylist())
+            for s in sets:
+                at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+                n = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(len(s))
+                first.append(s[np.lexsort((s, n))][: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *first])))
+            yield pa.RecordBatch.from_arrays([b.column("f"), b.column("split"), b.column("h"), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array([s.tobytes() for s in sets], pa.binary())], ["f", "split", "h", "m", "first", "grams"])
+
+    kind = base.schema["f"].dataType.simpleString()
+    sets = materialize(base.mapInArrow(run, f"f {kind}, split string, h long, m int, first array<long>, grams binary"))
+    first = materialize(sets.select("f", "split", "h", "m", F.posexplode("first").alias("r", "g")))
     other = first.select("f", "g", F.col("split").alias("split2"), F.col("h").alias("h2"), F.col("m").alias("m2"), F.col("r").alias("r2"))
     small, large = F.least("m", "m2"), F.greatest("m", "m2")
-    # What is left of both sets after the shared gram bounds the overlap.
-    reach = F.least(F.col("m") - F.col("r"), F.col("m2") - F.col("r2")) + F.least("r", "r2")
-    need = F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("m2"))
+    # The shared trigrams lie from the first one on in both sets.
+    reach, need = F.least(F.col("m") - F.col("r"), F.col("m2") - F.col("r2")), F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("m2"))
     near = first.join(other, ["f", "g"]).where((F.col("split") < F.col("split2")) & (small >= F.lit(threshold) * large - 1e-9) & (reach >= need - 1e-9)).select("f", "split", "h", "split2", "h2").distinct()
     a = sets.select("f", "split", "h", F.col("grams").alias("x"))
     b = sets.select("f", F.col("split").alias("split2"), F.col("h").alias("h2"), F.col("grams").alias("y"))
-    both = near.join(a, ["f", "split", "h"]).join(b, ["f", "split2", "h2"]).withColumn("i", F.size(F.array_intersect("x", "y")))
-    score = F.col("i") / (F.size("x") + F.size("y") - F.col("i"))
-    found = both.select("f", "split", "h", "split2", "h2", score.alias("score")).where(F.col("score") >= threshold)
+    both = near.join(a, ["f", "split", "h"]).join(b, ["f", "split2", "h2"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["f", "split", "h", "split2", "h2"]
+        for b in batches:
+            score = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                s, t = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                i = len(np.intersect1d(s, t, assume_unique=True))
+                score.append(i / (len(s) + len(t) - i))
+            keep = pa.array([v >= threshold for v in score], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(score, pa.float64())], [*names, "score"]).filter(keep)
+
+    found = both.select("f", "split", "h", "split2", "h2", "x", "y").mapInArrow(check, f"f {kind}, split string, h long, split2 string, h2 long, score double")
     left = members.select("f", "split", "h", F.col("id").alias("left_id"))
     right = members.select("f", F.col("split").alias("split2"), F.col("h").alias("h2"), F.col("id").alias("right_id"))
     return found.join(left, ["f", "split", "h"]).join(right, ["f", "split2", "h2"]).select("left_id", "right_id", "score")
