@@ -6,7 +6,7 @@
 3. The whole sets of the nodes left are written once. Their tokens are counted exactly, and each set is put in
    one fixed order, rare tokens first. A token at place i of a set of m can only be the first that a link shares when
    m - i tokens make its overlap; that bounds the sizes of the partners, and only tokens before the bound are posted.
-4. Nodes are linked with one leader each by minhash bands, checked on whole sets. What is linked so far is
+4. Nodes are linked with one central leader each by minhash bands, checked on whole sets. What is linked so far is
    cut into groups of like size, GROUP members at most.
 5. The token-group matrix is a relation (token, group) of the union of the members' posted tokens, with the sizes and bounds
    of those members. A node of another component qualifies for a group by a token of the matrix whose bounds both
@@ -192,7 +192,7 @@ def _read(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _posted(sets: DataFrame, buckets: int) -> DataFrame:
     """(part, key, node, m, pos). Part -1 has the tokens of a node's prefix that another node has too, with their places in
-    its order; parts from 0 have its minhash bands. Nodes with too many tokens of their own to link are left out."""
+    its order; parts from 0 have its minhash bands, with how rare its tokens are. Nodes with too many tokens of their own to link are left out."""
 
     def deal(chunk: pa.Table) -> pa.Table:
         tokens, times = np.unique(np.concatenate(_read(chunk.column("tokens"))), return_counts=True)
@@ -227,10 +227,12 @@ def _posted(sets: DataFrame, buckets: int) -> DataFrame:
         nodes = chunk.column("node").to_numpy()
         good = np.flatnonzero(fit)
         bands = np.array([_bands(sets[i]) for i in good], dtype=np.int64).reshape(-1, BANDS)
+        # How rare a node's tokens are on the whole: the text that others were made from has the least rare ones.
+        rare = -(100 * np.bincount(own, weights=kind, minlength=len(sets)) / m).astype(np.int32)[good]
         node = np.concatenate([nodes[own[at]], np.repeat(nodes[good], BANDS)])
         size = np.concatenate([m[own[at]], np.repeat(m[good], BANDS)])
         part = np.concatenate([np.full(len(at), -1), np.tile(np.arange(BANDS), len(good))])
-        return pa.table({"part": part.astype(np.int32), "key": np.concatenate([tokens[at].view(np.int64), bands.ravel()]), "node": node.astype(np.int64), "m": size.astype(np.int32), "pos": np.concatenate([pos, np.zeros(bands.size, np.int64)]).astype(np.int32)})
+        return pa.table({"part": part.astype(np.int32), "key": np.concatenate([tokens[at].view(np.int64), bands.ravel()]), "node": node.astype(np.int64), "m": size.astype(np.int32), "pos": np.concatenate([pos, np.repeat(rare, BANDS)]).astype(np.int32)})
 
     grouped = sets.where("m > 0").groupBy("chunk")
     heard = grouped.applyInArrow(deal, "chunk long, bucket int, tokens binary, times binary").groupBy("bucket").applyInArrow(count, "chunk long, bucket int, kinds binary")
@@ -271,9 +273,10 @@ def _largest_partner(m: str, pos: str) -> Column:
 
 
 def _leaders(posted: DataFrame) -> DataFrame:
-    """(a, b): each node with one leader, that of most of its bands. What this misses the matrix finds."""
-    bands = posted.where("part >= 0").select("part", "key", "node", "m")
-    lead = bands.groupBy("part", "key").agg(F.min(F.struct("node", "m")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    """(a, b): each node with one leader, that of most of its bands; a band's leader is the node with the least rare tokens, so
+    the middle of a family of edited copies. What this misses the matrix finds."""
+    bands = posted.where("part >= 0").select("part", "key", "node", "m", "pos")
+    lead = bands.groupBy("part", "key").agg(F.min(F.struct("pos", "node", "m")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = skew_join(bands, lead, ["part", "key"], F.xxhash64("node"), bands.count(), "inner").where((F.col("node") != F.col("l.node")) & _sizes_fit("m", "l.m"))
     near = near.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     return near.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b"))
