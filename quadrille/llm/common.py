@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -18,6 +21,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session while a step runs."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def hot_keys(left: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Keys with more than rows / HOT_SHARE rows (at most HOT_SHARE of them) and their salt counts."""
     share = max(rows // HOT_SHARE, 100)
@@ -48,13 +65,13 @@ def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Col
 
 
 FILTER_BLOCK = 32768  # bits; what bitmap_construct_agg makes
-FILTER_BLOCKS = 8192  # 32 MB at most are broadcast
+FILTER_BLOCKS = 65536  # 256 MB at most are broadcast
 
 
 def id_filter(ids: DataFrame, rows: int) -> tuple[DataFrame, int]:
     """Bitmap blocks (__block, __bits) of a one-column table of keys, and the number of blocks.
 
-    16 bits a key up to FILTER_BLOCKS blocks; past that it fills up and lets more rows through.
+    16 bits a key up to FILTER_BLOCKS blocks (134 million keys); past that it fills up and lets more rows through.
     """
     blocks = 1
     while blocks * FILTER_BLOCK < 16 * rows and blocks < FILTER_BLOCKS:

@@ -6,8 +6,9 @@ more. Pass two tests each row: unless both its bits are set the text has no equa
 row passes straight through, without a shuffle. Only the others are grouped by digest.
 
 The filter takes 16 bits a row up to ``max_blocks`` blocks of 4 KB, a fixed bound on
-what is broadcast. Past that capacity the filter fills up and more rows than needed are grouped;
-the result is exact at any fill.
+what is broadcast. A bit is set by two hits, so it fills slowly: with 16 bits a row 1 row in 20,000 without
+an equal is grouped, with 4 bits 1 in 120, with 2 bits (a billion rows at 256 MB) 7 in 100. Beyond
+that more rows than needed are grouped; the result is exact at any fill.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import materialize, skew_join
 
 BLOCK_BITS = 32768  # what bitmap_construct_agg makes
 BITS_PER_ROW = 16
-MAX_BLOCKS = 8192  # 32 MB
+MAX_BLOCKS = 65536  # 256 MB
 
 
 def _slots(text: Column, blocks: int) -> Column:

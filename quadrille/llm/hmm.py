@@ -8,7 +8,8 @@ only the bounded table (state, symbol) reaches the driver. The score is the exac
 scaled forward recursion over the whole text.
 
 Word counts are exact over all training documents. A bounded table of the most frequent words goes to every
-task; the counts of all others are joined by a shuffle.
+task; the counts of all others are joined by a shuffle, in which no word is hot: one that is not among the 2^17 most
+frequent of training has less than 1 / 2^17 of its tokens, and documents are held out by a hash.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ FREQUENT_WORDS = 1 << 17  # at most so many words are broadcast
 OWN_WORDS = 2048
 SHARED = 1024
 SYMBOLS = 1 + OWN_WORDS + SHARED  # symbol 0 is the end of a text
-#: Training cuts longer sequences, so that what a task holds is bounded; scoring never does.
+#: Tokens of a longer sequence that training holds at a time; messages are carried across, so nothing is cut.
 SEGMENT = 1 << 16
 CELLS = 1 << 19
 FIXED = 1 << 24  # fixed-point unit of summed counts
@@ -188,8 +189,53 @@ def log10_likelihoods(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch expectations of starts (K), moves (K, K) and emissions (SYMBOLS, K)."""
+def _forward(model: Model, seq: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward messages (T, K) and scales of a stretch of one sequence; ``before`` is the message that it follows."""
+    alpha, scale = np.empty((len(seq), len(model.start))), np.empty(len(seq))
+    for t, x in enumerate(seq):
+        a = (model.start if before is None else before @ model.move) * model.emit[x]
+        scale[t] = a.sum()
+        before = alpha[t] = a / scale[t]
+    return alpha, scale
+
+
+def _long_counts(model: Model, seq: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The expectations of one long sequence, ``size`` tokens held at a time: forward messages are kept at the
+    stretches' begins only, and each stretch is run forward again when the backward messages reach it."""
+    k = len(model.start)
+    move, emit = np.zeros((k, k)), np.zeros((len(model.emit), k))
+    parts = [seq[i : i + size] for i in range(0, len(seq), size)]
+    before: list[np.ndarray | None] = [None]
+    for part in parts[:-1]:
+        before.append(_forward(model, part, before[-1])[0][-1])
+    ahead = None  # what the next token sends back
+    for part, entry in zip(reversed(parts), reversed(before), strict=True):
+        alpha, scale = _forward(model, part, entry)
+        for t in range(len(part) - 1, -1, -1):
+            beta = np.ones(k) if ahead is None else model.move @ ahead
+            if ahead is not None:
+                move += np.outer(alpha[t], ahead)
+            ahead = model.emit[part[t]] * beta / scale[t]
+            alpha[t] *= beta
+        for j in range(k):
+            emit[:, j] += np.bincount(part, weights=alpha[:, j], minlength=len(emit))
+    return alpha[0], move * model.move, emit
+
+
+def expected_counts(model: Model, seqs: list[np.ndarray], size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch expectations of starts (K), moves (K, K) and emissions (SYMBOLS, K); sequences beyond ``size`` are run in stretches."""
+    k = len(model.start)
+    total = [np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))]
+    for s in seqs:
+        if len(s) > size:
+            for x, y in zip(total, _long_counts(model, s, size), strict=True):
+                x += y
+    for x, y in zip(total, _short_counts(model, [s for s in seqs if len(s) <= size]), strict=True):
+        x += y
+    return tuple(total)
+
+
+def _short_counts(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = len(model.start)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))
     for _, m, alive in _chunks(seqs):
@@ -230,9 +276,8 @@ def _step(train: DataFrame, model: Model, symbol_counts: np.ndarray) -> Model:
         model = Model(*held.value)
         total = np.zeros(STATES + STATES * STATES + SYMBOLS * STATES)
         for b in batches:
-            seqs = [s[i : i + SEGMENT] for s in _symbols(b.column("symbols")) for i in range(0, len(s), SEGMENT)]
-            if seqs:
-                total += np.concatenate([x.ravel() for x in expected_counts(model, seqs)])
+            if b.num_rows:
+                total += np.concatenate([x.ravel() for x in expected_counts(model, _symbols(b.column("symbols")))])
         fixed = np.rint(total * FIXED).astype(np.int64)
         at = np.flatnonzero(fixed)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(fixed[at])], ["cell", "v"])
@@ -260,7 +305,7 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text is empty: one token, the end. A null id counts as training. Repeated rows are counted and
-    scored each. With no training document every base score is 0 and the model is as first drawn. An
+    scored each. Texts are learnt from and scored whole, however long. Other columns are not looked at. With no training document every base score is 0 and the model is as first drawn. An
     empty table gives an empty table.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

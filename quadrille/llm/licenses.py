@@ -1,12 +1,14 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 Rules are regular expressions over the words of a text. A rule is tried only where one of its keywords occurs,
-and rules at all only where a word begins like an anchor. Both are read off the patterns: every match holds them. Of overlapping detections one that lies inside another of
-higher or equal priority is suppressed. Every step is local to its row: nothing is shuffled.
+and rules at all only where a word begins like an anchor. Both are read off the patterns: every match holds them. Of
+overlapping detections one that lies inside another of higher or equal priority is suppressed, in one sweep over
+the detections by start. Every step is local to its row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as C
 import re._parser as P
 
@@ -14,123 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let
+from .license_rules import RULES
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters that are no part of a word: `[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` but A-Z.
+_OTHER = "".join(chr(c) for c in range(128) if not (chr(c).isalnum()))
 BASE = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
 
-_V = "(?:version |v )?"
-#: label, priority, confidence, keyword (for readers; filters are read off the pattern), pattern over lower-case words with one space between them.
-HAND = [
-    ("apache-2.0", 90, 1.0, "apache", f"licensed under the apache license {_V}2(?: 0)?"),
-    ("apache-2.0", 80, 0.9, "apache", f"apache (?:software )?license {_V}2(?: 0)?"),
-    ("apache-2.0", 85, 0.95, "apache", "spdx license identifier apache 2 0"),
-    ("apache-2.0", 70, 0.9, "apache", "(?:http|https) (?:www )?apache org licenses license 2 0(?: txt| html)?"),
-    ("apache-1.1", 80, 0.9, "apache", f"apache (?:software )?license {_V}1 1"),
-    ("apache", 40, 0.6, "apache", "(?:the )?apache (?:software )?license"),
-    ("mit", 90, 1.0, "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", 80, 0.9, "mit", "(?:released|licensed|distributed|available|published) under the (?:terms of the )?mit license"),
-    ("mit", 60, 0.8, "mit", "(?:the )?mit license"),
-    ("mit", 85, 0.95, "mit", "spdx license identifier mit"),
-    ("x11", 70, 0.9, "x11", "(?:the )?x11 license"),
-    ("isc", 90, 1.0, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("isc", 60, 0.8, "isc", "(?:the )?isc license"),
-    ("bsd", 40, 0.6, "bsd", "(?:the )?(?:modified |new |revised |simplified )?bsd(?: style)? license"),
-    ("bsd-2-clause", 80, 0.9, "bsd", "(?:the )?(?:2 clause|two clause|simplified) bsd license"),
-    ("bsd-2-clause", 80, 0.9, "bsd", "bsd 2 clause(?: license)?"),
-    ("bsd-3-clause", 80, 0.9, "bsd", "(?:the )?(?:3 clause|three clause|new|modified|revised) bsd license"),
-    ("bsd-3-clause", 80, 0.9, "bsd", "bsd 3 clause(?: license)?"),
-    ("bsd-4-clause", 80, 0.9, "bsd", "bsd 4 clause(?: license)?"),
-    ("0bsd", 80, 0.9, "0bsd", "0bsd(?: license)?"),
-    ("bsd", 70, 0.9, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", 85, 0.95, "endorse", "neither the name of (?:[^ ]+ ){1,20}?nor the names of (?:its|their) contributors may be used to endorse or promote products"),
-    ("bsd-4-clause", 85, 0.95, "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
-    ("gpl-1.0", 85, 0.95, "general public license", f"(?:gnu )?general public license {_V}1(?: 0)?"),
-    ("gpl-2.0", 85, 0.95, "general public license", f"(?:gnu )?general public license {_V}2(?: 0)?"),
-    ("gpl-3.0", 85, 0.95, "general public license", f"(?:gnu )?general public license {_V}3(?: 0)?"),
-    ("gpl-2.0-or-later", 95, 1.0, "general public license", f"(?:gnu )?general public license (?:as published by the free software foundation )?(?:either )?{_V}2(?: 0)?(?: of the license)? or (?:\\(?at your option\\)? )?any later version"),
-    ("gpl-3.0-or-later", 95, 1.0, "general public license", f"(?:gnu )?general public license (?:as published by the free software foundation )?(?:either )?{_V}3(?: 0)?(?: of the license)? or (?:\\(?at your option\\)? )?any later version"),
-    ("gpl", 50, 0.7, "general public license", "(?:the )?(?:gnu )?general public license"),
-    ("gpl-2.0", 70, 0.85, "gpl", "(?:gnu )?gpl(?: license)? ?(?:version |v )?2(?: 0)?"),
-    ("gpl-3.0", 70, 0.85, "gpl", "(?:gnu )?gpl(?: license)? ?(?:version |v )?3(?: 0)?"),
-    ("gpl-2.0", 70, 0.85, "gplv2", "(?:gnu )?gplv2"),
-    ("gpl-3.0", 70, 0.85, "gplv3", "(?:gnu )?gplv3"),
-    ("gpl", 30, 0.5, "gpl", "(?:the )?gnu gpl"),
-    ("lgpl-2.1", 85, 0.95, "lesser general public license", f"(?:gnu )?lesser general public license {_V}2 1"),
-    ("lgpl-3.0", 85, 0.95, "lesser general public license", f"(?:gnu )?lesser general public license {_V}3(?: 0)?"),
-    ("lgpl-2.0", 85, 0.95, "library general public license", f"(?:gnu )?library general public license {_V}2(?: 0)?"),
-    ("lgpl", 60, 0.8, "lesser general public license", "(?:the )?(?:gnu )?lesser general public license"),
-    ("lgpl", 60, 0.8, "library general public license", "(?:the )?(?:gnu )?library general public license"),
-    ("lgpl", 30, 0.5, "lgpl", "(?:the )?(?:gnu )?lgpl(?: license)?(?: (?:version |v )?(?:2 1|3(?: 0)?))?"),
-    ("agpl-3.0", 85, 0.95, "affero general public license", f"(?:gnu )?affero general public license {_V}3(?: 0)?"),
-    ("agpl", 60, 0.8, "affero general public license", "(?:the )?(?:gnu )?affero general public license"),
-    ("agpl-3.0", 70, 0.85, "agpl", "(?:gnu )?agpl ?(?:version |v )?3(?: 0)?"),
-    ("gfdl", 60, 0.8, "free documentation license", f"(?:the )?(?:gnu )?free documentation license(?: {_V}1 [0-3])?"),
-    ("mpl-1.1", 85, 0.95, "mozilla", f"mozilla public license {_V}1 1"),
-    ("mpl-2.0", 85, 0.95, "mozilla", f"mozilla public license {_V}2(?: 0)?"),
-    ("mpl", 50, 0.7, "mozilla", "(?:the )?mozilla public license"),
-    ("epl-1.0", 85, 0.95, "eclipse", f"eclipse public license {_V}1(?: 0)?"),
-    ("epl-2.0", 85, 0.95, "eclipse", f"eclipse public license {_V}2(?: 0)?"),
-    ("epl", 50, 0.7, "eclipse", "(?:the )?eclipse public license"),
-    ("cddl-1.0", 70, 0.9, "cddl", "cddl(?: (?:version |v )?1(?: 0)?)?"),
-    ("cddl-1.0", 80, 0.9, "common development", f"common development and distribution license(?: {_V}1(?: 0)?)?"),
-    ("eupl", 70, 0.9, "european union public", f"european union public licen[cs]e(?: {_V}1 [012])?"),
-    ("unlicense", 90, 1.0, "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("unlicense", 60, 0.8, "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", 70, 0.9, "wtfpl", "(?:the )?wtfpl"),
-    ("zlib", 90, 1.0, "altered source", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
-    ("zlib", 60, 0.8, "zlib", "(?:the )?zlib(?: libpng)? license"),
-    ("boost-1.0", 80, 0.9, "boost software", f"boost software license(?: {_V}1(?: 0)?)?"),
-    ("artistic-2.0", 80, 0.9, "artistic", f"artistic license {_V}2(?: 0)?"),
-    ("artistic", 50, 0.7, "artistic", "(?:the )?artistic license"),
-    ("python-2.0", 80, 0.9, "python software foundation", f"python software foundation license(?: {_V}2)?"),
-    ("postgresql", 70, 0.9, "postgresql", "(?:the )?postgresql licen[cs]e"),
-    ("ofl-1.1", 80, 0.9, "open font", f"(?:sil )?open font license(?: {_V}1 [01])?"),
-    ("odbl-1.0", 80, 0.9, "open database", "open database license(?: odbl)?(?: (?:version |v )?1(?: 0)?)?"),
-    ("pddl-1.0", 80, 0.9, "public domain dedication", "(?:odc )?public domain dedication and licen[cs]e"),
-    ("cc0-1.0", 85, 0.95, "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc0-1.0", 85, 0.95, "creative commons zero", "creative commons zero(?: (?:version |v )?1 0)?(?: universal)?"),
-    ("public-domain", 60, 0.8, "public domain", "(?:released|placed|dedicated|is) (?:into|in|to) the public domain"),
-    ("public-domain", 30, 0.5, "public domain", "(?:the )?public domain"),
-    ("cc", 20, 0.5, "creative commons", "(?:a )?creative commons(?: license)?"),
-    ("proprietary", 80, 0.9, "unauthorized", "unauthorized (?:copying|reproduction|distribution|use)(?: [^ ]+){0,8}? is (?:strictly )?prohibited"),
-    ("proprietary", 70, 0.85, "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", 70, 0.85, "written permission", "without (?:the )?(?:express |prior )*(?:prior |express )?written permission"),
-    ("proprietary", 60, 0.8, "redistribute", "(?:may not|do not) (?:copy|reproduce|redistribute)(?: or (?:copy|reproduce|redistribute))*"),
-    ("reserved", 50, 0.7, "rights reserved", "(?:all|some|no) rights reserved"),
-    ("copyright", 40, 0.6, "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*"),
-    ("copyright", 20, 0.4, "copyright", "copyright(?: c)? (?:by )?(?:the )?(?:[^ ]+ )?(?:authors?|contributors?|holders?|owners?|inc|ltd|gmbh)"),
-    ("eula", 60, 0.8, "end user license", "end user licen[cs]e agreement"),
-    ("tos", 40, 0.6, "terms of", "terms of (?:use|service)(?: apply)?"),
-    ("warranty-disclaimer", 60, 0.8, "warranty", "(?:provided )?as is without (?:any )?warrant(?:y|ies)(?: of any kind)?(?: either)?(?: express or implied)?"),
-    ("warranty-disclaimer", 60, 0.8, "merchantability", "(?:implied )?warranties of merchantability(?: and)? fitness for a particular purpose"),
-    ("patent-grant", 50, 0.7, "patent", "(?:perpetual )?worldwide non exclusive no charge royalty free(?: irrevocable)? patent license"),
-    ("no-ai-training", 70, 0.9, "training", "(?:may not|must not|do not) (?:be )?use(?:d)? (?:[^ ]+ ){0,4}?(?:for|to) (?:ai|machine learning|model)? ?training"),
-]
-
-#: Families with versions, written once and spelled out: (label stem, words, versions, keyword).
-_CC = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s?", "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?"}
-_SPDX = "afl-3.0 apl-1.0 apsl-2.0 artistic-1.0 bsl-1.0 bsl-1.1 cal-1.0 cecill-2.1 cecill-b cecill-c cpal-1.0 cpl-1.0 cua-opl-1.0 ecl-2.0 efl-2.0 entessa eudatagrid fair frameworx-1.0 hpnd ipa ipl-1.0 lpl-1.02 lppl-1.3c miros motosoto ms-pl ms-rl mulanpsl-2.0 multics nasa-1.3 naumen ncsa ngpl nokia nposl-3.0 ntp oclc-2.0 ogtsl osl-3.0 osl-2.1 php-3.01 qpl-1.0 rpl-1.5 rpsl-1.0 rscpl simpl-2.0 sissl sleepycat spl-1.0 sspl-1.0 upl-1.0 vsl-1.0 w3c watcom-1.0 xnet zpl-2.1 elastic-2.0 polyform".split()
-
-
-def _rules() -> list[tuple[str, int, float, str, str]]:
-    rules = list(HAND)
-    for kind, words in _CC.items():
-        short = kind.replace("-", " ")
-        for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
-            label = f"cc-{kind}-{version.replace(' ', '.')}"
-            rules.append((label, 90, 1.0, f"cc {short}", f"cc {short} {_V}{version}"))
-            rules.append((label, 90, 1.0, "creative commons", f"creative commons {words} {_V}{version}(?: (?:international|unported|generic))?"))
-        rules.append((f"cc-{kind}", 60 + len(kind), 0.8, f"cc {short}", f"cc {short}"))
-        rules.append((f"cc-{kind}", 60 + len(kind), 0.8, "creative commons", f"creative commons {words}"))
-    for name in _SPDX:
-        words = name.replace("-", " ").replace(".", " ")
-        rules.append((name, 85, 0.95, "spdx", f"spdx license identifier {words}"))
-        rules.append((name, 70, 0.85, f"{words} license", f"(?:under the |the ){words} license"))
-    return rules
-
-
-RULES = _rules()
 MOST = 12  # literals of a rule at most
 
 
@@ -185,6 +77,7 @@ def required(pattern: str) -> list[tuple[list[str], bool]]:
         if more is not None:
             texts = more
             here = all(x.endswith(" ") for x in texts)
+    texts = [f"{x} " for x in texts] if all(texts) else texts  # a match ends with its word
     close()
     return runs
 
@@ -201,90 +94,132 @@ def _keywords(pattern: str) -> list[str]:
 
 
 def _anchor(keyword: str) -> str:
-    """A space and the longest word that follows a space in the literal; all of a literal without one."""
-    return " " + max(keyword.split(" ")[1:], key=len) if " " in keyword.rstrip() else keyword
+    """A space and the longest word of the literal, with a mark for its end where that is known; all of a literal without one."""
+    *whole, begun = keyword.split(" ")[1:] if " " in keyword else [""]
+    found = max([begun, *[w + _END for w in whole if w]], key=len)
+    return f" {found}" if found else keyword
 
 
+_END = "\n"
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern that matches where one of ``words`` begins, one branch for each next character."""
+    if "" in words:
+        return ""
+    heads = sorted({w[0] for w in words})
+    parts = [P_ESCAPE.get(h, h) + _trie([w[1:] for w in words if w[0] == h]) for h in heads]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+P_ESCAPE = {c: f"\\{c}" for c in ".?+*()[]{}|^$\\"} | {_END: "(?= )"}
 KEYWORDS = [_keywords(p) for *_, p in RULES]
-ANCHORS = "|".join(sorted({_anchor(k) for ks in KEYWORDS for k in ks}))
+ANCHORS = _trie(sorted({_anchor(k) for ks in KEYWORDS for k in ks}))
+
+
+def _anchors(keywords: list[str]) -> list[str]:
+    """What :data:`ANCHORS` finds of the keywords' anchors: the shortest anchor that each begins with."""
+    return sorted({re.match(ANCHORS, _anchor(k).replace(_END, " ")).group() for k in keywords})
+
+
+_FOUND = "array<struct<rule:int,label:string,priority:int,score:double,start:int,end:int>>"
 
 
 def _rule_table() -> Column:
     rows = [
-        F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(b).alias("priority"), F.lit(c).alias("score"), F.array(*map(F.lit, KEYWORDS[i])).alias("keywords"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"))
-        for i, (a, b, c, _, p) in enumerate(RULES)
+        F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(b).alias("priority"), F.lit(c).alias("score"), F.array(*map(F.lit, KEYWORDS[i])).alias("keywords"), F.array(*map(F.lit, _anchors(KEYWORDS[i]))).alias("anchors"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"))
+        for i, (a, b, c, p) in enumerate(RULES)
     ]
     return F.array(*rows)
 
 
-def _detections(joined: Column) -> Column:
-    """All matches of rules whose keyword occurs: array<struct(rule, label, priority, score, start, end)>."""
-    chars = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+def _detections(joined: Column, anchors: Column) -> Column:
+    """All matches of rules that have one of ``anchors`` and whose keyword occurs: array<struct(rule, label, priority, score, start, end)>."""
 
     def places(r: Column) -> Column:
         def at(gaps: Column) -> Column:
-            def found(ms: Column) -> Column:
-                def one(m: Column, i: Column) -> Column:
-                    start = chars(F.slice(gaps, F.lit(1), i + 1)) + chars(F.slice(ms, F.lit(1), i))
-                    return F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), r["score"].alias("score"), start.alias("start"), (start + F.length(m)).alias("end"))
+            # Gaps and matches in turn; a place is the sum of all lengths before it.
+            def step(acc: Column, x: Column) -> Column:
+                start = acc["at"] + F.length(x["gap"])
+                one = F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), r["score"].alias("score"), start.alias("start"), (start + F.length(x["match"])).alias("end"))
+                return F.struct((start + F.length(x["match"])).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
-                return F.transform(ms, one)
-
-            return let(F.regexp_extract_all(joined, r["pattern"], F.lit(0)), found)
+            begin = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found"))
+            matches = F.regexp_extract_all(joined, r["pattern"], F.lit(0))
+            pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+            return F.aggregate(pairs, begin, step)["found"]
 
         return let(F.split(joined, r["pattern"], F.lit(-1)), at)
 
-    tried = F.filter(_rule_table(), lambda r: F.exists(r["keywords"], lambda k: F.contains(joined, k)))
+    tried = F.filter(_rule_table(), lambda r: F.arrays_overlap(r["anchors"], anchors) & F.exists(r["keywords"], lambda k: F.contains(joined, k)))
     return F.flatten(F.transform(tried, places))
 
 
 def _survivors(found: Column) -> Column:
-    def inside(d: Column, e: Column) -> Column:
-        covers = (e["start"] <= d["start"]) & (e["end"] >= d["end"])
-        longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
-        same = (e["end"] - e["start"]) == (d["end"] - d["start"])
-        wins = (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (same & (e["rule"] < d["rule"]))))
-        return covers & wins
+    """The detections that lie inside no other of higher or equal priority; of equal places and priorities the first rule's stays.
+
+    By start, longer and then higher ones first, whatever suppresses a detection comes before it. ``open`` holds
+    those before that still reach beyond its start, and one character a detection says whether it stays."""
+    order = F.array_sort(F.transform(found, lambda d: F.struct(d["start"], (-d["end"]).alias("minus"), (-d["priority"]).alias("less"), d["rule"], d["label"], d["score"])))
+
+    def step(acc: Column, d: Column) -> Column:
+        still = F.filter(acc["open"], lambda e: e["end"] > d["start"])
+        hidden = F.exists(still, lambda e: (e["end"] >= -d["minus"]) & (e["less"] <= d["less"]))
+        here = F.array(F.struct((-d["minus"]).alias("end"), d["less"].alias("less")))
+        return F.struct(F.when(hidden, still).otherwise(F.concat(still, here)).alias("open"), F.concat(acc["kept"], F.when(hidden, "0").otherwise("1")).alias("kept"))
+
+    def stay(ds: Column) -> Column:
+        begin = F.struct(F.array().cast("array<struct<end:int,less:int>>").alias("open"), F.lit("").alias("kept"))
+        kept = F.split(F.aggregate(ds, begin, step)["kept"], "")
+        left = F.filter(F.arrays_zip(ds.alias("d"), kept.alias("k")), lambda x: x["k"] == "1")
+        return F.transform(left, lambda x: F.struct(x["d"]["rule"].alias("rule"), x["d"]["label"].alias("label"), (-x["d"]["less"]).alias("priority"), x["d"]["score"].alias("score"), x["d"]["start"].alias("start"), (-x["d"]["minus"]).alias("end")))
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: inside(d, e)))
+    return let(order, stay)
+
+
+def _words(text: Column) -> Column:
+    """Words in a text of words with one space around each, or their number before a place in it."""
+    return F.greatest(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) - 1, F.lit(0))
 
 
 def scan(text: Column) -> Column:
     """struct(n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of a text.
 
-    Null and empty texts have no words, no places (null first and last), empty labels and score 0.
+    Null and empty texts have no words, no places (null first and last), empty labels and score 0. Texts are scanned whole, however
+    long; what is done follows their length and the number of detections. start and end count characters of the words joined by spaces.
     """
-    lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    spaced = F.translate(F.coalesce(text, F.lit("")), _UPPER + _OTHER, _LOWER + " " * len(_OTHER))
+
+    def of_joined(joined: Column) -> Column:
+        def base(label: str, phrase: tuple[str, ...]) -> Column:
+            words = " ".join(phrase)
 
-    def of_words(words: Column) -> Column:
-        def of_joined(joined: Column) -> Column:
-            def starts(phrase: tuple[str, ...]) -> Column:
-                here = lambda i: F.coalesce(F.get(words, i) == phrase[0], F.lit(False))
-                full = lambda i: F.forall(F.array(*[F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)]), lambda x: x)
-                places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: here(i) & full(i))
-                return F.when(F.contains(joined, F.lit(f" {' '.join(phrase)} ")), places).otherwise(F.array().cast("array<int>"))
+            def places(gaps: Column) -> Column:
+                last = F.element_at(gaps, -1)
+                return F.struct(F.lit(label).alias("label"), (F.size(gaps) - 1).alias("n"), _words(F.get(gaps, F.lit(0))).alias("first"), (_words(joined) - _words(last) - len(phrase)).alias("last"))
 
-            def of_base(b: Column) -> Column:
-                every = F.flatten(F.transform(b, lambda x: x["at"]))
-                base = F.transform(F.filter(b, lambda x: F.size(x["at"]) > 0), lambda x: x["label"])
-                none = F.array().cast("array<struct<rule:int,label:string,priority:int,score:double,start:int,end:int>>")
-                found = F.when(F.rlike(joined, F.lit(ANCHORS)), let(_detections(joined), _survivors)).otherwise(none)
-                return let(found, lambda d: F.struct(
-                    F.size(words).cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"),
-                    F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-                    F.array_join(F.array_sort(base), ",").alias("base_labels"),
-                    F.array_join(F.array_sort(F.array_union(base, F.transform(d, lambda x: x["label"]))), ",").alias("labels"),
-                    F.greatest(F.coalesce(F.array_max(F.transform(d, lambda x: x["score"])), F.lit(0.0)), F.when(F.size(base) > 0, 0.5).otherwise(0.0)).alias("score"),
-                    d.alias("detections"),
-                ))
+            found = let(F.split(joined, f"(?<= ){words}(?= )", F.lit(-1)), places)
+            return F.when(F.contains(joined, F.lit(f" {words} ")), found)
 
-            return let(F.array(*[F.struct(F.lit(k).alias("label"), starts(p).alias("at")) for k, p in sorted(BASE.items())]), of_base)
+        def of_base(b: Column) -> Column:
+            none = F.array().cast(_FOUND)
+            labels = F.transform(b, lambda x: x["label"])
+            met = F.array_distinct(F.regexp_extract_all(joined, F.lit(ANCHORS), F.lit(0)))
+            found = let(met, lambda anchors: F.when(F.size(anchors) > 0, let(_detections(joined, anchors), _survivors)).otherwise(none))
+            return let(found, lambda d: F.struct(
+                _words(joined).cast("long").alias("n_words"), F.aggregate(b, F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("n_base"),
+                F.array_min(F.transform(b, lambda x: x["first"])).cast("long").alias("first_word"), F.array_max(F.transform(b, lambda x: x["last"])).cast("long").alias("last_word"),
+                F.array_join(F.array_sort(labels), ",").alias("base_labels"),
+                F.array_join(F.array_sort(F.array_union(labels, F.transform(d, lambda x: x["label"]))), ",").alias("labels"),
+                F.greatest(F.coalesce(F.array_max(F.transform(d, lambda x: x["score"])), F.lit(0.0)), F.when(F.size(b) > 0, 0.5).otherwise(0.0)).alias("score"),
+                d.alias("detections"),
+            ))
 
-        return let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), of_joined)
+        return let(F.array_compact(F.array(*[base(k, p) for k, p in sorted(BASE.items())])), of_base)
 
-    return let(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), of_words)
+    return let(F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), " {2,}", " "), of_joined)
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row, and the fields of :func:`scan`. Repeated rows are scanned alike."""
+    """The columns ``keep`` of every row, and the fields of :func:`scan`. Repeated rows are scanned alike. An empty table gives an empty table."""
     return docs.select(*keep, scan(F.col(text_col)).alias("__s")).select(*keep, "__s.*")

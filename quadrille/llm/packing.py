@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .wordhash import EXACT, joined, span_hashes, words_of
+from .wordhash import EXACT, joined, ragged, same_spans, span_hashes, words_of
 
 MAX_LEN = 4096
 END_ID = 1
@@ -91,12 +91,6 @@ class _Merges:
         return done[kept], kept.sum(axis=1)
 
 
-def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The places of stretches, one stretch after the other."""
-    ends = np.cumsum(counts)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
-
-
 class _Encoder:
     """Ids of words of one tokenizer, each distinct word of a batch encoded once.
 
@@ -137,7 +131,7 @@ class _Encoder:
         odd = np.ones(len(starts), dtype=bool)
         ids, count, first = np.empty(0, np.int32), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         if self.merges is not None:
-            raw = self.lower[buffer[_ragged(starts, sizes)]]
+            raw = self.lower[buffer[ragged(starts, sizes)]]
             word = np.repeat(np.arange(len(starts)), sizes)
             begins = np.cumsum(sizes) - sizes
             kind = self.kind[raw]
@@ -157,7 +151,7 @@ class _Encoder:
             of = word[at]
             at, size, of = at[~odd[of]], size[~odd[of]], of[~odd[of]]
             _, some, which = np.unique(span_hashes(raw, at, at + size, EXACT), return_index=True, return_inverse=True)
-            if not self._same(raw, at, size, some, which):
+            if not same_spans(raw, at, size, some, which):
                 some = which = np.arange(len(at))
             order = np.argsort(size[some], kind="stable")
             parts, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
@@ -169,7 +163,7 @@ class _Encoder:
             n = np.concatenate(counts)
             of_piece, begin = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
             of_piece[order], begin[order] = n, np.cumsum(n) - n
-            ids = np.concatenate(parts)[_ragged(begin[which], of_piece[which])]
+            ids = np.concatenate(parts)[ragged(begin[which], of_piece[which])]
             count = np.bincount(of, weights=of_piece[which], minlength=len(starts)).astype(np.int64)
             first = np.cumsum(count) - count
         left = np.flatnonzero(odd)
@@ -178,15 +172,6 @@ class _Encoder:
         first[left] = len(ids) + np.cumsum(count[left]) - count[left]
         return np.concatenate([ids, *more]), first, count
 
-    @staticmethod
-    def _same(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, some: np.ndarray, which: np.ndarray) -> bool:
-        """Whether stretches of one hash have one length and the same eight bytes at their begin."""
-        padded = np.append(raw, np.zeros(8, np.uint8))
-        head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[starts]).view("<u8").ravel()
-        spare = np.maximum(8 - sizes, 0).astype(np.uint64) * np.uint64(8)
-        head = (head << spare) >> spare
-        return bool((sizes == sizes[some][which]).all() and (head == head[some][which]).all())
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids (little-endian unsigned 32-bit) followed by END_ID.
 
@@ -198,10 +183,10 @@ class _Encoder:
         starts, ends, hashes = words_of(buffer, not exact)
         _, some, which = np.unique(hashes, return_index=True, return_inverse=True)
         sizes = ends - starts
-        if not self._same(buffer if exact else self.lower[buffer], starts, sizes, some, which):
+        if not same_spans(buffer if exact else self.lower[buffer], starts, sizes, some, which):
             some = which = np.arange(len(starts))
         ids, first, count = self._words(buffer, starts[some], sizes[some])
-        found = ids[_ragged(first[which], count[which])].astype("<u4").tobytes()
+        found = ids[ragged(first[which], count[which])].astype("<u4").tobytes()
         at = np.append(0, np.cumsum(count[which]))[np.searchsorted(starts, offsets)] * 4
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         return [found[i:j] + end for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

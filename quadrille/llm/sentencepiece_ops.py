@@ -1,161 +1,287 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Texts are cut into units that no piece reaches across; each distinct unit is encoded once. Its substrings of
-bounded length are exploded and equi-joined to the piece table (broadcast: as large as the vocabulary file), the
-edges are grouped by unit, and a fold with Spark's ``aggregate`` finds the segmentation: for a unigram model the best
-path (Viterbi), for a BPE model the merges in order of their rank, as its segmentation is not a best path.
-The join to the pieces keeps the partitioning by unit, so the edges are grouped where they are made.
-
-The fold of merges looks at every pair in every step; it costs too much on a corpus. Unless asked
-otherwise (``relational``), units of BPE models are merged by a heap in an Arrow batch.
+Texts are cut into units that no piece reaches across. Every distinct unit of the corpus is encoded once: its substrings of
+bounded length are exploded and equi-joined to the piece table (broadcast: as large as the vocabulary file), the edges
+are grouped by unit, and a fold with Spark's ``aggregate`` takes the best path (Viterbi).
+
+Units and ids travel in packed form. A chunk of documents sends each of its distinct units once, to the bucket of its
+hash; a bucket lists its distinct units and says which of them each chunk has; the ids come back by chunk. So no
+document is shuffled as text, and no unit of any frequency is a row for each of its places.
+
+The public model file is of the BPE kind. Its segmentation is made by merges and is no best path of any score, so the best path
+under its scores gives other ids for some units. ``method="merges"`` gives the library's ids by merging each distinct unit.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+import pyarrow.ipc as ipc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, setting
+from .wordhash import EXACT, ragged, same_spans, span_hashes
 
 SPACE = "▁"
-#: Units up to this many characters take the relational fold.
-RELATIONAL = {"bpe": 0, "unigram": 1 << 30}
-FLUSH = 300_000
-FREQUENT_UNITS = 1 << 18  # at most so many units are broadcast
-NONE = 1 << 30
-_ALONE = "\x00-\x0c\x0e-\x1f\x7f"  # control characters but the carriage return
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}{_ALONE}]+|{SPACE}+|[{_ALONE}]")
+#: Units of a chunk, bytes of text cut at a time, documents to a bucket and buckets at least.
+CHUNK, BATCH, DOCS_A_BUCKET, BUCKETS = 1 << 20, 1 << 22, 4096, 64
+#: Units up to this many characters take the lattice, so many of them in a task; longer ones take the same fold in a loop.
+LONG, UNITS_A_TASK = 64, 20_000
+STOPS = b".,;:!?"
+RUN = 4  # stops looked back over one by one
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[list(STOPS)] = True
+_ALONE = np.zeros(256, dtype=bool)  # control characters but the carriage return
+_ALONE[0:32] = _ALONE[127] = True
+_ALONE[13] = False
 
 
 class Model:
-    """Pieces of a model file: (id, piece, score), where bytes begin, and whether it is a BPE or a unigram model."""
+    """Pieces of a model file: (id, piece, score), and where bytes begin."""
 
-    def __init__(self, path: str, kind: str = "bpe"):
+    def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.kind, self.pieces = kind, [(i, sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.byte0 = next((i for i in range(sp.get_piece_size()) if sp.is_byte(i)), -1)
-        self.unknown = sp.unk_id()
+        n = sp.get_piece_size()
+        self.pieces = [(i, sp.id_to_piece(i), sp.get_score(i)) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        self.byte0 = next((i for i in range(n) if sp.is_byte(i)), -1)
+        self.unknown, self.size = sp.unk_id(), n
         self.longest = max(len(p) for _, p, _ in self.pieces)
-        if any(len(p) > 1 and (SPACE in p.lstrip(SPACE) or re.search(f"[{_ALONE}]", p)) for _, p, _ in self.pieces):
-            raise ValueError("pieces reach across words; texts cannot be cut into units")
-        order = {s: r for r, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
-        self.rows = [(p, i, order[s], float(s)) for i, p, s in self.pieces]
+        self.worst = min(s for *_, s in self.pieces if s > -1e8) - 10.0
+        across = rf"[^{SPACE}]{SPACE}|.[\x00-\x0c\x0e-\x1f\x7f]|[\x00-\x0c\x0e-\x1f\x7f].|[A-Za-z][{re.escape(STOPS.decode())}]"
+        if any(re.search(across, p, re.DOTALL) for _, p, _ in self.pieces):
+            raise ValueError("pieces reach across units")
+        self.raw = [b""] * n
+        for i, p, _ in self.pieces:
+            self.raw[i] = p.replace(SPACE, " ").encode("utf-8")
+        if self.byte0 >= 0:
+            self.raw[self.byte0 : self.byte0 + 256] = [bytes([b]) for b in range(256)]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, rank, score); the empty piece is there so that a unit without any edge is kept."""
-        return spark.createDataFrame([*self.rows, ("", -1, NONE, 0.0)], "piece string, id int, rank int, score double")
+        return spark.createDataFrame([(p, i, float(s)) for i, p, s in self.pieces], "piece string, id int, score double")
+
+    def bytes_of(self, char: str) -> list[int]:
+        return [self.byte0 + b for b in char.encode("utf-8")] if self.byte0 >= 0 else [self.unknown]
+
+
+def cut_units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, starts, ends, units of each text): the texts in UTF-8, each with a space before it, cut before each run of spaces, around
+    control characters and before the stops that end a unit after a letter. Null and empty texts have no unit."""
+    raw = [b" " + t.encode("utf-8", "replace").replace(SPACE.encode(), b" ") if t else b"" for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    buffer = np.frombuffer(b"".join(raw), np.uint8)
+    space, alone = buffer == 32, _ALONE[buffer]
+    begin = (space & ~np.append(False, space[:-1])) | alone | np.append(False, alone[:-1])
+    begin[offsets[:-1][offsets[:-1] < len(buffer)]] = True
+    starts = np.flatnonzero(begin)
+    ends = np.append(starts[1:], len(buffer))[: len(starts)]
+    # Where the stops at a unit's end begin, if a letter stands before them.
+    at = ends[_STOP[buffer[ends - 1]]] - 1
+    for _ in range(RUN):
+        at = at - _STOP[buffer[at - 1]]
+    if _STOP[buffer[at - 1]].any():  # longer runs: the last other byte before each place
+        at = np.maximum.accumulate(np.where(_STOP[buffer], 0, np.arange(len(buffer))))[at] + 1
+    begin[at[_LETTER[buffer[at - 1]]]] = True
+    starts = np.flatnonzero(begin)
+    ends = np.append(starts[1:], len(buffer))[: len(starts)]
+    return buffer, starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
 def units(text: str | None) -> list[str]:
-    """The text with a space before it and spaces shown as ▁, cut before each run of ▁ and around control characters."""
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def _byte_ids(char: Column, byte0: int, unknown: int) -> Column:
-    if byte0 < 0:
-        return F.array(F.lit(unknown))
-    raw = F.encode(char, "UTF-8")
-    return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: (F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + byte0))
-
-
-def _bpe_cuts(edges: Column, n: Column) -> Column:
-    """Boundaries after all merges: each step takes away the boundary whose merge has the best rank, leftmost first."""
-    rank = lambda s, e: F.coalesce(F.get(F.filter(edges, lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["rank"], F.lit(NONE))
-
-    def step(cuts: Column, _: Column) -> Column:
-        merges = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.struct(rank(F.get(cuts, i), F.get(cuts, i + 2)).alias("rank"), i.alias("i")))
-
-        def taken(best: Column) -> Column:
-            kept = F.concat(F.slice(cuts, F.lit(1), best["i"] + 1), F.slice(cuts, best["i"] + 3, F.size(cuts)))
-            return F.when(best["rank"] < NONE, kept).otherwise(cuts)
-
-        return F.when(F.size(cuts) < 3, cuts).otherwise(F.transform(F.array(F.array_min(merges)), taken)[0])
-
-    return F.when(n < 2, F.sequence(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), F.sequence(F.lit(0), n), step))
-
-
-def _viterbi_cuts(edges: Column, n: Column) -> Column:
-    """Boundaries of the path of the highest score; a character without a piece costs 10 below the worst score."""
-    worst = F.lit(-1e9)
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("back")))
-
-    def step(best: Column, e: Column) -> Column:
-        into = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("back")))
-        alone = F.array(F.struct((F.get(best, e - 1)["score"] + worst).alias("score"), (e - 1).alias("back")))
-        return F.concat(best, F.array(F.array_max(F.concat(into, alone))))
-
-    best = F.aggregate(F.sequence(F.lit(1), n), start, step)
-    back = lambda b: F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda cuts, _: F.when(F.get(cuts, F.lit(0)) == 0, cuts).otherwise(F.concat(F.array(F.get(b, F.get(cuts, F.lit(0)))["back"]), cuts)))
-    return F.transform(F.array(best), back)[0]
+    """The units of a text, spaces shown as ▁."""
+    buffer, starts, ends, _ = cut_units([text])
+    return [buffer[i:j].tobytes().decode("utf-8").replace(" ", SPACE) for i, j in zip(starts, ends, strict=True)]
+
+
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+    return zstandard.compress(np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts), 3)
+
+
+def _unpack(blob: bytes, n: int) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    ends = 8 * n + np.cumsum(np.frombuffer(raw, "<i8", n))
+    return [raw[i:j] for i, j in zip([8 * n, *ends.tolist()], ends.tolist(), strict=False)]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number, rows, bytes, starts and ends of the distinct units in order of their hash, hashes, which unit each place has, units of each row).
+
+    Which rows make a chunk follows from the order of the rows of a task alone."""
+    number, waiting, held = TaskContext.get().partitionId() << 33, 0, []
+
+    def out():
+        rows = pa.Table.from_batches([b for b, *_ in held])
+        shift = np.cumsum([0, *[len(c[0]) for _, c in held]])
+        buffer = np.concatenate([c[0] for _, c in held])
+        starts, ends = (np.concatenate([c[k] + s for (_, c), s in zip(held, shift, strict=False)]) for k in (1, 2))
+        hashes = np.empty(len(starts), np.uint64)
+        at = 0
+        for _, c in held:
+            hashes[at : at + len(c[1])] = span_hashes(c[0], c[1], c[2], EXACT)
+            at += len(c[1])
+        kinds, some, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not same_spans(buffer, starts, ends - starts, some, which):
+            some = np.argsort(hashes, kind="stable")
+            kinds, which = hashes[some], np.argsort(some)
+        counts = np.concatenate([c[3] for _, c in held])
+        held.clear()
+        return number, rows, buffer, starts[some], ends[some], kinds, which, counts
+
+    for whole in batches:
+        texts, low, size = whole.column("text").to_pylist(), 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= BATCH or i == len(texts) - 1:
+                cut = cut_units(texts[low : i + 1])
+                held.append((whole.slice(low, i + 1 - low), cut))
+                waiting, low, size = waiting + len(cut[1]), i + 1, 0
+                if waiting >= CHUNK:
+                    yield out()
+                    number, waiting = number + 1, 0
+    if held:
+        yield out()
 
 
-def encode_units(distinct: DataFrame, model: Model, relational: int | None = None) -> DataFrame:
-    """``distinct`` (unit, c; partitioned by unit) as (unit, c, ids)."""
-    spark = distinct.sparkSession
-    most = RELATIONAL[model.kind] if relational is None else relational
-    if model.kind == "bpe" and most < 1:
-        return _merged_units(distinct, model)
-    short = distinct.where(F.length("unit") <= most)
+def _buckets(rows: int) -> int:
+    n = BUCKETS
+    while n * DOCS_A_BUCKET < rows:
+        n *= 2
+    return n
+
+
+def _asked(docs: DataFrame, buckets: int) -> DataFrame:
+    """Two kinds of rows: (bucket, no, unit) has the distinct units, numbered within their bucket; (bucket, chunk, has) the packed numbers of a chunk's units there."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, buffer, starts, ends, kinds, *_ in _chunks(batches):
+            part = (kinds >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            sizes = ends - starts
+            blobs = []
+            for i, j in zip(first, np.append(first[1:], len(part)), strict=False):
+                blobs.append(_pack(sizes[i:j].astype("<u4"), buffer[ragged(starts[i:j], sizes[i:j])]))
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(first), pa.int64()), pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "bucket", "units"])
+
+    def number(bucket: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        has = []
+        for blob in bucket.column("units").to_pylist():
+            sizes, raw = _unpack(blob, 2)
+            ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+            has.append(_pack(np.array([known.setdefault(raw[i:j], len(known)) for i, j in zip([0, *ends], ends, strict=False)], "<u4")))
+        b, n, m = bucket.column("bucket")[0].as_py(), len(known), len(has)
+        return pa.table({
+            "bucket": pa.array([b] * (n + m), pa.int32()), "no": pa.array([*range(n), *[None] * m], pa.int32()),
+            "unit": pa.array([*[u.decode("utf-8").replace(" ", SPACE) for u in known], *[None] * m], pa.string()),
+            "chunk": pa.array([*[None] * n, *bucket.column("chunk").to_pylist()], pa.int64()), "has": pa.array([*[None] * n, *has], pa.binary()),
+        })
+
+    asked = docs.select("text").mapInArrow(ask, "chunk long, bucket int, units binary")
+    return asked.groupBy("bucket").applyInArrow(number, "bucket int, no int, unit string, chunk long, has binary")
+
+
+def best_path(unit: str, model: Model, table: dict[str, tuple[int, float]]) -> list[int]:
+    """The ids of the path of the highest score through all pieces of a unit; of equal ones that of the longer last piece."""
+    best: list[tuple[float, int, int]] = [(0.0, -1, -1)]
+    for e in range(1, len(unit) + 1):
+        top = None
+        for s in range(max(0, e - model.longest), e):
+            i, score = table.get(unit[s:e], (-1, model.worst if e - s == 1 else 0.0))
+            if (i >= 0 or e - s == 1) and (top is None or best[s][0] + score > top[0]):
+                top = (best[s][0] + score, s, i)
+        best.append(top)
+    out, e = [], len(unit)
+    while e:
+        _, s, i = best[e]
+        out.append([i] if i >= 0 else model.bytes_of(unit[s:e]))
+        e = s
+    return [i for ids in reversed(out) for i in ids]
+
+
+def _fold(edges: Column, n: Column) -> Column:
+    """The ids of :func:`best_path`, -1 - place for a character without a piece, from the edges in order of (end, start)."""
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"), F.lit(-1).alias("id")))
+
+    def step(best: Column, x: Column) -> Column:
+        score = F.get(best, x["s"])["score"] + x["score"]
+        here = F.array(F.struct(score.alias("score"), x["s"].alias("s"), x["id"].alias("id")))
+        return F.when(F.size(best) == x["e"], F.concat(best, here)).when(score > F.get(best, x["e"])["score"], F.concat(F.slice(best, F.lit(1), x["e"]), here)).otherwise(best)
+
+    def back(best: Column) -> Column:
+        none = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
+
+        def one(acc: Column, _: Column) -> Column:
+            x = F.get(best, acc["at"])
+            return F.when(acc["at"] == 0, acc).otherwise(F.struct(x["s"].alias("at"), F.concat(F.array(F.when(x["id"] >= 0, x["id"]).otherwise(-1 - x["s"])), acc["ids"]).alias("ids")))
+
+        return F.aggregate(F.sequence(F.lit(1), n), none, one)["ids"]
+
+    return F.transform(F.array(F.aggregate(edges, start, step)), back)[0]
+
+
+def lattice_ids(distinct: DataFrame, model: Model) -> DataFrame:
+    """``distinct`` (unit and other columns, each unit once) with ids: explode, join, group and fold."""
+    rest = [c for c in distinct.columns if c != "unit"]
     n = F.length("unit")
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("unit"), s + 1, k).alias("piece")))))
-    none = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit("").alias("piece")))
-    spans = short.select("unit", "c", F.explode(F.concat(none, parts)).alias("p")).select("unit", "c", "p.*")
-    edge = F.struct("s", "e", "rank", "id", "score")
-    wide = F.col("e") - F.col("s") > 1
-    lattice = spans.join(F.broadcast(model.table(spark)), "piece").groupBy("unit").agg(F.first("c").alias("c"), F.collect_list(F.when(wide, edge)).alias("wide"), F.collect_list(F.when(~wide, edge)).alias("narrow"))
-    # Merges look at edges of two characters or more only.
-    lattice = lattice.withColumn("edges", F.col("wide") if model.kind == "bpe" else F.concat("wide", "narrow"))
-    lattice = lattice.withColumn("cuts", (_bpe_cuts if model.kind == "bpe" else _viterbi_cuts)(F.col("edges"), n))
-
-    def ids(i: Column) -> Column:
-        s, e = F.get(F.col("cuts"), i), F.get(F.col("cuts"), i + 1)
-        known = F.filter(F.when(e - s > 1, F.col("wide")).otherwise(F.col("narrow")), lambda x: (x["s"] == s) & (x["e"] == e))
-        return F.when(F.size(known) > 0, F.array(F.get(known, F.lit(0))["id"])).otherwise(_byte_ids(F.substring(F.col("unit"), s + 1, e - s), model.byte0, model.unknown))
-
-    found = lattice.select("unit", "c", F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), ids)).alias("ids"))
-    if model.kind != "bpe":
-        return found
-    return found.unionByName(_merged_units(distinct.where(F.length("unit") > most), model))
-
-
-def _merged_units(distinct: DataFrame, model: Model) -> DataFrame:
-    """(unit, c, ids) of BPE units by :func:`merge_long`."""
-    held = distinct.sparkSession.sparkContext.broadcast(({p: (i, r) for p, i, r, _ in model.rows}, model.byte0, model.unknown))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda e: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), e)), lambda k: F.struct((e - k).alias("s"), e.alias("e"), F.substring(F.col("unit"), e - k + 1, k).alias("piece")))))
+    spans = distinct.select("unit", *rest, F.explode(parts).alias("p")).select("unit", *rest, "p.*")
+    alone = F.col("e") - F.col("s") == 1
+    edges = spans.join(F.broadcast(model.table(distinct.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | alone)
+    edge = F.struct("e", "s", F.coalesce("score", F.lit(model.worst)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    found = edges.groupBy("unit").agg(*[F.first(c).alias(c) for c in rest], F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("ids", _fold(F.col("edges"), n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("c"), pa.array([merge_long(u, *held.value) for u in b.column("unit").to_pylist()], pa.list_(pa.int32()))], ["unit", "c", "ids"])
+    def char(i: Column) -> Column:
+        if model.byte0 < 0:
+            return F.array(F.lit(model.unknown))
+        raw = F.encode(F.substring(F.col("unit"), -i, F.lit(1)), "UTF-8")
+        return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + model.byte0)
 
-    return distinct.mapInArrow(run, "unit string, c long, ids array<int>")
+    spelled = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(char(i))))
+    return found.select("unit", *rest, F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")).alias("ids"))
 
 
-def _self_decoding(encoded: DataFrame, model: Model) -> DataFrame:
-    """``encoded`` with same: whether the bytes of the ids are those of the unit."""
-    raw = {i: p.encode("utf-8") for i, p, _ in model.pieces} | ({model.byte0 + b: bytes([b]) for b in range(256)} if model.byte0 >= 0 else {})
-    held = encoded.sparkSession.sparkContext.broadcast(raw)
+def _each(distinct: DataFrame, encode) -> DataFrame:
+    """``distinct`` with ids by a function of the unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = held.value
         for b in batches:
-            same = [b"".join([raw.get(i, b"") for i in ids]) == u.encode("utf-8") for u, ids in zip(b.column("unit").to_pylist(), b.column("ids").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same, pa.bool_())], [*b.schema.names, "same"])
-
-    return encoded.select("unit", "c", "ids").mapInArrow(run, "unit string, c long, ids array<int>, same boolean")
-
-
-def merge_long(unit: str, table: dict, byte0: int, unknown: int) -> list[int]:
-    """The same merges for one unit of any length, by a heap of adjacent pairs."""
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([encode(u) for u in b.column("unit").to_pylist()], pa.list_(pa.int32()))], [*b.schema.names, "ids"])
+
+    return distinct.mapInArrow(run, T.StructType([*distinct.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def encode_units(distinct: DataFrame, model: Model, method: str = "viterbi") -> DataFrame:
+    """``distinct`` (unit and other columns) with ids, by the lattice or by merges."""
+    if method == "merges":
+        rank = {s: r for r, s in enumerate(sorted({s for *_, s in model.pieces}, reverse=True))}
+        table = {p: (i, rank[s]) for i, p, s in model.pieces}
+        return _each(distinct, lambda u: merged(u, table, model))
+    if method != "viterbi":
+        raise ValueError(f"unknown method {method!r}")
+    spark, tasks = distinct.sparkSession, max(1, -(-distinct.count() // UNITS_A_TASK))
+    short = distinct.where(F.length("unit") <= LONG).repartition(tasks, "unit")
+    table = {p: (i, s) for i, p, s in model.pieces}
+    # Lists of a task's units are held side by side; sorting them would cost more than the fold.
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * UNITS_A_TASK)):
+        found = materialize(lattice_ids(short, model).select(*distinct.columns, "ids"))
+    return found.unionByName(_each(distinct.where(F.length("unit") > LONG), lambda u: best_path(u, model, table)))
+
+
+def merged(unit: str, table: dict[str, tuple[int, int]], model: Model) -> list[int]:
+    """The library's ids of one unit of a BPE model, by a heap of adjacent pairs in order of (rank, place)."""
     part: list[str | None] = list(unit)
     left, right = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
     heap: list[tuple[int, int, str]] = []
@@ -178,145 +304,95 @@ def merge_long(unit: str, table: dict, byte0: int, unknown: int) -> list[int]:
             left[right[j]] = i
         offer(left[i])
         offer(i)
-    out = []
+    out: list[int] = []
     for p in part:
         if p is not None:
-            out += [table[p][0]] if p in table else [byte0 + x for x in p.encode("utf-8")] if byte0 >= 0 else [unknown]
+            out += [table[p][0]] if p in table else model.bytes_of(p)
     return out
 
 
-def distinct_units(docs: DataFrame) -> DataFrame:
-    """(unit, c): every distinct unit of the column text with its number, counted per task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "c"])
-            seen.clear()
-            return b
-
-        for b in batches:
-            for t in b.column("text"):
-                seen.update(units(t.as_py()))
-                if len(seen) > FLUSH:
-                    yield out()
-        yield out()
-
-    return docs.select("text").mapInArrow(run, "unit string, c long").groupBy("unit").agg(F.sum("c").alias("c"))
-
-
-def decode(ids: DataFrame, model: Model, key: str = "unit") -> DataFrame:
-    """(key, decoded): rows (key, ids) back to text. Pieces are looked up by a broadcast join, bytes put together, ▁ shown as
-    a space; the space put before the text is left to the caller."""
-    spark = ids.sparkSession
-    rows = [(i, p.encode("utf-8")) for i, p, _ in model.pieces] + ([(model.byte0 + b, bytes([b])) for b in range(256)] if model.byte0 >= 0 else [])
-    table = F.broadcast(spark.createDataFrame([(i, bytearray(p)) for i, p in rows], "id int, raw binary"))
-    flat = ids.select(key, F.posexplode("ids").alias("i", "id")).join(table, "id")
-    raw = F.transform(F.array_sort(F.collect_list(F.struct("i", F.hex("raw").alias("h")))), lambda x: x["h"])
-    return flat.groupBy(key).agg(F.decode(F.unhex(F.array_join(raw, "")), "UTF-8").alias("decoded"))
-
-
-def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids): whole token sequences; each document's distinct units meet their ids in a shuffle join.
+def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", method: str = "viterbi") -> DataFrame:
+    """(doc_id, text_sha256, ids): the whole token sequence of every row, with the digest of its text in UTF-8.
 
-    Null and empty texts have no ids. Rows of one id and text are one row in the result's join and stay repeated.
+    Null and empty texts have no ids. Rows without an id and repeated rows are encoded each. Texts are cut whole, however
+    long; a unit beyond LONG characters takes the same fold in a loop. An empty table gives an empty table. Other columns are not looked at.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("__row", F.xxhash64("doc_id", "text"))
-    table = materialize(encode_units(distinct_units(docs), model).select("unit", "ids"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [units(t.as_py()) for t in b.column("text")]
-            rows = np.repeat(np.arange(b.num_rows), [len(u) for u in found])
-            yield pa.RecordBatch.from_arrays([b.column("__row").take(pa.array(rows)), pa.array([i for u in found for i in range(len(u))], pa.int32()), pa.array([x for u in found for x in u], pa.string())], ["__row", "i", "unit"])
-
-    places = docs.dropDuplicates(["__row"]).mapInArrow(cut, "__row long, i int, unit string")
-    got = places.join(table, "unit").groupBy("__row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return docs.join(got, "__row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-
-
-def _mark(at: int, ids: bytes) -> int:
-    return xxhash.xxh64_intdigest(ids, seed=at) >> 24
-
-
-def document_digests(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per document: doc_id, n_units, n_tokens, n_bytes (ids of byte pieces), checksum, exact.
-
-    The checksum adds up a hash of each unit's place and ids (40 bits), so it tells order and content without one task
-    holding the sequence; exact says that every unit decodes to itself. Units beyond the most frequent are joined
-    by a shuffle and their share is summed per document. Null and empty texts count 0. Repeated rows stay.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    back = materialize(_self_decoding(encode_units(distinct_units(docs), model), model))
-    frequent, total, least = [], 0, None
-    level = F.floor(F.log2("c") * 16)
-    for r in back.groupBy(level.alias("s")).count().orderBy(F.desc("s")).collect():
-        total += r["count"]
-        if total > FREQUENT_UNITS:
-            break
-        least = r["s"]
-    if least is not None:
-        rows = back.where(level >= least).toArrow()
-        frequent = list(zip(rows.column("unit").to_pylist(), [np.asarray(x, dtype="<i4").tobytes() for x in rows.column("ids").to_pylist()], rows.column("same").to_pylist(), strict=True))
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
-    byte0 = model.byte0
-
-    def shares(ids: bytes) -> tuple[int, int]:
-        x = np.frombuffer(ids, "<i4")
-        return len(x), int(((x >= byte0) & (x < byte0 + 256)).sum()) if byte0 >= 0 else 0
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"))
+    buckets = _buckets(docs.count())
+    asked = materialize(_asked(docs, buckets))
+    known = materialize(encode_units(asked.where("unit IS NOT NULL").select("bucket", "no", "unit"), model, method).select("bucket", "no", "ids"))
+
+    def reply(has: pa.Table, ids: pa.Table) -> pa.Table:
+        number = ids.column("no").to_numpy()
+        lists = ids.column("ids").combine_chunks()
+        flat, offsets = lists.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        place = np.empty(len(number), np.int64)
+        place[number] = np.arange(len(number))
+        counts = np.diff(offsets)
+        blobs = []
+        for blob in has.column("has").to_pylist():
+            at = place[np.frombuffer(_unpack(blob, 1)[0], "<u4")]
+            blobs.append(_pack(counts[at].astype("<u4"), flat[ragged(offsets[at], counts[at])].astype("<i4")))
+        return pa.table({"chunk": has.column("chunk"), "bucket": has.column("bucket"), "ids": pa.array(blobs, pa.binary())})
+
+    replies = asked.where("unit IS NULL").select("bucket", "chunk", "has").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(reply, "chunk long, bucket int, ids binary")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows, _, _, _, kinds, which, counts in _chunks(batches):
+            sink = pa.BufferOutputStream()
+            with ipc.new_stream(sink, rows.select(["doc_id", "text_sha256"]).schema) as writer:
+                writer.write_table(rows.select(["doc_id", "text_sha256"]))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(kinds)], pa.int64()), pa.array([_pack(which.astype("<u4"), counts.astype("<u4"), sink.getvalue().to_pybytes())], pa.binary())], ["chunk", "kinds", "coded"])
+
+    coded = docs.mapInArrow(code, "chunk long, kinds long, coded binary")
+
+    def fill(own: pa.Table, heard: pa.Table) -> pa.Table:
+        which, counts, rows = _unpack(own.column("coded")[0].as_py(), 3)
+        parts = [_unpack(x, 2) for _, x in sorted(zip(heard.column("bucket").to_pylist(), heard.column("ids").to_pylist(), strict=True))]
+        size = np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(p[0], "<u4") for p in parts]]).astype(np.int64)
+        ids = np.concatenate([np.empty(0, "<i4"), *[np.frombuffer(p[1], "<i4") for p in parts]])
+        if len(size) != own.column("kinds")[0].as_py():
+            raise RuntimeError("a chunk was cut in two ways: its rows come in no fixed order")
+        which, counts = np.frombuffer(which, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
+        got = ids[ragged((np.cumsum(size) - size)[which], size[which])]
+        ends = np.append(0, np.cumsum(size[which]))[np.append(0, np.cumsum(counts))]
+        table = ipc.open_stream(rows).read_all()
+        return table.append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int32())))
+
+    return coded.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(fill, "doc_id long, text_sha256 string, ids array<int>")
+
+
+def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
+    """``encoded`` with the text of its ids: their pieces' bytes, spaces for ▁, without the space put before the text.
+
+    Ids of no piece and null lists give nothing. Bytes that make no character are replaced."""
+    sizes = np.array([len(r) for r in model.raw], dtype=np.int64)
+    raw, first = np.frombuffer(b"".join(model.raw), np.uint8), np.cumsum(sizes) - sizes
+    held = encoded.sparkSession.sparkContext.broadcast((raw, first, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {u: (ids, *shares(ids), not same) for u, ids, same in held.value}
-        uid = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                b = whole.slice(low, 500)
-                cols: list[list] = [[] for _ in range(7)]
-                for t in b.column("text"):
-                    us = units(t.as_py())
-                    tokens = raw = bad = check = 0
-                    rare, places = [], []
-                    for i, u in enumerate(us):
-                        k = known.get(u)
-                        if k is None:
-                            rare.append(u), places.append(i)
-                        else:
-                            tokens, raw, bad, check = tokens + k[1], raw + k[2], bad + k[3], check + _mark(i, k[0])
-                    for col, v in zip(cols, (uid, len(us), tokens, raw, bad, check, [{"u": u, "i": i} for u, i in zip(rare, places, strict=True)]), strict=True):
-                        col.append(v)
-                    uid += 1
-                kinds = [*[pa.int64()] * 6, pa.list_(pa.struct([("u", pa.string()), ("i", pa.int32())]))]
-                a = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([a[0], b.column("doc_id"), *a[1:]], ["uid", "doc_id", "n_units", "tokens", "raw", "bad", "check", "rare"])
-
-    coded = materialize(docs.mapInArrow(run, "uid long, doc_id long, n_units long, tokens long, raw long, bad long, check long, rare array<struct<u:string,i:int>>"))
-    rare = coded.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.u").alias("unit"), F.col("r.i").alias("i")).join(back, "unit")
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, first, sizes = held.value
         for b in batches:
-            ids = [np.asarray(x, dtype="<i4").tobytes() for x in b.column("ids").to_pylist()]
-            got = [shares(x) for x in ids]
-            cols = [[x[0] for x in got], [x[1] for x in got], [int(not s) for s in b.column("same").to_pylist()], [_mark(i, x) for i, x in zip(b.column("i").to_pylist(), ids, strict=True)]]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), *[pa.array(c, pa.int64()) for c in cols]], ["uid", "t", "r", "x", "k"])
+            lists = b.column(ids_col)
+            flat = lists.flatten().to_numpy()
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            spelt = raw[ragged(first[flat], sizes[flat])].tobytes()
+            ends = np.append(0, np.cumsum(sizes[flat]))[np.append(0, np.cumsum(n))].tolist()
+            texts = [spelt[i + (spelt[i : i + 1] == b" ") : j].decode("utf-8", "replace") for i, j in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
 
-    sums = rare.select("uid", "i", "ids", "same").mapInArrow(rest, "uid long, t long, r long, x long, k long").groupBy("uid").agg(*[F.sum(c).alias(c) for c in "trxk"])
-    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).cast("long")
-    return coded.drop("rare").join(sums, "uid", "left").select("doc_id", "n_units", plus("tokens", "t").alias("n_tokens"), plus("raw", "r").alias("n_bytes"), plus("check", "k").alias("checksum"), (plus("bad", "x") == 0).alias("exact"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
 
 
-def document_codes(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per document: doc_id, n_tokens, n_bytes (ids of byte pieces), ids_sha256 of the id sequence written with commas,
-    decoded_sha256 of the text decoded from it, exact: whether that is the text.
+def document_codes(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", method: str = "viterbi") -> DataFrame:
+    """Per row: doc_id, n_tokens, n_bytes (ids of byte pieces), ids_sha256 of the id sequence written with commas, decoded_sha256 of
+    the text decoded from it, exact: whether that is the text. A text that holds ▁ itself decodes with a space there, as in the library.
 
     The ids are those of :func:`encode_documents`, the text is that of :func:`decode`. Null texts count as empty. Repeated rows stay.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("sha")).alias("doc_id"), text.alias("text"))
-    encoded = materialize(encode_documents(keyed, model).withColumn("__at", F.monotonically_increasing_id()))
-    decoded = decode(encoded.select("__at", "ids"), model, "__at")
-    back = F.sha2(F.substring(F.translate(F.coalesce("decoded", F.lit("")), SPACE, " "), 2, 1 << 30), 256)
+    decoded = decode(encode_documents(docs, model, text_col, id_col, method), model)
     is_byte = (lambda x: (x >= model.byte0) & (x < model.byte0 + 256)) if model.byte0 >= 0 else (lambda x: F.lit(False))
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    got = encoded.join(decoded, "__at", "left").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", is_byte)).cast("long").alias("n_bytes"), ids.alias("ids_sha256"), back.alias("decoded_sha256"))
-    return got.select(F.col("doc_id.id").alias("doc_id"), "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("doc_id.sha")).alias("exact"))
+    got = decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", is_byte)).cast("long").alias("n_bytes"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "text_sha256")
+    return got.select("doc_id", "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("exact"))

@@ -44,6 +44,21 @@ def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.n
     return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after the other."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def same_spans(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, some: np.ndarray, which: np.ndarray) -> bool:
+    """Whether stretches that are taken as one (``which`` of ``some``) have one length and the same eight bytes at their begin."""
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[starts]).view("<u8").ravel()
+    spare = np.maximum(8 - sizes, 0).astype(np.uint64) * np.uint64(8)
+    head = (head << spare) >> spare
+    return bool((sizes == sizes[some][which]).all() and (head == head[some][which]).all())
+
+
 def _hash_chunk(a: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the words of a byte array; it may begin and end inside white space, not in a word."""
     word = ~_SPACE[a]
