@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, setting
+from .common import let, materialize, released, setting
 from .wordhash import EXACT, ragged, same_spans, span_hashes
 
 SPACE = "▁"
 #: Units of a chunk, bytes of text cut at a time, documents to a bucket and buckets at least.
 CHUNK, BATCH, DOCS_A_BUCKET, BUCKETS = 1 << 20, 1 << 22, 4096, 64
 #: Units up to this many characters take the lattice, so many of them in a task; longer ones take the same fold in a loop.
-LONG, UNITS_A_TASK = 64, 20_000
+LONG, UNITS_A_TASK = 64, 5_000
 STOPS = b".,;:!?"
 RUN = 4  # stops looked back over one by one
 _LETTER = np.zeros(256, dtype=bool)
@@ -189,7 +189,7 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
             "chunk": pa.array([*[None] * n, *bucket.column("chunk").to_pylist()], pa.int64()), "has": pa.array([*[None] * n, *has], pa.binary()),
         })
 
-    asked = docs.select("text").mapInArrow(ask, "chunk long, bucket int, units binary")
+    asked = docs.mapInArrow(released(ask), "chunk long, bucket int, units binary")
     return asked.groupBy("bucket").applyInArrow(number, "bucket int, no int, unit string, chunk long, has binary")
 
 
@@ -213,9 +213,10 @@ def best_path(unit: str, model: Model, table: dict[str, tuple[int, float]]) -> l
 
 def _fold(edges: Column, n: Column) -> Column:
     """The ids of :func:`best_path`, -1 - place for a character without a piece, from the edges in order of (end, start)."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"), F.lit(-1).alias("id")))
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(-1).alias("id")))
 
     def step(best: Column, x: Column) -> Column:
+        # Of equal scores the edge from furthest back stays.
         score = F.get(best, x["s"])["score"] + x["score"]
         here = F.array(F.struct(score.alias("score"), x["s"].alias("s"), x["id"].alias("id")))
         return F.when(F.size(best) == x["e"], F.concat(best, here)).when(score > F.get(best, x["e"])["score"], F.concat(F.slice(best, F.lit(1), x["e"]), here)).otherwise(best)
@@ -224,24 +225,25 @@ def _fold(edges: Column, n: Column) -> Column:
         none = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
 
         def one(acc: Column, _: Column) -> Column:
-            x = F.get(best, acc["at"])
-            return F.when(acc["at"] == 0, acc).otherwise(F.struct(x["s"].alias("at"), F.concat(F.array(F.when(x["id"] >= 0, x["id"]).otherwise(-1 - x["s"])), acc["ids"]).alias("ids")))
+            take = lambda x: F.struct(x["s"].alias("at"), F.concat(F.array(F.when(x["id"] >= 0, x["id"]).otherwise(-1 - x["s"])), acc["ids"]).alias("ids"))
+            return F.when(acc["at"] == 0, acc).otherwise(take(F.get(best, acc["at"])))
 
         return F.aggregate(F.sequence(F.lit(1), n), none, one)["ids"]
 
-    return F.transform(F.array(F.aggregate(edges, start, step)), back)[0]
+    return let(F.aggregate(edges, start, step), back)
 
 
 def lattice_ids(distinct: DataFrame, model: Model) -> DataFrame:
     """``distinct`` (unit and other columns, each unit once) with ids: explode, join, group and fold."""
     rest = [c for c in distinct.columns if c != "unit"]
     n = F.length("unit")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda e: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), e)), lambda k: F.struct((e - k).alias("s"), e.alias("e"), F.substring(F.col("unit"), e - k + 1, k).alias("piece")))))
-    spans = distinct.select("unit", *rest, F.explode(parts).alias("p")).select("unit", *rest, "p.*")
-    alone = F.col("e") - F.col("s") == 1
-    edges = spans.join(F.broadcast(model.table(distinct.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | alone)
-    edge = F.struct("e", "s", F.coalesce("score", F.lit(model.worst)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    found = edges.groupBy("unit").agg(*[F.first(c).alias(c) for c in rest], F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("ids", _fold(F.col("edges"), n))
+    # Ends, then lengths, are rows of their own, so that all of this is compiled.
+    ends = distinct.select("unit", *rest, F.explode(F.sequence(F.lit(1), n)).alias("e"))
+    spans = ends.select("unit", *rest, "e", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("e")))).alias("k"))
+    spans = spans.select("unit", *rest, "e", "k", F.substring("unit", F.col("e") - F.col("k") + 1, F.col("k")).alias("piece"))
+    edges = spans.join(F.broadcast(model.table(distinct.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
+    edge = F.struct("e", (F.col("e") - F.col("k")).alias("s"), F.coalesce("score", F.lit(model.worst)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    found = edges.groupBy("unit").agg(*[F.first(c).alias(c) for c in rest], F.sort_array(F.collect_list(edge)).alias("edges"))
 
     def char(i: Column) -> Column:
         if model.byte0 < 0:
@@ -249,8 +251,8 @@ def lattice_ids(distinct: DataFrame, model: Model) -> DataFrame:
         raw = F.encode(F.substring(F.col("unit"), -i, F.lit(1)), "UTF-8")
         return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + model.byte0)
 
-    spelled = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(char(i))))
-    return found.select("unit", *rest, F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")).alias("ids"))
+    spelled = lambda ids: F.when(F.exists(ids, lambda i: i < 0), F.flatten(F.transform(ids, lambda i: F.when(i >= 0, F.array(i)).otherwise(char(i))))).otherwise(ids)
+    return found.select("unit", *rest, let(_fold(F.col("edges"), n), spelled).alias("ids"))
 
 
 def _each(distinct: DataFrame, encode) -> DataFrame:
@@ -314,6 +316,8 @@ def merged(unit: str, table: dict[str, tuple[int, int]], model: Model) -> list[i
 def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", method: str = "viterbi") -> DataFrame:
     """(doc_id, text_sha256, ids): the whole token sequence of every row, with the digest of its text in UTF-8.
 
+    ``docs`` is read twice and must come in the same order both times, as files do; a chunk cut in two ways is an error.
+
     Null and empty texts have no ids. Rows without an id and repeated rows are encoded each. Texts are cut whole, however
     long; a unit beyond LONG characters takes the same fold in a loop. An empty table gives an empty table. Other columns are not looked at.
     """
@@ -345,7 +349,7 @@ def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_c
                 writer.write_table(rows.select(["doc_id", "text_sha256"]))
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(kinds)], pa.int64()), pa.array([_pack(which.astype("<u4"), counts.astype("<u4"), sink.getvalue().to_pybytes())], pa.binary())], ["chunk", "kinds", "coded"])
 
-    coded = docs.mapInArrow(code, "chunk long, kinds long, coded binary")
+    coded = docs.mapInArrow(released(code), "chunk long, kinds long, coded binary")
 
     def fill(own: pa.Table, heard: pa.Table) -> pa.Table:
         which, counts, rows = _unpack(own.column("coded")[0].as_py(), 3)
@@ -382,7 +386,7 @@ def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", into: str = "
             texts = [spelt[i + (spelt[i : i + 1] == b" ") : j].decode("utf-8", "replace") for i, j in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
+    return encoded.mapInArrow(released(run), T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def document_codes(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", method: str = "viterbi") -> DataFrame:
