@@ -176,16 +176,20 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(first), pa.int64()), pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "bucket", "units"])
 
     def number(bucket: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        has = []
-        for blob in bucket.column("units").to_pylist():
-            sizes, raw = _unpack(blob, 2)
-            ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
-            has.append(_pack(np.array([known.setdefault(raw[i:j], len(known)) for i, j in zip([0, *ends], ends, strict=False)], "<u4")))
-        b, n, m = bucket.column("bucket")[0].as_py(), len(known), len(has)
+        blobs = [_unpack(x, 2) for x in bucket.column("units").to_pylist()]
+        sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x, _ in blobs]
+        buffer, size = np.frombuffer(b"".join([raw for _, raw in blobs]), np.uint8), np.concatenate(sizes)
+        starts = np.cumsum(size) - size
+        _, some, which = np.unique(span_hashes(buffer, starts, starts + size, EXACT), return_index=True, return_inverse=True)
+        if not same_spans(buffer, starts, size, some, which):
+            some = which = np.arange(len(size))
+        # Units are numbered in order of their hash, as each chunk has them: steps from one to the next are small.
+        ends = np.cumsum([0, *map(len, sizes)]).tolist()
+        has = [_pack(np.diff(which[i:j], prepend=0).astype("<i4")) for i, j in zip(ends, ends[1:], strict=False)]
+        units = [buffer[i : i + n].tobytes().decode("utf-8").replace(" ", SPACE) for i, n in zip(starts[some].tolist(), size[some].tolist(), strict=True)]
+        b, n, m = bucket.column("bucket")[0].as_py(), len(units), len(has)
         return pa.table({
-            "bucket": pa.array([b] * (n + m), pa.int32()), "no": pa.array([*range(n), *[None] * m], pa.int32()),
-            "unit": pa.array([*[u.decode("utf-8").replace(" ", SPACE) for u in known], *[None] * m], pa.string()),
+            "bucket": pa.array([b] * (n + m), pa.int32()), "no": pa.array([*range(n), *[None] * m], pa.int32()), "unit": pa.array([*units, *[None] * m], pa.string()),
             "chunk": pa.array([*[None] * n, *bucket.column("chunk").to_pylist()], pa.int64()), "has": pa.array([*[None] * n, *has], pa.binary()),
         })
 
@@ -313,19 +317,34 @@ def merged(unit: str, table: dict[str, tuple[int, int]], model: Model) -> list[i
     return out
 
 
-def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", method: str = "viterbi") -> DataFrame:
-    """(doc_id, text_sha256, ids): the whole token sequence of every row, with the digest of its text in UTF-8.
+def _spelling(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all pieces, and where each one's begin and how many they are."""
+    sizes = np.array([len(r) for r in model.raw], dtype=np.int64)
+    return np.frombuffer(b"".join(model.raw), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def _spelt(spelling: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The texts of id sequences that end at ``ends`` (from 0), without the space put before each."""
+    raw, first, sizes = spelling
+    spelt = raw[ragged(first[ids], sizes[ids])].tobytes()
+    at = np.append(0, np.cumsum(sizes[ids]))[ends].tolist()
+    return [spelt[i + (spelt[i : i + 1] == b" ") : j].decode("utf-8", "replace") for i, j in zip(at, at[1:], strict=False)]
 
-    ``docs`` is read twice and must come in the same order both times, as files do; a chunk cut in two ways is an error.
 
+def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", method: str = "viterbi", decoded: bool = False) -> DataFrame:
+    """(doc_id, text_sha256, ids): the whole token sequence of every row, with the digest (binary) of its text in UTF-8; with
+    ``decoded`` also the text that :func:`decode` makes of the ids.
+
+    ``docs`` is read twice and must come in the same order both times, as files do; a chunk cut in two ways is an error.
     Null and empty texts have no ids. Rows without an id and repeated rows are encoded each. Texts are cut whole, however
     long; a unit beyond LONG characters takes the same fold in a loop. An empty table gives an empty table. Other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_sha256"), text.alias("text"))
     buckets = _buckets(docs.count())
     asked = materialize(_asked(docs, buckets))
     known = materialize(encode_units(asked.where("unit IS NOT NULL").select("bucket", "no", "unit"), model, method).select("bucket", "no", "ids"))
+    kind = "<u2" if model.size <= 1 << 16 else "<u4"
 
     def reply(has: pa.Table, ids: pa.Table) -> pa.Table:
         number = ids.column("no").to_numpy()
@@ -336,8 +355,8 @@ def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_c
         counts = np.diff(offsets)
         blobs = []
         for blob in has.column("has").to_pylist():
-            at = place[np.frombuffer(_unpack(blob, 1)[0], "<u4")]
-            blobs.append(_pack(counts[at].astype("<u4"), flat[ragged(offsets[at], counts[at])].astype("<i4")))
+            at = place[np.cumsum(np.frombuffer(_unpack(blob, 1)[0], "<i4"))]
+            blobs.append(_pack(counts[at].astype("<u4"), flat[ragged(offsets[at], counts[at])].astype(kind)))
         return pa.table({"chunk": has.column("chunk"), "bucket": has.column("bucket"), "ids": pa.array(blobs, pa.binary())})
 
     replies = asked.where("unit IS NULL").select("bucket", "chunk", "has").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(reply, "chunk long, bucket int, ids binary")
@@ -347,43 +366,38 @@ def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_c
             sink = pa.BufferOutputStream()
             with ipc.new_stream(sink, rows.select(["doc_id", "text_sha256"]).schema) as writer:
                 writer.write_table(rows.select(["doc_id", "text_sha256"]))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(kinds)], pa.int64()), pa.array([_pack(which.astype("<u4"), counts.astype("<u4"), sink.getvalue().to_pybytes())], pa.binary())], ["chunk", "kinds", "coded"])
+            packed = _pack(which.astype("<u4"), counts.astype("<u4"), sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(kinds)], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "kinds", "coded"])
 
     coded = docs.mapInArrow(released(code), "chunk long, kinds long, coded binary")
+    held = docs.sparkSession.sparkContext.broadcast(_spelling(model)) if decoded else None
 
     def fill(own: pa.Table, heard: pa.Table) -> pa.Table:
         which, counts, rows = _unpack(own.column("coded")[0].as_py(), 3)
         parts = [_unpack(x, 2) for _, x in sorted(zip(heard.column("bucket").to_pylist(), heard.column("ids").to_pylist(), strict=True))]
         size = np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(p[0], "<u4") for p in parts]]).astype(np.int64)
-        ids = np.concatenate([np.empty(0, "<i4"), *[np.frombuffer(p[1], "<i4") for p in parts]])
+        ids = np.concatenate([np.empty(0, kind), *[np.frombuffer(p[1], kind) for p in parts]])
         if len(size) != own.column("kinds")[0].as_py():
             raise RuntimeError("a chunk was cut in two ways: its rows come in no fixed order")
         which, counts = np.frombuffer(which, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
-        got = ids[ragged((np.cumsum(size) - size)[which], size[which])]
+        got = ids[ragged((np.cumsum(size) - size)[which], size[which])].astype(np.int32)
         ends = np.append(0, np.cumsum(size[which]))[np.append(0, np.cumsum(counts))]
-        table = ipc.open_stream(rows).read_all()
-        return table.append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int32())))
+        table = ipc.open_stream(rows).read_all().append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int32())))
+        return table if held is None else table.append_column("decoded", pa.array(_spelt(held.value, got, ends), pa.string()))
 
-    return coded.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(fill, "doc_id long, text_sha256 string, ids array<int>")
+    return coded.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(fill, "doc_id long, text_sha256 binary, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids: their pieces' bytes, spaces for ▁, without the space put before the text.
 
     Ids of no piece and null lists give nothing. Bytes that make no character are replaced."""
-    sizes = np.array([len(r) for r in model.raw], dtype=np.int64)
-    raw, first = np.frombuffer(b"".join(model.raw), np.uint8), np.cumsum(sizes) - sizes
-    held = encoded.sparkSession.sparkContext.broadcast((raw, first, sizes))
+    held = encoded.sparkSession.sparkContext.broadcast(_spelling(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, first, sizes = held.value
         for b in batches:
-            lists = b.column(ids_col)
-            flat = lists.flatten().to_numpy()
-            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            spelt = raw[ragged(first[flat], sizes[flat])].tobytes()
-            ends = np.append(0, np.cumsum(sizes[flat]))[np.append(0, np.cumsum(n))].tolist()
-            texts = [spelt[i + (spelt[i : i + 1] == b" ") : j].decode("utf-8", "replace") for i, j in zip(ends, ends[1:], strict=False)]
+            n = pc.fill_null(pc.list_value_length(b.column(ids_col)), 0).to_numpy()
+            texts = _spelt(held.value, b.column(ids_col).flatten().to_numpy(), np.append(0, np.cumsum(n)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
 
     return encoded.mapInArrow(released(run), T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
@@ -395,8 +409,8 @@ def document_codes(docs: DataFrame, model: Model, text_col: str = "text", id_col
 
     The ids are those of :func:`encode_documents`, the text is that of :func:`decode`. Null texts count as empty. Repeated rows stay.
     """
-    decoded = decode(encode_documents(docs, model, text_col, id_col, method), model)
+    decoded = encode_documents(docs, model, text_col, id_col, method, decoded=True)
     is_byte = (lambda x: (x >= model.byte0) & (x < model.byte0 + 256)) if model.byte0 >= 0 else (lambda x: F.lit(False))
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     got = decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", is_byte)).cast("long").alias("n_bytes"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "text_sha256")
-    return got.select("doc_id", "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("exact"))
+    return got.select("doc_id", "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.lower(F.hex("text_sha256"))).alias("exact"))
