@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, released
 
 STATES = 6
 STEPS = 3
@@ -67,7 +67,7 @@ def _partial_counts(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long")
+    return docs.select("text").mapInArrow(released(run), "word binary, c long")
 
 
 def _most_frequent(counts: DataFrame) -> list:
@@ -133,7 +133,7 @@ def _encode(docs: DataFrame, frequent: list, ends: int, norms: np.ndarray) -> Da
                 a = [pa.array(x, t) for x, t in zip(cols, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([a[0], b.column("doc_id"), b.column("held_out"), *a[1:]], [x.split()[0] for x in _DOC.split(", ")])
 
-    return docs.mapInArrow(run, _DOC)
+    return docs.mapInArrow(released(run), _DOC)
 
 
 class Model:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_ids, flag_ids, id_filter, materialize, skew_join
+from .common import components, drop_ids, flag_ids, id_filter, materialize, released, skew_join
 from .wordhash import mix, rolled, word_hashes
 
 WORDS = 5
@@ -167,7 +167,7 @@ def _shares(nodes: DataFrame, buckets: int) -> DataFrame:
             n[np.frombuffer(which, "<u2")] += np.frombuffer(times, "<u4")
         return pa.table({"node": np.frombuffer(own["nodes"], "<i8"), "m": np.frombuffer(own["sizes"], "<u4").astype(np.int64), "n": n})
 
-    dealt = nodes.mapInArrow(deal, "chunk long, bucket int, tokens binary, owners binary, nodes binary, sizes binary, here binary")
+    dealt = nodes.mapInArrow(released(deal), "chunk long, bucket int, tokens binary, owners binary, nodes binary, sizes binary, here binary")
     heard = dealt.groupBy("bucket").applyInArrow(hear, "chunk long, nodes binary, sizes binary, here binary, which binary, times binary")
     return heard.groupBy("chunk").applyInArrow(add, "node long, m long, n long")
 
@@ -183,7 +183,7 @@ def _sets(nodes: DataFrame) -> DataFrame:
             if waiting >= CHUNK // 4:
                 number, waiting = number + 1, 0
 
-    return nodes.mapInArrow(run, "chunk long, node long, m int, tokens binary")
+    return nodes.mapInArrow(released(run), "chunk long, node long, m int, tokens binary")
 
 
 def _read(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -260,7 +260,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(DEN * inter >= NUM * (len(s) + len(t) - inter))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(released(run), "a long, b long")
 
 
 def _sizes_fit(x: str, y: str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, released
 from .wordhash import EXACT, joined, ragged, same_spans, span_hashes, words_of
 
 MAX_LEN = 4096
@@ -29,7 +29,7 @@ FULL_SHARE = 0.97
 #: Items a task packs in the rounds after the first.
 ROUND_ITEMS = 100_000
 #: Characters encoded at a time, pieces merged in one call, and the longest of them in bytes.
-BATCH, ROWS, LONG = 1 << 22, 4096, 40
+BATCH, ROWS, LONG = 1 << 21, 4096, 40
 #: Fixed value: the pattern of pieces of the tokenizers that are encoded here; any other is left to the library.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -241,7 +241,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, t
                     [*names, "piece", "start", "length", "ids"],
                 )
 
-    return docs.select(*names, text_col).mapInArrow(cut, schema)
+    return docs.select(*names, text_col).mapInArrow(released(cut), schema)
 
 
 class OpenBins:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flag_ids, id_filter, keep_ids, materialize, skew_join
+from .common import flag_ids, id_filter, keep_ids, materialize, released, skew_join
 from .wordhash import rolled, word_hashes
 
 MIN_WORDS, GRAM = 50, 10
@@ -47,7 +47,7 @@ def _grams(docs: DataFrame) -> DataFrame:
                 found = [minimisers(w)[1] for w in word_hashes(b.column("text").slice(low, TEXTS).to_pylist(), False)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["gram"])
 
-    return docs.select("text").mapInArrow(run, "gram long")
+    return docs.select("text").mapInArrow(released(run), "gram long")
 
 
 def _filter_bits(grams: DataFrame) -> np.ndarray:
@@ -117,7 +117,7 @@ def _chunks(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         if waiting:
             yield out()
 
-    return docs.mapInArrow(run, _CHUNKS)
+    return docs.mapInArrow(released(run), _CHUNKS)
 
 
 def _shared(bucket: pa.Table) -> pa.Table:
@@ -188,7 +188,7 @@ def _windows(marked: DataFrame) -> DataFrame:
                     hashes.append(h[at]), row.append(np.full(len(at), i)), start.append(at)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), b.column("doc_id").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(start))], ["hash", "doc_id", "start"])
 
-    return marked.mapInArrow(run, "hash long, doc_id long, start long")
+    return marked.mapInArrow(released(run), "hash long, doc_id long, start long")
 
 
 def later_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -240,4 +240,4 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             columns[at] = pa.array(found, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(kept)
 
-    return same.unionByName(hit.mapInArrow(cut, docs.schema))
+    return same.unionByName(hit.mapInArrow(released(cut), docs.schema))
