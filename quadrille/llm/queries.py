@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import digests, format_conversations, text_part
+from .encoding import sale_lines_encoded
 from .exact_dedup import exact_groups
 from .hmm import score_documents
 from .licenses import scan_licenses
@@ -13,7 +14,9 @@ from .line_dedup import clean_lines
 from .ngram_join import similar_components
 from .packing import packed_documents
 from .quality import judge
+from .resampling import resample
 from .sentencepiece_ops import Model, document_codes
+from .simhash import similar_fingerprints
 from .suffix_dedup import repeated_passages
 
 
@@ -69,6 +72,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sale_lines_encoded(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sale_lines", "sales", "items", "vendors", "clients")])
+
+
 QUERIES = {
     "op1_hmm_scoring": op1_hmm_scoring,
     "op2_chat_formatting": op2_chat_formatting,
@@ -80,8 +95,20 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op11_simhash": op11_simhash,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_target_encoding": op13_target_encoding,
 }
 
+#: CRC-32 in SQL: a table of 256 numbers, and the sum over the bytes of the UTF-8 text of ``word`` in table ``w``.
+_CRC = """
+    crc_one AS (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda r, _: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END) AS r
+                FROM (SELECT range::BIGINT AS i FROM range(256))),
+    crc_table AS (SELECT list(r ORDER BY i) AS t FROM crc_one),
+    crcs AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex(word)) // 2), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT)),
+                                          lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::BIGINT) AS crc
+             FROM w, crc_table)"""
+
 ORACLE_SQL = {
     "op2_chat_formatting": """
         WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -106,4 +133,34 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op12_importance_resampling": f"""
+        WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+             aims AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+             said AS (SELECT doc_id, unnest(ws) AS word FROM words),
+             w AS (SELECT word FROM said UNION SELECT word FROM aims), {_CRC},
+             pool AS (SELECT crc % 10000 AS b, count(*) AS s FROM said JOIN crcs USING (word) GROUP BY b),
+             target AS (SELECT crc % 10000 AS b, count(*) AS t FROM aims JOIN crcs USING (word) GROUP BY b),
+             totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM pool)::DOUBLE AS sa, (SELECT coalesce(sum(t), 0) FROM target)::DOUBLE AS ta),
+             gain AS (SELECT r.range AS b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (sa + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (ta + 10000))))::BIGINT AS g
+                      FROM range(10000) r LEFT JOIN pool p ON p.b = r.range LEFT JOIN target q ON q.b = r.range, totals),
+             weights AS (SELECT doc_id, sum(g)::BIGINT AS weight FROM said JOIN crcs USING (word) JOIN gain ON gain.b = crc % 10000 GROUP BY doc_id),
+             scores AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                               coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+                        FROM words LEFT JOIN weights USING (doc_id)),
+             places AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scores WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scores LEFT JOIN places USING (doc_id)""",
+    "op13_target_encoding": f"""
+        WITH w AS (SELECT DISTINCT sale_id::VARCHAR AS word FROM sales WHERE sale_id IS NOT NULL), {_CRC},
+             l AS (SELECT sale_id, coalesce(item_id, -1) AS item_id, vendor_id, coalesce(client_id, -1) AS client_id, epoch_us(sold_at) AS us, crc % 5 AS fold,
+                          (flag IS NOT DISTINCT FROM 'returned')::BIGINT AS back
+                   FROM sale_lines JOIN sales USING (sale_id) JOIN crcs ON word = sale_id::VARCHAR WHERE sold_at IS NOT NULL),
+             k AS (SELECT l.*, kind, nation_id, segment FROM l LEFT JOIN items USING (item_id) LEFT JOIN vendors USING (vendor_id)
+                   LEFT JOIN (SELECT client_id, segment FROM clients) USING (client_id)),
+             h AS (SELECT *, {", ".join(f"count(*) OVER {c}_all - count(*) OVER {c}_own AS {c}_n, (coalesce(sum(back) OVER {c}_all, 0) - coalesce(sum(back) OVER {c}_own, 0))::BIGINT AS {c}_s" for c in ("every", "kind", "nation", "segment", "item", "vendor", "client"))}
+                   FROM k WINDOW {", ".join(f"{c}_{x} AS (PARTITION BY {key}{', fold' if x == 'own' else ''} ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c, key in (("every", "1"), ("kind", "kind"), ("nation", "nation_id"), ("segment", "segment"), ("item", "item_id"), ("vendor", "vendor_id"), ("client", "client_id")) for x in ("all", "own"))}),
+             g AS (SELECT *, CASE WHEN every_n < 1 THEN 500000 ELSE (1000000 * every_s + 50 * 500000) // (every_n + 50) END AS p FROM h),
+             m AS (SELECT *, {", ".join(f"CASE WHEN {c}_n < 1 THEN p ELSE (1000000 * {c}_s + 50 * p) // ({c}_n + 50) END AS {c}_p" for c in ("kind", "nation", "segment"))} FROM g),
+             r AS (SELECT *, {", ".join(f"CASE WHEN {c}_n < 1 THEN {q}_p ELSE (1000000 * {c}_s + 50 * {q}_p) // ({c}_n + 50) END AS {c}_rate" for c, q in (("item", "kind"), ("vendor", "nation"), ("client", "segment")))} FROM m)
+        SELECT sale_id, item_id, vendor_id, count(*) AS n_lines, sum(back)::BIGINT AS n_returned, {", ".join(f"max({c}_{x})::BIGINT AS {c}_{x}" for c in ("item", "vendor", "client") for x in ("n", "rate"))}
+        FROM r GROUP BY sale_id, item_id, vendor_id""",
 }
