@@ -89,7 +89,8 @@ def key_history(rows: DataFrame, key: str, name: str, spread: Column, about: Dat
     hot = materialize(hot.withColumn("__cuts", F.least(F.ceil(F.col("__rows") / share), F.lit(parts)).cast("int")).select(F.col(key).alias("__key"), "__cuts"))
     found = hot.count()  # at most parts
     if found:
-        quantiles = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key"))).groupBy("__key").agg(F.max("__cuts").alias("__cuts"), _quantiles(time, parts).alias("q"))
+        known = rows.select(key, time).join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left").where("__cuts IS NOT NULL")
+        quantiles = known.groupBy("__key").agg(F.max("__cuts").alias("__cuts"), _quantiles(time, parts).alias("q"))
         some = F.transform(F.sequence(F.lit(1), F.col("__cuts") - 1), lambda i: F.element_at("q", (i * parts / F.col("__cuts")).cast("int")))
         bounds = materialize(quantiles.select("__key", some.alias("__bounds")))
         wide = lambda df: df.join(F.broadcast(bounds), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
