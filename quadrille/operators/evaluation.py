@@ -1,11 +1,11 @@
 """Execution-based evaluation: results of predicted and reference queries compared as multisets of rows.
 
-Distinct query texts run once each; what they return is held in long form and everything after is
-joins and conditional aggregates.
+Distinct query texts of one shape run as one plan; everything after is joins and conditional aggregates.
 """
 
 from __future__ import annotations
 
+import logging
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 from ..engine import NO_INFORMATION_MARKER, execute_select
 from ..errors import SparqlError
 from ..functions.text import count_of, string_literals
+from ..plans.compiler import Compiler
+from ..plans.families import CASE, Shape, is_node, parse_shape, plan, signature, value_text, with_shapes
 from ..plans.guard import validate_select
+from ..plans.solution import column
+from ..scratch import materialize, scratch_path
 from .constraints import id_differences
 from .features import feature_tags, query_features
+from .skew import spread_join
 
 METRICS = ("parse", "execution", "answer_exact", "canonical_exact", "marker_exact", "false_acceptance", "safe_rejection", "system_answer_exact")
-#: Distinct query texts of one evaluation at most, and how many run at once.
-MOST_TEXTS, AT_ONCE = 20_000, 8
+#: Rows of an answer at most, and how many plans run at once.
+MOST_ROWS, AT_ONCE = 100, 8
 RESULT = "query string, parse_ok boolean, execution_ok boolean, error string, rows array<array<string>>"
+RESULT_COLUMNS = ["query", "parse_ok", "execution_ok", "error", "rows"]
+log = logging.getLogger(__name__)
 
 
 def value_key(c: Column, kind: str) -> Column:
@@ -34,32 +41,85 @@ def row_key(*values: Column) -> Column:
     return F.array_sort(F.array(*values))
 
 
-def _python_key(v: object) -> str:
-    return "none:" if v is None else f"{type(v).__name__}:{v}"
-
-
-def run_queries(graph, texts: DataFrame, spark: SparkSession) -> DataFrame:
+def run_queries(graph, texts: DataFrame, spark: SparkSession, max_rows: int = MOST_ROWS) -> DataFrame:
     """(query, parse_ok, execution_ok, error, rows) of each distinct text of a one-column table; rows are sorted value keys.
 
-    A query text is compiled on the driver and its answer is fenced at 100 rows; AT_ONCE run side by side. More than
-    MOST_TEXTS distinct texts are an error: templates with slots have few, whatever the number of cases.
+    Texts that differ in constants only are answered by one plan (see plans.families), whose number is that of the shapes
+    of texts; the driver holds one text of each shape. AT_ONCE plans run side by side. An answer of more than ``max_rows`` rows is
+    an error of its text; rows are counted before they are gathered.
     """
-    found = [r[0] for r in texts.distinct().limit(MOST_TEXTS + 1).collect()]
-    if len(found) > MOST_TEXTS:
-        raise ValueError(f"more than {MOST_TEXTS} distinct query texts")
-
-    def run(q: str) -> tuple:
-        try:
-            validate_select(q)
-        except SparqlError as e:
-            return q, False, False, str(e), None
+    rows = texts.select(F.col(texts.columns[0]).alias("query")).where("query IS NOT NULL").distinct().withColumn("case", F.monotonically_increasing_id())
+    rows = materialize(with_shapes(materialize(rows)))
+    shapes: dict[str, Shape] = {}
+    refused: list[tuple[str, str]] = []
+    for r in rows.where("problem IS NULL").groupBy("shape").agg(F.first("query").alias("query")).toLocalIterator():
         try:
-            return q, True, True, None, sorted(sorted(map(_python_key, r.values())) for r in execute_select(graph, q))
-        except SparqlError as e:
-            return q, True, False, str(e), None
+            shapes[r["shape"]] = parse_shape(r["shape"])
+        except SparqlError:
+            try:  # the message of a text as it was written
+                validate_select(r["query"])
+                refused.append((r["shape"], "invalid SPARQL"))
+            except SparqlError as e:
+                refused.append((r["shape"], str(e)))
+    path = scratch_path(spark)
+
+    def put(found: DataFrame, name: object) -> None:
+        found.select(*RESULT_COLUMNS).write.option("compression", "zstd").parquet(f"{path}/{name}")
+
+    none = F.lit(None).cast("array<array<string>>")
+    bad = rows.join(spark.createDataFrame(refused, "shape string, why string"), "shape", "left").where("problem IS NOT NULL OR why IS NOT NULL")
+    put(bad.select("query", F.lit(False).alias("parse_ok"), F.lit(False).alias("execution_ok"), F.coalesce("problem", "why").alias("error"), none.alias("rows")), "refused")
+    if shapes:
+        vary = spark.createDataFrame([(s, sorted(x.slots)) for s, x in shapes.items()], "shape string, vary array<int>")
+        signed = rows.join(vary, "shape").withColumn("signed", signature(F.col("parts"), F.col("vary"), graph.by_name)).drop("vary")
+        kinds = materialize(signed.groupBy("shape", "signed").agg(F.count(F.lit(1)).alias("n")).withColumn("plan", F.monotonically_increasing_id()))
+        plans = kinds.toLocalIterator()
+        cut = materialize(signed.join(kinds.drop("n"), ["shape", "signed"]).select("plan", "case", "query", "parts").repartition("plan", F.pmod(F.xxhash64("case"), F.lit(16))), by=("plan",))
+
+        def run(p) -> None:
+            mine = cut.where(F.col("plan") == p["plan"])
+            try:
+                put(_answers(graph, shapes[p["shape"]], list(p["signed"]), mine, max_rows), p["plan"])
+            except Exception:  # a value that Spark fails on: the texts one by one, so that others keep their answers
+                log.exception("a plan failed; its texts run one by one")
+                put(spark.createDataFrame([_alone(graph, r["query"], max_rows) for r in mine.toLocalIterator()], RESULT), f"{p['plan']}-alone")
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for _ in pool.map(run, plans):
+                pass
+    return spark.read.schema(RESULT).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _answers(graph, shape: Shape, signed: list[str], rows: DataFrame, max_rows: int) -> DataFrame:
+    """The results of all texts of one plan."""
+    try:
+        tree, slots = plan(shape, signed, rows, graph)
+        answer = Compiler(graph.spark, graph).select(tree, slots, CASE)
+    except SparqlError as e:
+        return rows.select("query", F.lit(True).alias("parse_ok"), F.lit(False).alias("execution_ok"), F.lit(str(e)).alias("error"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    names = [n for n in answer.names if n != CASE]
+    value = {n: (F.col(column(n)), answer.reps[n]) for n in names}
+    node = F.coalesce(*[F.when(is_node(*value[n]), n) for n in names]) if len(names) > 1 else F.when(is_node(*value[names[0]]), names[0])
+    said = answer.df.select(F.col(column(CASE)).alias("case"), node.alias("node"), F.array_sort(F.array(*[value_text(*value[n]) for n in names])).alias("row"))
+    said = said.groupBy("case", "row", "node").agg(F.count(F.lit(1)).alias("n"))
+    sizes = said.groupBy("case").agg(F.sum("n").alias("size"), F.min("node").alias("node"))
+    fine = said.join(sizes.where((F.col("size") <= max_rows) & F.col("node").isNull()).select("case"), "case", "left_semi")
+    listed = fine.groupBy("case").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("row", F.col("n").cast("int"))))).alias("rows"))
+    found = rows.join(sizes, "case", "left").join(listed, "case", "left")
+    error = F.when(F.col("size") > max_rows, F.lit(f"the SPARQL result exceeds {max_rows} rows")).when(F.col("node").isNotNull(), F.concat(F.lit("answer column ?"), "node", F.lit(" holds a graph node: select a label or another literal")))
+    none = F.array().cast("array<array<string>>")
+    return found.select("query", F.lit(True).alias("parse_ok"), error.isNull().alias("execution_ok"), error.alias("error"), F.when(error.isNull(), F.coalesce("rows", none)).alias("rows"))
+
+
+def _python_key(v: object) -> str:
+    return "none:" if v is None else f"{type(v).__name__}:{v}"
+
 
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        return spark.createDataFrame(list(pool.map(run, sorted(found))), RESULT)
+def _alone(graph, query: str, max_rows: int) -> tuple:
+    try:
+        return query, True, True, None, sorted(sorted(map(_python_key, r.values())) for r in execute_select(graph, query, max_rows=max_rows))
+    except SparqlError as e:
+        return query, True, False, str(e), None
 
 
 def multiset_scores(predicted: DataFrame, reference: DataFrame, case: str = "case", row: str = "row") -> DataFrame:
@@ -115,12 +175,13 @@ def evaluate_cases(examples: DataFrame, predictions: DataFrame, graph, object_pr
     A missing prediction counts as an empty text.
     """
     spark = graph.spark
-    cases = examples.join(predictions.select("id", "prediction"), "id", "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))
+    cases = materialize(examples.join(predictions.select("id", "prediction"), "id", "left").withColumn("prediction", F.coalesce("prediction", F.lit(""))))
     texts = cases.select(F.explode(F.array("target", "prediction")).alias("q")).where(F.trim(F.col("q")) != NO_INFORMATION_MARKER)
     results = run_queries(graph, texts, spark)
-    mine = F.broadcast(results.select(F.col("query").alias("prediction"), F.col("parse_ok").alias("p_ok"), F.col("execution_ok").alias("x_ok"), "error", F.col("rows").alias("predicted_rows")))
-    theirs = F.broadcast(results.select(F.col("query").alias("target"), F.col("rows").alias("reference_rows")))
-    c = cases.join(mine, "prediction", "left").join(theirs, "target", "left")
+    mine = results.select(F.col("query").alias("prediction"), F.col("parse_ok").alias("p_ok"), F.col("execution_ok").alias("x_ok"), "error", F.col("rows").alias("predicted_rows"))
+    theirs = results.select(F.col("query").alias("target"), F.col("rows").alias("reference_rows"))
+    # Many cases may have one text.
+    c = spread_join(spread_join(cases, mine, ["prediction"], F.xxhash64("id")), theirs, ["target"], F.xxhash64("id"))
     marker = F.col("target") == NO_INFORMATION_MARKER
     canonical = F.trim("prediction") == F.col("target")
     none = F.array().cast("array<array<string>>")

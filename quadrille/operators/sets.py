@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+from .skew import last_before, spread_join
+
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
@@ -55,20 +58,53 @@ def asof_latest(df: DataFrame, by: str, order: Column, at: Column) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str) -> DataFrame:
     """Each left row with the ``value`` of the latest right row of its key not after it (null without one).
 
-    Union and a running last value: both sides are shuffled once by key, and a key is never multiplied.
+    A union and a running last value, so a key is never multiplied; a key that holds a large share of the rows is cut by time.
     """
-    a = left.withColumns({"__t": F.col(left_time), "__v": F.lit(None).cast(right.schema[value].dataType), "__left": F.lit(1)})
-    b = right.select(F.col(by), F.col(right_time).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__left"))
-    w = Window.partitionBy(by).orderBy("__t", "__left").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(w))
-    return both.where("__left = 1").drop("__t", "__v", "__left")
+    known = right.select(F.col(by), F.col(right_time).alias("__t"), F.col(value))
+    spread = F.xxhash64(*left.columns)
+    return last_before(left.withColumn("__t", F.col(left_time)), known, by, "__t", value, spread).drop("__t")
+
+
+#: Levels of cells at most; a band that is wider than 2 ** LEVELS cells meets all points through cells of the last level.
+LEVELS = 40
+
+
+def band_cells(low: Column, high: Column, levels: int) -> Column:
+    """array<struct<level, cell>>: disjoint cells that together are the cells low .. high of level 0; at most two a level."""
+
+    def of(k: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        a, b = F.call_function("div", low + size - 1, size), F.call_function("div", high + 1, size)
+        cell = lambda c: F.struct(k.alias("level"), c.alias("cell"))
+        top = F.when(a < b, F.transform(F.sequence(a, F.greatest(a, b - 1)), cell))
+        odd = F.when(a < b, F.array_compact(F.array(F.when(F.pmod(a, F.lit(2)) == 1, cell(a)), F.when(F.pmod(b, F.lit(2)) == 1, cell(b - 1)))))
+        return F.coalesce(F.when(k == levels - 1, top).otherwise(odd), F.array().cast("array<struct<level:int,cell:bigint>>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), of))
 
 
 def range_join(points: DataFrame, bands: DataFrame, value: str, low: str, high: str, width: float, bound: int = 10_000) -> DataFrame:
-    """Points with the bands low <= value <= high. A small band table is broadcast; a large one is cut into
-    buckets of ``width``, joined on the bucket and checked exactly."""
+    """Points with the bands low <= value <= high; a null end is open. A small band table is broadcast.
+
+    Beyond that the axis is cut into cells of ``width`` and, level by level, of twice that. A band is the sum of at most two cells a
+    level, a point lies in one cell of each level that a band uses, and the two meet by equality; cells with many points are salted.
+    So a band of any width costs a few rows. The cells at a band's ends are checked exactly. ``points`` is read several times.
+    """
+    inside = F.coalesce(F.col(value) >= F.col(low), F.lit(True)) & F.coalesce(F.col(value) <= F.col(high), F.lit(True))
+    points = points.where(F.col(value).isNotNull())
     if bands.limit(bound + 1).count() <= bound:
-        return points.join(F.broadcast(bands), (F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)))
-    cell = lambda c: F.floor(c / width)
-    cut = bands.withColumn("__b", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
-    return points.withColumn("__b", cell(F.col(value))).join(cut, "__b").where((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))).drop("__b")
+        return points.join(F.broadcast(bands), inside)
+    least, most = points.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    if least is None:
+        return points.join(bands, F.lit(False))
+    n = int((most - least) // width)
+    levels = min(max(n.bit_length(), 1), LEVELS)
+    place = lambda c: F.floor((c.cast("double") - F.lit(least)) / F.lit(float(width))).cast("long")
+    first, last = F.coalesce(F.greatest(place(F.col(low)), F.lit(0)), F.lit(0)), F.coalesce(F.least(place(F.col(high)), F.lit(n)), F.lit(n))
+    ends = bands.withColumns({"__first": first, "__last": last}).where("__first <= __last")
+    cut = materialize(ends.withColumn("__c", F.explode(band_cells(F.col("__first"), F.col("__last"), levels))).select(*bands.columns, "__c.level", "__c.cell").withColumnsRenamed({"level": "__level", "cell": "__cell"}))
+    used = sorted(r[0] for r in cut.select("__level").distinct().collect())  # at most LEVELS
+    at = place(F.col(value))
+    cells = points.withColumn("__at", at).withColumn("__level", F.explode(F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")))
+    cells = cells.withColumn("__cell", F.expr("shiftright(__at, __level)")).drop("__at")
+    return spread_join(cells, cut, ["__level", "__cell"], F.xxhash64(*points.columns), "inner").where(inside).drop("__level", "__cell")

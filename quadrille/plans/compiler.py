@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SparqlError
@@ -65,14 +65,21 @@ class Compiler:
         self.spark, self.graph, self.fresh = spark, graph, itertools.count()
 
     # Queries.
-    def select(self, q: A.Select) -> Answer:
-        found, _ = self.group(q.where)
+    def select(self, q: A.Select, given: Solution | None = None, case: str = "") -> Answer:
+        """With ``given``, a table that binds variables of the outer group, the answers of all its rows at once: grouping, order and
+        limits then hold within each value of its variable ``case``, which is the last column of the answer."""
+        if given is not None:
+            q = replace(q, items=(*q.items, (A.Var(case), case)))
+        found, _ = self.group(q.where, given=given)
         if q.values is not None:
             found = self._and(found, self.values(q.values))
         found = self._unit() if found is None else found
         calls = [x for e, _ in q.items for x in _aggregates(e)] + [x for e in q.having for x in _aggregates(e)] + [x for e, _ in q.order_by for x in _aggregates(e)]
         if q.group_by or calls or q.having:
-            found, aggregates = self.aggregate(found, q, list(dict.fromkeys(calls)))
+            if given is None:
+                found, aggregates = self.aggregate(found, q, list(dict.fromkeys(calls)))
+            else:
+                found, aggregates = self._aggregate_cases(found, q, list(dict.fromkeys(calls)), given, case)
         else:
             aggregates = {}
         made: dict[str, Value] = {}
@@ -102,6 +109,12 @@ class Compiler:
             sort = [f"k_{i}" for i in range(len(keys))]
             df = df.select(*out, *sort).distinct() if not sort else df.select(*out, *sort).groupBy(*[column(n) for n in names]).agg(*[F.min(k).alias(k) for k in sort])
             out = [F.col(column(n)) for n in names]
+        if given is not None:
+            if q.offset or q.limit is not None:
+                w = Window.partitionBy(column(case) if q.distinct else f"o_{case}").orderBy(*(keys or out))
+                last = q.offset + q.limit if q.limit is not None else None
+                df = df.withColumn("k_row", F.row_number().over(w)).where((F.col("k_row") > q.offset) & (F.lit(True) if last is None else F.col("k_row") <= last))
+            return Answer(df.select(*out), names, reps)
         if keys:
             df = df.orderBy(*keys)
         df = df.select(*out)
@@ -111,6 +124,15 @@ class Compiler:
             df = df.limit(q.limit)
         return Answer(df, names, reps)
 
+    def _aggregate_cases(self, found: Solution, q: A.Select, calls: list[A.Aggregate], given: Solution, case: str) -> tuple[Solution, dict[A.Aggregate, Value]]:
+        """Aggregates within each case. Without a grouping key a case that has no solution has one row, that of no solutions."""
+        made, reps = self.aggregate(found, replace(q, group_by=(*q.group_by, (A.Var(case), None))), calls)
+        if not q.group_by:
+            none, _ = self.aggregate(found.where(F.lit(False)), q, calls)
+            missing = given.df.select(column(case)).join(made.df.select(column(case)), column(case), "left_anti")
+            made = Solution(made.df.unionByName(missing.join(F.broadcast(none.df)).select(*made.df.columns)), made.vars)
+        return made, reps
+
     def aggregate(self, found: Solution, q: A.Select, calls: list[A.Aggregate]) -> tuple[Solution, dict[A.Aggregate, Value]]:
         scope = Scope(found.value)
         df, keys, vars_ = found.df, [], {}
@@ -172,9 +194,9 @@ class Compiler:
     def _and(self, a: Solution | None, b: Solution) -> Solution:
         return b if a is None else join(a, b)
 
-    def group(self, g: A.Group, outer: dict[str, Rep] | None = None) -> tuple[Solution | None, list]:
-        """The solutions, and the filters that read variables of the group outside."""
-        found: Solution | None = None
+    def group(self, g: A.Group, outer: dict[str, Rep] | None = None, given: Solution | None = None) -> tuple[Solution | None, list]:
+        """The solutions, and the filters that read variables of the group outside. ``given`` solutions are joined first."""
+        found = given
         filters, late, triples = [], [], []
 
         def flush() -> None:

@@ -27,15 +27,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+def scratch_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, deleted with the other scratch tables."""
+    path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def materialize(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written to the shared folder and read back; ``by`` names columns whose values get folders of their own.
 
     A lost executor costs no recomputation of what lies before, and a plan that uses the result twice runs
     what made it once. The tables go when the driver ends, or by :func:`release`.
     """
-    path = f"{scratch_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    _made.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    path = scratch_path(df.sparkSession)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

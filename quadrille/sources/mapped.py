@@ -117,6 +117,18 @@ class MappedGraph:
         m = re.fullmatch(re.escape(NAMESPACE + cls) + r"([0-9][0-9x]*)", iri)
         return m.group(1) if m else None
 
+    by_name = True  # names of nodes are a class and a key
+
+    def slot(self, cls: str, name: Column) -> tuple[Column, Rep] | None:
+        """The keys of a column of names (such as :Customer12) of one class, in the form that keys of its table have."""
+        t = self.by_class.get(cls)
+        if t is None or not t.key:
+            return None
+        key = F.regexp_extract(name, "([0-9][0-9x]*)$", 1)
+        if len(t.key) == 1:
+            key = key.try_cast(self.frame(t).select(self._native(t, t.key[0])).schema[0].dataType)
+        return key, Rep("node", NAMESPACE + cls)
+
     def _is(self, value: tuple[Column, Rep], x: A.Iri | A.Lit) -> Column:
         """Whether a native value is the constant ``x``, as a term."""
         c, rep = value

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import ast as A
+from ..plans.parser import NAMESPACE
 from ..plans.solution import Binding, Solution, column, join
-from ..plans.terms import TERM, TERM_REP, term
+from ..plans.terms import TERM, TERM_REP, Rep, term
 
 SCHEMA = f"s {TERM}, p string, o {TERM}"
 
@@ -42,6 +43,8 @@ def _stored(x: A.Iri | A.Lit):
 class TripleStore:
     """Triples read from Parquet (partitioned by predicate) or any DataFrame of that schema."""
 
+    by_name = False
+
     def __init__(self, triples: DataFrame):
         self.triples, self.spark = triples, triples.sparkSession
 
@@ -54,6 +57,10 @@ class TripleStore:
         frequent predicate is written by many tasks."""
         self.triples.repartition("p", F.pmod(F.xxhash64("s"), F.lit(16))).write.partitionBy("p").parquet(path)
 
+    def slot(self, cls: str, name: Column) -> tuple[Column, Rep]:
+        """The nodes of a column of names of the graph's own namespace."""
+        return term(0, F.concat(F.lit(NAMESPACE), F.substr(name, F.lit(2)))), TERM_REP
+
     def bgp(self, patterns: list[A.Triple], known: dict) -> Solution:
         """Joined in an order that starts with the most constants and stays connected where it can."""
         left = sorted(patterns, key=lambda t: -sum(not isinstance(x, A.Var) for x in (t.s, t.p, t.o)))

@@ -1,16 +1,24 @@
-"""Turtle files read on the driver (graphs that fit in one file), N-Triples read by Spark."""
+"""Turtle and N-Triples files, split and parsed by the executors; Turtle texts of driver size."""
 
 from __future__ import annotations
 
+import contextlib
+import re
+import zlib
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import groupby
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import GraphError, SparqlError
 from ..plans import ast as A
-from ..plans.parser import Parser
+from ..plans.parser import ESCAPES, TOKEN, Parser
 from ..plans.terms import term
+from ..scratch import materialize
 from .triples import SCHEMA, TripleStore
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -19,9 +27,10 @@ RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 class _Turtle(Parser):
     """Turtle shares its terms with the query language; directives and collections are its own."""
 
-    def __init__(self, text: str):
-        super().__init__(text, {})
-        self.base, self.labels, self.out = "", {}, []
+    def __init__(self, text: str, prefixes: dict[str, str] | None = None, base: str = "", name: tuple[str, str] = ("", "")):
+        """``name`` is put before the number of a blank node without a label, and behind any."""
+        super().__init__(text, {} if prefixes is None else prefixes)
+        self.base, self.name, self.out = base, name, []
 
     def iri(self, token: tuple[str, str]) -> A.Iri:
         kind, v = token
@@ -31,8 +40,8 @@ class _Turtle(Parser):
 
     def blank(self, label: str | None = None) -> A.Var:
         if label is None:
-            return A.Var(f"g{next(self.fresh)}")
-        return A.Var(f"l{label}")
+            return A.Var(f"g{self.name[0]}{next(self.fresh)}{self.name[1]}")
+        return A.Var(f"l{label}{self.name[1]}")
 
     def document(self) -> list[tuple]:
         while self.peek()[0] != "end":
@@ -86,38 +95,219 @@ def parse_turtle(text: str) -> list[tuple]:
         found = _Turtle(text).document()
     except SparqlError as e:
         raise GraphError(f"invalid Turtle: {str(e).removeprefix('invalid SPARQL: ')}") from e
+    return list(dict.fromkeys((_row(t.s), t.p.value, _row(t.o)) for t in found))
 
-    def row(x) -> tuple:
-        if isinstance(x, A.Iri):
-            return (0, x.value, None, None)
-        return (1, x.name, None, None) if isinstance(x, A.Var) else (2, x.lex, x.dt, x.lang)
 
-    return list(dict.fromkeys((row(t.s), t.p.value, row(t.o)) for t in found))
+def _row(x: A.Iri | A.Var | A.Lit) -> tuple:
+    if isinstance(x, A.Iri):
+        return (0, x.value, None, None)
+    return (1, x.name, None, None) if isinstance(x, A.Var) else (2, x.lex, x.dt, x.lang)
+
+
+class _Scan:
+    """Where statements end. Between lines only a long string or open brackets can be unfinished; both are carried."""
+
+    CLOSE = {
+        '"': re.compile(r'(?:[^"\\]|\\.|"(?!""))*"""', re.DOTALL),
+        "'": re.compile(r"(?:[^'\\]|\\.|'(?!''))*'''", re.DOTALL),
+    }
+
+    def __init__(self, quote: str = "", depth: int = 0):
+        self.quote, self.depth = quote, depth
+
+    def line(self, text: str) -> list[int]:
+        """The places behind the dots that end a statement."""
+        at, ends = 0, []
+        while at < len(text):
+            if self.quote:
+                m = self.CLOSE[self.quote].match(text, at)
+                if m is None:
+                    return ends
+                self.quote, at = "", m.end()
+                continue
+            m = TOKEN.match(text, at)
+            token = m.group() if m else text[at]
+            for q in self.CLOSE:
+                if text.startswith(q * 3, at) and (len(token) < 6 or not token.startswith(q * 3)):  # begins here, ends in another line
+                    self.quote, token = q, q * 3
+            if token in ("[", "("):
+                self.depth += 1
+            elif token in ("]", ")"):
+                self.depth -= 1
+            elif token == "." and self.depth == 0:
+                ends.append(at + 1)
+            at += len(token)
+        return ends
+
+
+_HALF = "file string, block long, seq long, part string, text string"
+_CHANGE = pa.schema([("file", pa.string()), ("block", pa.int64()), ("before", pa.string()), ("after", pa.string()), ("depth", pa.int64())])
+_TERM = pa.struct([("k", pa.int8()), ("lex", pa.string()), ("dt", pa.string()), ("lang", pa.string())])
+_MARKS = "\"\"\"|'''|[\\[\\]()]"
+_DIRECTIVE = r"(?i)^(?:\s++|#[^\n]*+(?:\n|$))*+(?:@prefix|@base|prefix|base)\b"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, value): lines of Spark's own splits of the files; a split's lines come in their order."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[str]]]:
+    """The lines of each split that a task reads."""
+    rows = ((f, k, v) for b in batches for f, k, v in zip(b.column("file").to_pylist(), b.column("block").to_pylist(), b.column("value").to_pylist(), strict=True))
+    for key, own in groupby(rows, key=lambda r: r[:2]):
+        yield key, (v for _, _, v in own)
+
+
+class _Open:
+    """What is open (a long string's quote, the number of brackets) at the begin of a split; known for splits with such marks, told for others."""
+
+    def __init__(self, changes: dict[tuple[str, int, str], tuple[str, int]]):
+        self.marked = sorted({k[:2] for k in changes})
+        self.before, self.after, last = {}, {}, None
+        for at in self.marked:
+            open_ = self.after[last] if last is not None and last[0] == at[0] else ("", 0)
+            quote, depth = changes[(*at, open_[0])]
+            self.before[at], self.after[at], last = open_, (quote, open_[1] + depth), at
+
+    def at(self, file: str, block: int) -> tuple[str, int]:
+        if (file, block) in self.before:
+            return self.before[file, block]
+        i = bisect_left(self.marked, (file, block)) - 1
+        return self.after[self.marked[i]] if i >= 0 and self.marked[i][0] == file else ("", 0)
+
+
+def _open_marks(lines: DataFrame) -> _Open:
+    """Only lines with marks of long strings or brackets are looked at. A split says for each of three states at its begin what
+    is open at its end; these few numbers a split go to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, block), own in _by_split(batches):
+            scans = {q: _Scan(q) for q in ("", '"', "'")}
+            for text in own:
+                for scan in scans.values():
+                    scan.line(text)
+            yield pa.RecordBatch.from_pylist([{"file": file, "block": block, "before": q, "after": s.quote, "depth": s.depth} for q, s in scans.items()], schema=_CHANGE)
+
+    marked = lines.where(F.rlike("value", F.lit(_MARKS))).mapInArrow(run, "file string, block long, before string, after string, depth long")
+    return _Open({(r["file"], r["block"], r["before"]): (r["after"], r["depth"]) for r in marked.toLocalIterator()})
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "block", "seq", "part", "text"])
+
+
+def statements(lines: DataFrame) -> DataFrame:
+    """(file, block, seq, text): the statements of Turtle files, cut in parallel; ``seq`` counts within a split.
+
+    A statement over several splits is put together from its pieces: the end of one split, whole splits, the begin of another.
+    """
+    held = lines.sparkSession.sparkContext.broadcast(_open_marks(lines))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, block), own in _by_split(batches):
+            scan, piece, seq, rows = _Scan(*held.value.at(file, block)), [], 0, []
+            for text in own:
+                at = 0
+                for end in scan.line(text):
+                    rows.append((file, block, seq, None if seq else "head", "\n".join([*piece, text[at:end]])))
+                    piece, at, seq = [], end, seq + 1
+                piece.append(text[at:])
+                if len(rows) >= 4096:
+                    yield _batch(rows)
+                    rows = []
+            yield _batch([*rows, (file, block, seq, "tail" if seq else "all", "\n".join(piece))])
+
+    cut = materialize(lines.mapInArrow(run, _HALF))
+    pieces = cut.where("part IS NOT NULL")  # two a split
+    so_far = Window.partitionBy("file").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    begun = pieces.withColumn("begin", F.coalesce(F.sum(F.when(F.col("part") == "tail", 1)).over(so_far), F.lit(0)))
+    in_order = F.array_sort(F.collect_list(F.struct("block", "seq", "text")))
+    joined = begun.groupBy("file", "begin").agg(F.min(F.struct("block", "seq")).alias("at"), F.array_join(F.transform(in_order, lambda x: x["text"]), "\n").alias("text"))
+    return cut.where("part IS NULL").select("file", "block", "seq", "text").unionByName(joined.select("file", "at.block", "at.seq", "text"))
+
+
+def _contexts(found: DataFrame) -> list[tuple[tuple, dict[str, str], str]]:
+    """(place, prefixes, base) behind each statement that has a directive; the driver holds the directives."""
+    out, prefixes, base, last = [], {}, "", None
+    for r in sorted(found.where(F.rlike("text", F.lit(_DIRECTIVE))).collect()):
+        prefixes, base = (dict(prefixes), base) if r["file"] == last else ({}, "")
+        last = r["file"]
+        with contextlib.suppress(SparqlError):  # told with its place when the statement is read
+            t = _Turtle(r["text"], prefixes, base)
+            t.document()
+            base = t.base
+        out.append(((r["file"], r["block"], r["seq"]), prefixes, base))
+    return out
 
 
 def load_graph(spark: SparkSession, path: str | Path) -> TripleStore:
-    """A Turtle file as a graph. The file is read through Spark, so it may lie in any store."""
-    text = "".join(r[0] for r in spark.read.text(str(path), wholetext=True).collect())
-    return graph_of(spark, text)
+    """Turtle files as a graph: cut into statements where Spark splits the files, and parsed by the executors.
+
+    The driver holds the directives and a few numbers a split. Labels of blank nodes are those of their file. The first
+    statement that is none is an error.
+    """
+    lines = _lines(spark, str(path))
+    several = len(lines.inputFiles()) > 1
+    found = materialize(statements(lines))
+    held = spark.sparkContext.broadcast(_contexts(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = [c[0] for c in held.value]
+        for b in batches:
+            s, p, o, at, error = [], [], [], [], []
+            for place in zip(*(b.column(c).to_pylist() for c in ("file", "block", "seq", "text")), strict=True):
+                i = bisect_left(places, place[:3]) - 1
+                _, prefixes, base = held.value[i] if i >= 0 and places[i][0] == place[0] else (None, {}, "")
+                name = f"{place[1]}-{place[2]}-", f"-{zlib.crc32(place[0].encode()):x}" if several else ""
+                try:
+                    rows, said = [(_row(t.s), t.p.value, _row(t.o)) for t in _Turtle(place[3], dict(prefixes), base, name).document()], None
+                except SparqlError as e:
+                    rows, said = [(None, None, None)], str(e).removeprefix("invalid SPARQL: ")
+                for subject, predicate, value in rows:
+                    s.append(subject), p.append(predicate), o.append(value)
+                at += [f"{place[0]} {place[1]:020d} {place[2]:020d}"] * len(rows)
+                error += [said] * len(rows)
+            names = ("k", "lex", "dt", "lang")
+            terms = [pa.array([None if t is None else dict(zip(names, t, strict=True)) for t in c], _TERM) for c in (s, o)]
+            yield pa.RecordBatch.from_arrays([terms[0], pa.array(p, pa.string()), terms[1], pa.array(at, pa.string()), pa.array(error, pa.string())], ["s", "p", "o", "at", "error"])
+
+    triples = materialize(found.mapInArrow(run, f"{SCHEMA}, at string, error string"))
+    first = triples.where("error IS NOT NULL").agg(F.min(F.struct("at", "error")).alias("e")).first()["e"]
+    if first is not None:
+        raise GraphError(f"invalid Turtle: {first['error']}")
+    return TripleStore(materialize(triples.select("s", "p", "o").distinct()))
 
 
 def graph_of(spark: SparkSession, text: str) -> TripleStore:
     return TripleStore(spark.createDataFrame(parse_turtle(text), SCHEMA))
 
 
+def unescaped(text: Column) -> Column:
+    r"""``text`` with the escapes of N-Triples decoded, by columns: \t \b \n \r \f \" \' \\ and code points of four or eight digits."""
+    plain = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        point = F.decode(F.unhex(F.lpad(F.substring(piece, 3, 8), 8, "0")), "UTF-32")
+        known = F.coalesce(F.try_element_at(plain, F.substring(piece, 2, 1)), F.raise_error(F.concat(F.lit("unknown escape "), piece)))
+        return F.when(~piece.startswith("\\"), piece).when(piece.rlike("^.[uU]."), point).otherwise(known)
+
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
 def load_ntriples(spark: SparkSession, path: str) -> TripleStore:
     """N-Triples, read and parsed by the executors. A line that is no statement, comment or blank is an error."""
     lines = spark.read.text(path).where(~F.rlike("value", F.lit("^\\s*(#.*)?$")))
-    node = r"<([^<>\"{}|^`\\\x00-\x20]*)>|_:(\S+)"
-    pattern = rf'^\s*(?:{node})\s+<([^>]*)>\s+(?:<([^>]*)>|_:(\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+    iri = r"<((?:[^<>\"{}|^`\\\x00-\x20]++|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+)>"
+    node = rf"{iri}|_:(\S+)"
+    pattern = rf'^\s*(?:{node})\s+{iri}\s+(?:{iri}|_:(\S+)|"((?:[^"\\]++|\\.)*+)"(?:\^\^{iri}|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
     g = lambda i: F.regexp_extract("value", pattern, i)
     some = lambda c: F.when(c != "", c)
-    text = g(6)
-    for a, b in (("\\\\", "\x00"), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\x00", "\\")):
-        text = F.replace(text, F.lit(a), F.lit(b))
     lang = F.lower(some(g(8)))
-    dt = F.coalesce(some(g(7)), F.when(lang.isNotNull(), F.lit(RDF + "langString")), F.lit(A.XSD + "string"))
-    o = F.coalesce(term(0, some(g(4))), term(1, some(g(5))), term(2, text, dt, lang))
-    good = F.when(F.rlike("value", F.lit(pattern)), F.coalesce(term(0, some(g(1))), term(1, some(g(2))))).otherwise(F.raise_error(F.concat(F.lit("not an N-Triples statement: "), F.col("value"))))
-    return TripleStore(lines.select(good.alias("s"), g(3).alias("p"), o.alias("o")).distinct())
-
+    dt = F.coalesce(unescaped(some(g(7))), F.when(lang.isNotNull(), F.lit(RDF + "langString")), F.lit(A.XSD + "string"))
+    o = F.coalesce(term(0, unescaped(some(g(4)))), term(1, some(g(5))), term(2, unescaped(g(6)), dt, lang))
+    subject = F.coalesce(term(0, unescaped(some(g(1)))), term(1, some(g(2))))
+    good = F.when(F.rlike("value", F.lit(pattern)), subject).otherwise(F.raise_error(F.concat(F.lit("not an N-Triples statement: "), F.col("value"))))
+    return TripleStore(lines.select(good.alias("s"), unescaped(g(3)).alias("p"), o.alias("o")).distinct())

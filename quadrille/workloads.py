@@ -21,8 +21,9 @@ from .operators import release as rel
 from .plans import ast as A
 from .plans.parser import NAMESPACE
 from .plans.workload import QUERIES as SPARQL
+from .scratch import scratch_path
 from .sources.mapped import LABEL, TABLES, MappedGraph
-from .sources.turtle import graph_of
+from .sources.turtle import graph_of, load_graph, load_ntriples
 
 LANGS = ("de", "en", "es", "fr")
 _SPLIT_SQL = "CASE (doc_id // 20) % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"
@@ -437,6 +438,38 @@ def error_taxonomy(spark, sf_dir):
     return o.select("o_orderkey", F.coalesce(c, F.lit("none")).alias("category"))
 
 
+#: Ten families of queries over orders; ``k`` and ``c`` are the keys of an order and of its customer.
+_FAMILIES = [
+    "'SELECT ?v WHERE { :Order' || o_orderkey || ' :total ?v . }'",
+    "'SELECT ?v WHERE { :Order' || o_orderkey || ' :status ?v . }'",
+    "'SELECT ?v WHERE { :Order' || o_orderkey || ' :customer/rdfs:label ?v . }'",
+    "'SELECT ?v WHERE { :Order' || o_orderkey || ' :customer/:nation/rdfs:label ?v . }'",
+    "'SELECT (COUNT(?o) AS ?n) WHERE { ?o :customer :Customer' || o_custkey || ' . }'",
+    "'SELECT ?v WHERE { :Order' || o_orderkey || ' :total ?v . FILTER(?v > ' || o_orderkey * 3 || ') }'",
+    "'SELECT ?v WHERE { :Order' || o_orderkey || ' :priority \"' || o_orderpriority || '\" ; :status ?v . }'",
+    "'SELECT ?v WHERE { ?o :customer :Customer' || o_custkey || ' ; :total ?v . } ORDER BY DESC(?v) LIMIT 2'",
+    "'SELECT DISTINCT ?v WHERE { ?o :customer :Customer' || o_custkey || ' ; :priority ?v . }'",
+    "'SELECT ?v WHERE { :Order' || o_orderkey || ' :customer ?c . OPTIONAL { ?c :segment \"BUILDING\" ; :balance ?v . } }'",
+]
+_FAMILY_OF = "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_FAMILIES)) + " END"
+
+
+@query("""
+    WITH o AS (SELECT *, o_orderkey % 10 AS f, o_custkey % 4 AS p, count(*) OVER c AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS place FROM orders WINDOW c AS (PARTITION BY o_custkey)),
+         d AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS kinds FROM orders GROUP BY 1),
+         r AS (SELECT o_orderkey, f, p, o_totalprice > o_orderkey * 3 AS above, n, place, CASE f WHEN 5 THEN (o_totalprice > o_orderkey * 3)::INT WHEN 7 THEN least(n, 2) WHEN 8 THEN kinds ELSE 1 END AS size FROM o JOIN d USING (o_custkey)),
+         e AS (SELECT *, p < 2 OR p = 2 AND (f = 0 OR f = 5 AND above OR f = 7 AND n = 1) AS answer_exact,
+                      CASE WHEN p < 2 THEN (size > 0)::INT::DOUBLE WHEN p = 3 THEN 0.0 WHEN f = 0 OR f = 5 AND above THEN 1.0 WHEN f = 7 AND n = 1 THEN 1.0 WHEN f = 7 AND place <= 2 THEN 2.0 / 3 ELSE 0.0 END AS result_f1 FROM r)
+    SELECT o_orderkey, f AS family, p < 3 AS execution, CASE p WHEN 3 THEN -1 WHEN 2 THEN 1 ELSE size END AS n_rows, answer_exact, round(result_f1, 6) AS result_f1 FROM e""")
+def evaluate_families(spark, sf_dir):
+    """Every order asks a question of its family; every second prediction is the reference, others ask for the total or are no query."""
+    o = table(spark, sf_dir, "orders").withColumn("target", F.expr(_FAMILY_OF))
+    said = F.when(F.col("o_custkey") % 4 == 2, F.expr(_FAMILIES[0])).when(F.col("o_custkey") % 4 == 3, F.concat(F.lit("SELECT ?v WHERE { ?v "), F.col("o_orderkey").cast("string"))).otherwise(F.col("target"))
+    cases = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 10).alias("query_id"), F.lit("formal").alias("register"), F.lit("").alias("input"), "target")
+    found = evaluation.evaluate_cases(cases, o.select(F.col("o_orderkey").alias("id"), said.alias("prediction")), MappedGraph(spark, sf_dir))
+    return found.select(F.col("id").alias("o_orderkey"), F.col("query_id").alias("family"), "execution", F.coalesce(F.size("predicted_rows"), F.lit(-1)).alias("n_rows"), "answer_exact", F.round("result_f1", 6).alias("result_f1"))
+
+
 #: A query text for each part, put together by its keys, and its tags.
 _PART_TAGS = "CASE WHEN p_size % 2 = 0 THEN 'single_column' ELSE 'multi_column' END || CASE WHEN p_size % 3 = 0 THEN ',single_branch' ELSE ',multi_branch' END || CASE WHEN p_size % 3 <> 0 THEN ',graph_hop' ELSE '' END || CASE WHEN p_size % 2 <> 0 THEN ',aggregate' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ',filter' ELSE '' END || CASE WHEN p_size % 2 <> 0 THEN ',group' ELSE '' END || CASE WHEN p_size % 7 = 0 THEN ',order,limit' ELSE '' END || CASE WHEN p_size % 11 = 0 THEN ',values' ELSE '' END"
 
@@ -607,6 +640,52 @@ def range_join_bands(spark, sf_dir):
     return hit.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("bands"))
 
 
+@query("""
+    SELECT sale_id, client_id, coalesce(c.segment, 'none') AS segment
+    FROM (SELECT sale_id, client_id, sold_at AS valid_at FROM sales) s ASOF LEFT JOIN (SELECT client_id, valid_at, max(segment) AS segment FROM client_changes WHERE segment IS NOT NULL AND valid_at IS NOT NULL AND client_id IS NOT NULL GROUP BY 1, 2) c
+    USING (client_id, valid_at)""")
+def asof_sales_segment(spark, sf_dir):
+    """The segment each client had when it bought, by the log of changes; one client has a large share of the sales."""
+    said = table(spark, sf_dir, "client_changes").where("segment IS NOT NULL").select("client_id", "valid_at", "segment")
+    return sets.asof_join(table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at"), said, "client_id", "sold_at", "valid_at", "segment").select("sale_id", "client_id", F.coalesce("segment", F.lit("none")).alias("segment"))
+
+
+_BANDS = ["CASE WHEN s_suppkey % 13 > 0 THEN 900 + s_suppkey % 1000 END AS lo", "CASE WHEN s_suppkey % 11 > 0 THEN 900 + s_suppkey % 1000 + pow(2, s_suppkey % 11) END AS hi"]
+
+
+@query(f"WITH b AS (SELECT s_suppkey, {", ".join(_BANDS)} FROM supplier) SELECT s_suppkey, count(*) AS parts, min(p_partkey) AS first, max(p_partkey) AS last FROM b JOIN part ON p_retailprice >= coalesce(lo, -1e9) AND p_retailprice <= coalesce(hi, 1e9) GROUP BY 1")
+def range_join_any_width(spark, sf_dir):
+    """Bands from two units wide to half the axis, some open at an end."""
+    b = table(spark, sf_dir, "supplier").select("s_suppkey", *map(F.expr, _BANDS))
+    hit = sets.range_join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), b, "p_retailprice", "lo", "hi", 2.0, bound=0)
+    return hit.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("parts"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
+
+
+@query("SELECT o_orderkey, o_totalprice AS total, o_orderstatus AS status, 'order ' || o_orderkey || '.' || chr(10) || 'of \"' || o_custkey || '\" [' AS note FROM orders")
+def turtle_orders(spark, sf_dir):
+    """Orders written as Turtle, a statement over three lines each, read back in parallel and asked for."""
+    o, path = table(spark, sf_dir, "orders"), scratch_path(spark)
+    node = lambda name, key: F.concat(F.lit(f"<{NAMESPACE}{name}"), key, F.lit(">"))
+    said = lambda name: F.lit(f"<{NAMESPACE}{name}> ")
+    key, buyer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    parts = [node("Order", key), F.lit(" "), said("total"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" ; "), said("status"), F.lit('"'), "o_orderstatus", F.lit('" ;\n  '), said("note"), F.lit('"""order '), key, F.lit('.\nof "'), buyer, F.lit('" [""" .')]
+    o.select(F.concat(*parts).alias("value")).write.text(path)
+    got = engine.query_frame(load_graph(spark, path), "SELECT (STR(?o) AS ?order) ?total ?status ?note WHERE { ?o :total ?total ; :status ?status ; :note ?note . }")
+    return got.select(F.regexp_extract("order", "([0-9]+)$", 1).cast("long").alias("o_orderkey"), F.col("total").cast("double").alias("total"), "status", "note")
+
+
+@query("SELECT doc_id, length(text) AS n, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def ntriples_documents(spark, sf_dir):
+    """Whole texts written as N-Triples with their escapes, and read back."""
+    text, path = F.col("text"), scratch_path(spark)
+    for plain, coded in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ('"', '\\"'), ("é", "\\u00e9"), ("ß", "\\U000000DF"), ("\x0c", "\\f")):
+        text = F.replace(text, F.lit(plain), F.lit(coded))
+    line = F.concat(F.lit(f"<{NAMESPACE}Document"), F.col("doc_id").cast("string"), F.lit(f'> <{NAMESPACE}text> "'), text, F.lit('" .'))
+    table(spark, sf_dir, "documents").where("text IS NOT NULL").select(line.alias("value")).write.text(path)
+    t = load_ntriples(spark, path).triples
+    return t.select(F.regexp_extract("s.lex", "([0-9]+)$", 1).cast("long").alias("doc_id"), F.length("o.lex").cast("long").alias("n"), F.sha2("o.lex", 256).alias("digest"))
+
+
 # Release assembly and files.
 @query("SELECT doc_id AS id, 'question-' || lpad(CAST(row_number() OVER (ORDER BY CASE " + _SPLIT_SQL + " WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END, lang, doc_id) AS VARCHAR), 6, '0') AS release_id FROM documents")
 def assign_release_ids(spark, sf_dir):
