@@ -3,6 +3,9 @@
 Trigrams are counted over all texts and each text's set is put in one order, rare trigrams first. A length filter, a prefix
 filter and what is left of both sets behind a shared trigram leave few candidates; those are checked exactly. Equal sets of a
 family and split are compared once. Trigrams are numbers made of their three code points, so sets are arrays.
+
+The texts that share a prefix trigram in a family are a list, compared by array steps. A long list is cut into blocks by the size of
+the sets and its pairs of blocks are dealt out; two blocks whose sizes are too far apart are no pair.
 """
 
 from __future__ import annotations
@@ -12,15 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_key
 from ..scratch import materialize
+from .skew import below, spread_join, time_cuts
 
 THRESHOLD = 0.84
 #: Trigrams whose counts are broadcast at most (16 bytes each); of more, the most frequent. Others count as rarer.
 COUNTED = 1 << 18
+#: Texts of a list that are compared in one task, and pairs looked at in one step.
+BLOCK, STEP = 2048, 1 << 21
+#: Blocks of one list at most; the blocks of a list beyond MOST_BLOCKS * BLOCK entries grow.
+MOST_BLOCKS = 1024
 
 
 def gram_sets(texts: list[str]) -> list[np.ndarray]:
@@ -32,68 +40,143 @@ def gram_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _counts(base: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _sets(base: DataFrame) -> DataFrame:
+    """(node, f, split, h, m, grams): a numbered row for each distinct text of a family and split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = gram_sets(b.column("k").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("f"), b.column("split"), b.column("h"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["f", "split", "h", "m", "grams"])
+
+    kind = base.schema["f"].dataType.simpleString()
+    return materialize(base.mapInArrow(run, f"f {kind}, split string, h long, m int, grams binary").withColumn("node", F.monotonically_increasing_id()))
+
+
+def _counts(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The counted trigrams in order, and their counts; summed per task, then over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, n = np.unique(np.concatenate([np.empty(0, np.int64), *gram_sets(b.column("k").to_pylist())]), return_counts=True)
+            g, n = np.unique(np.frombuffer(b"".join(b.column("grams").to_pylist()), np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "n"])
 
-    found = base.select("k").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(COUNTED).toArrow()
+    found = sets.select("grams").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(COUNTED).toArrow()
     g, n = found.column("g").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(g)
     return g[order], n[order]
 
 
-def cross_split_near_duplicates(rows: DataFrame, family: str = "query_id", split: str = "split", key: str = "id", text: str = "input", threshold: float = THRESHOLD) -> DataFrame:
-    """(left_id, right_id, score): pairs of one family from two splits with similarity of ``threshold`` or more.
-
-    ``left_id`` is the row of the split that comes first in train, val, test (other splits by name).
-    """
-    rank = F.when(F.col(split) == "train", "0").when(F.col(split) == "val", "1").when(F.col(split) == "test", "2").otherwise(F.col(split))
-    base = rows.select(F.col(key).alias("id"), F.col(family).alias("f"), rank.alias("split"), F.coalesce(text_key(F.col(text)), F.lit("")).alias("k"))
-    # One representative for equal texts of a family and split; members are joined back at the end.
-    base = base.withColumn("h", F.xxhash64("k"))
-    members = materialize(base.select("id", "f", "split", "h"))
-    base = materialize(base.groupBy("f", "split", "h").agg(F.first("k").alias("k")))
-    held = rows.sparkSession.sparkContext.broadcast(_counts(base))
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(f, g, node, side, m, r): for each set the rarest trigrams, of which a similar set shares one; ``r`` is a trigram's place, ``side`` tells splits apart."""
+    held = sets.sparkSession.sparkContext.broadcast(_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = held.value
         for b in batches:
-            first, sets = [], gram_sets(b.column("k").to_pylist())
-            for s in sets:
+            first = []
+            for s in (np.frombuffer(x, np.int64) for x in b.column("grams").to_pylist()):
                 at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
                 n = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(len(s))
                 first.append(s[np.lexsort((s, n))][: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([b.column("f"), b.column("split"), b.column("h"), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array([s.tobytes() for s in sets], pa.binary())], ["f", "split", "h", "m", "first", "grams"])
+            sizes = np.array([len(x) for x in first], np.int64)
+            rows = pa.array(np.repeat(np.arange(len(first)), sizes))
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            grams = pa.array(np.concatenate([np.empty(0, np.int64), *first]))
+            yield pa.RecordBatch.from_arrays([b.column("f").take(rows), grams, *[b.column(c).take(rows) for c in ("node", "side", "m")], pa.array(place.astype(np.int32))], ["f", "g", "node", "side", "m", "r"])
+
+    kind = sets.schema["f"].dataType.simpleString()
+    return sets.where("f IS NOT NULL").select("f", "node", F.xxhash64("split").alias("side"), "m", "grams").mapInArrow(run, f"f {kind}, g long, node long, side long, m int, r int")
 
-    kind = base.schema["f"].dataType.simpleString()
-    sets = materialize(base.mapInArrow(run, f"f {kind}, split string, h long, m int, first array<long>, grams binary"))
-    first = materialize(sets.select("f", "split", "h", "m", F.posexplode("first").alias("r", "g")))
-    other = first.select("f", "g", F.col("split").alias("split2"), F.col("h").alias("h2"), F.col("m").alias("m2"), F.col("r").alias("r2"))
-    small, large = F.least("m", "m2"), F.greatest("m", "m2")
-    # The shared trigrams lie from the first one on in both sets.
-    reach, need = F.least(F.col("m") - F.col("r"), F.col("m2") - F.col("r2")), F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("m2"))
-    near = first.join(other, ["f", "g"]).where((F.col("split") < F.col("split2")) & (small >= F.lit(threshold) * large - 1e-9) & (reach >= need - 1e-9)).select("f", "split", "h", "split2", "h2").distinct()
-    a = sets.select("f", "split", "h", F.col("grams").alias("x"))
-    b = sets.select("f", F.col("split").alias("split2"), F.col("h").alias("h2"), F.col("grams").alias("y"))
-    both = near.join(a, ["f", "split", "h"]).join(b, ["f", "split2", "h2"])
+
+def block_pairs(entries: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(list, inner, at, node, side, m, r): ``entries`` once for each pair of blocks of their list that they take part in; ``inner``
+    where a block meets itself, ``at`` is the entry's own block. A list of up to ``block`` entries is one block.
+
+    Blocks are ranges of set sizes; blocks i < j meet only where the largest set of i can be similar to the smallest of j.
+    """
+    entries = entries.withColumn("key", F.struct("f", "g"))
+    cuts = time_cuts(entries, "key", "m", entries.count(), MOST_BLOCKS, block)
+    if cuts.isEmpty():
+        wide = entries.withColumns({"at": F.lit(0), "other": F.lit(0)})
+    else:
+        wide = spread_join(entries, cuts.select(F.col("__key").alias("key"), "__cuts"), ["key"], F.xxhash64("node"))
+        low, high = (below(F.col("__cuts"), F.col("m"), MOST_BLOCKS, equal) for equal in (False, True))
+        at = low + F.pmod(F.xxhash64("node"), high - low + 1).cast("int")
+        wide = wide.withColumn("at", F.when(F.col("__cuts").isNull(), 0).otherwise(at))
+
+        def meets(other: Column) -> Column:
+            i, j = F.least("at", other), F.greatest("at", other)
+            return (i == j) | (F.get("__cuts", i) >= F.lit(threshold) * F.get("__cuts", j - 1) - 1e-9)
+
+        wide = wide.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.coalesce(F.size("__cuts"), F.lit(0))), meets)))
+    pair = F.least("at", "other"), F.greatest("at", "other")
+    return wide.select(F.xxhash64("f", "g", *pair).alias("list"), (F.col("at") == F.col("other")).cast("int").alias("inner"), "at", "node", "side", "m", "r")
+
+
+def _candidates(lists: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): nodes of different splits that share a prefix trigram and pass the filters on sizes and places."""
+    names = ("list", "inner", "at", "node", "side", "m", "r")
+
+    def found(lists: np.ndarray, inner: np.ndarray, at: np.ndarray, node: np.ndarray, side: np.ndarray, m: np.ndarray, r: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of whole lists, sorted by list and size: a row's partners lie behind it, up to a size."""
+        group = np.cumsum(np.diff(lists, prepend=lists[:1]) != 0) << 32
+        counts = np.searchsorted(group + m, group + np.floor(m / threshold + 1e-9).astype(np.int64), "right") - np.arange(len(m)) - 1
+        total, low = np.cumsum(counts), 0
+        while low < len(m):
+            stop = max(int(np.searchsorted(total, (total[low - 1] if low else 0) + STEP, "right")), low + 1)
+            own = counts[low:stop]
+            x = np.repeat(np.arange(low, stop), own)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
+            # The shared trigrams lie from the first one on in both sets.
+            reach, need = np.minimum(m[x] - r[x], m[y] - r[y]), threshold / (1 + threshold) * (m[x] + m[y])
+            fine = (side[x] != side[y]) & ((inner[x] == 1) | (at[x] != at[y])) & (reach >= need - 1e-9)
+            pair = np.unique(np.sort(np.stack([node[x[fine]], node[y[fine]]], axis=1), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k])) for k in (0, 1)], ["a", "b"])
+            low = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * len(names)  # the last list, which may go on in the next batch
+        for b in batches:
+            held = [np.concatenate([h, b.column(n).to_numpy(zero_copy_only=False)]) for h, n in zip(held, names, strict=True)]
+            edge = np.flatnonzero(np.diff(held[0])) + 1
+            if len(edge):
+                yield from found(*[h[: edge[-1]] for h in held])
+                held = [h[edge[-1] :] for h in held]
+        if len(held[0]):
+            yield from found(*held)
+
+    cast = lists.select(*[F.col(n).cast("long").alias(n) for n in names])
+    return cast.repartition("list").sortWithinPartitions("list", "m").mapInArrow(run, "a long, b long").distinct()
+
+
+def cross_split_near_duplicates(rows: DataFrame, family: str = "query_id", split: str = "split", key: str = "id", text: str = "input", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(left_id, right_id, score): pairs of one family from two splits with similarity of ``threshold`` or more.
+
+    ``left_id`` is the row of the split that comes first in train, val, test (other splits by name).
+    """
+    rank = F.when(F.col(split) == "train", "0").when(F.col(split) == "val", "1").when(F.col(split) == "test", "2").otherwise(F.col(split))
+    base = rows.select(F.col(key).alias("id"), F.col(family).alias("f"), rank.alias("split"), F.coalesce(text_key(F.col(text)), F.lit("")).alias("k"))
+    # One representative for equal texts of a family and split; members are joined back at the end.
+    base = materialize(base.withColumn("h", F.xxhash64("k")))
+    sets = _sets(base.groupBy("f", "split", "h").agg(F.first("k").alias("k")))
+    near = _candidates(block_pairs(materialize(_prefixes(sets, threshold)), threshold, block), threshold)
+    of = lambda i: sets.select(F.col("node").alias("ab"[i]), *[F.col(c).alias(f"{c}{i}") for c in ("f", "split", "h", "grams")])
+    both = near.join(of(0), "a").join(of(1), "b").where("f0 = f1")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["f", "split", "h", "split2", "h2"]
+        names = ["f0", "split0", "h0", "split1", "h1"]
         for b in batches:
             score = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            for x, y in zip(b.column("grams0").to_pylist(), b.column("grams1").to_pylist(), strict=True):
                 s, t = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 i = len(np.intersect1d(s, t, assume_unique=True))
                 score.append(i / (len(s) + len(t) - i))
             keep = pa.array([v >= threshold for v in score], pa.bool_())
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(score, pa.float64())], [*names, "score"]).filter(keep)
 
-    found = both.select("f", "split", "h", "split2", "h2", "x", "y").mapInArrow(check, f"f {kind}, split string, h long, split2 string, h2 long, score double")
-    left = members.select("f", "split", "h", F.col("id").alias("left_id"))
-    right = members.select("f", F.col("split").alias("split2"), F.col("h").alias("h2"), F.col("id").alias("right_id"))
-    return found.join(left, ["f", "split", "h"]).join(right, ["f", "split2", "h2"]).select("left_id", "right_id", "score")
+    kind = base.schema["f"].dataType.simpleString()
+    found = both.select("f0", "split0", "h0", "split1", "h1", "grams0", "grams1").mapInArrow(check, f"f0 {kind}, split0 string, h0 long, split1 string, h1 long, score double")
+    first = F.col("split0") < F.col("split1")
+    pair = found.select(F.col("f0").alias("f"), *[F.when(first, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}_{side}") for c in ("split", "h") for x, y, side in ((0, 1, "l"), (1, 0, "r"))], "score")
+    side = lambda s: base.select("f", F.col("split").alias(f"split_{s}"), F.col("h").alias(f"h_{s}"), F.col("id").alias("left_id" if s == "l" else "right_id"))
+    return pair.join(side("l"), ["f", "split_l", "h_l"]).join(side("r"), ["f", "split_r", "h_r"]).select("left_id", "right_id", "score")

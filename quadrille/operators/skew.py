@@ -1,6 +1,7 @@
 """Joins and windows in which one key may hold most rows: salts for joins, chunks of time for scans.
 
 All lists that are broadcast here have at most ``parts`` rows: a key is hot when it has more than one in ``parts`` of all rows.
+Cuts of keys with more than a fixed number of rows have no such bound and are joined with salts.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ def parts_of(spark: SparkSession) -> int:
     return max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hot_keys(rows: DataFrame, keys: list[str], total: int, parts: int) -> DataFrame:
-    """(keys, __pieces): keys with more than one in ``parts`` of ``total`` rows, and into how many pieces each is cut. Counted within tasks first."""
-    share = max(total // parts, LEAST_ROWS)
+def hot_keys(rows: DataFrame, keys: list[str], total: int, parts: int, most: int | None = None) -> DataFrame:
+    """(keys, __pieces): keys with more than one in ``parts`` of ``total`` rows (or more than ``most`` rows), and into how many pieces each is cut.
+    Counted within tasks first."""
+    share = max(total // parts, LEAST_ROWS) if most is None else most
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share).select(*keys, F.ceil(F.col("__n") / share).cast("int").alias("__pieces"))
 
 
@@ -31,10 +33,10 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     parts = parts_of(left.sparkSession)
     if total <= LEAST_ROWS:
         return left.join(right, keys, how)
-    hot = F.broadcast(materialize(hot_keys(left, keys, total, parts)))
-    salt = F.when(F.col("__pieces").isNull(), 0).otherwise(F.pmod(spread, F.col("__pieces"))).cast("int")
-    a = left.join(hot, keys, "left").withColumn("__salt", salt).drop("__pieces")
-    b = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__pieces"), F.lit(1)) - 1))).drop("__pieces")
+    hot = F.broadcast(materialize(hot_keys(left, keys, total, parts).withColumnRenamed("__pieces", "__salts")))
+    salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(spread, F.col("__salts"))).cast("int")
+    a = left.join(hot, keys, "left").withColumn("__salt", salt).drop("__salts")
+    b = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))).drop("__salts")
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
 
 
@@ -49,12 +51,22 @@ def below(bounds: Column, t: Column, parts: int, equal: bool = False) -> Column:
     return F.aggregate(steps, F.lit(0), go)
 
 
-def time_cuts(rows: DataFrame, key: str, time: str, total: int, parts: int) -> DataFrame:
-    """(__key, __cuts): for each hot key the quantiles of its times that cut it into pieces; a written table of at most ``parts`` rows."""
-    hot = hot_keys(rows, [key], total, parts).select(F.col(key).alias("__key"), F.least("__pieces", F.lit(parts)).alias("__pieces"))
+def time_cuts(rows: DataFrame, key: str, time: str, total: int, parts: int, most: int | None = None) -> DataFrame:
+    """(__key, __cuts): for each hot key the quantiles of its times that cut it into at most ``parts`` pieces; a written table.
+
+    It has at most ``parts`` rows and can be broadcast, unless ``most`` is given, the number of rows from which on a key is cut.
+    """
+    hot = hot_keys(rows, [key], total, parts, most).select(F.col(key).alias("__key"), F.least("__pieces", F.lit(parts)).alias("__pieces"))
     hot = materialize(hot)
     grid = F.percentile_approx(time, [i / parts for i in range(1, parts)], 10 * parts)
-    found = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key"))).groupBy("__key").agg(F.max("__pieces").alias("__pieces"), grid.alias("q"))
+    own = rows.select(key, time)
+    if most is None:
+        found = own.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left").where("__pieces IS NOT NULL")
+    elif hot.isEmpty():
+        return hot.select("__key", F.lit(None).cast("array<double>").alias("__cuts"))
+    else:
+        found = spread_join(own.withColumnRenamed(key, "__key"), hot, ["__key"], F.xxhash64(time), "inner", total)
+    found = found.groupBy("__key").agg(F.max("__pieces").alias("__pieces"), grid.alias("q"))
     some = F.transform(F.sequence(F.lit(1), F.col("__pieces") - 1), lambda i: F.element_at("q", (i * parts / F.col("__pieces")).cast("int")))
     return materialize(found.where("__pieces > 1").select("__key", some.alias("__cuts")))
 
