@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import let, materialize, released, setting
-from .wordhash import EXACT, ragged, same_spans, span_hashes
+from .wordhash import EXACT, mix, ragged, same_spans, span_hashes
 
 SPACE = "▁"
 #: Units of a chunk, bytes of text cut at a time, documents to a bucket and buckets at least.
@@ -116,7 +116,7 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
     return [raw[i:j] for i, j in zip([8 * n, *ends.tolist()], ends.tolist(), strict=False)]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, batch: int) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(number, rows, bytes, starts and ends of the distinct units in order of their hash, hashes, which unit each place has, units of each row).
 
     Which rows make a chunk follows from the order of the rows of a task alone."""
@@ -144,11 +144,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table,
         texts, low, size = whole.column("text").to_pylist(), 0, 0
         for i, t in enumerate(texts):
             size += len(t or "")
-            if size >= BATCH or i == len(texts) - 1:
+            if size >= batch or i == len(texts) - 1:
                 cut = cut_units(texts[low : i + 1])
                 held.append((whole.slice(low, i + 1 - low), cut))
                 waiting, low, size = waiting + len(cut[1]), i + 1, 0
-                if waiting >= CHUNK:
+                if waiting >= chunk:
                     yield out()
                     number, waiting = number + 1, 0
     if held:
@@ -162,18 +162,24 @@ def _buckets(rows: int) -> int:
     return n
 
 
-def _asked(docs: DataFrame, buckets: int) -> DataFrame:
-    """Two kinds of rows: (bucket, no, unit) has the distinct units, numbered within their bucket; (bucket, chunk, has) the packed numbers of a chunk's units there."""
+def _proof(kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each stretch of a chunk's distinct units a sum over their hashes, by which a second reading shows that it is the same chunk."""
+    return np.add.reduceat(mix(kinds), first).view(np.int64) if len(first) else np.empty(0, np.int64)
+
+
+def _asked(docs: DataFrame, buckets: int, chunk: int, batch: int) -> DataFrame:
+    """Two kinds of rows: (bucket, no, unit) has the distinct units, numbered within their bucket; (bucket, chunk, has, proof) the packed numbers of a
+    chunk's units there."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, buffer, starts, ends, kinds, *_ in _chunks(batches):
+        for number, _, buffer, starts, ends, kinds, *_ in _chunks(batches, chunk, batch):
             part = (kinds >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
             first = np.flatnonzero(np.diff(part, prepend=-1))
             sizes = ends - starts
             blobs = []
             for i, j in zip(first, np.append(first[1:], len(part)), strict=False):
                 blobs.append(_pack(sizes[i:j].astype("<u4"), buffer[ragged(starts[i:j], sizes[i:j])]))
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(first), pa.int64()), pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "bucket", "units"])
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(first), pa.int64()), pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary()), pa.array(_proof(kinds, first))], ["chunk", "bucket", "units", "proof"])
 
     def number(bucket: pa.Table) -> pa.Table:
         blobs = [_unpack(x, 2) for x in bucket.column("units").to_pylist()]
@@ -190,11 +196,11 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
         b, n, m = bucket.column("bucket")[0].as_py(), len(units), len(has)
         return pa.table({
             "bucket": pa.array([b] * (n + m), pa.int32()), "no": pa.array([*range(n), *[None] * m], pa.int32()), "unit": pa.array([*units, *[None] * m], pa.string()),
-            "chunk": pa.array([*[None] * n, *bucket.column("chunk").to_pylist()], pa.int64()), "has": pa.array([*[None] * n, *has], pa.binary()),
+            "chunk": pa.array([*[None] * n, *bucket.column("chunk").to_pylist()], pa.int64()), "has": pa.array([*[None] * n, *has], pa.binary()), "proof": pa.array([*[None] * n, *bucket.column("proof").to_pylist()], pa.int64()),
         })
 
-    asked = docs.mapInArrow(released(ask), "chunk long, bucket int, units binary")
-    return asked.groupBy("bucket").applyInArrow(number, "bucket int, no int, unit string, chunk long, has binary")
+    asked = docs.mapInArrow(released(ask), "chunk long, bucket int, units binary, proof long")
+    return asked.groupBy("bucket").applyInArrow(number, "bucket int, no int, unit string, chunk long, has binary, proof long")
 
 
 def best_path(unit: str, model: Model, table: dict[str, tuple[int, float]]) -> list[int]:
@@ -331,18 +337,19 @@ def _spelt(spelling: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray,
     return [spelt[i + (spelt[i : i + 1] == b" ") : j].decode("utf-8", "replace") for i, j in zip(at, at[1:], strict=False)]
 
 
-def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", method: str = "viterbi", decoded: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", method: str = "viterbi", decoded: bool = False, chunk: int = CHUNK, batch: int = BATCH) -> DataFrame:
     """(doc_id, text_sha256, ids): the whole token sequence of every row, with the digest (binary) of its text in UTF-8; with
     ``decoded`` also the text that :func:`decode` makes of the ids.
 
-    ``docs`` is read twice and must come in the same order both times, as files do; a chunk cut in two ways is an error.
+    ``docs`` is read twice and must come in the same order both times, as files do; a chunk that has other units at the second
+    reading is an error (their hashes are summed and compared). ``chunk`` and ``batch`` bound what a task holds: units of a chunk, characters cut at once.
     Null and empty texts have no ids. Rows without an id and repeated rows are encoded each. Texts are cut whole, however
     long; a unit beyond LONG characters takes the same fold in a loop. An empty table gives an empty table. Other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_sha256"), text.alias("text"))
     buckets = _buckets(docs.count())
-    asked = materialize(_asked(docs, buckets))
+    asked = materialize(_asked(docs, buckets, chunk, batch))
     known = materialize(encode_units(asked.where("unit IS NOT NULL").select("bucket", "no", "unit"), model, method).select("bucket", "no", "ids"))
     kind = "<u2" if model.size <= 1 << 16 else "<u4"
 
@@ -357,19 +364,20 @@ def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_c
         for blob in has.column("has").to_pylist():
             at = place[np.cumsum(np.frombuffer(_unpack(blob, 1)[0], "<i4"))]
             blobs.append(_pack(counts[at].astype("<u4"), flat[ragged(offsets[at], counts[at])].astype(kind)))
-        return pa.table({"chunk": has.column("chunk"), "bucket": has.column("bucket"), "ids": pa.array(blobs, pa.binary())})
+        return pa.table({"chunk": has.column("chunk"), "bucket": has.column("bucket"), "ids": pa.array(blobs, pa.binary()), "proof": has.column("proof")})
 
-    replies = asked.where("unit IS NULL").select("bucket", "chunk", "has").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(reply, "chunk long, bucket int, ids binary")
+    replies = asked.where("unit IS NULL").select("bucket", "chunk", "has", "proof").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(reply, "chunk long, bucket int, ids binary, proof long")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows, _, _, _, kinds, which, counts in _chunks(batches):
+        for number, rows, _, _, _, kinds, which, counts in _chunks(batches, chunk, batch):
             sink = pa.BufferOutputStream()
             with ipc.new_stream(sink, rows.select(["doc_id", "text_sha256"]).schema) as writer:
                 writer.write_table(rows.select(["doc_id", "text_sha256"]))
             packed = _pack(which.astype("<u4"), counts.astype("<u4"), sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(kinds)], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "kinds", "coded"])
+            proof = pa.array(_proof(kinds, np.zeros(min(len(kinds), 1), np.int64)).tolist() or [0], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(kinds)], pa.int64()), proof, pa.array([packed], pa.binary())], ["chunk", "kinds", "proof", "coded"])
 
-    coded = docs.mapInArrow(released(code), "chunk long, kinds long, coded binary")
+    coded = docs.mapInArrow(released(code), "chunk long, kinds long, proof long, coded binary")
     held = docs.sparkSession.sparkContext.broadcast(_spelling(model)) if decoded else None
 
     def fill(own: pa.Table, heard: pa.Table) -> pa.Table:
@@ -377,7 +385,8 @@ def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_c
         parts = [_unpack(x, 2) for _, x in sorted(zip(heard.column("bucket").to_pylist(), heard.column("ids").to_pylist(), strict=True))]
         size = np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(p[0], "<u4") for p in parts]]).astype(np.int64)
         ids = np.concatenate([np.empty(0, kind), *[np.frombuffer(p[1], kind) for p in parts]])
-        if len(size) != own.column("kinds")[0].as_py():
+        proof = heard.column("proof").to_numpy().astype(np.int64).sum(dtype=np.int64)
+        if len(size) != own.column("kinds")[0].as_py() or proof != own.column("proof")[0].as_py():
             raise RuntimeError("a chunk was cut in two ways: its rows come in no fixed order")
         which, counts = np.frombuffer(which, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
         got = ids[ragged((np.cumsum(size) - size)[which], size[which])].astype(np.int32)

@@ -64,12 +64,12 @@ def _filter_bits(grams: DataFrame) -> np.ndarray:
     return bits
 
 
-_CHUNKS = "chunk long, bucket int, hashes binary, docs binary, starts binary, lengths binary, which binary, twice binary"
+_CHUNKS = "chunk long, bucket int, hashes binary, docs binary, texts binary, starts binary, lengths binary, which binary, twice binary"
 
 
 def _chunks(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """Chunks of runs whose minimiser gram occurs again. For each chunk one row a bucket with its distinct hashes, in order, and
-    one row of bucket -1: stretches of runs (document, start, length), which distinct hash each run has, and which occur twice here."""
+    one row of bucket -1: stretches of runs (document, hash of its text, start, length), which distinct hash each run has, and which occur twice here."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
     buckets = max(BUCKETS, len(bits) // (BLOCK // 8))
     shift = np.uint64(64 - buckets.bit_length() + 1)
@@ -79,7 +79,7 @@ def _chunks(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         blocks = np.uint64(len(bits) // (BLOCK // 8))
         number = TaskContext.get().partitionId() << 33
         hashes: list[np.ndarray] = []
-        stretches: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        stretches: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
             distinct, which, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
@@ -87,18 +87,18 @@ def _chunks(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             first = np.flatnonzero(np.diff(part, prepend=-1))
             n = len(first)
             packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(first, len(distinct)) * 8), pa.py_buffer(distinct.tobytes())]).cast(pa.binary())
-            own = [np.concatenate([s[k] for s in stretches]).astype(np.int64 if k == 0 else np.int32).tobytes() for k in range(3)]
+            own = [np.concatenate([s[k] for s in stretches]).astype(np.int64 if k < 2 else np.int32).tobytes() for k in range(4)]
             own += [which.astype(np.int32).tobytes(), np.packbits(times > 1).tobytes()]
             columns = [pa.array([number] * (n + 1), pa.int64()), pa.array([*part[first].tolist(), -1], pa.int32()), pa.concat_arrays([packed, pa.nulls(1, pa.binary())])]
             columns += [pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([x], pa.binary())]) for x in own]
             hashes.clear(), stretches.clear()
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "hashes", "docs", "starts", "lengths", "which", "twice"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "hashes", "docs", "texts", "starts", "lengths", "which", "twice"])
 
         waiting = 0
         for whole in batches:
             for low in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(low, TEXTS)
-                for doc, w in zip(b.column("doc_id").to_pylist(), word_hashes(b.column("text").to_pylist(), False), strict=True):
+                for doc, text, w in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), word_hashes(b.column("text").to_pylist(), False), strict=True):
                     if len(w) < MIN_WORDS:
                         continue
                     g = rolled(w, GRAM)
@@ -109,7 +109,7 @@ def _chunks(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     if not len(edge):
                         continue
                     hashes.append(rolled(w, MIN_WORDS)[hit])
-                    stretches.append((np.full(len(edge) // 2, doc), edge[::2], edge[1::2] - edge[::2]))
+                    stretches.append((np.full(len(edge) // 2, doc), np.full(len(edge) // 2, text), edge[::2], edge[1::2] - edge[::2]))
                     waiting += len(hashes[-1])
                     if waiting >= CHUNK:
                         yield out()
@@ -135,13 +135,13 @@ def _shared(bucket: pa.Table) -> pa.Table:
 
 
 def _spans(chunk: pa.Table) -> pa.Table:
-    """(doc_id, start_word, end_word) of the marked runs of one chunk: its own row and the bits of its buckets."""
+    """(doc_id, text_hash, start_word, end_word) of the marked runs of one chunk: its own row and the bits of its buckets."""
     rows = sorted(chunk.to_pylist(), key=lambda r: r["bucket"])
     own = rows[0]
     read = lambda name, kind: np.frombuffer(own[name], kind)
     marked = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["size"]) for r in rows[1:]])
     marked = marked | np.unpackbits(read("twice", np.uint8), count=len(marked))
-    docs, starts, lengths = read("docs", np.int64), read("starts", np.int32).astype(np.int64), read("lengths", np.int32).astype(np.int64)
+    docs, texts, starts, lengths = read("docs", np.int64), read("texts", np.int64), read("starts", np.int32).astype(np.int64), read("lengths", np.int32).astype(np.int64)
     # One unmarked place between stretches, so that marks of two documents don't meet.
     begin = np.cumsum(lengths + 1) - lengths - 1
     stretch = np.repeat(np.arange(len(lengths)), lengths)
@@ -151,32 +151,39 @@ def _spans(chunk: pa.Table) -> pa.Table:
     first, last = edge[::2], edge[1::2]
     at = np.searchsorted(begin, first, side="right") - 1
     start = starts[at] + first - begin[at]
-    return pa.table({"doc_id": pa.array(docs[at], pa.int64()), "start_word": pa.array(start, pa.int64()), "end_word": pa.array(start + (last - first) + MIN_WORDS - 1, pa.int64())})
+    return pa.table({"doc_id": pa.array(docs[at], pa.int64()), "text_hash": pa.array(texts[at], pa.int64()), "start_word": pa.array(start, pa.int64()), "end_word": pa.array(start + (last - first) + MIN_WORDS - 1, pa.int64())})
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
     """Overlapping and adjoining spans of a document become one."""
-    w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+    w = Window.partitionBy("doc_id", "text_hash").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     cut = spans.distinct().withColumn("__new", F.when(F.coalesce(F.col("start_word") <= reach, F.lit(False)), 0).otherwise(1))
-    return cut.withColumn("__k", F.sum("__new").over(w)).groupBy("doc_id", "__k").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("__k")
+    return cut.withColumn("__k", F.sum("__new").over(w)).groupBy("doc_id", "text_hash", "__k").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("__k")
 
 
 def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, start_word, end_word): maximal spans of words that lie in a repeated passage, every occurrence.
+    """(doc_id, text_hash, start_word, end_word): maximal spans of words that lie in a repeated passage, every occurrence.
 
     Words are cut at ASCII white space. A repeat within one document counts. Null texts and
-    texts below MIN_WORDS words have none; rows without an id are left out. An empty table gives none.
+    texts below MIN_WORDS words have none; rows without an id are left out. An empty table gives none. Rows of one id with
+    different texts are different documents, told apart by ``text_hash``; rows that agree in both have the same spans, once.
+    Texts of any length are taken whole. Other columns are not looked at.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    docs = _keyed(docs, text_col, id_col).where("doc_id IS NOT NULL")
     chunks = materialize(_chunks(docs, _filter_bits(_grams(docs))))
     shared = chunks.where("bucket >= 0").select("chunk", "bucket", "hashes").groupBy("bucket").applyInArrow(_shared, "chunk long, bucket int, size int, bits binary")
     own = chunks.where("bucket < 0").drop("hashes")
-    return merge_spans(own.unionByName(shared, allowMissingColumns=True).groupBy("chunk").applyInArrow(_spans, "doc_id long, start_word long, end_word long"))
+    return merge_spans(own.unionByName(shared, allowMissingColumns=True).groupBy("chunk").applyInArrow(_spans, "doc_id long, text_hash long, start_word long, end_word long"))
+
+
+def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(doc_id, text_hash, text)"""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
 
 def _windows(marked: DataFrame) -> DataFrame:
-    """(hash, doc_id, start) of each run of MIN_WORDS words inside the spans of (doc_id, text, spans)."""
+    """(hash, doc_id, text_hash, start) of each run of MIN_WORDS words inside the spans of (doc_id, text_hash, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,20 +193,23 @@ def _windows(marked: DataFrame) -> DataFrame:
                 for s in spans.as_py():
                     at = np.arange(s["start_word"], s["end_word"] - MIN_WORDS + 1)
                     hashes.append(h[at]), row.append(np.full(len(at), i)), start.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), b.column("doc_id").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(start))], ["hash", "doc_id", "start"])
+            of = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), b.column("doc_id").take(of), b.column("text_hash").take(of), pa.array(np.concatenate(start))], ["hash", "doc_id", "text_hash", "start"])
 
-    return marked.mapInArrow(released(run), "hash long, doc_id long, start long")
+    return marked.mapInArrow(released(run), "hash long, doc_id long, text_hash long, start long")
 
 
 def later_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, start_word, end_word): words of found passages whose MIN_WORDS-word run occurs earlier, by (doc_id, place)."""
-    spans = materialize(repeated_passages(docs, text_col, id_col).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = keep_ids(texts, "doc_id", spans.select("doc_id")).dropDuplicates(["doc_id"]).join(spans, "doc_id")
+    """(doc_id, text_hash, start_word, end_word): words of found passages whose MIN_WORDS-word run occurs earlier, by (doc_id, text_hash, place).
+
+    Rows that agree in id and text count as one document, of which no row is later than another."""
+    of, place = ["doc_id", "text_hash"], F.struct("doc_id", "text_hash", "start")
+    spans = materialize(repeated_passages(docs, text_col, id_col).groupBy(*of).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
+    marked = keep_ids(_keyed(docs, text_col, id_col), "doc_id", spans.select("doc_id").distinct()).join(spans, of).dropDuplicates(of)
     runs = materialize(_windows(marked))
-    first = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = skew_join(runs, first, ["hash"], F.xxhash64("doc_id", "start"), runs.count(), "inner").where(F.struct("doc_id", "start") != F.col("f"))
-    return merge_spans(later.select("doc_id", F.col("start").alias("start_word"), (F.col("start") + MIN_WORDS).alias("end_word")))
+    first = runs.groupBy("hash").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = skew_join(runs, first, ["hash"], F.xxhash64("doc_id", "start"), runs.count(), "inner").where(place != F.col("f"))
+    return merge_spans(later.select(*of, F.col("start").alias("start_word"), (F.col("start") + MIN_WORDS).alias("end_word")))
 
 
 def _without(text: str, spans: list[dict]) -> str:
@@ -221,12 +231,13 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """``docs`` with later copies of repeated passages cut out of the texts; columns unchanged.
 
     A document left without a word goes; all others stay, those without a copy untouched and unshuffled.
-    Rows without an id stay untouched. Where the table has a column n_chars it is set anew for cut texts.
+    Rows without an id stay untouched; rows of one id with different texts are cut each by its own spans. Where the table has a column n_chars it is set anew for cut texts.
     """
-    spans = materialize(later_copies(docs, text_col, id_col).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")).withColumnRenamed("doc_id", "__id"))
+    found = later_copies(docs, text_col, id_col).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
+    spans = materialize(found.agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")))
     flagged = flag_ids(docs.withColumn("__id", F.col(id_col).cast("long")), "__id", id_filter(spans.select("__id"), spans.count()))
     same = flagged.where(~F.col("__hit")).select(*docs.columns)
-    hit = flagged.where("__hit").join(spans, "__id", "left").select(*docs.columns, "__spans")
+    hit = flagged.where("__hit").withColumn("__text", F.xxhash64(text_col)).join(spans, ["__id", "__text"], "left").select(*docs.columns, "__spans")
     at, size = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

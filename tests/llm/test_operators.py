@@ -419,15 +419,66 @@ def test_sentencepiece_takes_the_best_path(spark, docs, piece_model):
             assert score(got[i][0]) == pytest.approx(score(ops.best_path(whole, piece_model, table)))
 
 
-def test_sentencepiece_merges_are_the_library(spark, docs, piece_model, monkeypatch):
+def best_score(whole, pieces, worst):
+    """The best sum of scores of any cut of a whole text into pieces and characters without one, by a table over all ends."""
+    longest, best = max(map(len, pieces)), [0.0]
+    for e in range(1, len(whole) + 1):
+        best.append(max(best[s] + (pieces[whole[s:e]] if whole[s:e] in pieces else worst if e - s == 1 else -math.inf) for s in range(max(0, e - longest), e)))
+    return best[-1]
+
+
+@pytest.mark.parametrize("chunk", [40, 1 << 21])
+def test_sentencepiece_reaches_the_best_score_of_the_whole_text(spark, piece_model, chunk):
+    """Nothing of the module makes the expected score: the cut into units loses no better path, in one chunk a task or many."""
+    from quadrille.llm import sentencepiece_ops as ops
+
+    pieces = {p: s for _, p, s in piece_model.pieces}
+    name = {i: p for i, p, _ in piece_model.pieces}
+    texts = dict(enumerate([t for _, t, *_ in rows() if len(t or "") < 4000] + NASTY_TEXTS))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["ids"] for r in ops.encode_documents(df, piece_model, chunk=chunk, batch=50).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        whole = (" " + t).replace(" ", ops.SPACE) if t else ""
+        runs, score, said = [], 0.0, ""
+        for x in [*got[i], None]:
+            if x is not None and 0 <= x - piece_model.byte0 < 256:
+                runs.append(x - piece_model.byte0)
+                continue
+            lone = bytes(runs).decode("utf-8")
+            runs, score, said = [], score + len(lone) * piece_model.worst, said + lone
+            if x is not None:
+                score, said = score + pieces[name[x]], said + name[x]
+        assert said == whole and score == pytest.approx(best_score(whole, pieces, piece_model.worst))
+
+
+def test_sentencepiece_merges_are_the_library(spark, docs, piece_model):
     from quadrille.llm import sentencepiece_ops as ops
 
-    for name in ("CHUNK", "BATCH"):
-        monkeypatch.setattr(ops, name, 300)
     texts = dict(enumerate([t for _, t, *_ in rows()] + NASTY_TEXTS))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     sp = library()
-    assert {r["doc_id"]: r["ids"] for r in ops.encode_documents(df, piece_model, method="merges").collect()} == {i: sp.encode(t or "") for i, t in texts.items()}
+    assert {r["doc_id"]: r["ids"] for r in ops.encode_documents(df, piece_model, method="merges", chunk=300, batch=300).collect()} == {i: sp.encode(t or "") for i, t in texts.items()}
+
+
+def test_sentencepiece_refuses_rows_in_another_order(spark, tmp_path, piece_model):
+    """Chunks that have as many distinct units but others at the second reading are an error, not wrong ids."""
+    from quadrille.llm import sentencepiece_ops as ops
+
+    texts = [" ".join(f"{c}{i}" for i in range(50)) for c in "ab"]
+
+    def turning(batches):
+        for b in batches:
+            n = len(list(tmp_path.iterdir()))
+            (tmp_path / str(n)).touch()
+            yield b.iloc[:: -1 if n % 2 else 1]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).mapInPandas(turning, "doc_id long, text string")
+    with pytest.raises(Exception, match="cut in two ways"):
+        for _ in range(2):  # one of two runs in a row begins its readings in the turned order
+            ops.document_codes(df, piece_model).collect()
+            ops.encode_documents(df, piece_model, chunk=40, batch=50).collect()
+            (tmp_path / "turn").touch()
 
 
 def test_sentencepiece_query_encodes_and_decodes(spark, tmp_path, piece_model):
@@ -444,6 +495,18 @@ def test_sentencepiece_query_encodes_and_decodes(spark, tmp_path, piece_model):
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["exact"]) for r in op4_sentencepiece(spark, str(tmp_path)).collect()) == expected
 
 
+def test_rows_of_one_id_are_cut_each_by_its_own_spans(spark):
+    passage, tails = prose(40, 60), [prose(41 + i, 30) for i in range(4)]
+    table = [(0, f"{passage} {tails[0]}"), (1, "short text"), (1, f"{passage} {tails[1]}"), (1, f"{passage} {tails[1]}"), (None, f"{passage} {tails[2]}"), (None, None), (2, None), (2, f"{tails[3]} {passage}")]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in table], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in suffix_dedup.drop_repeats(df).collect()), key=str)
+    want = [(0, table[0][1]), (1, "short text"), (1, tails[1]), (1, tails[1]), (None, table[4][1]), (None, None), (2, None), (2, tails[3])]
+    assert got == sorted(((i, t, None if t is None else len(t)) for i, t in want), key=str)
+    spans = {(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_passages(df).collect()}
+    # The rows that agree in id and text repeat each other as a whole.
+    assert spans == {(0, 0, 60), (1, 0, 90), (2, 30, 90)}
+
+
 def test_empty_tables(empty):
     from quadrille.llm import sentencepiece_ops as ops
 
