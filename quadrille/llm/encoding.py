@@ -52,7 +52,7 @@ def _placed(rows: DataFrame, time: str, bounds: Column, spread: Column, parts: i
     return rows.withColumn("__sub", F.col("__low") + F.pmod(spread, high - F.col("__low") + 1).cast("int")).drop("__low")
 
 
-def _quantiles(time: str, parts: int) -> Column:
+def _quantiles(time: str | Column, parts: int) -> Column:
     return F.percentile_approx(time, [i / parts for i in range(1, parts)], 10 * parts)
 
 
@@ -89,8 +89,11 @@ def key_history(rows: DataFrame, key: str, name: str, spread: Column, about: Dat
     hot = materialize(hot.withColumn("__cuts", F.least(F.ceil(F.col("__rows") / share), F.lit(parts)).cast("int")).select(F.col(key).alias("__key"), "__cuts"))
     found = hot.count()  # at most parts
     if found:
-        known = rows.select(key, time).join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left").where("__cuts IS NOT NULL")
-        quantiles = known.groupBy("__key").agg(F.max("__cuts").alias("__cuts"), _quantiles(time, parts).alias("q"))
+        # Rows of other keys have neither pieces nor times here and count as one key without quantiles.
+        known = rows.select(key, time).join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left")
+        own = F.when(F.col("__cuts").isNotNull(), F.col(time))
+        quantiles = known.groupBy(F.when(F.col("__cuts").isNotNull(), F.struct(F.col(key).alias("k"))).alias("g")).agg(F.max("__cuts").alias("__cuts"), _quantiles(own, parts).alias("q"))
+        quantiles = quantiles.where("__cuts IS NOT NULL").select(F.col("g.k").alias("__key"), "__cuts", "q")
         some = F.transform(F.sequence(F.lit(1), F.col("__cuts") - 1), lambda i: F.element_at("q", (i * parts / F.col("__cuts")).cast("int")))
         bounds = materialize(quantiles.select("__key", some.alias("__bounds")))
         wide = lambda df: df.join(F.broadcast(bounds), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
