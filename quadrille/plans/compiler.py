@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SparqlError
-from ..scratch import materialize
 from . import ast as A
 from .expressions import DEC, INT, STR, Scope, Value, number, sort_keys
+from .reach import reachable
 from .solution import Binding, Solution, column, join, left_join, matching, minus, semi_join, union
 from .terms import DECIMAL, TERM_REP, Rep, constant, lexical, to_term
 
@@ -407,7 +407,7 @@ class Compiler:
         return self._repeat(t, known)
 
     def _repeat(self, t: A.Triple, known: dict[str, Rep]) -> Solution:
-        """Closures: pairs (x, y) by a semi-naive loop; a constant start (or end) restricts it from the first step on."""
+        """Closures: pairs (x, y) by :func:`reachable`; a constant start (or end) restricts it from the first step on."""
         a, b = A.Var(f"_p{next(self.fresh)}"), A.Var(f"_p{next(self.fresh)}")
         same = isinstance(t.s, A.Var) and isinstance(t.o, A.Var)
         backwards = not isinstance(t.o, A.Var) and isinstance(t.s, A.Var)
@@ -419,17 +419,9 @@ class Compiler:
         e = edges.df.select(F.col(column(x)).alias("x"), F.col(column(y)).alias("y")).distinct()
         fixed = t.o if backwards else None if isinstance(t.s, A.Var) else t.s
         start = None if fixed is None else to_term(*constant(fixed))
-        if not t.p.many:
-            seen = e if start is None else e.where(F.col("x") == start)
-        else:
-            e = materialize(e)
-            seen = materialize(e if start is None else e.where(F.col("x") == start))
-            step, new = e.select(F.col("x").alias("m"), F.col("y").alias("z")), seen
-            while True:
-                new = materialize(new.join(step, F.col("y") == F.col("m")).select("x", F.col("z").alias("y")).distinct().join(seen, ["x", "y"], "left_anti"))
-                if new.isEmpty():
-                    break
-                seen = materialize(seen.union(new))
+        seen = e if start is None else e.where(F.col("x") == start)
+        if t.p.many:
+            seen = reachable(seen, e)
         if t.p.least == 0:
             none = self.spark.range(1).select(start.alias("x")) if start is not None else self.graph.nodes().select(F.col("t").alias("x"))
             seen = seen.union(none.select("x", F.col("x").alias("y"))).distinct()

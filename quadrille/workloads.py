@@ -20,6 +20,7 @@ from .operators import entailment, evaluation, features, inventory, neardup, set
 from .operators import release as rel
 from .plans import ast as A
 from .plans.parser import NAMESPACE
+from .plans.terms import term
 from .plans.workload import QUERIES as SPARQL
 from .scratch import scratch_path
 from .sources.mapped import LABEL, TABLES, MappedGraph
@@ -341,6 +342,25 @@ def rdfs_closure(spark, sf_dir):
     return got.select(fn.local_name(F.col("s.lex")).alias("node"), fn.local_name(F.col("o.lex")).alias("type"))
 
 
+@query("""
+    WITH o AS (SELECT 'Order' || o_orderkey AS o, 'Customer' || o_custkey AS c, o_totalprice AS t FROM orders)
+    SELECT c AS s, 'type' AS p, unnest(['Buyer', 'Party', 'Agent']) AS o FROM (SELECT DISTINCT c FROM o)
+    UNION ALL SELECT o, 'type', unnest(['Valued', 'Deal']) FROM o
+    UNION ALL SELECT c, unnest(['ordered', 'touched']), o FROM o
+    UNION ALL SELECT o, 'amount', CAST(CAST(t AS DECIMAL(18, 2)) AS VARCHAR) FROM o""")
+def rdfs_closure_orders(spark, sf_dir):
+    """All that a small schema entails of the whole table of orders, literals among it."""
+    rules = graph_of(spark, """@prefix : <urn:quadrille:> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix owl: <http://www.w3.org/2002/07/owl#> .
+        :customer rdfs:range :Buyer ; owl:inverseOf :ordered . :Buyer rdfs:subClassOf :Party . :Party rdfs:subClassOf :Agent . :ordered rdfs:subPropertyOf :touched ; rdfs:range :Deal .
+        :total rdfs:subPropertyOf :amount . :amount rdfs:domain :Valued ; rdfs:range :Buyer .""")
+    o = table(spark, sf_dir, "orders")
+    key, buyer = term(0, F.concat(F.lit(NAMESPACE + "Order"), "o_orderkey")), term(0, F.concat(F.lit(NAMESPACE + "Customer"), "o_custkey"))
+    total = term(2, F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(A.XSD + "decimal"))
+    data = o.select(key.alias("s"), F.lit(NAMESPACE + "customer").alias("p"), buyer.alias("o")).unionByName(o.select(key.alias("s"), F.lit(NAMESPACE + "total").alias("p"), total.alias("o")))
+    got = entailment.rdfs_closure(data.unionByName(rules.triples)).where(F.col("s.lex").rlike(":(Order|Customer)[0-9]+$") & ~F.col("p").isin(NAMESPACE + "customer", NAMESPACE + "total"))
+    return got.select(fn.local_name(F.col("s.lex")).alias("s"), fn.local_name(F.col("p")).alias("p"), F.when(F.col("o.k") == 2, F.col("o.lex")).otherwise(fn.local_name(F.col("o.lex"))).alias("o"))
+
+
 #: Turns of a conversation have keys of their own as long as a turn's number is below this.
 _TURNS = 1 << 31
 
