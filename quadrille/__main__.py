@@ -55,7 +55,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             rows = jsonl.load_release(spark, a.folder)
             if a.command == "report":
-                made = release.dataset_report(rows, families, graph, jsonl.file_digests(spark, f"{a.folder}/*.jsonl"))
+                version = jsonl.committed(spark, a.folder)
+                files = jsonl.file_digests(spark, f"{a.folder}/*.jsonl" if version is None else f"{version}/*.jsonl/part-*")
+                made = release.dataset_report(rows, families, graph, files)
                 text = json.dumps(made, ensure_ascii=False, indent=2, default=str) + "\n"
                 print(text) if a.out is None else jsonl.write_text(spark, text, a.out)
                 return 0

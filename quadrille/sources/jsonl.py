@@ -3,25 +3,34 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import BenchmarkError, CurationError, DatasetError
+from ..scratch import materialize
 
 FIELDS = ("id", "query_id", "register", "input", "target")
 SPLITS = ("train", "val", "test")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(_pos, value): lines with their 1-based numbers in the file, blank ones left out.
+    """(_pos, value): lines with their 1-based numbers, blank ones left out. The parts of a folder count on in order of their names.
 
-    Files of questions are read as one split each, which gives the line numbers that messages name.
+    A part is read as one split, which gives the line numbers that messages name.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "value"))
-    return lines.select((F.col("i") + 1).cast("long").alias("_pos"), "value").where(F.trim(F.regexp_replace("value", "\\s+", " ")) != "")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("i", "value"))
+    files = whole.inputFiles()
+    if len(files) > 1:
+        sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # a row a part
+        before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        lines = lines.join(F.broadcast(sizes.select("file", before.alias("before"))), "file")
+    else:
+        lines = lines.withColumn("before", F.lit(0))
+    return lines.select((F.col("before") + F.col("i") + 1).cast("long").alias("_pos"), "value").where(F.trim(F.regexp_replace("value", "\\s+", " ")) != "")
 
 
 def _checked(lines: DataFrame, fields: tuple[str, ...], error: type[ValueError], what: str) -> DataFrame:
@@ -49,8 +58,8 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_release(spark: SparkSession, folder: str) -> DataFrame:
-    """The three splits of a release as one table with a split column."""
-    out = None
+    """The three splits of a release as one table with a split column; of a folder with versions, the one that was committed last."""
+    folder, out = committed(spark, folder) or folder, None
     for s in SPLITS:
         one = load_dataset(spark, f"{folder}/{s}.jsonl").withColumn("split", F.lit(s))
         out = one if out is None else out.unionByName(one)
@@ -110,11 +119,68 @@ def training_curves(report: DataFrame) -> DataFrame:
 
 
 # Sinks.
+def _encoded(df: DataFrame) -> Column:
+    """Rows as compact objects, fields in column order, without the columns that only give their order."""
+    return F.to_json(F.struct(*[c for c in df.columns if c != "_pos"]), {"ignoreNullFields": "false"}).alias("value")
+
+
 def write_jsonl(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
-    """One compact object a line, fields in column order; a release file is one part, ordered."""
-    fields = [c for c in df.columns if c != "_pos"]
-    rows = df.orderBy(*(order or [F.col("_pos")])) if order or "_pos" in df.columns else df
-    rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One compact object a line. Ordered rows are dealt by range, so that parts in order of their names hold the rows in order, and no
+    task holds all of them."""
+    order = order or ([F.col("_pos")] if "_pos" in df.columns else None)
+    rows = df if order is None else df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select(_encoded(df)).write.mode("overwrite").text(path)
+
+
+#: The folder of a release's commits: files named by number and version, put in place by a rename. The last name counts.
+COMMITS = "_COMMITS"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and its path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file, written beside its place and renamed to it when it is whole."""
+    system, aside = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = system.create(aside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not system.rename(aside, _file_system(spark, path)[1]):
+        raise OSError(f"cannot write {path}")
+
+
+def _commits(spark: SparkSession, folder: str) -> list[str]:
+    system, at = _file_system(spark, f"{folder}/{COMMITS}")
+    names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+    return sorted(n for n in names if not n.endswith(".tmp"))
+
+
+def committed(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the version of a release that was committed last; None where there is none."""
+    names = _commits(spark, folder)
+    return f"{folder}/version-{names[-1].partition('-')[2]}" if names else None
+
+
+def write_release(release: DataFrame, folder: str, order: list[Column] | None = None) -> str:
+    """A release (questions with a split column) as a new version of ``folder``; returns that version's folder.
+
+    Splits are written in parallel parts first, then the manifest with counts and the digest of each part, and only then a commit
+    names the version. Until that rename readers see the old release whole, after it the new one; a write that dies leaves a
+    folder that nothing names. Old versions stay until they are deleted by hand.
+    """
+    spark, name = release.sparkSession, uuid.uuid4().hex
+    release, version = materialize(release), f"version-{name}"
+    for split in SPLITS:
+        write_jsonl(release.where(F.col("split") == split).drop("split"), f"{folder}/{version}/{split}.jsonl", order)
+    parts = file_digests(spark, f"{folder}/{version}/*.jsonl/part-*").withColumn("name", F.concat_ws("/", F.element_at(F.split("path", "/"), -2), "name"))
+    _put_text(spark, f"{folder}/{version}/manifest.json", json.dumps(manifest(release, parts), ensure_ascii=False, indent=2) + "\n")
+    number = int(last[-1].partition("-")[0]) + 1 if (last := _commits(spark, folder)) else 1
+    _file_system(spark, folder)[0].mkdirs(_file_system(spark, f"{folder}/{COMMITS}")[1])
+    _put_text(spark, f"{folder}/{COMMITS}/{number:012d}-{name}", version)
+    return f"{folder}/{version}"
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
@@ -147,6 +213,6 @@ def manifest(release: DataFrame, files: DataFrame) -> dict:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files that ``path`` names."""
+    """(name, bytes, sha256, path) of the files that ``path`` names; a file is held whole, so of 2 GB at most."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "path")

@@ -289,7 +289,8 @@ def unescaped(text: Column) -> Column:
     plain = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
 
     def one(piece: Column) -> Column:
-        point = F.decode(F.unhex(F.lpad(F.substring(piece, 3, 8), 8, "0")), "UTF-32")
+        number = F.lpad(F.upper(F.substring(piece, 3, 8)), 8, "0")
+        point = F.when(number == "0000FEFF", "\ufeff").otherwise(F.decode(F.unhex(number), "UTF-32"))  # the decoder takes that one for a byte order mark
         known = F.coalesce(F.try_element_at(plain, F.substring(piece, 2, 1)), F.raise_error(F.concat(F.lit("unknown escape "), piece)))
         return F.when(~piece.startswith("\\"), piece).when(piece.rlike("^.[uU]."), point).otherwise(known)
 

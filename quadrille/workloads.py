@@ -23,6 +23,7 @@ from .plans.parser import NAMESPACE
 from .plans.terms import term
 from .plans.workload import QUERIES as SPARQL
 from .scratch import scratch_path
+from .sources import jsonl
 from .sources.mapped import LABEL, TABLES, MappedGraph
 from .sources.turtle import graph_of, load_graph, load_ntriples
 
@@ -681,6 +682,16 @@ def range_join_any_width(spark, sf_dir):
     return hit.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("parts"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
 
 
+@query(f"SELECT {_SPLIT_SQL} AS split, 'q' || doc_id AS id, row_number() OVER (PARTITION BY {_SPLIT_SQL} ORDER BY doc_id) AS pos, sha256(text) AS digest FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")
+def committed_release(spark, sf_dir):
+    """Documents written as a release twice, the second time in another order; the version committed last is read back in order."""
+    q, path = questions(spark, sf_dir).where("input IS NOT NULL AND trim(input) <> ''"), scratch_path(spark)
+    rows = q.select(F.concat(F.lit("q"), "id").alias("id"), "query_id", "register", "input", F.lit("none").alias("target"), "split", F.col("id").alias("_pos"))
+    jsonl.write_release(rows, path, [F.desc("_pos")])
+    jsonl.write_release(rows, path)
+    return jsonl.load_release(spark, path).select("split", "id", F.col("_pos").alias("pos"), F.sha2("input", 256).alias("digest"))
+
+
 @query("SELECT o_orderkey, o_totalprice AS total, o_orderstatus AS status, 'order ' || o_orderkey || '.' || chr(10) || 'of \"' || o_custkey || '\" [' AS note FROM orders")
 def turtle_orders(spark, sf_dir):
     """Orders written as Turtle, a statement over three lines each, read back in parallel and asked for."""
