@@ -56,14 +56,22 @@ def _quantiles(time: str | Column, parts: int) -> Column:
     return F.percentile_approx(time, [i / parts for i in range(1, parts)], 10 * parts)
 
 
-def _carried(totals: DataFrame, starts: DataFrame, keys: list[str], time: str) -> DataFrame:
+def _before(totals: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:
+    """``asks`` (keys, __sub, ...) with the sums n and s of ``totals`` in the chunks before, by a running sum over chunks."""
+    chunks = Window.partitionBy(*keys).orderBy("__sub").rangeBetween(Window.unboundedPreceding, -1)
+    both = totals.select(*keys, "__sub", "n", "s").unionByName(asks.withColumns({"n": F.lit(0), "s": F.lit(0), "__asks": F.lit(True)}), allowMissingColumns=True)
+    return both.withColumns({c: F.coalesce(F.sum(c).over(chunks), F.lit(0)) for c in ("n", "s")}).where("__asks").drop("__asks")
+
+
+def _carried(totals: DataFrame, starts: DataFrame, keys: list[str], time: str, folds: int) -> DataFrame:
     """For each chunk (keys, __sub, __start) after the first what lies before it, by fold: rows at START, and at the chunk's first time
     what other chunks hold of that very time. Both tables have a bounded number of rows."""
-    t = totals.withColumnRenamed("__sub", "__before")
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-    both = starts.alias("c").join(t.alias("t"), reduce(Column.__and__, [*same, F.col("t.__before") < F.col("c.__sub")]))
-    at = F.when(F.col("t.__tie") == F.col("c.__start"), F.col("c.__start")).otherwise(F.lit(START))
-    return both.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], F.col("c.__sub").alias("__sub"), at.alias(time), F.col("t.fold").alias("fold")).agg(F.sum("t.n").alias("n"), F.sum("t.s").alias("s"))
+    asks = starts.withColumn("fold", F.explode(F.array(*map(F.lit, range(folds)))))
+    whole = _before(totals, asks, [*keys, "fold"])
+    same = _before(totals.where("__tie IS NOT NULL"), asks.withColumn("__tie", F.col("__start")), [*keys, "fold", "__tie"])
+    parts = [whole.withColumn(time, F.lit(START)), same.withColumns({time: F.lit(START), "n": -F.col("n"), "s": -F.col("s")}), same.withColumn(time, F.col("__start"))]
+    out = reduce(DataFrame.unionByName, [p.select(*keys, "__sub", time, "fold", "n", "s") for p in parts])
+    return out.groupBy(*keys, "__sub", time, "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where("n <> 0 OR s <> 0")
 
 
 def _history(window: Window, taken: Column, folds: int) -> tuple[Column, Column]:
@@ -100,7 +108,7 @@ def key_history(rows: DataFrame, key: str, name: str, spread: Column, about: Dat
         placed = _placed(wide(rows), time, F.col("__bounds"), spread, parts)
         totals = materialize(placed.where("__bounds IS NOT NULL").groupBy(key, "__sub", "__tie", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
         starts = bounds.select(F.col("__key").alias(key), F.posexplode("__bounds").alias("p", "__start")).select(key, (F.col("p") + 1).alias("__sub"), "__start")
-        placed = placed.drop("__bounds", "__tie").withColumn("__own", F.lit(True)).unionByName(_carried(totals, starts, [key], time), allowMissingColumns=True)
+        placed = placed.drop("__bounds", "__tie").withColumn("__own", F.lit(True)).unionByName(_carried(totals, starts, [key], time, folds), allowMissingColumns=True)
     else:
         placed = rows.withColumns({"__sub": F.lit(0), "__own": F.lit(True)})
     if about is not None:
@@ -137,7 +145,7 @@ def column_histories(rows: DataFrame, columns: list[str], spread: Column, folds:
         keys = [c] if c != "all" else []
         own = totals.groupBy(*keys, "__sub", "__tie", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         begun = starts if not keys else starts.crossJoin(totals.select(c).distinct())  # chunks times values of a column
-        placed = placed.unionByName(_carried(own, begun, keys, time).withColumn("__for", F.lit(c)), allowMissingColumns=True)
+        placed = placed.unionByName(_carried(own, begun, keys, time, folds).withColumn("__for", F.lit(c)), allowMissingColumns=True)
     for c in [*columns, "all"]:
         window = Window.partitionBy("__sub", *([c] if c != "all" else [])).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
         n, s = _history(window, F.col("__for").isNull() | (F.col("__for") == c), folds)
