@@ -95,13 +95,12 @@ def finer_masks(mask: int, radius: int) -> list[int]:
 
 def _keyed(rows: DataFrame, masks: dict[int, list[int]] | list[int]) -> DataFrame:
     """(mask, value, fp): each row once for each mask; a dict gives the masks that follow a row's present one."""
-    lists = lambda ms: F.array(*[F.lit(_signed(m)).cast("long") for m in ms])
     if isinstance(masks, dict):
-        following = F.lit(None).cast("array<bigint>")
-        for old, new in masks.items():
-            following = F.when(F.col("mask") == _signed(old), lists(new)).otherwise(following)
+        table = [(_signed(old), [_signed(m) for m in new]) for old, new in masks.items()]
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, "mask long, following array<long>")), "mask")
+        following = F.col("following")
     else:
-        following = lists(masks)
+        following = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
     return rows.select("fp", F.explode(following).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
 
 
@@ -206,7 +205,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFra
         if not some:
             return out
         finer = {m: finer_masks(m, radius) for m in masks}
-        groups = materialize(_keyed(marked.where("big"), finer))
+        groups = materialize(_keyed(marked.where("big"), finer).distinct())  # two masks may become one
         masks = sorted({m for ms in finer.values() for m in ms})
 
 
