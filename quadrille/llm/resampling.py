@@ -31,10 +31,14 @@ def words(text: Column) -> Column:
 
 def feature_buckets(tokens: Column, longest: int = 1, buckets: int = BUCKETS) -> Column:
     """The buckets of all runs of 1 to ``longest`` consecutive tokens, repeats included."""
+
+    def run_at(n: int):
+        return lambda i: F.array_join(F.slice(tokens, i, n), " ")
+
     runs = [tokens]
     for n in range(2, longest + 1):
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+        runs.append(F.transform(starts, run_at(n)))
     return F.transform(F.concat(*runs) if len(runs) > 1 else tokens, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(buckets)).cast("int"))
 
 
