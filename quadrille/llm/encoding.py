@@ -106,7 +106,11 @@ def key_history(rows: DataFrame, key: str, name: str, spread: Column, about: Dat
         bounds = materialize(quantiles.select("__key", some.alias("__bounds")))
         wide = lambda df: df.join(F.broadcast(bounds), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
         placed = _placed(wide(rows), time, F.col("__bounds"), spread, parts)
-        totals = materialize(placed.where("__bounds IS NOT NULL").groupBy(key, "__sub", "__tie", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+        # Rows of keys that are not cut count as one group, left out afterwards.
+        is_cut = F.col("__bounds").isNotNull()
+        group = F.when(is_cut, F.struct(F.col(key).alias("k"), "__sub", "__tie", "fold"))
+        totals = placed.groupBy(group.alias("g")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.when(is_cut, 1)).alias("cut")).where("cut IS NOT NULL")
+        totals = materialize(totals.select(F.col("g.k").alias(key), "g.__sub", "g.__tie", "g.fold", "n", "s"))
         starts = bounds.select(F.col("__key").alias(key), F.posexplode("__bounds").alias("p", "__start")).select(key, (F.col("p") + 1).alias("__sub"), "__start")
         placed = placed.drop("__bounds", "__tie").withColumn("__own", F.lit(True)).unionByName(_carried(totals, starts, [key], time, folds), allowMissingColumns=True)
     else:
