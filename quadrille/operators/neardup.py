@@ -1,16 +1,18 @@
 """Near-duplicate questions across splits: Jaccard similarity of character trigrams within a family.
 
-Trigrams are counted over all texts and each text's set is put in one order, rare trigrams first. A length filter, a prefix
-filter and what is left of both sets behind a shared trigram leave few candidates; those are checked exactly. Equal sets of a
-family and split are compared once. Trigrams are numbers made of their three code points, so sets are arrays.
+Texts become trigram sets in one pass, packed to a byte or so a trigram, with a sketch beside each: the parities of the trigrams in
+each of a power of two of buckets. Two sets differ in at least as many trigrams as their sketches differ in bits, and similar sets in
+few, so a family's texts are compared by array steps over sketches and only pairs that these leave open are checked exactly.
+Nothing is written for other pairs. Equal sets of a family and split are compared once. A sketch has as many bits as its set has
+trigrams, or more; one of twice the bits is folded to compare it.
 
-The texts that share a prefix trigram in a family are a list, compared by array steps. A long list is cut into blocks by the size of
+The texts of a family are a list, compared by size: only sets of similar sizes meet. A long list is cut into blocks by the size of
 the sets and its pairs of blocks are dealt out; two blocks whose sizes are too far apart are no pair.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,8 @@ from ..scratch import materialize
 from .skew import below, spread_join, time_cuts
 
 THRESHOLD = 0.84
-#: Trigrams whose counts are broadcast at most (16 bytes each); of more, the most frequent. Others count as rarer.
-COUNTED = 1 << 18
-#: Texts of a list that are compared in one task, and pairs looked at in one step.
-BLOCK, STEP = 2048, 1 << 21
+#: Texts of a list that are compared in one task.
+BLOCK = 8192
 #: Blocks of one list at most; the blocks of a list beyond MOST_BLOCKS * BLOCK entries grow.
 MOST_BLOCKS = 1024
 
@@ -40,60 +40,48 @@ def gram_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _sets(base: DataFrame) -> DataFrame:
-    """(node, f, split, h, m, grams): a numbered row for each distinct text of a family and split."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = gram_sets(b.column("k").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("f"), b.column("split"), b.column("h"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["f", "split", "h", "m", "grams"])
-
-    kind = base.schema["f"].dataType.simpleString()
-    return materialize(base.mapInArrow(run, f"f {kind}, split string, h long, m int, grams binary").withColumn("node", F.monotonically_increasing_id()))
+def pack(grams: np.ndarray) -> bytes:
+    """Sorted trigrams by planes of bytes, deflated."""
+    points = np.concatenate([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF]).astype("<u4")
+    return zlib.compress(points.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _counts(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The counted trigrams in order, and their counts; summed per task, then over tasks."""
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8)
+    first, second, third = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").astype(np.int64).reshape(3, -1)
+    return first << 42 | second << 21 | third
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, n = np.unique(np.frombuffer(b"".join(b.column("grams").to_pylist()), np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "n"])
 
-    found = sets.select("grams").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(COUNTED).toArrow()
-    g, n = found.column("g").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(g)
-    return g[order], n[order]
+def sketch(grams: np.ndarray) -> bytes:
+    """The parities of a set in buckets, as 64-bit words: a power of two of them, with a bit for each trigram at least."""
+    bits = max(1 << (len(grams) - 1).bit_length(), 64)
+    mixed = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    at = (mixed >> np.uint64(32)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(at, minlength=bits) & 1 == 1, bitorder="little").tobytes()
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(f, g, node, side, m, r): for each set the rarest trigrams, of which a similar set shares one; ``r`` is a trigram's place, ``side`` tells splits apart."""
-    held = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+def _sets(base: DataFrame) -> DataFrame:
+    """(node, id, f, split, h, m, sketch, grams): a numbered row for each text; ``h`` is a digest of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = held.value
         for b in batches:
-            first = []
-            for s in (np.frombuffer(x, np.int64) for x in b.column("grams").to_pylist()):
-                at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
-                n = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(len(s))
-                first.append(s[np.lexsort((s, n))][: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1])
-            sizes = np.array([len(x) for x in first], np.int64)
-            rows = pa.array(np.repeat(np.arange(len(first)), sizes))
-            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            grams = pa.array(np.concatenate([np.empty(0, np.int64), *first]))
-            yield pa.RecordBatch.from_arrays([b.column("f").take(rows), grams, *[b.column(c).take(rows) for c in ("node", "side", "m")], pa.array(place.astype(np.int32))], ["f", "g", "node", "side", "m", "r"])
+            sets = gram_sets(b.column("k").to_pylist())
+            made = [pa.array([len(s) for s in sets], pa.int32()), *[pa.array([of(s) for s in sets], pa.binary()) for of in (sketch, pack)]]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "f", "split", "h")], *made], ["id", "f", "split", "h", "m", "sketch", "grams"])
 
-    kind = sets.schema["f"].dataType.simpleString()
-    return sets.where("f IS NOT NULL").select("f", "node", F.xxhash64("split").alias("side"), "m", "grams").mapInArrow(run, f"f {kind}, g long, node long, side long, m int, r int")
+    kind = {c: base.schema[c].dataType.simpleString() for c in ("id", "f")}
+    made = base.mapInArrow(run, f"id {kind['id']}, f {kind['f']}, split string, h binary, m int, sketch binary, grams binary")
+    return materialize(made.withColumn("node", F.monotonically_increasing_id()))
 
 
 def block_pairs(entries: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(list, inner, at, node, side, m, r): ``entries`` once for each pair of blocks of their list that they take part in; ``inner``
+    """(list, inner, at, node, side, m and what else they have): ``entries`` once for each pair of blocks of their list that they take part in; ``inner``
     where a block meets itself, ``at`` is the entry's own block. A list of up to ``block`` entries is one block.
 
     Blocks are ranges of set sizes; blocks i < j meet only where the largest set of i can be similar to the smallest of j.
     """
+    more = [c for c in entries.columns if c not in ("f", "g")]
     entries = entries.withColumn("key", F.struct("f", "g"))
     cuts = time_cuts(entries, "key", "m", entries.count(), MOST_BLOCKS, block)
     if cuts.isEmpty():
@@ -110,43 +98,73 @@ def block_pairs(entries: DataFrame, threshold: float, block: int = BLOCK) -> Dat
 
         wide = wide.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.coalesce(F.size("__cuts"), F.lit(0))), meets)))
     pair = F.least("at", "other"), F.greatest("at", "other")
-    return wide.select(F.xxhash64("f", "g", *pair).alias("list"), (F.col("at") == F.col("other")).cast("int").alias("inner"), "at", "node", "side", "m", "r")
+    return wide.select(F.xxhash64("f", "g", *pair).alias("list"), (F.col("at") == F.col("other")).cast("int").alias("inner"), "at", *more)
+
+
+def close_pairs(inner: np.ndarray, at: np.ndarray, node: np.ndarray, side: np.ndarray, m: np.ndarray, sketches: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """Of one list in order of size: pairs of nodes of different sides whose sizes and sketches leave them open, each once."""
+    words = np.array([len(x) // 8 for x in sketches])
+    rest = (1 - threshold) / (1 + threshold)
+    for width in np.unique(words):
+        # Sets behind a set may be larger by 1 / threshold: of its own width or of a wider one, which is folded.
+        own = np.flatnonzero(words >= width)
+        own = own[m[own] <= m[words == width].max() / threshold + 1e-9]
+        planes = np.empty((width, len(own)), np.uint64)
+        for i, x in enumerate(own):
+            planes[:, i] = np.bitwise_xor.reduce(np.frombuffer(sketches[x], "<u8").reshape(-1, width), axis=0)
+        small = words[own] == width
+        # A set meets those of other sides; in a list of two blocks, those of the other block.
+        group = np.unique(np.stack([side[own], np.where(inner[own] == 1, -1, at[own])]), axis=1, return_inverse=True)[1].reshape(-1)
+        for g in np.unique(group[small]):
+            first = np.flatnonzero((group == g) & small)
+            x = own[first[0]]
+            other = np.flatnonzero((side[own] != side[x]) & ((inner[x] == 1) | (at[own] != at[x])))
+            theirs, sizes, names = np.ascontiguousarray(planes[:, other]), m[own[other]], node[own[other]]
+            low = np.searchsorted(sizes, m[own[first]], "left")
+            high = np.searchsorted(sizes, np.floor(m[own[first]] / threshold + 1e-9), "right")
+            for i, a, b in zip(first, low, high, strict=True):
+                if a == b:
+                    continue
+                apart = np.zeros(b - a, np.int32)
+                for w in range(width):
+                    apart += np.bitwise_count(theirs[w, a:b] ^ planes[w, i])
+                me = node[own[i]]
+                hit = a + np.flatnonzero(apart <= rest * (m[own[i]] + sizes[a:b]) + 1e-6)
+                hit = names[hit[(sizes[hit] > m[own[i]]) | (names[hit] > me)]]  # of equal sizes, either finds the other
+                if len(hit):
+                    yield np.stack([np.full(len(hit), me), hit])
 
 
 def _candidates(lists: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): nodes of different splits that share a prefix trigram and pass the filters on sizes and places."""
-    names = ("list", "inner", "at", "node", "side", "m", "r")
-
-    def found(lists: np.ndarray, inner: np.ndarray, at: np.ndarray, node: np.ndarray, side: np.ndarray, m: np.ndarray, r: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of whole lists, sorted by list and size: a row's partners lie behind it, up to a size."""
-        group = np.cumsum(np.diff(lists, prepend=lists[:1]) != 0) << 32
-        counts = np.searchsorted(group + m, group + np.floor(m / threshold + 1e-9).astype(np.int64), "right") - np.arange(len(m)) - 1
-        total, low = np.cumsum(counts), 0
-        while low < len(m):
-            stop = max(int(np.searchsorted(total, (total[low - 1] if low else 0) + STEP, "right")), low + 1)
-            own = counts[low:stop]
-            x = np.repeat(np.arange(low, stop), own)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
-            # The shared trigrams lie from the first one on in both sets.
-            reach, need = np.minimum(m[x] - r[x], m[y] - r[y]), threshold / (1 + threshold) * (m[x] + m[y])
-            fine = (side[x] != side[y]) & ((inner[x] == 1) | (at[x] != at[y])) & (reach >= need - 1e-9)
-            pair = np.unique(np.sort(np.stack([node[x[fine]], node[y[fine]]], axis=1), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k])) for k in (0, 1)], ["a", "b"])
-            low = stop
+    """(a, b): nodes of different splits whose sizes and sketches leave them open."""
+    names = ("inner", "at", "node", "side", "m")
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Rows of whole lists, sorted by list and size."""
+        lists = rows.column("list").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1), len(lists)]
+        columns, sketches = [rows.column(n).to_numpy() for n in names], np.array([*rows.column("sketch").to_pylist(), None], object)[:-1]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j - i > 1 and (columns[3][i:j] != columns[3][i]).any():
+                for pair in close_pairs(*[c[i:j] for c in columns], sketches[i:j], threshold):
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * len(names)  # the last list, which may go on in the next batch
+        held = []  # the last list, which may go on in the next batch
         for b in batches:
-            held = [np.concatenate([h, b.column(n).to_numpy(zero_copy_only=False)]) for h, n in zip(held, names, strict=True)]
-            edge = np.flatnonzero(np.diff(held[0])) + 1
-            if len(edge):
-                yield from found(*[h[: edge[-1]] for h in held])
-                held = [h[edge[-1] :] for h in held]
-        if len(held[0]):
-            yield from found(*held)
+            if b.num_rows == 0:
+                continue
+            own = b.column("list").to_numpy()
+            edge = int(np.flatnonzero(np.diff(own, prepend=own[0]))[-1]) if own[0] != own[-1] else 0
+            if edge or (held and own[0] != held[-1].column("list")[-1].as_py()):
+                yield from found(pa.Table.from_batches([*held, b.slice(0, edge)]))
+                held = []
+            held.append(b.slice(edge))
+        if held:
+            yield from found(pa.Table.from_batches(held))
 
-    cast = lists.select(*[F.col(n).cast("long").alias(n) for n in names])
-    return cast.repartition("list").sortWithinPartitions("list", "m").mapInArrow(run, "a long, b long").distinct()
+    cast = lists.select("list", *[F.col(n).cast("long").alias(n) for n in names], "sketch")
+    return cast.repartition("list").sortWithinPartitions("list", "m").mapInArrow(run, "a long, b long")
 
 
 def cross_split_near_duplicates(rows: DataFrame, family: str = "query_id", split: str = "split", key: str = "id", text: str = "input", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -155,11 +173,13 @@ def cross_split_near_duplicates(rows: DataFrame, family: str = "query_id", split
     ``left_id`` is the row of the split that comes first in train, val, test (other splits by name).
     """
     rank = F.when(F.col(split) == "train", "0").when(F.col(split) == "val", "1").when(F.col(split) == "test", "2").otherwise(F.col(split))
-    base = rows.select(F.col(key).alias("id"), F.col(family).alias("f"), rank.alias("split"), F.coalesce(text_key(F.col(text)), F.lit("")).alias("k"))
+    texts = rows.select(F.col(key).alias("id"), F.col(family).alias("f"), rank.alias("split"), F.coalesce(text_key(F.col(text)), F.lit("")).alias("k"))
+    sets = _sets(texts.withColumn("h", F.unhex(F.md5("k"))))
     # One representative for equal texts of a family and split; members are joined back at the end.
-    base = materialize(base.withColumn("h", F.xxhash64("k")))
-    sets = _sets(base.groupBy("f", "split", "h").agg(F.first("k").alias("k")))
-    near = _candidates(block_pairs(materialize(_prefixes(sets, threshold)), threshold, block), threshold)
+    base = sets.select("id", "f", "split", "h")
+    first = sets.where("f IS NOT NULL").groupBy("f", "split", "h").agg(F.min(F.struct("node", "m", "sketch")).alias("r"))
+    entries = materialize(first.select("f", F.lit(0).alias("g"), "r.node", F.xxhash64("split").alias("side"), "r.m", "r.sketch"))
+    near = materialize(_candidates(block_pairs(entries, threshold, block), threshold))
     of = lambda i: sets.select(F.col("node").alias("ab"[i]), *[F.col(c).alias(f"{c}{i}") for c in ("f", "split", "h", "grams")])
     both = near.join(of(0), "a").join(of(1), "b").where("f0 = f1")
 
@@ -168,14 +188,14 @@ def cross_split_near_duplicates(rows: DataFrame, family: str = "query_id", split
         for b in batches:
             score = []
             for x, y in zip(b.column("grams0").to_pylist(), b.column("grams1").to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                s, t = unpack(x), unpack(y)
                 i = len(np.intersect1d(s, t, assume_unique=True))
                 score.append(i / (len(s) + len(t) - i))
             keep = pa.array([v >= threshold for v in score], pa.bool_())
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(score, pa.float64())], [*names, "score"]).filter(keep)
 
-    kind = base.schema["f"].dataType.simpleString()
-    found = both.select("f0", "split0", "h0", "split1", "h1", "grams0", "grams1").mapInArrow(check, f"f0 {kind}, split0 string, h0 long, split1 string, h1 long, score double")
+    kind = sets.schema["f"].dataType.simpleString()
+    found = both.select("f0", "split0", "h0", "split1", "h1", "grams0", "grams1").mapInArrow(check, f"f0 {kind}, split0 string, h0 binary, split1 string, h1 binary, score double")
     first = F.col("split0") < F.col("split1")
     pair = found.select(F.col("f0").alias("f"), *[F.when(first, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}_{side}") for c in ("split", "h") for x, y, side in ((0, 1, "l"), (1, 0, "r"))], "score")
     side = lambda s: base.select("f", F.col("split").alias(f"split_{s}"), F.col("h").alias(f"h_{s}"), F.col("id").alias("left_id" if s == "l" else "right_id"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quadrille.operators import neardup, skew
@@ -59,3 +60,20 @@ def test_blocks_of_one_list_are_even(spark):
 
 def test_no_rows(spark):
     assert neardup.cross_split_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sketches_leave_few_pairs_open():
+    """Texts of one small vocabulary share most rare trigrams; of their pairs only those near the threshold are left, and no similar one is lost."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(250)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([20, 60, 90, 200]))) for _ in range(300)]
+    texts += [t.replace(words[i % 250], "zz") for i, t in enumerate(texts[:60])] + [t[: int(len(t) * 0.9)] for t in texts[:60]]
+    sets = sorted(neardup.gram_sets(texts), key=len)
+    assert all(np.array_equal(neardup.unpack(neardup.pack(s)), s) for s in sets)
+    n = len(sets)
+    whole, node, m = np.ones(n, np.int64), np.arange(n), np.array([len(s) for s in sets])
+    sketches = np.array([*map(neardup.sketch, sets), None], object)[:-1]
+    found = [tuple(sorted(p)) for pairs in neardup.close_pairs(whole, 0 * whole, node, node % 3, m, sketches, 0.84) for p in pairs.T.tolist()]
+    kept = [set(s.tolist()) for s in sets]
+    true = {(i, j) for i in range(n) for j in range(i + 1, n) if i % 3 != j % 3 and len(kept[i] & kept[j]) >= 0.84 * len(kept[i] | kept[j])}
+    assert len(found) == len(set(found)) and true <= set(found) and len(true) > 30 and len(found) < 4 * len(true)
