@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DatasetError
 from ..functions.text import normalize_column
+from ..scratch import materialize
 
 FIELDS = ("id", "query_id", "register", "input", "target")
 SPLITS = ("train", "val", "test")
@@ -46,11 +47,19 @@ def duplicates(rows: DataFrame, key: str, order: str = "_pos", check: str = "dup
     return violations(seen, check, F.col(record), F.col("__first"), F.col(order))
 
 
+def digest(key: Column) -> Column:
+    """What stands for a long key in joins and groups: 32 bytes, null for null."""
+    return F.unhex(F.sha2(key.cast("string"), 256))
+
+
 def first_holders(rows: DataFrame, key: Column, record: str, order: str) -> DataFrame:
-    """(record_id, first_id) of repeated keys without a window over the group: the first holder is a map-side minimum."""
-    keyed = rows.select(F.col(record).alias("record_id"), F.col(order).alias("o"), F.xxhash64(key).alias("h"), key.alias("k"))
-    first = keyed.groupBy("h", "k").agg(F.min(F.struct("o", "record_id")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(first, ["h", "k"]).where(F.struct("o", "record_id") != F.col("f")).select("record_id", F.col("f.record_id").alias("first_id"))
+    """(record_id, first_id) of repeated keys without a window over the group: the first holder is a map-side minimum. Null is a key.
+
+    Keys are made once and written as digests; whole texts are never shuffled.
+    """
+    keyed = materialize(rows.select(F.col(record).alias("record_id"), F.col(order).alias("o"), F.coalesce(digest(key), F.lit(b"")).alias("k")))
+    first = keyed.groupBy("k").agg(F.min(F.struct("o", "record_id")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(first, "k").where(F.struct("o", "record_id") != F.col("f")).select("record_id", F.col("f.record_id").alias("first_id"))
 
 
 def invalid_register(rows: DataFrame, register: str = "register", record: str = "id", order: str = "_pos", allowed: tuple[str, ...] = REGISTERS) -> DataFrame:
