@@ -108,3 +108,39 @@ def range_join(points: DataFrame, bands: DataFrame, value: str, low: str, high:
     cells = points.withColumn("__at", at).withColumn("__level", F.explode(F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")))
     cells = cells.withColumn("__cell", F.expr("shiftright(__at, __level)")).drop("__at")
     return spread_join(cells, cut, ["__level", "__cell"], F.xxhash64(*points.columns), "inner").where(inside).drop("__level", "__cell")
+
+
+def range_totals(points: DataFrame, bands: DataFrame, value: str, low: str, high: str, width: float, totals: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Bands that hold points low <= value <= high (a null end is open), with totals of these points, and no pair of the two is made.
+
+    ``totals`` names for each result an expression of a point's columns and sum, min or max. Points of one value are one row first, then the
+    cells of :func:`range_join` are totalled level by level; equal bands are answered once. A band is a sum of disjoint cells, so its total is that of
+    its inner cells' totals and of those values of the two cells at its ends that lie inside.
+    """
+    merge = lambda names: [getattr(F, kind)(F.col(n)).alias(n) for n, (_, kind) in totals.items() if n in names]
+    points = points.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(*[getattr(F, kind)(c).alias(n) for n, (c, kind) in totals.items()])
+    points = materialize(points)
+    least, most = points.agg(F.min("__v").cast("double"), F.max("__v").cast("double")).first()
+    asked = materialize(bands.select(F.col(low).alias("__low"), F.col(high).alias("__high")).distinct())
+    if least is None:
+        found = asked.join(points, F.lit(False))
+    else:
+        n = int((most - least) // width)
+        levels = min(max(n.bit_length(), 1), LEVELS)
+        place = lambda c: F.floor((c.cast("double") - F.lit(least)) / F.lit(float(width))).cast("long")
+        first, last = F.coalesce(F.greatest(place(F.col("__low")), F.lit(0)), F.lit(0)), F.coalesce(F.least(place(F.col("__high")), F.lit(n)), F.lit(n))
+        ends = asked.withColumns({"__first": first, "__last": last}).where("__first <= __last")
+        # An end that is open, or lies outside the axis, leaves its cell whole; its values are looked at all the same.
+        edge = ends.select("__low", "__high", F.explode(F.array_distinct(F.array("__first", "__last"))).alias("__cell"))
+        inside = F.coalesce(F.col("__v") >= F.col("__low"), F.lit(True)) & F.coalesce(F.col("__v") <= F.col("__high"), F.lit(True))
+        at_ends = spread_join(edge, points.withColumn("__cell", place(F.col("__v"))), ["__cell"], F.xxhash64("__low", "__high"), "inner").where(inside).select("__low", "__high", *totals)
+        cut = ends.where("__first + 1 < __last").withColumn("__c", F.explode(band_cells(F.col("__first") + 1, F.col("__last") - 1, levels)))
+        cut = materialize(cut.select("__low", "__high", F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")))
+        cells = points.withColumn("__at", place(F.col("__v"))).groupBy("__at").agg(*merge(totals))
+        cells = cells.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("__cell", F.expr("shiftright(__at, __level)"))
+        cells = materialize(cells.groupBy("__level", "__cell").agg(*merge(totals)))
+        within = spread_join(cut, cells, ["__level", "__cell"], F.xxhash64("__low", "__high"), "inner").select("__low", "__high", *totals)
+        found = at_ends.unionByName(within)
+    found = found.groupBy("__low", "__high").agg(*merge(totals))
+    same = F.col(low).eqNullSafe(F.col("__low")) & F.col(high).eqNullSafe(F.col("__high"))
+    return bands.join(found, same).drop("__low", "__high")
