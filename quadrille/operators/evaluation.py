@@ -125,12 +125,14 @@ def _alone(graph, query: str, max_rows: int) -> tuple:
 def multiset_scores(predicted: DataFrame, reference: DataFrame, case: str = "case", row: str = "row") -> DataFrame:
     """(case, predicted, reference, overlap, precision, recall, f1): multiset overlap of the rows of each case.
 
-    Both sides are counted per distinct row first (map-side), so that repeats never multiply in the join.
+    Rows of both sides are counted together, per distinct row and within tasks first, so that repeats never multiply and no join holds
+    both sides' counts at once. A row is counted under 16 bytes, its digest. A null case or row equals no other.
     """
-    p = predicted.groupBy(case, row).agg(F.count(F.lit(1)).alias("p"))
-    r = reference.groupBy(case, row).agg(F.count(F.lit(1)).alias("r"))
-    both = p.join(r, [case, row], "full").select(case, F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("r", F.lit(0)).alias("r"))
-    sums = both.groupBy(case).agg(F.sum("p").alias("predicted"), F.sum("r").alias("reference"), F.sum(F.least("p", "r")).alias("overlap"))
+    digest = F.when(F.col(row).isNotNull(), F.unhex(F.md5(F.to_json(F.struct(row))))).alias("__row")
+    side = lambda df, p, r: df.select(F.col(case).alias("__case"), digest, F.lit(p).cast("long").alias("p"), F.lit(r).cast("long").alias("r"))
+    both = side(predicted, 1, 0).union(side(reference, 0, 1)).groupBy("__case", "__row").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    equal = F.when(F.col("__case").isNotNull() & F.col("__row").isNotNull(), F.least("p", "r")).otherwise(0)
+    sums = both.groupBy(F.col("__case").alias(case)).agg(F.sum("p").alias("predicted"), F.sum("r").alias("reference"), F.sum(equal).alias("overlap"))
     return with_rates(sums)
 
 
