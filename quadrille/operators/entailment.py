@@ -83,6 +83,8 @@ def rdfs_closure(triples: DataFrame) -> DataFrame:
         new = new.where(F.col("p") == RDF_TYPE)
         if not again or new.isEmpty():
             break
-    for p, pairs in ((RDFS + "subClassOf", classes), (RDFS + "subPropertyOf", properties)):
-        found.append(pairs.select(term(0, F.col("x")).alias("s"), F.lit(p).alias("p"), term(0, F.col("y")).alias("o")))
-    return reduce(DataFrame.unionByName, found).distinct()
+    # All that was found is disjoint by now; only the closed schema may repeat what was said of it.
+    every = reduce(DataFrame.unionByName, found)
+    pairs = [df.select(term(0, F.col("x")).alias("s"), F.lit(p).alias("p"), term(0, F.col("y")).alias("o")) for p, df in ((RDFS + "subClassOf", classes), (RDFS + "subPropertyOf", properties))]
+    said = every.where(F.col("p").isin(RDFS + "subClassOf", RDFS + "subPropertyOf"))
+    return every.unionByName(reduce(DataFrame.unionByName, pairs).distinct().join(said, ["s", "p", "o"], "left_anti"))

@@ -100,3 +100,13 @@ def test_entailment_against_rules_one_by_one(spark, more):
     rows = [(tuple(r["s"]), r["p"], tuple(r["o"])) for r in store.triples.collect()]
     got = [(tuple(r["s"]), r["p"], tuple(r["o"])) for r in entailment.rdfs_closure(store.triples).collect()]
     assert set(got) == _entailed(rows) and len(got) == len(set(got))
+
+
+def test_schema_pairs_come_once_and_given_classes_climb(spark):
+    """The result needs no deduplication at its end: no aggregate lies over the instance triples."""
+    g = graph_of(spark, """@prefix : <urn:x:> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .
+        :A rdfs:subClassOf :B . :B rdfs:subClassOf :C . :A rdfs:subClassOf :C . :kind rdfs:subPropertyOf rdf:type . :x :kind :A . :y a :B .""")
+    all_ = entailment.rdfs_closure(g.triples)
+    got = [(r["s"]["lex"][-1], r["p"].split("#")[-1], r["o"]["lex"].split(":")[-1]) for r in all_.collect()]
+    assert len(got) == len(set(got)) and {t for t in got if t[1] == "type"} == {("x", "type", c) for c in "ABC"} | {("y", "type", c) for c in "BC"}
+    assert not all_._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
