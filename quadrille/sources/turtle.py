@@ -7,16 +7,18 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import GraphError, SparqlError
 from ..plans import ast as A
-from ..plans.parser import ESCAPES, TOKEN, Parser
+from ..plans.parser import ESCAPES, TOKEN, Parser, unescape
 from ..plans.terms import term
 from ..scratch import materialize
 from .triples import SCHEMA, TripleStore
@@ -104,6 +106,63 @@ def _row(x: A.Iri | A.Var | A.Lit) -> tuple:
     return (1, x.name, None, None) if isinstance(x, A.Var) else (2, x.lex, x.dt, x.lang)
 
 
+_WS, _IRI, _PNAME = r"[ \t\r\n]*+", r'<([^<>"{}|^`\\\x00-\x20]*+)>', r"((?>(?:[^\W\d_][\w.-]*)?:(?:(?:\w|%[0-9A-Fa-f]{2})(?:[\w.:-]*[\w:-])?)?))"
+_SUBJECT = re.compile(rf"{_WS}(?:{_IRI}|{_PNAME})")
+_PREDICATE = re.compile(rf"{_WS}(?:{_IRI}|{_PNAME}|(a)(?=[ \t\r\n<]))")
+_OBJECT = re.compile(
+    rf"{_WS}(?:{_IRI}|{_PNAME}"
+    r'|(?:"""((?:[^"\\]|\\.|"(?!""))*+)"""|"(?!"")((?:[^"\\\r\n]|\\.)*+)")'
+    rf"(?:@([A-Za-z]++(?:-[A-Za-z0-9]++)*+)|\^\^(?:{_IRI}|{_PNAME}))?"
+    rf"|(?:(-)|\+)?+((?>(?:\d+\.\d*|\.\d+|\d+)[eE][+-]?\d+|\d*\.\d+|\d+))){_WS}([;,.])",
+    re.DOTALL,
+)
+
+
+def _flat(text: str, prefixes: dict[str, str], base: str) -> list[tuple] | None:
+    """The rows of a statement of IRIs, names and plain literals, by one match a term; None for any other, which the parser reads."""
+
+    def iri(full: str | None, name: str | None) -> str:
+        if full is not None:
+            return full if ":" in full else base + full
+        prefix, _, local = name.partition(":")
+        return prefixes[prefix] + local
+
+    try:
+        m = _SUBJECT.match(text)
+        if m is None:
+            return None
+        s, out, after = (0, iri(*m.groups()), None, None), [], ";"
+        while after != ".":
+            if after == ";":
+                if (m := _PREDICATE.match(text, m.end())) is None:
+                    return None
+                p = RDF + "type" if m[3] else iri(m[1], m[2])
+            if (m := _OBJECT.match(text, m.end())) is None:
+                return None
+            full, name, long, short, lang, kind, kind_name, minus, number, after = m.groups()
+            if full is not None or name is not None:
+                o = (0, iri(full, name), None, None)
+            elif number is not None:
+                dt = "double" if "e" in number.lower() else "decimal" if "." in number else "integer"
+                o = (2, (minus or "") + number, A.XSD + dt, None)
+            else:
+                lex = short if long is None else long
+                lex = unescape(lex) if "\\" in lex else lex
+                dt = RDF + "langString" if lang else A.XSD + "string" if kind is None and kind_name is None else iri(kind, kind_name)
+                o = (2, lex, dt, lang and lang.lower())
+            out.append((s, p, o))
+    except (KeyError, SparqlError):  # the parser tells what is wrong
+        return None
+    return None if text[m.end() :].strip(" \t\r\n") else out
+
+
+#: Tokens at which no statement ends, no bracket stands and no string of several lines begins.
+_BORING = re.compile(
+    r'(?:"""(?:[^"\\]|\\.|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*+\'\'\'|(?!"""|\'\'\')(?>' + re.sub(r"\(\?P<\w+>", "(?:", TOKEN.pattern).replace(r"(?:\^\^", r"(?![.\[\]()])(?:\^\^") + r"|[^.\[\]()]))*+",
+    re.VERBOSE | re.DOTALL,
+)
+
+
 class _Scan:
     """Where statements end. Between lines only a long string or open brackets can be unfinished; both are carried."""
 
@@ -120,23 +179,22 @@ class _Scan:
         at, ends = 0, []
         while at < len(text):
             if self.quote:
-                m = self.CLOSE[self.quote].match(text, at)
+                m = self.CLOSE[self.quote].match(text, at) if self.quote * 3 in text else None
                 if m is None:
                     return ends
                 self.quote, at = "", m.end()
                 continue
-            m = TOKEN.match(text, at)
-            token = m.group() if m else text[at]
-            for q in self.CLOSE:
-                if text.startswith(q * 3, at) and (len(token) < 6 or not token.startswith(q * 3)):  # begins here, ends in another line
-                    self.quote, token = q, q * 3
-            if token in ("[", "("):
+            at = _BORING.match(text, at).end()
+            here = text[at : at + 1]
+            if here in ("[", "("):
                 self.depth += 1
-            elif token in ("]", ")"):
+            elif here in ("]", ")"):
                 self.depth -= 1
-            elif token == "." and self.depth == 0:
+            elif here in self.CLOSE:  # begins here, ends in another line
+                self.quote, at = here, at + 2
+            elif here == "." and self.depth == 0:
                 ends.append(at + 1)
-            at += len(token)
+            at += 1
         return ends
 
 
@@ -154,9 +212,15 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[str]]]:
     """The lines of each split that a task reads."""
-    rows = ((f, k, v) for b in batches for f, k, v in zip(b.column("file").to_pylist(), b.column("block").to_pylist(), b.column("value").to_pylist(), strict=True))
-    for key, own in groupby(rows, key=lambda r: r[:2]):
-        yield key, (v for _, _, v in own)
+    def runs() -> Iterator[tuple[tuple[str, int], pa.Array]]:
+        for b in batches:
+            files, blocks = pc.dictionary_encode(b.column("file")), b.column("block").to_numpy()
+            begins = np.flatnonzero(np.append(True, (np.diff(files.indices.to_numpy()) != 0) | (np.diff(blocks) != 0)))[: len(b)].tolist()
+            for i, j in zip(begins, [*begins[1:], len(b)], strict=True):
+                yield (files[i].as_py(), int(blocks[i])), b.column("value").slice(i, j - i)
+
+    for key, own in groupby(runs(), key=lambda r: r[0]):
+        yield key, chain.from_iterable(v.to_pylist() for _, v in own)
 
 
 class _Open:
@@ -179,7 +243,7 @@ class _Open:
 
 def _open_marks(lines: DataFrame) -> _Open:
     """Only lines with marks of long strings or brackets are looked at. A split says for each of three states at its begin what
-    is open at its end; these few numbers a split go to the driver."""
+    is open at its end; these few numbers a split go to the driver, of all splits at once (an iterator would read split after split)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (file, block), own in _by_split(batches):
@@ -190,7 +254,7 @@ def _open_marks(lines: DataFrame) -> _Open:
             yield pa.RecordBatch.from_pylist([{"file": file, "block": block, "before": q, "after": s.quote, "depth": s.depth} for q, s in scans.items()], schema=_CHANGE)
 
     marked = lines.where(F.rlike("value", F.lit(_MARKS))).mapInArrow(run, "file string, block long, before string, after string, depth long")
-    return _Open({(r["file"], r["block"], r["before"]): (r["after"], r["depth"]) for r in marked.toLocalIterator()})
+    return _Open({(r["file"], r["block"], r["before"]): (r["after"], r["depth"]) for r in marked.collect()})
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -198,6 +262,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "block", "seq", "part", "text"])
 
 
+_READ = ["s", "p", "o", "at", "error"]
+
+
+def _terms(terms: list[tuple]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*terms, strict=True), _TERM, strict=True)], fields=list(_TERM))
+
+
 def statements(lines: DataFrame) -> DataFrame:
     """(file, block, seq, text): the statements of Turtle files, cut in parallel; ``seq`` counts within a split.
 
@@ -250,7 +321,7 @@ def load_graph(spark: SparkSession, path: str | Path) -> TripleStore:
     """
     lines = _lines(spark, str(path))
     several = len(lines.inputFiles()) > 1
-    found = materialize(statements(lines))
+    found = statements(lines)
     held = spark.sparkContext.broadcast(_contexts(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,24 +331,28 @@ def load_graph(spark: SparkSession, path: str | Path) -> TripleStore:
             for place in zip(*(b.column(c).to_pylist() for c in ("file", "block", "seq", "text")), strict=True):
                 i = bisect_left(places, place[:3]) - 1
                 _, prefixes, base = held.value[i] if i >= 0 and places[i][0] == place[0] else (None, {}, "")
-                name = f"{place[1]}-{place[2]}-", f"-{zlib.crc32(place[0].encode()):x}" if several else ""
-                try:
-                    rows, said = [(_row(t.s), t.p.value, _row(t.o)) for t in _Turtle(place[3], dict(prefixes), base, name).document()], None
-                except SparqlError as e:
-                    rows, said = [(None, None, None)], str(e).removeprefix("invalid SPARQL: ")
+                if (rows := _flat(place[3], prefixes, base)) is None:
+                    name = f"{place[1]}-{place[2]}-", f"-{zlib.crc32(place[0].encode()):x}" if several else ""
+                    try:
+                        rows = [(_row(t.s), t.p.value, _row(t.o)) for t in _Turtle(place[3], dict(prefixes), base, name).document()]
+                    except SparqlError as e:
+                        at.append(f"{place[0]} {place[1]:020d} {place[2]:020d}")
+                        error.append(str(e).removeprefix("invalid SPARQL: "))
+                        continue
                 for subject, predicate, value in rows:
                     s.append(subject), p.append(predicate), o.append(value)
-                at += [f"{place[0]} {place[1]:020d} {place[2]:020d}"] * len(rows)
-                error += [said] * len(rows)
-            names = ("k", "lex", "dt", "lang")
-            terms = [pa.array([None if t is None else dict(zip(names, t, strict=True)) for t in c], _TERM) for c in (s, o)]
-            yield pa.RecordBatch.from_arrays([terms[0], pa.array(p, pa.string()), terms[1], pa.array(at, pa.string()), pa.array(error, pa.string())], ["s", "p", "o", "at", "error"])
-
-    triples = materialize(found.mapInArrow(run, f"{SCHEMA}, at string, error string"))
-    first = triples.where("error IS NOT NULL").agg(F.min(F.struct("at", "error")).alias("e")).first()["e"]
+            none = pa.nulls(len(p), pa.string())
+            if p:
+                yield pa.RecordBatch.from_arrays([_terms(s), pa.array(p, pa.string()), _terms(o), none, none], _READ)
+            if error:
+                n = len(error)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, _TERM), pa.nulls(n, pa.string()), pa.nulls(n, _TERM), pa.array(at, pa.string()), pa.array(error, pa.string())], _READ)
+
+    read = materialize(found.mapInArrow(run, f"{SCHEMA}, at string, error string").distinct())
+    first = read.where("error IS NOT NULL").agg(F.min(F.struct("at", "error")).alias("e")).first()["e"]
     if first is not None:
         raise GraphError(f"invalid Turtle: {first['error']}")
-    return TripleStore(materialize(triples.select("s", "p", "o").distinct()))
+    return TripleStore(read.select("s", "p", "o"))
 
 
 def graph_of(spark: SparkSession, text: str) -> TripleStore:

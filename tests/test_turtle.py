@@ -74,3 +74,27 @@ def test_every_escape_of_n_triples(spark, tmp_path):
     assert [r[0] for r in got] == ["none", None]
     with pytest.raises(Exception, match="unknown escape"):
         spark.createDataFrame([("bad \\q",)], "t string").select(unescaped(turtle.F.col("t"))).collect()
+
+
+def test_the_number_of_jobs_is_not_that_of_the_splits(spark, tmp_path):
+    path, sc, was = tmp_path / "g.ttl", spark.sparkContext, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    path.write_text(document(200), encoding="utf-8")
+    jobs = []
+    try:
+        for size in (300, 10**9):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            sc.setJobGroup(f"turtle-{size}", "")
+            load_graph(spark, path)
+            jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"turtle-{size}")))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] <= jobs[1] + 2
+
+
+def test_flat_statements_are_read_as_the_parser_reads_them():
+    prefixes, base = {"": "urn:e:", "p": "urn:p:"}, "urn:base/"
+    flat = ['<a> a :C , p:D.e ; :p "x\\n" , ""@EN-us , """l\n"q" """^^p:d;<q> -5 ,+.5,1e3 , 7.', "p:s :p 'x' .", ":a :p -+5 .", 'x:a :p "b" .', ":a :p _:b .", ':a :p "\\q" .', ":a :p :b ; .", ":a :p 1 . :b :p 2 ."]
+    got = [turtle._flat(text, prefixes, base) for text in flat]
+    assert got[0] == [(turtle._row(t.s), t.p.value, turtle._row(t.o)) for t in turtle._Turtle(flat[0], prefixes, base).document()] and len(got[0]) == 9
+    assert got[1:] == [None] * 7
