@@ -22,10 +22,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     A part is read as one split, which gives the line numbers that messages name.
     """
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("i", "value"))
+    cut = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")
+    lines = whole.select("file", F.posexplode(cut).alias("i", "value"))
     files = whole.inputFiles()
     if len(files) > 1:
-        sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # a row a part
+        sizes = whole.select("file", F.size(cut).cast("long").alias("n"))  # a row a part
         before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         lines = lines.join(F.broadcast(sizes.select("file", before.alias("before"))), "file")
     else:
@@ -34,22 +35,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checked(lines: DataFrame, fields: tuple[str, ...], error: type[ValueError], what: str) -> DataFrame:
-    """The lines as columns; the first line that is no object of exactly these string fields raises ``error``."""
+    """The lines as columns, written once; the first line that is no object of exactly these string fields raises ``error``."""
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     keys = F.json_object_keys("value")
     kinds = F.transform(F.array(*map(F.lit, fields)), lambda f: f)
-    parsed = lines.withColumns({"__v": F.try_parse_json("value"), "__keys": keys, "__r": F.from_json("value", schema)})
+    parsed = lines.withColumns({"__v": F.try_parse_json("value"), "__r": F.from_json("value", schema)})
     want = F.array_sort(kinds)
+    # A line as it should be is told by its schema alone; the others say what is wrong.
+    good = F.schema_of_variant("__v") == f"OBJECT<{', '.join(f'{f}: STRING' for f in sorted(fields))}>"
     fault = (
-        F.when(F.col("__v").isNull(), "invalid JSON")
-        .when(F.col("__keys").isNull(), "not an object")
-        .when(F.array_sort("__keys") != want, F.concat(F.lit("fields must be exactly "), F.lit(", ".join(fields))))
+        F.when(good, None).when(F.col("__v").isNull(), "invalid JSON")
+        .when(keys.isNull(), "not an object")
+        .when(F.array_sort(keys) != want, F.concat(F.lit("fields must be exactly "), F.lit(", ".join(fields))))
         .when(F.exists(F.array(*[F.schema_of_variant(F.try_variant_get("__v", f"$.{f}", "variant")) for f in fields]), lambda k: F.coalesce(k != "STRING", F.lit(True))), "fields must be strings")
     )
-    bad = parsed.withColumn("__f", fault).where("__f IS NOT NULL").orderBy("_pos").select("_pos", "__f").limit(1).collect()
+    read = materialize(parsed.select("_pos", fault.alias("__f"), "__r.*"))
+    bad = read.where("__f IS NOT NULL").orderBy("_pos").select("_pos", "__f").limit(1).collect()
     if bad:
         raise error(f"{what}: line {bad[0][0]}: {bad[0][1]}")
-    return parsed.select("_pos", "__r.*")
+    return read.drop("__f")
 
 
 def load_dataset(spark: SparkSession, path: str) -> DataFrame:

@@ -57,3 +57,16 @@ def test_a_folder_without_versions_is_read_as_it_is(spark, tmp_path):
     for s in jsonl.SPLITS:
         jsonl.write_jsonl(release(spark, s, 9).where(F.col("split") == s).drop("split"), f"{tmp_path}/{s}.jsonl")
     assert jsonl.committed(spark, str(tmp_path)) is None and len(ids(spark, str(tmp_path))) == 3
+
+
+def test_lines_are_parsed_once_and_faults_keep_their_messages(spark, tmp_path):
+    good = {"id": "a", "query_id": "q", "register": "formal", "input": "x\ny   \"", "target": ""}
+    path = tmp_path / "good.jsonl"
+    path.write_text(json.dumps(good) + "\n" + json.dumps(dict(reversed(good.items()))) + "\n")
+    read = jsonl.load_dataset(spark, str(path))
+    assert not [f for f in read.inputFiles() if f.endswith("good.jsonl")]  # what was checked is what is read later
+    assert [r.asDict() for r in read.orderBy("_pos").collect()] == [good | {"_pos": 1}, good | {"_pos": 2}]
+    for line, said in [(json.dumps(good | {"id": 1}), "strings"), (json.dumps(good | {"id": None}), "strings"), (json.dumps(good | {"more": "x"}), "exactly"), ("[1]", "object"), ("{", "JSON"), (json.dumps(good | {"target": ["x"]}), "strings")]:
+        (tmp_path / "bad.jsonl").write_text(json.dumps(good) + "\n\n" + line + "\n")
+        with pytest.raises(ValueError, match=f"line 3: .*{said}"):
+            jsonl.load_dataset(spark, str(tmp_path / "bad.jsonl"))
