@@ -24,8 +24,8 @@ from .features import feature_tags, query_features
 from .skew import spread_join
 
 METRICS = ("parse", "execution", "answer_exact", "canonical_exact", "marker_exact", "false_acceptance", "safe_rejection", "system_answer_exact")
-#: Rows of an answer at most, and how many plans run at once.
-MOST_ROWS, AT_ONCE = 100, 8
+#: Rows of an answer at most, how many plans run at once, and the most plans whose list is broadcast.
+MOST_ROWS, AT_ONCE, MOST_PLANS = 100, 8, 10_000
 RESULT = "query string, parse_ok boolean, execution_ok boolean, error string, rows array<array<string>>"
 RESULT_COLUMNS = ["query", "parse_ok", "execution_ok", "error", "rows"]
 log = logging.getLogger(__name__)
@@ -49,15 +49,15 @@ def run_queries(graph, texts: DataFrame, spark: SparkSession, max_rows: int = MO
     an error of its text; rows are counted before they are gathered.
     """
     rows = texts.select(F.col(texts.columns[0]).alias("query")).where("query IS NOT NULL").distinct().withColumn("case", F.monotonically_increasing_id())
-    rows = materialize(with_shapes(materialize(rows)))
+    rows = materialize(with_shapes(rows))
     shapes: dict[str, Shape] = {}
     refused: list[tuple[str, str]] = []
-    for r in rows.where("problem IS NULL").groupBy("shape").agg(F.first("query").alias("query")).toLocalIterator():
+    for r in rows.where("problem IS NULL").groupBy("shape").agg(F.min("case").alias("case")).collect():
         try:
             shapes[r["shape"]] = parse_shape(r["shape"])
         except SparqlError:
             try:  # the message of a text as it was written
-                validate_select(r["query"])
+                validate_select(rows.where(F.col("case") == r["case"]).first()["query"])
                 refused.append((r["shape"], "invalid SPARQL"))
             except SparqlError as e:
                 refused.append((r["shape"], str(e)))
@@ -67,14 +67,16 @@ def run_queries(graph, texts: DataFrame, spark: SparkSession, max_rows: int = MO
         found.select(*RESULT_COLUMNS).write.option("compression", "zstd").parquet(f"{path}/{name}")
 
     none = F.lit(None).cast("array<array<string>>")
-    bad = rows.join(spark.createDataFrame(refused, "shape string, why string"), "shape", "left").where("problem IS NOT NULL OR why IS NOT NULL")
+    # The driver holds these lists, so they are broadcast: dealt by shape, all texts of a shape would meet in one task.
+    bad = rows.join(F.broadcast(spark.createDataFrame(refused, "shape string, why string")), "shape", "left").where("problem IS NOT NULL OR why IS NOT NULL")
     put(bad.select("query", F.lit(False).alias("parse_ok"), F.lit(False).alias("execution_ok"), F.coalesce("problem", "why").alias("error"), none.alias("rows")), "refused")
     if shapes:
         vary = spark.createDataFrame([(s, sorted(x.slots)) for s, x in shapes.items()], "shape string, vary array<int>")
-        signed = rows.join(vary, "shape").withColumn("signed", signature(F.col("parts"), F.col("vary"), graph.by_name)).drop("vary")
-        kinds = materialize(signed.groupBy("shape", "signed").agg(F.count(F.lit(1)).alias("n")).withColumn("plan", F.monotonically_increasing_id()))
+        signed = rows.join(F.broadcast(vary), "shape").withColumn("signed", signature(F.col("parts"), F.col("vary"), graph.by_name)).drop("vary")
+        kinds = materialize(signed.select("shape", "signed").distinct().withColumn("plan", F.monotonically_increasing_id()))
         plans = kinds.toLocalIterator()
-        cut = materialize(signed.join(kinds.drop("n"), ["shape", "signed"]).select("plan", "case", "query", "parts").repartition("plan", F.pmod(F.xxhash64("case"), F.lit(16))), by=("plan",))
+        listed = F.broadcast(kinds) if kinds.count() <= MOST_PLANS else kinds
+        cut = materialize(signed.join(listed, ["shape", "signed"]).select("plan", "case", "query", "parts").repartition("plan", F.pmod(F.xxhash64("case"), F.lit(16))), by=("plan",))
 
         def run(p) -> None:
             mine = cut.where(F.col("plan") == p["plan"])
@@ -99,14 +101,17 @@ def _answers(graph, shape: Shape, signed: list[str], rows: DataFrame, max_rows:
         return rows.select("query", F.lit(True).alias("parse_ok"), F.lit(False).alias("execution_ok"), F.lit(str(e)).alias("error"), F.lit(None).cast("array<array<string>>").alias("rows"))
     names = [n for n in answer.names if n != CASE]
     value = {n: (F.col(column(n)), answer.reps[n]) for n in names}
-    node = F.coalesce(*[F.when(is_node(*value[n]), n) for n in names]) if len(names) > 1 else F.when(is_node(*value[names[0]]), names[0])
+    # By number in order of names: text in a minimum would be sorted for.
+    ranked = sorted(names)
+    said_node = [F.when(is_node(*value[n]), ranked.index(n)) for n in names]
+    node = F.coalesce(*said_node) if len(names) > 1 else said_node[0]
     said = answer.df.select(F.col(column(CASE)).alias("case"), node.alias("node"), F.array_sort(F.array(*[value_text(*value[n]) for n in names])).alias("row"))
     said = said.groupBy("case", "row", "node").agg(F.count(F.lit(1)).alias("n"))
     sizes = said.groupBy("case").agg(F.sum("n").alias("size"), F.min("node").alias("node"))
     fine = said.join(sizes.where((F.col("size") <= max_rows) & F.col("node").isNull()).select("case"), "case", "left_semi")
     listed = fine.groupBy("case").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("row", F.col("n").cast("int"))))).alias("rows"))
     found = rows.join(sizes, "case", "left").join(listed, "case", "left")
-    error = F.when(F.col("size") > max_rows, F.lit(f"the SPARQL result exceeds {max_rows} rows")).when(F.col("node").isNotNull(), F.concat(F.lit("answer column ?"), "node", F.lit(" holds a graph node: select a label or another literal")))
+    error = F.when(F.col("size") > max_rows, F.lit(f"the SPARQL result exceeds {max_rows} rows")).when(F.col("node").isNotNull(), F.concat(F.lit("answer column ?"), F.get(F.array(*map(F.lit, ranked)), F.col("node")), F.lit(" holds a graph node: select a label or another literal")))
     none = F.array().cast("array<array<string>>")
     return found.select("query", F.lit(True).alias("parse_ok"), error.isNull().alias("execution_ok"), error.alias("error"), F.when(error.isNull(), F.coalesce("rows", none)).alias("rows"))
 
@@ -178,12 +183,14 @@ def evaluate_cases(examples: DataFrame, predictions: DataFrame, graph, object_pr
     """
     spark = graph.spark
     cases = materialize(examples.join(predictions.select("id", "prediction"), "id", "left").withColumn("prediction", F.coalesce("prediction", F.lit(""))))
-    texts = cases.select(F.explode(F.array("target", "prediction")).alias("q")).where(F.trim(F.col("q")) != NO_INFORMATION_MARKER)
+    texts = cases.select(F.explode(F.array_distinct(F.array("target", "prediction"))).alias("q")).where(F.trim(F.col("q")) != NO_INFORMATION_MARKER)
     results = run_queries(graph, texts, spark)
     mine = results.select(F.col("query").alias("prediction"), F.col("parse_ok").alias("p_ok"), F.col("execution_ok").alias("x_ok"), "error", F.col("rows").alias("predicted_rows"))
     theirs = results.select(F.col("query").alias("target"), F.col("rows").alias("reference_rows"))
-    # Many cases may have one text.
-    c = spread_join(spread_join(cases, mine, ["prediction"], F.xxhash64("id")), theirs, ["target"], F.xxhash64("id"))
+    # Many cases may have one text. Each text has one result, so the first join keeps the keys of the second as they are.
+    total = cases.count()
+    c = spread_join(cases, mine, ["prediction"], F.xxhash64("id"), total=total)
+    c = spread_join(c, theirs, ["target"], F.xxhash64("id"), total=total, counted=cases)
     marker = F.col("target") == NO_INFORMATION_MARKER
     canonical = F.trim("prediction") == F.col("target")
     none = F.array().cast("array<array<string>>")

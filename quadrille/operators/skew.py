@@ -26,17 +26,20 @@ def hot_keys(rows: DataFrame, keys: list[str], total: int, parts: int, most: int
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share).select(*keys, F.ceil(F.col("__n") / share).cast("int").alias("__pieces"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", total: int | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", total: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """An equi-join on ``keys`` whose hot keys of the left side are dealt over salts by ``spread``; the right side's rows of
-    these are repeated once a salt. ``how`` is inner, left, left_semi or left_anti. ``left`` is read twice."""
+    these are repeated once a salt. ``how`` is inner, left, left_semi or left_anti. ``left`` is read twice, or ``counted`` once for it, a
+    table that has the same keys as often. Keys are counted and salted by their hash: keys of one hash share their salts."""
     total = left.count() if total is None else total
     parts = parts_of(left.sparkSession)
     if total <= LEAST_ROWS:
         return left.join(right, keys, how)
-    hot = F.broadcast(materialize(hot_keys(left, keys, total, parts).withColumnRenamed("__pieces", "__salts")))
+    hashed = F.xxhash64(*keys)
+    hot = hot_keys((left if counted is None else counted).select(hashed.alias("__hash")), ["__hash"], total, parts)
+    hot = F.broadcast(materialize(hot.withColumnRenamed("__pieces", "__salts")))
     salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(spread, F.col("__salts"))).cast("int")
-    a = left.join(hot, keys, "left").withColumn("__salt", salt).drop("__salts")
-    b = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))).drop("__salts")
+    a = left.withColumn("__hash", hashed).join(hot, "__hash", "left").withColumn("__salt", salt).drop("__salts", "__hash")
+    b = right.withColumn("__hash", hashed).join(hot, "__hash", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))).drop("__salts", "__hash")
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
 
 

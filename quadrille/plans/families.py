@@ -25,8 +25,8 @@ CASE = "_case"
 _TOKEN = (
     r"(?sU)[ \t\r\n]+|#[^\r\n]*|<[^<>\"{}|^`\\\x00-\x20]*>|[?$]\w+"
     r'|"""(?:[^\\]|\\.)*?"""|' + r"'''(?:[^\\]|\\.)*?'''" + r'|"(?:[^"\\\r\n]|\\.)*"' + r"|'(?:[^'\\\r\n]|\\.)*'"
-    r"|@[A-Za-z]+(?:-[A-Za-z0-9]+)*|(?:\d+\.\d*|\.\d+|\d+)[eE][+-]?\d+|\d*\.\d+|\d+|_:\w(?:[\w.-]*\w)?"
-    r"|(?:[\p{L}][\w.-]*)?:(?:(?:\w|%[0-9A-Fa-f]{2})(?:[\w.:-]*[\w:-])?)?|[A-Za-z_][A-Za-z0-9_]*|."
+    r"|@[A-Za-z]+(?:-[A-Za-z0-9]+)*|(?=[0-9.\d])(?:(?:\d+\.\d*|\.\d+|\d+)[eE][+-]?\d+|\d*\.\d+|\d+)|_:\w(?:[\w.-]*\w)?"
+    r"|(?:[\p{L}][a-zA-Z0-9_\w.-]*+)?:(?:(?:\w|%[0-9A-Fa-f]{2})(?:[\w.:-]*[\w:-])?)?|[A-Za-z_][A-Za-z0-9_]*|."
 )
 _MARK = "\x01"
 #: Constants that stand for the k-th slot while a shape is parsed.
@@ -36,8 +36,11 @@ _COMPARE = {"&&", "||", "!", "=", "!=", "<", "<=", ">", ">=", "+", "-", "*", "/"
 
 
 def _slot_kind(token: Column) -> Column:
+    # The first character tells which pattern to try: most tokens take none.
     return (
-        F.when(token.rlike(r'^"[^"\\\r\n]*"$'), "s").when(token.rlike(r"^[0-9]{1,18}$"), "i").when(token.rlike(r"(?U)^:[\w%.:-]+$"), "n")
+        F.when(token.startswith('"'), F.when(token.rlike(r'^"[^"\\\r\n]*"$'), "s"))
+        .when((token >= "0") & (token < ":"), F.when(token.rlike(r"^[0-9]{1,18}$"), "i"))
+        .when(token.startswith(":"), F.when(token.rlike(r"(?U)^:[\w%.:-]+$"), "n"))
     )
 
 
@@ -53,14 +56,25 @@ def guard_error(text: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_shapes(texts: DataFrame, query: str = "query") -> DataFrame:
     """``texts`` with ``problem`` (of the guard), ``shape`` and ``parts``, the tokens that were cut out, in order."""
-    text = F.regexp_replace(F.coalesce(F.col(query), F.lit("")), r"(?U)^\s+|\s+$", "")
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    out = texts.withColumn("problem", guard_error(text)).withColumn("__tokens", F.when(F.col("problem").isNull(), tokens))
     kind = lambda t: _slot_kind(t)
-    shown = F.transform("__tokens", lambda t: F.when(t.rlike(r"^[ \t\r\n]|^#"), " ").otherwise(F.coalesce(F.concat(F.lit(_MARK), kind(t)), t)))
-    return out.withColumns({"shape": F.array_join(shown, ""), "parts": F.filter("__tokens", lambda t: kind(t).isNotNull())}).drop("__tokens")
+    blank = lambda t: (t == " ") | (t < "$") & t.rlike(r"^[ \t\r\n]|^#")
+    shown = lambda t: F.when(blank(t), " ").otherwise(F.coalesce(F.concat(F.lit(_MARK), kind(t)), t))
+
+    # Bound as arguments, the trimmed text, its problem and its tokens are worked out once each; columns would be once a use.
+    def of(text: Column) -> Column:
+        return _let(guard_error(text), lambda problem: _let(F.when(problem.isNull(), F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))), lambda tokens: with_tokens(problem, tokens)))
+
+    def with_tokens(problem: Column, tokens: Column) -> Column:
+        return F.struct(problem.alias("problem"), F.array_join(F.transform(tokens, shown), "").alias("shape"), F.filter(tokens, lambda t: kind(t).isNotNull()).alias("parts"))
+
+    text = F.regexp_replace(F.coalesce(F.col(query), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return texts.withColumn("__of", _let(text, of)).select(*texts.columns, "__of.problem", "__of.shape", "__of.parts")
 
 
 @dataclass(frozen=True)

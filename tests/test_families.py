@@ -69,3 +69,23 @@ def test_a_plan_that_fails_leaves_other_texts_their_answers(spark, graph, monkey
 
 def test_no_texts(spark, graph):
     assert evaluation.run_queries(graph, spark.createDataFrame([], "q string"), spark).collect() == []
+
+
+def test_texts_of_a_shape_are_not_dealt_by_their_shape(spark, graph, monkeypatch):
+    plans, write = [], evaluation.materialize
+    monkeypatch.setattr(evaluation, "materialize", lambda df, by=(): plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, by))
+    texts = spark.range(50).selectExpr("concat('SELECT ?a WHERE { :Nation', id, ' rdfs:label ?a . }') AS query")
+    assert evaluation.run_queries(graph, texts, spark).where("size(rows) = 1").count() == 25
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line and "shape" in line]
+    assert joins and all("hint" in line or "broadcast" in line for line in joins)
+
+
+def test_one_result_of_a_text_is_joined_by_hashes_counted_once(spark, monkeypatch):
+    from quadrille.operators import skew
+
+    counted, hot = [], skew.hot_keys
+    monkeypatch.setattr(skew, "hot_keys", lambda rows, *a, **k: counted.append(rows.schema.simpleString()) or hot(rows, *a, **k))
+    left = spark.range(3000).selectExpr("id", "if(id % 2 = 0, 'x', concat('t', id)) AS k")
+    right = left.select("k").distinct().selectExpr("k", "upper(k) AS v")
+    got = skew.spread_join(left.withColumnRenamed("id", "i"), right, ["k"], skew.F.xxhash64("i"), total=3000, counted=left)
+    assert got.where("v = upper(k)").count() == got.count() == 3000 and counted == ["struct<__hash:bigint>"]
