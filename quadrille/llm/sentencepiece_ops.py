@@ -116,6 +116,15 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
     return [raw[i:j] for i, j in zip([8 * n, *ends.tolist()], ends.tolist(), strict=False)]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of four bytes as their first bytes, then the second ones and so on: the upper bytes of small numbers pack to nothing."""
+    return np.ascontiguousarray(numbers.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, batch: int) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(number, rows, bytes, starts and ends of the distinct units in order of their hash, hashes, which unit each place has, units of each row).
 
@@ -178,12 +187,12 @@ def _asked(docs: DataFrame, buckets: int, chunk: int, batch: int) -> DataFrame:
             sizes = ends - starts
             blobs = []
             for i, j in zip(first, np.append(first[1:], len(part)), strict=False):
-                blobs.append(_pack(sizes[i:j].astype("<u4"), buffer[ragged(starts[i:j], sizes[i:j])]))
+                blobs.append(_pack(_planes(sizes[i:j]), buffer[ragged(starts[i:j], sizes[i:j])]))
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(first), pa.int64()), pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary()), pa.array(_proof(kinds, first))], ["chunk", "bucket", "units", "proof"])
 
     def number(bucket: pa.Table) -> pa.Table:
         blobs = [_unpack(x, 2) for x in bucket.column("units").to_pylist()]
-        sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x, _ in blobs]
+        sizes = [_from_planes(x).astype(np.int64) for x, _ in blobs]
         buffer, size = np.frombuffer(b"".join([raw for _, raw in blobs]), np.uint8), np.concatenate(sizes)
         starts = np.cumsum(size) - size
         _, some, which = np.unique(span_hashes(buffer, starts, starts + size, EXACT), return_index=True, return_inverse=True)
@@ -191,7 +200,7 @@ def _asked(docs: DataFrame, buckets: int, chunk: int, batch: int) -> DataFrame:
             some = which = np.arange(len(size))
         # Units are numbered in order of their hash, as each chunk has them: steps from one to the next are small.
         ends = np.cumsum([0, *map(len, sizes)]).tolist()
-        has = [_pack(np.diff(which[i:j], prepend=0).astype("<i4")) for i, j in zip(ends, ends[1:], strict=False)]
+        has = [_pack(_planes(np.diff(which[i:j], prepend=0))) for i, j in zip(ends, ends[1:], strict=False)]
         units = [buffer[i : i + n].tobytes().decode("utf-8").replace(" ", SPACE) for i, n in zip(starts[some].tolist(), size[some].tolist(), strict=True)]
         b, n, m = bucket.column("bucket")[0].as_py(), len(units), len(has)
         return pa.table({
@@ -362,8 +371,8 @@ def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_c
         counts = np.diff(offsets)
         blobs = []
         for blob in has.column("has").to_pylist():
-            at = place[np.cumsum(np.frombuffer(_unpack(blob, 1)[0], "<i4"))]
-            blobs.append(_pack(counts[at].astype("<u4"), flat[ragged(offsets[at], counts[at])].astype(kind)))
+            at = place[np.cumsum(_from_planes(_unpack(blob, 1)[0]))]
+            blobs.append(_pack(_planes(counts[at]), flat[ragged(offsets[at], counts[at])].astype(kind)))
         return pa.table({"chunk": has.column("chunk"), "bucket": has.column("bucket"), "ids": pa.array(blobs, pa.binary()), "proof": has.column("proof")})
 
     replies = asked.where("unit IS NULL").select("bucket", "chunk", "has", "proof").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(reply, "chunk long, bucket int, ids binary, proof long")
@@ -373,7 +382,11 @@ def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_c
             sink = pa.BufferOutputStream()
             with ipc.new_stream(sink, rows.select(["doc_id", "text_sha256"]).schema) as writer:
                 writer.write_table(rows.select(["doc_id", "text_sha256"]))
-            packed = _pack(which.astype("<u4"), counts.astype("<u4"), sink.getvalue().to_pybytes())
+            # Units are named by their rank in frequency, most names are small then; ``order`` leads back.
+            order = np.argsort(-np.bincount(which, minlength=len(kinds)), kind="stable")
+            rank = np.empty(len(kinds), np.int64)
+            rank[order] = np.arange(len(kinds))
+            packed = _pack(_planes(rank[which]), _planes(order), _planes(counts), sink.getvalue().to_pybytes())
             proof = pa.array(_proof(kinds, np.zeros(min(len(kinds), 1), np.int64)).tolist() or [0], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(kinds)], pa.int64()), proof, pa.array([packed], pa.binary())], ["chunk", "kinds", "proof", "coded"])
 
@@ -381,14 +394,14 @@ def encode_documents(docs: DataFrame, model: Model, text_col: str = "text", id_c
     held = docs.sparkSession.sparkContext.broadcast(_spelling(model)) if decoded else None
 
     def fill(own: pa.Table, heard: pa.Table) -> pa.Table:
-        which, counts, rows = _unpack(own.column("coded")[0].as_py(), 3)
+        which, order, counts, rows = _unpack(own.column("coded")[0].as_py(), 4)
         parts = [_unpack(x, 2) for _, x in sorted(zip(heard.column("bucket").to_pylist(), heard.column("ids").to_pylist(), strict=True))]
-        size = np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(p[0], "<u4") for p in parts]]).astype(np.int64)
+        size = np.concatenate([np.empty(0, "<i4"), *[_from_planes(p[0]) for p in parts]]).astype(np.int64)
         ids = np.concatenate([np.empty(0, kind), *[np.frombuffer(p[1], kind) for p in parts]])
         proof = heard.column("proof").to_numpy().astype(np.int64).sum(dtype=np.int64)
         if len(size) != own.column("kinds")[0].as_py() or proof != own.column("proof")[0].as_py():
             raise RuntimeError("a chunk was cut in two ways: its rows come in no fixed order")
-        which, counts = np.frombuffer(which, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
+        which, counts = _from_planes(order)[_from_planes(which)], _from_planes(counts).astype(np.int64)
         got = ids[ragged((np.cumsum(size) - size)[which], size[which])].astype(np.int32)
         ends = np.append(0, np.cumsum(size[which]))[np.append(0, np.cumsum(counts))]
         table = ipc.open_stream(rows).read_all().append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int32())))
