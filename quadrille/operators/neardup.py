@@ -2,9 +2,10 @@
 
 Texts become trigram sets in one pass, packed to a byte or so a trigram, with a sketch beside each: the parities of the trigrams in
 each of a power of two of buckets. Two sets differ in at least as many trigrams as their sketches differ in bits, and similar sets in
-few, so a family's texts are compared by array steps over sketches and only pairs that these leave open are checked exactly.
-Nothing is written for other pairs. Equal sets of a family and split are compared once. A sketch has as many bits as its set has
-trigrams, or more; one of twice the bits is folded to compare it.
+few, so a family's texts are compared by array steps over sketches, and pairs that these leave open are checked exactly, whole lists of them in a task and by array steps
+over the sets: long texts of one small vocabulary are all similar, so sets are unpacked once for many pairs. Only similar pairs are written.
+Equal texts of a family and split are compared once. A sketch has as many bits as its set has trigrams, or more; half of them rule out most
+pairs. One of twice the bits is folded to compare it.
 
 The texts of a family are a list, compared by size: only sets of similar sizes meet. A long list is cut into blocks by the size of
 the sets and its pairs of blocks are dealt out; two blocks whose sizes are too far apart are no pair.
@@ -13,22 +14,31 @@ the sets and its pairs of blocks are dealt out; two blocks whose sizes are too f
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_key
 from ..scratch import materialize
-from .skew import below, spread_join, time_cuts
+from .skew import below, parts_of, spread_join, time_cuts
 
 THRESHOLD = 0.84
 #: Texts of a list that are compared in one task.
-BLOCK = 8192
+BLOCK = 16384
 #: Blocks of one list at most; the blocks of a list beyond MOST_BLOCKS * BLOCK entries grow.
 MOST_BLOCKS = 1024
+#: Numbers of one array step.
+TILE = 1 << 16
+#: Pairs that sketches leave open and that are checked at once.
+OPEN = 1 << 23
+#: Trigrams told by bits at most.
+HEAD = 8192
+#: Rows of a file of pairs: these are told by few bytes, and Spark deals files by their bytes.
+PAIRS = 1 << 19
 
 
 def gram_sets(texts: list[str]) -> list[np.ndarray]:
@@ -102,7 +112,7 @@ def block_pairs(entries: DataFrame, threshold: float, block: int = BLOCK) -> Dat
 
 
 def close_pairs(inner: np.ndarray, at: np.ndarray, node: np.ndarray, side: np.ndarray, m: np.ndarray, sketches: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
-    """Of one list in order of size: pairs of nodes of different sides whose sizes and sketches leave them open, each once."""
+    """Of one list in order of size: pairs of nodes of different sides whose sizes and sketches leave them open, each once; the pairs of one node come together."""
     words = np.array([len(x) // 8 for x in sketches])
     rest = (1 - threshold) / (1 + threshold)
     for width in np.unique(words):
@@ -112,6 +122,7 @@ def close_pairs(inner: np.ndarray, at: np.ndarray, node: np.ndarray, side: np.nd
         planes = np.empty((width, len(own)), np.uint64)
         for i, x in enumerate(own):
             planes[:, i] = np.bitwise_xor.reduce(np.frombuffer(sketches[x], "<u8").reshape(-1, width), axis=0)
+        half = planes[: width // 2] ^ planes[width // 2 :] if width > 1 else planes
         small = words[own] == width
         # A set meets those of other sides; in a list of two blocks, those of the other block.
         group = np.unique(np.stack([side[own], np.where(inner[own] == 1, -1, at[own])]), axis=1, return_inverse=True)[1].reshape(-1)
@@ -119,52 +130,172 @@ def close_pairs(inner: np.ndarray, at: np.ndarray, node: np.ndarray, side: np.nd
             first = np.flatnonzero((group == g) & small)
             x = own[first[0]]
             other = np.flatnonzero((side[own] != side[x]) & ((inner[x] == 1) | (at[own] != at[x])))
-            theirs, sizes, names = np.ascontiguousarray(planes[:, other]), m[own[other]], node[own[other]]
-            low = np.searchsorted(sizes, m[own[first]], "left")
-            high = np.searchsorted(sizes, np.floor(m[own[first]] / threshold + 1e-9), "right")
-            for i, a, b in zip(first, low, high, strict=True):
+            theirs, sizes, names = np.ascontiguousarray(half[:, other]), m[own[other]], node[own[other]]
+            mine, me = m[own[first]], node[own[first]]
+            low = np.searchsorted(sizes, mine, "left")
+            high = np.searchsorted(sizes, np.floor(mine / threshold + 1e-9), "right")
+            i = 0
+            while i < len(first):
+                # Some sets at once, against all that any of them can meet: first by sketches of half the bits, what is left by whole ones.
+                a = low[i]
+                j = i + max(1, min(TILE // max(high[i] - a, 1), 64, len(first) - i))
+                b = high[j - 1]
+                tile, i = slice(i, j), j
                 if a == b:
                     continue
-                apart = np.zeros(b - a, np.int32)
-                for w in range(width):
-                    apart += np.bitwise_count(theirs[w, a:b] ^ planes[w, i])
-                me = node[own[i]]
-                hit = a + np.flatnonzero(apart <= rest * (m[own[i]] + sizes[a:b]) + 1e-6)
-                hit = names[hit[(sizes[hit] > m[own[i]]) | (names[hit] > me)]]  # of equal sizes, either finds the other
-                if len(hit):
-                    yield np.stack([np.full(len(hit), me), hit])
-
-
-def _candidates(lists: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): nodes of different splits whose sizes and sketches leave them open."""
-    names = ("inner", "at", "node", "side", "m")
-
-    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Rows of whole lists, sorted by list and size."""
+                apart = np.zeros((j - tile.start, b - a), np.uint16 if len(half) < 1024 else np.int32)
+                bits, some, one = np.empty(apart.shape, np.uint64), *np.empty((2, *apart.shape), np.uint8)
+                for w in range(len(half)):
+                    np.bitwise_xor(theirs[w, a:b], half[w, first[tile], None], out=bits)
+                    np.bitwise_count(bits, out=one if w % 3 else some)
+                    if w % 3:
+                        some += one
+                    if w % 3 == 2 or w == len(half) - 1:  # three counts fit into a byte
+                        apart += some
+                most = np.minimum(rest * (mine[j - 1] + sizes[a:b]) + 1e-6, np.iinfo(apart.dtype).max).astype(apart.dtype)
+                left = apart <= most
+                for k in np.flatnonzero(left.any(axis=1)):
+                    s = tile.start + k
+                    near = np.flatnonzero(left[k, low[s] - a : high[s] - a]) + low[s]
+                    near = near[apart[k, near - a] <= rest * (mine[s] + sizes[near]) + 1e-6]
+                    near = near[(sizes[near] > mine[s]) | (names[near] > me[s])]  # of equal sizes, either finds the other
+                    if width > 1 and len(near):
+                        whole = np.bitwise_count(planes[:, other[near]] ^ planes[:, first[s], None]).sum(axis=0, dtype=np.int32)
+                        near = near[whole <= rest * (mine[s] + sizes[near]) + 1e-6]
+                    if len(near):
+                        yield np.stack([np.full(len(near), me[s]), names[near]])
+
+
+def shared(sets: Callable[[int], np.ndarray], pairs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """How many trigrams the sets of each pair share, exactly: ``sets`` gives the trigrams of a number; the first of all pairs of an array is the same.
+
+    The trigrams that several of some sets have are bits, told by and; all others are found by lists of the sets that have them. Which are which
+    changes nothing but the work.
+    """
+    used = np.unique(np.concatenate([p.reshape(-1) for p in pairs]))
+    seen, often = np.unique(np.concatenate([sets(x) for x in used[:: -(-len(used) // 256)]]), return_counts=True)
+    head = np.argsort(-often, kind="stable")[:HEAD]
+    head = np.sort(seen[head[often[head] > 1]])
+    width = len(head) // 64 + 1
+    bits, rare, of = np.zeros((len(used), width), np.uint64), [], []
+    for i, x in enumerate(used):
+        own = sets(x)
+        spot = np.searchsorted(head, own)
+        known = spot < len(head)
+        known[known] = head[spot[known]] == own[known]
+        row = np.zeros(64 * width, bool)
+        row[spot[known]] = True
+        bits[i] = np.packbits(row, bitorder="little").view("<u8")
+        rare.append(own[~known])
+        of.append(np.full(len(rare[-1]), i, np.int32))
+    planes = np.ascontiguousarray(bits.T)
+    rare, of = np.concatenate(rare), np.concatenate(of)
+    begin = np.searchsorted(of, np.arange(len(used) + 1))
+    order = np.argsort(rare, kind="stable")
+    listed, ordered = of[order], rare[order]
+    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    length = np.diff(starts, append=len(rare))
+    name = np.empty(len(rare), np.int64)
+    name[order] = np.repeat(np.arange(len(starts)), length)
+    for p in pairs:
+        x, others = np.searchsorted(used, p[0, 0]), np.searchsorted(used, p[1])
+        found = np.empty(len(others), np.int64)
+        step = max(1, 8 * TILE // width)
+        for i in range(0, len(others), step):
+            both = planes[:, others[i : i + step]]
+            both &= bits[x][:, None]
+            found[i : i + step] = np.bitwise_count(both).sum(axis=0, dtype=np.int32)
+        own = name[begin[x] : begin[x + 1]]
+        own = own[length[own] > 1]
+        if len(own):
+            n = length[own]
+            at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found += np.bincount(listed[at], minlength=len(used))[others]
+        yield found
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, dict[str, np.ndarray]]]:
+    """List by list the rows that come sorted by list and size, and their numbers: those that ``close_pairs`` takes. Lists of one split are left out."""
+
+    def cut(rows: pa.Table) -> Iterator[tuple[pa.Table, dict[str, np.ndarray]]]:
         lists = rows.column("list").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1), len(lists)]
-        columns, sketches = [rows.column(n).to_numpy() for n in names], np.array([*rows.column("sketch").to_pylist(), None], object)[:-1]
         for i, j in zip(cuts, cuts[1:], strict=False):
-            if j - i > 1 and (columns[3][i:j] != columns[3][i]).any():
-                for pair in close_pairs(*[c[i:j] for c in columns], sketches[i:j], threshold):
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+            own = rows.slice(i, j - i)
+            names, side = np.unique(own.column("split").to_numpy(), return_inverse=True)
+            if len(names) > 1:
+                given = {c: own.column(c).to_numpy() for c in ("inner", "at", "m")}
+                yield own, given | {"node": np.arange(j - i), "side": side, "sketches": np.array([*own.column("sketch").to_pylist(), None], object)[:-1]}
+
+    held = []  # the last list, which may go on in the next batch
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        own = b.column("list").to_numpy()
+        edge = int(np.flatnonzero(np.diff(own, prepend=own[0]))[-1]) if own[0] != own[-1] else 0
+        if edge or (held and own[0] != held[-1].column("list")[-1].as_py()):
+            yield from cut(pa.Table.from_batches([*held, b.slice(0, edge)]))
+            held = []
+        held.append(b.slice(edge))
+    if held:
+        yield from cut(pa.Table.from_batches(held))
+
+
+def _dealt(lists: DataFrame, more: list[str], tasks: int) -> DataFrame:
+    """Whole lists, in a fixed number of tasks: the work of a list grows with the pairs in it, not with its bytes."""
+    numbers = [F.col(c).cast("long").alias(c) for c in ("inner", "at", "node", "m")]
+    return lists.select("list", *numbers, "split", "sketch", *more).repartition(tasks, "list").sortWithinPartitions("list", "m")
+
+
+def _open(lists: DataFrame, threshold: float, tasks: int) -> DataFrame:
+    """(list, inner, at, node): of each list the entries that sketches leave a pair of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []  # the last list, which may go on in the next batch
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            own = b.column("list").to_numpy()
-            edge = int(np.flatnonzero(np.diff(own, prepend=own[0]))[-1]) if own[0] != own[-1] else 0
-            if edge or (held and own[0] != held[-1].column("list")[-1].as_py()):
-                yield from found(pa.Table.from_batches([*held, b.slice(0, edge)]))
-                held = []
-            held.append(b.slice(edge))
-        if held:
-            yield from found(pa.Table.from_batches(held))
+        for rows, given in _whole(batches):
+            some = np.zeros(rows.num_rows, bool)
+            for p in close_pairs(**given, threshold=threshold):
+                some[p] = True
+            yield from rows.select(["list", "inner", "at", "node"]).filter(pa.array(some)).to_batches()
 
-    cast = lists.select("list", *[F.col(n).cast("long").alias(n) for n in names], "sketch")
-    return cast.repartition("list").sortWithinPartitions("list", "m").mapInArrow(run, "a long, b long")
+    return _dealt(lists, [], tasks).mapInArrow(run, "list long, inner long, at long, node long")
+
+
+def _near(lists: DataFrame, threshold: float, tasks: int) -> DataFrame:
+    """(left_id, right_id, l, r, score): similar entries of different splits; ``l`` and ``r`` are the nodes of those that stand for several texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, given in _whole(batches):
+            rows, m, side = rows.combine_chunks(), given["m"], given["side"]
+            grams, many = rows.column("grams"), pa.compute.if_else(pa.compute.greater(rows.column("n"), 1), rows.column("node"), pa.scalar(None, pa.int64()))
+
+            def made(hits: list[tuple[np.ndarray, np.ndarray]], ids: pa.ChunkedArray = rows.column("id"), many: pa.ChunkedArray = many) -> pa.RecordBatch:
+                left, right = (pa.array(x) for x in np.concatenate([p for p, _ in hits], axis=1))
+                columns = [c.take(x).combine_chunks() for c, x in ((ids, left), (ids, right), (many, left), (many, right))]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([s for _, s in hits]))], ["left_id", "right_id", "l", "r", "score"])
+
+            for pairs in gathered(close_pairs(**given, threshold=threshold), OPEN):
+                hits = []
+                for p, both in zip(pairs, shared(lambda x, grams=grams: unpack(grams[x].as_py()), pairs), strict=True):
+                    score = both / (m[p[0]] + m[p[1]] - both)
+                    p, score = p[:, score >= threshold], score[score >= threshold]
+                    hits.append((np.where(side[p[0]] < side[p[1]], p, p[::-1]), score))
+                yield from map(made, gathered(hits, TILE, lambda h: len(h[1])))
+
+    kind = lists.schema["id"].dataType.simpleString()
+    return _dealt(lists, ["n", "id", "grams"], tasks).mapInArrow(run, f"left_id {kind}, right_id {kind}, l long, r long, score double")
+
+
+def gathered(parts: Iterable, most: int, size: Callable = lambda p: p.shape[1]) -> Iterator[list]:
+    """``parts`` in lists of ``most`` pairs or some more."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += size(p)
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def cross_split_near_duplicates(rows: DataFrame, family: str = "query_id", split: str = "split", key: str = "id", text: str = "input", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -174,29 +305,17 @@ def cross_split_near_duplicates(rows: DataFrame, family: str = "query_id", split
     """
     rank = F.when(F.col(split) == "train", "0").when(F.col(split) == "val", "1").when(F.col(split) == "test", "2").otherwise(F.col(split))
     texts = rows.select(F.col(key).alias("id"), F.col(family).alias("f"), rank.alias("split"), F.coalesce(text_key(F.col(text)), F.lit("")).alias("k"))
-    sets = _sets(texts.withColumn("h", F.unhex(F.md5("k"))))
-    # One representative for equal texts of a family and split; members are joined back at the end.
-    base = sets.select("id", "f", "split", "h")
-    first = sets.where("f IS NOT NULL").groupBy("f", "split", "h").agg(F.min(F.struct("node", "m", "sketch")).alias("r"))
-    entries = materialize(first.select("f", F.lit(0).alias("g"), "r.node", F.xxhash64("split").alias("side"), "r.m", "r.sketch"))
-    near = materialize(_candidates(block_pairs(entries, threshold, block), threshold))
-    of = lambda i: sets.select(F.col("node").alias("ab"[i]), *[F.col(c).alias(f"{c}{i}") for c in ("f", "split", "h", "grams")])
-    both = near.join(of(0), "a").join(of(1), "b").where("f0 = f1")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["f0", "split0", "h0", "split1", "h1"]
-        for b in batches:
-            score = []
-            for x, y in zip(b.column("grams0").to_pylist(), b.column("grams1").to_pylist(), strict=True):
-                s, t = unpack(x), unpack(y)
-                i = len(np.intersect1d(s, t, assume_unique=True))
-                score.append(i / (len(s) + len(t) - i))
-            keep = pa.array([v >= threshold for v in score], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(score, pa.float64())], [*names, "score"]).filter(keep)
-
-    kind = sets.schema["f"].dataType.simpleString()
-    found = both.select("f0", "split0", "h0", "split1", "h1", "grams0", "grams1").mapInArrow(check, f"f0 {kind}, split0 string, h0 binary, split1 string, h1 binary, score double")
-    first = F.col("split0") < F.col("split1")
-    pair = found.select(F.col("f0").alias("f"), *[F.when(first, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}_{side}") for c in ("split", "h") for x, y, side in ((0, 1, "l"), (1, 0, "r"))], "score")
-    side = lambda s: base.select("f", F.col("split").alias(f"split_{s}"), F.col("h").alias(f"h_{s}"), F.col("id").alias("left_id" if s == "l" else "right_id"))
-    return pair.join(side("l"), ["f", "split_l", "h_l"]).join(side("r"), ["f", "split_r", "h_r"]).select("left_id", "right_id", "score")
+    sets = _sets(texts.where("f IS NOT NULL AND split IS NOT NULL").withColumn("h", F.unhex(F.md5("k"))))
+    # One representative for equal texts of a family and split; pairs of texts that occur once are whole, the others meet the members.
+    first = sets.groupBy("f", "split", "h").agg(F.min(F.struct("node", "id", "m", "sketch", "grams")).alias("r"), F.count(F.lit(1)).alias("n"))
+    entries = materialize(first.select("f", F.lit(0).alias("g"), "split", "h", "n", "r.*"))
+    tasks = min(parts_of(rows.sparkSession), 1 + entries.count() // 256)
+    # Sketches alone go to all lists; whole sets only to those where they are open with another.
+    lists = block_pairs(entries.select("f", "g", "node", "split", "m", "sketch"), threshold, block)
+    lists = _open(lists, threshold, tasks).join(entries.select("node", "id", "n", "split", "m", "sketch", "grams"), "node")
+    pairs = materialize(_near(lists, threshold, tasks), most=PAIRS)
+    members = sets.select("f", "split", "h", "id").join(entries.where("n > 1").select("f", "split", "h", "node"), ["f", "split", "h"]).select("node", "id")
+    for at, name in (("l", "left_id"), ("r", "right_id")):
+        copies = members.select(F.col("node").alias(at), F.col("id").alias(name))
+        pairs = pairs.where(F.col(at).isNull()).drop(at).unionByName(pairs.where(F.col(at).isNotNull()).drop(name).join(copies, at).drop(at))
+    return pairs.select("left_id", "right_id", "score")

@@ -34,14 +34,15 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written to the shared folder and read back; ``by`` names columns whose values get folders of their own.
+def materialize(df: DataFrame, by: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+    """``df`` written to the shared folder and read back; ``by`` names columns whose values get folders of their own,
+    ``most`` is the number of rows in a file (0: any).
 
     A lost executor costs no recomputation of what lies before, and a plan that uses the result twice runs
     what made it once. The tables go when the driver ends, or by :func:`release`.
     """
     path = scratch_path(df.sparkSession)
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    df.write.options(compression="zstd", maxRecordsPerFile=most).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

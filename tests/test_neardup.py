@@ -77,3 +77,36 @@ def test_sketches_leave_few_pairs_open():
     kept = [set(s.tolist()) for s in sets]
     true = {(i, j) for i in range(n) for j in range(i + 1, n) if i % 3 != j % 3 and len(kept[i] & kept[j]) >= 0.84 * len(kept[i] | kept[j])}
     assert len(found) == len(set(found)) and true <= set(found) and len(true) > 30 and len(found) < 4 * len(true)
+
+
+@pytest.mark.parametrize("head", [0, 40, 8192])
+def test_shared_trigrams_of_many_pairs(monkeypatch, head):
+    """Frequent trigrams by bits, rare ones by lists, the same counts wherever the line is drawn."""
+    monkeypatch.setattr(neardup, "HEAD", head)
+    monkeypatch.setattr(neardup, "TILE", 4)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.choice([2, 60, 90]))) + rng.choice(["", "", "qq", "một"]) for _ in range(400)]
+    sets = neardup.gram_sets(texts)
+    kept, unpacked = [set(s.tolist()) for s in sets], []
+    pairs = [np.stack([np.full(n, x), rng.sample(range(400), n)]) for x, n in ((3, 1), (7, 300), (399, 60), (3, 2))]
+
+    def of(x):
+        unpacked.append(x)
+        return sets[x]
+
+    found = list(neardup.shared(of, pairs))
+    assert [f.tolist() for f in found] == [[len(kept[a] & kept[b]) for a, b in p.T.tolist()] for p in pairs]
+    assert max(map(unpacked.count, set(unpacked))) <= 2
+
+
+def test_similar_pairs_of_one_vocabulary(spark):
+    """Long texts of few words are all similar, and some occur often: pairs are checked where they are found, no set travels with a pair."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(12)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([150, 220]))) for _ in range(70)]
+    texts += [texts[0]] * 9 + [texts[1]] * 5
+    rows = [(i, "f", ("train", "train", "val", "test", "more")[i % 5], t) for i, t in enumerate(texts)] + [(900, "f", None, texts[0])]
+    got = neardup.cross_split_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    mine = {(r["left_id"], r["right_id"]): round(r["score"], 9) for r in got.collect()}
+    assert mine == all_pairs(rows[:-1], 0.84) and len(mine) == got.count() > 1000
+    assert "grams" not in got._jdf.queryExecution().executedPlan().toString()
